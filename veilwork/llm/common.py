@@ -43,5 +43,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased, every other character as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def crc32_text(column: Column) -> Column:
     return F.crc32(F.encode(column.cast("string"), "UTF-8"))
