@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm import line_quality, url_filter
+import public_tokenizers
+from veilwork.llm import line_quality, mixing, pieces, simhash, url_filter, warc
 from veilwork.llm.common import table
 
 URL_RULES = [
@@ -27,8 +28,35 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def model_bytes(path: str) -> bytes:
+    """A tokenizer's file, read on the driver and sent along with the tasks."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digests(pieces.encode_decode(table(spark, sf_dir, "documents"), model))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op2_quality_rules)}
+    return {
+        f.__name__: f
+        for f in (op1_url_filters, op2_quality_rules, op3_simhash_near_dedup, op4_sentencepiece, op5_warc, op6_mixing)
+    }
 
 
 OP1_SQL = """
@@ -98,5 +126,56 @@ select *, not base_failed and n_words - removed_words >= 0.3 * n_words as kept f
 """
 
 
+# base32 of a SHA-1: eight groups of 20 bits, four letters each
+OP5_SQL = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as b, sha1(coalesce(html, '')) as h from pages
+), d as (
+  select page_id, octet_length(b) as n,
+    list_transform(range(8), lambda i: cast('0x' || substr(h, 5 * i + 1, 5) as bigint)) as v, h, b
+  from p
+), e as (
+  select page_id, n, b,
+    list_aggregate(list_transform(v, lambda x:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31) + 1, 1)
+      || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31) + 1, 1)), 'string_agg', '') as payload_digest,
+    max(page_id) over (partition by b) as keeper
+  from d
+)
+select page_id, n as payload_bytes, payload_digest,
+  case when page_id = keeper then 'response' else 'revisit' end as record_type,
+  case when page_id <> keeper then keeper end as refers_to
+from e
+"""
+
+OP6_SQL = r"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) as bigint) as size,
+    md5('17|' || doc_id) as k
+  from documents
+), t as (
+  select source, sum(size) as s, row_number() over (order by source is null, encode(source)) - 1 as r from d group by source
+), w as (
+  select *, cast([3, 1, 2][r % 3 + 1] as double) as w, cast(2 * s as double) as cap from t
+), l as (
+  select *, (1.5::double * sum(s) over () - coalesce(sum(cap) over o, 0)) / (sum(w) over () - coalesce(sum(w) over o, 0)) as level
+  from w window o as (order by cap / w, r rows between unbounded preceding and 1 preceding)
+), v as (
+  select *, (select level from l where level * w <= cap order by cap / w, r limit 1) as final from l
+), g as (
+  select source, cast(s as bigint) as source_size, least(cap, coalesce(final * w, cap)) as target from v
+), q as (
+  select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as rounds from g
+), laid as (
+  select d.doc_id, d.size, q.*, sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and current row) as upto,
+    cast(round(target - rounds * source_size) as bigint) as rest
+  from d join q on d.source is not distinct from q.source
+)
+select doc_id, size, source_size, target,
+  cast(rounds * size + greatest(0, least(rest, upto) - (upto - size)) as bigint) as taken
+from laid
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_url_filters": OP1_SQL, "op2_quality_rules": OP2_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_warc": OP5_SQL, "op6_mixing": OP6_SQL}
