@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from veilwork.llm import line_quality, mixing, pieces, simhash, url_filter, warc
+from veilwork.llm import line_quality, mixing, pieces, simhash, token_blocks, url_filter, warc
 from veilwork.llm.common import table
 
 URL_RULES = [
@@ -52,10 +52,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = model_bytes(public_tokenizers.path("word_bpe_49k.json")).decode()
+    return token_blocks.token_table(table(spark, sf_dir, "documents"), model)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_url_filters, op2_quality_rules, op3_simhash_near_dedup, op4_sentencepiece, op5_warc, op6_mixing)
+        for f in (op1_url_filters, op2_quality_rules, op3_simhash_near_dedup, op4_sentencepiece, op5_warc, op6_mixing, op8_token_blocks)
     }
 
 
