@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from veilwork.llm import line_quality, mixing, pieces, simhash, token_blocks, url_filter, warc
+from veilwork.llm import html_text, line_quality, mixing, pieces, simhash, token_blocks, toxicity, url_filter, warc
 from veilwork.llm.common import table
 
 URL_RULES = [
@@ -57,10 +57,18 @@ def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_table(table(spark, sf_dir, "documents"), model)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_url_filters, op2_quality_rules, op3_simhash_near_dedup, op4_sentencepiece, op5_warc, op6_mixing, op8_token_blocks)
+        for f in (op1_url_filters, op2_quality_rules, op3_simhash_near_dedup, op4_sentencepiece, op5_warc, op6_mixing, op8_token_blocks, op9_toxicity, op10_html_extraction)
     }
 
 
