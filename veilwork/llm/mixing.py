@@ -128,3 +128,26 @@ def _schedule(targets: DataFrame, step: int) -> DataFrame:
     turn, block = F.expr("r.rank div t.blocks"), F.expr("r.rank % t.blocks")
     end = F.when(turn < F.col("t.rounds"), F.col("t.source_size")).otherwise(F.col("t.rest"))
     return all_.select("r.slot", "r.source", block.alias("block"), F.least(F.lit(step), end - block * step).alias("words"))
+
+
+def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows of ``docs``, with their own columns, as often as the mix takes them.
+
+    A document is repeated for each whole time that it is taken; where a source's last round ends inside a document,
+    its last copy has the words up to there (with what stands before each) and ``n_chars`` says so. Rows that the mix
+    takes no word of go. Rows of one id are shared out by size, so repeated rows get the same number each.
+    """
+    columns = docs.columns
+    mix = mix_sources(docs, **options).documents.filter("taken > 0")
+    mix = mix.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("_rows"))
+    mix = mix.select("doc_id", "source", "size", F.floor(F.col("taken") / F.col("_rows")).alias("taken"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")
+    rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_row"), "doc_id", "source", size.alias("size"))
+    taken = rows.alias("r").join(mix.alias("m"), F.expr("r.doc_id <=> m.doc_id and r.source <=> m.source and r.size = m.size"))
+    part = F.explode(F.expr("transform(sequence(0, cast((m.taken - 1) div m.size as int)), i -> least(m.size, m.taken - i * m.size))"))
+    taken = taken.select("_row", F.col("m.size").alias("size"), part.alias("_n"))
+    cut = F.array_join(F.slice(F.split("_row.text", "(?<=[^ \\t-\\r])(?=[ \\t-\\r])"), F.lit(1), F.col("_n").cast("int")), "")
+    text = F.when(F.col("_n") < F.col("size"), cut).otherwise(F.col("_row.text"))
+    out = taken.withColumn("_text", text)
+    fixed = {"text": F.col("_text"), "n_chars": F.when(F.col("_n") < F.col("size"), F.length("_text").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None}
+    return out.select(*[fixed[c].alias(c) if fixed.get(c) is not None else F.col(f"_row.{c}").alias(c) for c in columns])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from veilwork.llm import html_text, line_quality, mixing, pieces, simhash, token_blocks, toxicity, url_filter, warc
+from veilwork.llm import hnsw, html_text, line_quality, mixing, pieces, simhash, token_blocks, toxicity, url_filter, warc
 from veilwork.llm.common import table
 
 URL_RULES = [
@@ -52,6 +52,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = model_bytes(public_tokenizers.path("word_bpe_49k.json")).decode()
     return token_blocks.token_table(table(spark, sf_dir, "documents"), model)
@@ -68,7 +72,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_url_filters, op2_quality_rules, op3_simhash_near_dedup, op4_sentencepiece, op5_warc, op6_mixing, op8_token_blocks, op9_toxicity, op10_html_extraction)
+        for f in (op1_url_filters, op2_quality_rules, op3_simhash_near_dedup, op4_sentencepiece, op5_warc, op6_mixing, op7_embedding_near_dedup, op8_token_blocks, op9_toxicity, op10_html_extraction)
     }
 
 

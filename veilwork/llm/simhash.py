@@ -93,3 +93,13 @@ def simhash_components(
     found = connected_components(links)
     groups = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
+    """The rows of ``docs``, with their own columns, that stand for their group: the smallest doc_id, once.
+
+    Rows without id can't be named in a group and stay. Only ids are compared with the groups; each text moves once.
+    """
+    stay = simhash_components(docs, distance=distance).filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
