@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.common import shared_folder
 
-#: Ids of a block; ids a segment is cut after (at a document's end); words that a worker's cache holds; the file's mark.
-BLOCK, SEGMENT, CACHED, MAGIC = 128, 1 << 15, 400_000, b"PFOR"
+#: Ids of a block; ids a segment is cut after (at a document's end); the file's mark.
+BLOCK, SEGMENT, MAGIC = 128, 1 << 15, b"PFOR"
+#: Entries of a worker's caches: words as they stand are cheap to make anew, their letters' ids are not.
+WORDS, LETTERS = 250_000, 900_000
 
 
 # --- the format -------------------------------------------------------------------------------------------------------
@@ -117,26 +120,27 @@ class Words:
 
     def _learn_letters(self, new: list[str]) -> None:
         """Many words at a time: each ends with the first id that ends a word, which the number of words confirms."""
-        for i in range(0, len(new), 64):
-            part = new[i : i + 64]
-            ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part) and ends[-1:] == len(ids):
-                for w, a, b in zip(part, [0, *ends], ends, strict=False):
-                    self.letters[w] = ids[a:b].tobytes()
+        groups = [new[i : i + 64] for i in range(0, len(new), 64)]
+        for part, found in zip(groups, self.lib.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(part) and ends[-1:] == [len(ids)]:
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(part, ends, strict=True):
+                    self.letters[w] = raw[4 * at : 4 * (at := end)]
             else:
                 self.letters.update((w, self._ids(w)) for w in part)
 
     def _learn(self, new: list[str]) -> None:
-        split = {w: m.groups() for w in new if (m := self.plain.fullmatch(w))}
-        lower = {w: p[0].lower() for w, p in split.items()}
-        if unseen := list(set(lower.values()).difference(self.letters)):
-            if len(self.letters) + len(unseen) > CACHED:
+        match = self.plain.fullmatch
+        split = {w: (m[1].lower(), m[2]) for w in new if (m := match(w))}
+        if unseen := list({p[0] for p in split.values()}.difference(self.letters)):
+            if len(self.letters) + len(unseen) > LETTERS:
                 self.letters.clear()
-                unseen = list(set(lower.values()))
+                unseen = list({p[0] for p in split.values()})
             self._learn_letters(unseen)
-        for w, (_, mark) in split.items():
-            self.words[w] = self.letters[lower[w]] + self.marks[mark]
+        letters, marks = self.letters, self.marks
+        self.words.update({w: letters[p] + marks[m] for w, (p, m) in split.items()})
         if rest := [w for w in new if w not in split]:
             for w, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, np.uint32).tobytes()
@@ -145,7 +149,7 @@ class Words:
         """All ids as little-endian unsigned 32-bit integers, the end id last."""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if new := set(words).difference(self.words):
-            if len(self.words) + len(new) > CACHED:
+            if len(self.words) + len(new) > WORDS:
                 self.words = {"": b""}
                 new = set(words).difference(self.words)
             self._learn(list(new))
@@ -157,6 +161,7 @@ _LOADED: dict[str, Words] = {}
 
 def loaded(model: str) -> Words:
     if model not in _LOADED:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _LOADED.clear()
         _LOADED[model] = Words(model)
     return _LOADED[model]
