@@ -220,8 +220,8 @@ def global_recode(
         if labels is not None and len(labels) != n:
             raise InputError(f"{n} labels are needed")
         shown = list(edges)
-        if n and not (isinstance(bins, int) and bin_method is None):
-            shown[0] = edges[0] - 10 ** -3
+        if n:
+            shown[0] = float(_label(edges[0])) - 0.001  # so that the label holds the lowest value
         names = list(map(str, labels)) if labels is not None else [f"({_label(a)}, {_label(b)}]" for a, b in zip(shown, shown[1:], strict=False)]
         x, e = number(c), F.lit(None).cast("string")
         for i in reversed(range(n)):

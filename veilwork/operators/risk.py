@@ -188,20 +188,16 @@ def approximate_risk(fk: Column, Fk: Column) -> Column:
     )
 
 
-def exact_risk(fk: Column, Fk: Column, terms: int = 60) -> Column:
-    """The series behind the approximations: the mean of 1 / F over a negative binomial population frequency.
+def exact_risk(fk: Column, Fk: Column, nodes: int = 40) -> Column:
+    """The mean of 1 / F, F being the population frequency (fk plus a negative binomial number with chance ``p = fk / Fk``).
 
-    With ``p = fk / Fk`` it is ``p^fk sum_j C(fk + j - 1, j) (1 - p)^j / (fk + j)``, summed up to ``terms`` and its rest
-    bounded by the last term; exact closed forms serve frequencies of one and two.
+    It is ``p / fk`` times the integral of ``exp(-x) / (p + (1 - p) exp(-x / fk))`` over x from 0, by Gauss-Laguerre
+    nodes; closed forms serve frequencies of one and two.
     """
-    p = fk / Fk
-    series = F.aggregate(
-        F.sequence(F.lit(0), F.lit(terms * 10)),
-        F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term")),
-        lambda a, j: F.struct((a["sum"] + a["term"] / (fk + j)).alias("sum"), (a["term"] * (fk + j) / (j + 1) * (1 - p)).alias("term")),
-        lambda a: a["sum"] * F.pow(p, fk),
-    )
-    return F.when(fk <= 2, approximate_risk(fk, Fk)).when(fk == Fk, 1 / fk).otherwise(series)
+    p, total = fk / Fk, F.lit(0.0)
+    for x, w in zip(*np.polynomial.laguerre.laggauss(nodes), strict=True):
+        total = total + F.lit(float(w)) / (p + (1 - p) * F.exp(-float(x) / fk))
+    return F.when(fk <= 2, approximate_risk(fk, Fk)).when(fk == Fk, 1 / fk).otherwise(p / fk * total)
 
 
 def individual_risk(
