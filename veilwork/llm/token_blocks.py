@@ -19,8 +19,8 @@ from veilwork.llm.common import shared_folder
 
 #: Ids of a block; ids a segment is cut after (at a document's end); the file's mark.
 BLOCK, SEGMENT, MAGIC = 128, 1 << 15, b"PFOR"
-#: Entries of a worker's caches: words as they stand are cheap to make anew, their letters' ids are not.
-WORDS, LETTERS = 250_000, 900_000
+#: Entries of a worker's caches, and bytes of text that are encoded together.
+WORDS, LETTERS, TOGETHER = 600_000, 800_000, 1 << 20
 
 
 # --- the format -------------------------------------------------------------------------------------------------------
@@ -41,16 +41,16 @@ def pack(ids: np.ndarray, percentile: float = 0.9) -> bytes:
         grid[-1, n % BLOCK :] = ids[-1]
     low = grid.min(axis=1)
     grid -= low[:, None]
-    need = np.zeros((count, BLOCK), np.uint8)  # bits of each value
-    for b in range(32):
-        need += (grid >> b) > 0
-    width = np.sort(need, axis=1)[:, int(np.ceil(percentile * BLOCK)) - 1]
+    need = np.frexp(grid.astype(np.float64))[1].astype(np.uint8)  # bits of each value
+    place = int(np.ceil(percentile * BLOCK)) - 1
+    width = np.partition(need, place, axis=1)[:, place]
     odd = need > width[:, None]
     body: list[bytes] = [b""] * count
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
-        bits = (np.where(odd[at], 0, grid[at])[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-        packed = np.packbits(bits.reshape(len(at), -1).astype(np.uint8), axis=1, bitorder="little")
+        raw = np.where(odd[at], np.uint32(0), grid[at]).astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4)
+        bits = np.unpackbits(raw, axis=2, count=int(w), bitorder="little")
+        packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
         for i, p in zip(at, packed, strict=True):
             where = np.flatnonzero(odd[i])
             head = int(low[i]).to_bytes(4, "little") + bytes((int(w), len(where)))
@@ -87,8 +87,10 @@ def unpack(data: bytes) -> np.ndarray:
         rows = np.flatnonzero(width == w)
         size = BLOCK * int(w) // 8
         bits = np.unpackbits(raw[at[rows, None] + 6 + np.arange(size)], axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-        for b in range(int(w)):
-            out[rows] |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
+        if w:
+            full = np.zeros((len(rows), BLOCK, 4), np.uint8)
+            full[:, :, : -(-int(w) // 8)] = np.packbits(bits, axis=2, bitorder="little")
+            out[rows] = full.reshape(len(rows), -1).view("<u4")
     for i in np.flatnonzero(odd):
         k, s = int(odd[i]), int(at[i]) + 6 + BLOCK * int(width[i]) // 8
         out[i, raw[s : s + k]] = np.frombuffer(data, "<u4", k, s + k)
@@ -145,15 +147,19 @@ class Words:
             for w, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, np.uint32).tobytes()
 
-    def encode(self, text: str, end: bytes) -> bytes:
-        """All ids as little-endian unsigned 32-bit integers, the end id last."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if new := set(words).difference(self.words):
+    def encode_all(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers, the end id last; new words of all are learned at once."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if new := set().union(*split).difference(self.words):
             if len(self.words) + len(new) > WORDS:
                 self.words = {"": b""}
-                new = set(words).difference(self.words)
+                new = set().union(*split).difference(self.words)
             self._learn(list(new))
-        return b"".join([self.words[w] for w in words]) + end
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, words)) + end for words in split]
+
+    def encode(self, text: str, end: bytes) -> bytes:
+        return self.encode_all([text], end)[0]
 
 
 _LOADED: dict[str, Words] = {}
@@ -196,16 +202,26 @@ def write_tokens(docs: DataFrame, path: str, model: str, end_id: int = 1, id_col
                 ["part", "number", "first_start", "doc_ids", "lengths", "ids"],
             )
 
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = words.encode(text.as_py() or "", end)
-                ids.append(got)
-                keys.append(key)
-                lengths.append(len(got) // 4)
-                size += len(got) // 4
-                if size >= SEGMENT:
-                    yield segment()
-                    number, start, size, ids, keys, lengths = number + 1, start + size, 0, [], [], []
+        def documents() -> Iterator[tuple[int | None, bytes]]:
+            waiting, texts, held = [], [], 0
+            for b in batches:
+                for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    waiting.append(key)
+                    texts.append(text.as_py() or "")
+                    held += len(texts[-1])
+                    if held >= TOGETHER:
+                        yield from zip(waiting, words.encode_all(texts, end), strict=True)
+                        waiting, texts, held = [], [], 0
+            yield from zip(waiting, words.encode_all(texts, end), strict=True)
+
+        for key, got in documents():
+            ids.append(got)
+            keys.append(key)
+            lengths.append(len(got) // 4)
+            size += len(got) // 4
+            if size >= SEGMENT:
+                yield segment()
+                number, start, size, ids, keys, lengths = number + 1, start + size, 0, [], [], []
         if keys:
             yield segment()
 
