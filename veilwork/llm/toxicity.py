@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -70,18 +70,38 @@ class Lexicon:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Per voter and class the chance of each vote, its weight for what correlates with it, and the share of toxic texts."""
+    """The share of toxic texts, per voter and class the chance of each vote, and the votes' correlations within classes.
+
+    ``scale`` and ``shift`` calibrate the odds on labelled texts.
+    """
 
     prior: float
     chances: np.ndarray  # voter, class, vote
-    weights: np.ndarray
     correlations: np.ndarray
+    scale: float = 1.0
+    shift: float = 0.0
+
+    @property
+    def weights(self) -> np.ndarray:
+        """Of each voter: one over the sum of its correlations, so voters that go together count as fewer."""
+        return 1 / np.maximum(self.correlations, 0).sum(axis=1)
+
+    def odds(self, votes: np.ndarray) -> np.ndarray:
+        v, log = np.arange(votes.shape[1]), np.log(self.chances)
+        heard = (log[v, 1, votes] - log[v, 0, votes]) * (votes > 0) * self.weights
+        return np.log(self.prior / (1 - self.prior)) + heard.sum(axis=1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        v = np.arange(len(self.weights))
-        log = np.log(self.chances)
-        odds = np.log(self.prior / (1 - self.prior)) + ((log[v, 1, votes] - log[v, 0, votes]) * self.weights).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.odds(votes) + self.shift, -30, 30)))
+
+    def calibrated(self, votes: np.ndarray, labelled: np.ndarray, toxic: np.ndarray) -> LabelModel:
+        """With the scale and shift that fit the labelled texts of each pattern best (Newton steps, drawn to 1 and 0)."""
+        x, beta = np.stack([self.odds(votes), np.ones(len(votes))], axis=1), np.array([1.0, 0.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            slope = x.T @ (toxic - labelled * p) - (beta - [1.0, 0.0])
+            beta = beta + np.linalg.solve((x * (labelled * p * (1 - p))[:, None]).T @ x + np.eye(2), slope)
+        return replace(self, scale=float(max(beta[0], 0.1)), shift=float(beta[1]))
 
 
 def unpack_votes(codes: np.ndarray, voters: int) -> np.ndarray:
@@ -92,12 +112,13 @@ def fit_label_model(codes: np.ndarray, counts: np.ndarray, labelled: np.ndarray,
     """Expectation and maximisation over distinct vote patterns.
 
     ``counts`` has the texts of each pattern, ``labelled`` and ``toxic`` those among them with a label, and with label 1.
-    Labelled texts keep their label, the others their posterior. After each round the votes' correlations within the
-    classes are measured anew, and a voter that goes with others weighs less: one over the sum of its correlations.
+    Labelled texts keep their label, the others their posterior; the share of toxic texts is that of the labelled ones
+    (with one toxic and nine others added). After each round the votes' correlations within the classes are measured
+    anew, and a voter that votes along with others weighs less. A voter that abstains says nothing.
     """
     votes = unpack_votes(codes, voters)
     free = np.maximum(counts - labelled, 0).astype(float)
-    prior = (toxic.sum() + 1) / (labelled.sum() + 2) if labelled.sum() else 0.1
+    prior = float((toxic.sum() + 1) / (labelled.sum() + 10))
     hot = (votes == 1).any(axis=1)
     post = np.where(labelled > 0, (toxic + prior) / (labelled + 1), np.where(hot, 0.8, 0.05))
     model = None
@@ -119,9 +140,9 @@ def fit_label_model(codes: np.ndarray, counts: np.ndarray, labelled: np.ndarray,
         scale = np.sqrt(np.maximum(np.diag(spread), 1e-12))
         related = np.clip(spread / scale[:, None] / scale, -1, 1)
         np.fill_diagonal(related, 1)
-        model = LabelModel(float(np.clip(one.sum() / max(1.0, (one + zero).sum()), 1e-4, 0.9)), chances, 1 / np.maximum(related, 0).sum(axis=1), related)
+        model = LabelModel(prior, chances, related)
         post = model.posterior(votes)
-    return model
+    return model.calibrated(votes, labelled, toxic)
 
 
 def mine(rows: DataFrame, most: int = 3000, least: float = 16.0) -> Lexicon:
@@ -187,8 +208,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Labels are learned from rows whose crc32(doc_id as text) mod 5 is not 0. Terms are mined from at most ``max_rows``
     of them, and the classifier is fitted on at most ``max_rows`` documents outside the held-out ones (both the first
     by a hash of the id; the bound is this parameter). The label model counts the vote patterns of all documents: one
-    row per pattern, whatever the corpus. The classifier learns from posterior labels, each text once per class with
-    the posterior as weight.
+    row per pattern, whatever the corpus. The classifier learns from posterior labels (a labelled text's is its label),
+    each text once per class with the posterior as weight.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = labels.filter(F.col("toxic").isNotNull() & (F.pmod(crc32_text(F.col("doc_id")), F.lit(5)) != 0))
@@ -209,7 +230,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return pd.Series(model.posterior(unpack_votes(votes.to_numpy(np.int64), len(lexicon.voters))))
 
     learn = found.filter(F.coalesce(F.pmod(crc32_text(F.col("doc_id")), F.lit(5)) != 0, F.lit(True)))
-    learn = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("p", posterior("votes"))
+    learn = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    learn = learn.join(known, "doc_id", "left").withColumn("p", F.coalesce(F.col("toxic").cast("double"), posterior("votes")))
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight"))))
     learn = learn.select("terms", both.alias("_e")).select("terms", "_e.label", F.greatest("_e.weight", F.lit(1e-6)).alias("weight"))
     vectors = CountVectorizerModel.from_vocabulary(sorted(lexicon.terms), inputCol="terms", outputCol="_features")
@@ -217,7 +239,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     learn = written(learn.unionByName(blank), "learn")
     fit = LogisticRegression(
         featuresCol="_features", labelCol="label", weightCol="weight", probabilityCol="_probability",
-        rawPredictionCol="_raw", predictionCol="_prediction", maxIter=40, regParam=1e-3, standardization=False,
+        rawPredictionCol="_raw", predictionCol="_prediction", maxIter=40, regParam=1e-4, standardization=False,
     )
     return ToxicityModel(lexicon, model, vectors, fit.fit(vectors.transform(learn))), found
 
