@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,8 +13,6 @@ from veilwork.llm.common import written
 
 #: The golden ratio's part after the point as a 40-bit binary fraction (odd, so the points of 2^40 slots are distinct).
 GOLDEN, BITS = 679_535_556_991, 40
-#: Rows that a window's partition holds about, of documents and of slots.
-ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -72,7 +71,7 @@ def mix_sources(
     sizes = written(sizes.withColumn("key", key), "sizes")
     n_docs, n_all = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
     step = max(1, round((n_all or 0) / max(1, n_docs) / 4))
-    bits = min(28, max(0, (n_docs // ROWS).bit_length()))
+    bits = min(28, isqrt(n_docs).bit_length())  # about as many parts of a source as rows in a part
     part = F.conv(F.substring("key", 1, 7), 16, 10).cast("long")
     sizes = sizes.withColumn("part", F.shiftright(part, 28 - bits))
 
@@ -111,7 +110,7 @@ def _schedule(targets: DataFrame, step: int) -> DataFrame:
     spans = spans.withColumn("cell", F.explode(F.expr(f"sequence(cast(floor(lo * {cells}) as int), least({cells - 1}, cast(floor(hi * {cells}) as int)))")))
     points = spark.range(n).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
-    hits = points.join(spans, "cell").filter("u >= lo and u < hi").select("slot", "source", F.shiftright("slot", 12).alias("chunk"))
+    hits = points.join(spans, "cell").filter("u >= lo and u < hi").select("slot", "source", F.shiftright("slot", isqrt(n).bit_length()).alias("chunk"))
     hits = written(hits, "slots")
     chunks = hits.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("_n"))
     chunks = chunks.withColumn("_from", F.sum("_n").over(W.partitionBy("source").orderBy("chunk")) - F.col("_n"))
