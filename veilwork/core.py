@@ -55,6 +55,20 @@ def row_key(df: DataFrame, key: str | list[str] | None) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def with_groups(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds each row's group values: partial sums and a join, so a group of a third of all rows can be split over tasks.
+
+    Null keys are equal to each other. Where groups are few the join is a broadcast by their known size.
+    """
+    groups = df.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(*[v.alias(n) for n, v in values.items()])
+    if not keys:
+        return df.crossJoin(groups)  # one row
+    same = F.col(keys[0]).eqNullSafe(F.col("_g0"))
+    for i, k in enumerate(keys[1:], 1):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(groups, same).drop(*[f"_g{i}" for i in range(len(keys))])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder of ``spark.checkpoint.dir``, which all executors share and a lost one doesn't take along."""
     context = df.sparkSession.sparkContext

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilwork.core import chosen, is_numeric, number, with_position, with_ranks
+from veilwork.core import chosen, is_numeric, number, with_groups, with_position, with_ranks
 from veilwork.errors import InputError, LessThanOrEqualToZeroError, NotInRangeError
 from veilwork.functions.keyed import normal
 from veilwork.operators.noise import moments
@@ -63,8 +63,8 @@ def quantile_magg(df: DataFrame, aggr: int = 2, measure: Measure = "mean", cols:
             bins = F.greatest(F.expr(f"(_r_n * {q}L + {n - 2}L) div {n - 1}L"), F.lit((least - 1) * q // (n - 1) + 1))
         else:
             bins = F.lit(1)
-        value = F.when(F.col("_x").isNotNull(), of(F.col("_x")).over(W.partitionBy("_bin")))
-        out = ranked.withColumn("_bin", bins).withColumn(c, value).drop("_x", "_bin", "_r_n", "_r_c", "_r_d")
+        out = with_groups(ranked.withColumn("_bin", bins), ["_bin"], {"_new": of(F.col("_x"))})
+        out = out.withColumn(c, F.when(F.col("_x").isNotNull(), F.col("_new"))).drop("_x", "_bin", "_new", "_r_n", "_r_c", "_r_d")
     return _output(out, names, df.columns, output)
 
 

@@ -8,10 +8,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilwork.core import chosen
+from veilwork.core import chosen, with_groups
 from veilwork.errors import InputError, NotInRangeError
 
 
@@ -27,7 +26,7 @@ def _value(metric: DataFrame) -> float | None:
 def k_anonymity_rows(df: DataFrame, keys: Sequence[str] | str | None = None, k: int = 5) -> DataFrame:
     """Rows with ``k_count`` (size of their class) and ``is_k_anon`` (larger than k); rows with a null key go."""
     keys = chosen(df, keys)
-    return _keyed(df, keys).withColumn("k_count", F.count(F.lit(1)).over(W.partitionBy(*keys))).withColumn("is_k_anon", F.col("k_count") > k)
+    return with_groups(_keyed(df, keys), keys, {"k_count": F.count(F.lit(1))}).withColumn("is_k_anon", F.col("k_count") > k)
 
 
 def k_anonymity_table(df: DataFrame, keys: Sequence[str] | str | None = None, k: int = 5, sensitive_col: str | None = None, label: str | None = None) -> DataFrame:
@@ -169,10 +168,10 @@ def frequencies(df: DataFrame, sensitive_col: str, quasi: Sequence[str] | str, w
     """Rows with ``samp_fq`` (rows of their class with a sensitive value) and ``pop_fq`` (the sum of their weights)."""
     keys = chosen(df, quasi)
     chosen(df, [sensitive_col, *([weights] if weights else [])])
-    w = W.partitionBy(*keys)
     there = F.col(sensitive_col).isNotNull()
     weight = F.col(weights) if weights else F.lit(1)
-    return df.withColumn("samp_fq", F.count(F.when(there, 1)).over(w)).withColumn("pop_fq", F.coalesce(F.sum(F.when(there, weight)).over(w), F.lit(0)).cast("double"))
+    counts = {"samp_fq": F.count(F.when(there, 1)), "pop_fq": F.coalesce(F.sum(F.when(there, weight)), F.lit(0)).cast("double")}
+    return with_groups(df, keys, counts)
 
 
 def approximate_risk(fk: Column, Fk: Column) -> Column:
