@@ -29,7 +29,7 @@ CLASH = "n_words int, copy int, component int, fp int, id int, size int, part in
 @pytest.fixture(scope="module")
 def odd(spark):
     long = "word " * 30_000 + "end"
-    texts = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "same text here\n" * 20), (6, "same text here\n" * 20), (6, "same text here\n" * 20), (7, long), (None, "no id at all"), (8, "Ünï cödé 日本 😀 ▁ <s> it's"), (9, "idiot loser trash, you are a moron"), (9, "other text of one id")]
+    texts = [(1, None), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "same text here\n" * 20), (6, "same text here\n" * 20), (6, "same text here\n" * 20), (7, long), (None, "no id at all"), (8, "Ünï cödé 日本 😀 ▁ <s> it's"), (9, "idiot loser trash, you are a moron"), (9, "other text of one id")]
     rows = [(i, t, "en", None if i == 4 else f"s{i % 2 if i else 0}", len(t or ""), *[0] * 9, "x", 0, 0, 0, "x") for i, t in texts]
     rows = [(*r[:5], 1, 1, 1, 1, 1, 1, 1, 1, 1, "t", 1, 1, 1, "d") for r in rows]
     return spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {CLASH}")

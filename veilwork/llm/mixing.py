@@ -91,12 +91,14 @@ def mix_sources(
     laid = sizes.withColumn("_to", inside).alias("d").join(parts.alias("p"), F.expr("d.source <=> p.source and d.part = p.part"))
     laid = laid.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", (F.col("p._from") + F.col("d._to") - F.col("d.size")).alias("start"))
     schedule = _schedule(targets, step)
-    pieces = laid.withColumn("block", F.explode_outer(F.expr(f"case when size > 0 then sequence(start div {step}, (start + size - 1) div {step}) end")))
+    pieces = laid.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {step}, (start + size - 1) div {step})")))
     low, high = F.greatest(F.col("d.start"), F.col("d.block") * step), F.least(F.col("d.start") + F.col("d.size"), F.col("d.block") * step + F.col("s.words"))
     taken = pieces.alias("d").join(schedule.alias("s"), F.expr("d.source <=> s.source and d.block = s.block"), "left")
     taken = taken.withColumn("taken", F.when(F.col("s.words").isNull(), F.lit(0)).otherwise(F.greatest(high - low, F.lit(0))))
     taken = taken.groupBy("d.doc_id", "d.source", "d.start", "d.size", "d.source_size", "d.target").agg(F.sum("taken").alias("taken"))
-    return Mix(taken.select("doc_id", "source", "size", "source_size", "target", "taken"), schedule)
+    names = ["doc_id", "source", "size", "source_size", "target"]
+    empty = laid.filter("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
+    return Mix(taken.select(*names, F.col("taken").cast("long").alias("taken")).unionByName(empty), schedule)
 
 
 def _schedule(targets: DataFrame, step: int) -> DataFrame:
