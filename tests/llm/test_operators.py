@@ -112,6 +112,16 @@ def test_frequent_lines_reject_depleted_documents(spark):
     assert kept == {100 + i for i in range(5)} | {200} | {300 + i for i in range(40)}
 
 
+def test_frequent_passages_of_any_length_are_removed(spark):
+    words = lambda x, n: " ".join(f"{x}w{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(n))
+    rows = [(i, f"{words('p', 75)}\nown{chr(97 + i)} end", "h") for i in range(21)] + [(50, words("p", 75) + "\n" + words("q", 90), "h")]
+    rows += [(100 + i, f"{words('r', 75)}\nown{chr(97 + i)} end", "h") for i in range(20)] + [(200, words("p", 75), "other")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.doc_id: (r.removed_words, r.kept) for r in line_quality.line_quality(docs).collect()}
+    expected = {i: (75, False) for i in range(21)} | {50: (75, True), 200: (0, True)} | {100 + i: (0, True) for i in range(20)}
+    assert found == expected
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------------
 
 

@@ -59,16 +59,14 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def frequent_lines(
-    docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: str = "text",
-    max_docs: int = 20, max_line_words: int = 32,
+    docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
     """``(lines, frequent)``: one row per document and distinct normalised line, and the lines above the limit.
 
     A line is normalised (lower case, white space squeezed, digits to 0) and hashed. A host's frequency of a line is the
     number of distinct document contents that hold it: exact copies of one text count once, so a copied article is
-    left to deduplication. Lines of more than ``max_line_words`` words are passages, not boilerplate, and are never
-    counted. Partial counts are made before the shuffle, so a host or a line that holds a third of all rows moves as
-    one row per task.
+    left to deduplication. Lines of every length count, passages too: only their hashes are shuffled. Partial counts are
+    made before the shuffle, so a host or a line that holds a third of all rows moves as one row per task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(
@@ -79,8 +77,7 @@ def frequent_lines(
     )
     line = F.trim(F.regexp_replace(F.regexp_replace(F.lower("_line"), "[ \\t-\\r]+", " "), "[0-9]", "0"))
     lines = lines.withColumn("_line", line).filter("_line != ''")
-    lines = lines.withColumn("_n", F.size(F.split("_line", " "))).filter(F.col("_n") <= max_line_words)
-    lines = lines.select("doc_id", "_host", "_copy", "_at", F.xxhash64("_line").alias("_key"), "_n")
+    lines = lines.select("doc_id", "_host", "_copy", "_at", F.xxhash64("_line").alias("_key"), F.size(F.split("_line", " ")).alias("_n"))
     once = lines.groupBy("_host", "_key", "_copy").agg(F.lit(1).alias("_one"))
     frequent = once.groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > max_docs)
     return lines, frequent
@@ -88,7 +85,7 @@ def frequent_lines(
 
 def line_quality(
     docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
-    max_docs: int = 20, max_line_words: int = 32, min_kept_share: float = 0.3,
+    max_docs: int = 20, min_kept_share: float = 0.3,
 ) -> DataFrame:
     """One row per document: its counts, ``removed_words`` (words in lines above the limit) and ``kept``.
 
@@ -97,7 +94,7 @@ def line_quality(
     repeated rows (same id and text) count once. Extra columns are ignored.
     """
     stats = text_statistics(docs, id_col, text_col).withColumn("_copy", F.xxhash64("_t")).drop("_t")
-    lines, frequent = frequent_lines(docs, host_col, id_col, text_col, max_docs, max_line_words)
+    lines, frequent = frequent_lines(docs, host_col, id_col, text_col, max_docs)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     lines = lines.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     frequent = frequent.withColumn("_salt", salts)
