@@ -435,6 +435,23 @@ def test_main_text(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_main_text_outside_paragraphs():
+    long = "A long article, with commas, and words. " * 5
+    line = long.strip()
+    cases = {
+        f"<html><body>{long}<br>more text</body></html>": f"{line} more text",
+        f"<nav><a href=x>menu</a></nav><center>{long}</center>": line,
+        f"<body><span>{long}</span><div class=sidebar>x, y</div></body>": line,
+        f"<font><b>{long}</b></font>": line,
+        f"<address>{long}</address>": line,
+        f"<div><span>{long}</span></div><ul><li><a href=1>one</a><li><a href=2>two</a></ul>": line,
+        f"loose <b>text</b><div><span>{long}</span></div>end": f"loose text\n{line}\nend",
+        "<article><p><a href=1>one, two</a></p><p><a href=2>three</a></p></article><footer>f</footer>": "one, two\nthree",
+    }
+    for html, text in cases.items():
+        assert html_text.main_text(html) == text
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------------
 
 
