@@ -129,6 +129,20 @@ def test_restricted_and_outlier_noise(numbers, spark):
         noise.add_noise(numbers, "other")
 
 
+def test_robust_centre_uses_every_row(spark):
+    rng = np.random.default_rng(5)
+    data = np.concatenate([rng.normal(size=(12_000, 2)) @ [[3, 1], [0, 2]], np.tile([1.0, 1.0], (8_000, 1)), rng.normal(40, 1, (4_000, 2))])
+    df = frame(spark, data.tolist(), "a double, b double")
+    mean, cov = noise.robust_centre(df, ["a", "b"])
+    far = np.einsum("ij,jk,ik->i", data - mean, np.linalg.inv(cov), data - mean)
+    half = data[np.argsort(far, kind="stable")[: (len(data) + 3) // 2]]
+    assert np.allclose(half.mean(axis=0), mean, atol=1e-4)
+    assert abs(np.median(far) - noise.chi2_quantile(0.5, 2)) < 1e-4
+    assert np.allclose(cov / cov[0, 0], np.cov(half.T) / np.cov(half.T)[0, 0], atol=1e-4)
+    again = noise.robust_centre(df.repartition(7), ["a", "b"])
+    assert np.allclose(again[0], mean) and np.allclose(again[1], cov)
+
+
 def test_pram(spark):
     df = spark.range(4000).select("id", F.when(F.pmod("id", F.lit(4)) == 0, "a").when(F.pmod("id", F.lit(4)) == 1, None).otherwise("b").alias("c"))
     out = noise.pram(df, "c", key="id")
