@@ -8,6 +8,7 @@ from base64 import b32encode
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -355,8 +356,18 @@ def test_blocks_round_trip():
 
 def test_words_equal_the_library():
     lib, words = tokenizers.Tokenizer.from_str(WORDS), token_blocks.Words(WORDS)
-    for text in ("It's a TEST, don't.", "a\x1cb \x0b c", "Éa éA ÉÀ", "<|endoftext|> x", "1 22 3.5", "ΑΣ Σ", "日本 😀!!", "", " \n", "é ́x", "word. word, word... (word)"):
-        assert np.frombuffer(words.encode(text, b""), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    for text in ("It's a TEST, don't.", "a\x1cb \x0b c", "Éa éA ÉÀ", "<|endoftext|> x", "1 22 3.5", "ΑΣ Σ", "日本 😀!!", "", " \n", "é ́x", "word. word, word... (word)", "K\u212a \u212b Ÿ ß İ a\x85b a\u2028b", "x<|endoftext|>y a<| b|>", "a\0b \x1d", "foo's 'tis it'll) a'.", "\ufeffabc", "a\u200bb$$$ Wort,,"):
+        assert words.encode(text) == lib.encode(text, add_special_tokens=False).ids
+    texts = [None, "a b", "", "Long " * 5000, "b"]
+    ids, sizes = words.encode_all(pa.array(texts), 1)
+    assert [ids[b - n : b].tolist() for n, b in zip(sizes, np.cumsum(sizes), strict=True)] == [[*lib.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_texts_are_put_together():
+    rows = [pa.RecordBatch.from_arrays([pa.array([1, 2, None]), pa.array(["x" * (5 << 20), None, ""])], ["a", "b"]), pa.RecordBatch.from_arrays([pa.array([3, 4]), pa.array(["y" * (9 << 20), "z"])], ["a", "b"])]
+    found = [(k, [len(t or "") for t in texts.to_pylist()]) for k, texts in token_blocks._together(iter(rows))]
+    assert found == [([1, 2, None, 3], [5 << 20, 0, 0, 9 << 20]), ([4], [1])]
+    assert list(token_blocks._together(iter([]))) == []
 
 
 def test_token_table(spark, sf, odd, tmp_path):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,8 @@ from veilwork.llm.common import shared_folder
 
 #: Ids of a block; ids a segment is cut after (at a document's end); the file's mark.
 BLOCK, SEGMENT, MAGIC = 128, 1 << 15, b"PFOR"
-#: Entries of a worker's caches, and bytes of text that are encoded together.
-WORDS, LETTERS, TOGETHER = 600_000, 800_000, 1 << 20
+#: Words that a worker remembers, bytes of text that are encoded together, and bytes of text in a stretch of the order.
+KNOWN, TOGETHER, STRETCH = 1_000_000, 8 << 20, 64 << 20
 
 
 # --- the format -------------------------------------------------------------------------------------------------------
@@ -45,18 +46,21 @@ def pack(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     place = int(np.ceil(percentile * BLOCK)) - 1
     width = np.partition(need, place, axis=1)[:, place]
     odd = need > width[:, None]
-    body: list[bytes] = [b""] * count
+    packed, exceptions = BLOCK * width.astype(np.int64) // 8, odd.sum(axis=1)
+    starts = np.concatenate([[0], np.cumsum(6 + packed + 5 * exceptions)])
+    body = np.empty(starts[-1], np.uint8)
+    body[starts[:-1, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(count, 4)
+    body[starts[:-1] + 4], body[starts[:-1] + 5] = width, exceptions
+    row, col = np.nonzero(odd)
+    values, grid[row, col] = grid[row, col].astype("<u4"), 0
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
-        raw = np.where(odd[at], np.uint32(0), grid[at]).astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4)
-        bits = np.unpackbits(raw, axis=2, count=int(w), bitorder="little")
-        packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
-        for i, p in zip(at, packed, strict=True):
-            where = np.flatnonzero(odd[i])
-            head = int(low[i]).to_bytes(4, "little") + bytes((int(w), len(where)))
-            body[i] = head + p.tobytes() + where.astype(np.uint8).tobytes() + grid[i, where].astype("<u4").tobytes()
-    starts = np.cumsum([0, *map(len, body)]).astype("<u4")
-    return MAGIC + np.array([n, count], "<u4").tobytes() + starts.tobytes() + b"".join(body)
+        bits = np.unpackbits(grid[at].astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, count=int(w), bitorder="little")
+        body[starts[at, None] + 6 + np.arange(BLOCK * int(w) // 8)] = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+    first, nth = starts[row] + 6 + packed[row], np.arange(len(row)) - (np.cumsum(exceptions) - exceptions)[row]
+    body[first + nth] = col
+    body[(first + exceptions[row] + 4 * nth)[:, None] + np.arange(4)] = values.view(np.uint8).reshape(-1, 4)
+    return MAGIC + np.array([n, count], "<u4").tobytes() + starts.astype("<u4").tobytes() + body.tobytes()
 
 
 def unpack_block(data: bytes, block: int) -> np.ndarray:
@@ -91,75 +95,106 @@ def unpack(data: bytes) -> np.ndarray:
             full = np.zeros((len(rows), BLOCK, 4), np.uint8)
             full[:, :, : -(-int(w) // 8)] = np.packbits(bits, axis=2, bitorder="little")
             out[rows] = full.reshape(len(rows), -1).view("<u4")
-    for i in np.flatnonzero(odd):
-        k, s = int(odd[i]), int(at[i]) + 6 + BLOCK * int(width[i]) // 8
-        out[i, raw[s : s + k]] = np.frombuffer(data, "<u4", k, s + k)
+    row = np.repeat(np.arange(count), odd)
+    first, nth = at[row] + 6 + BLOCK * width[row].astype(np.int64) // 8, np.arange(len(row)) - np.repeat(np.cumsum(odd, dtype=np.int64) - odd, odd)
+    values = raw[(first + odd[row] + 4 * nth)[:, None] + np.arange(4)]
+    out[row, raw[first + nth]] = values.view("<u4")[:, 0]
     return (out + low[:, None]).reshape(-1)[:n]
 
 
 # --- the tokenizer ----------------------------------------------------------------------------------------------------
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, end to end."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Words:
-    """A tokenizer that drops white space, in a worker: whole texts are encoded word by word through a bounded cache.
+    """A tokenizer that drops white space, in a worker: the distinct words of many texts are looked up once, by Arrow's codes.
 
-    Words that are one run of Latin letters, with a comma or a full stop at most, are looked up by their lower-case
-    letters and the mark; any other word goes to the library whole.
+    A word of Latin letters and then ASCII marks other than apostrophes is the ids of its lower-case letters and those of
+    its marks, as the tokenizer parts a word there. Any other word goes to the library whole. What was learned is kept,
+    up to ``KNOWN`` words.
     """
 
-    plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+    plain = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
     def __init__(self, model: str):
         self.lib = tokenizers.Tokenizer.from_str(model)
         self.lib.encode_special_tokens = False
-        self.words: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
+        # for groups of lower-case words: parted at spaces only, which is all there is to part
+        spaced = json.loads(model)
+        spaced["normalizer"] = None
+        spaced["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.spaced = tokenizers.Tokenizer.from_str(json.dumps(spaced))
         self.ends = np.array([(self.lib.id_to_token(i) or "").endswith("</w>") for i in range(self.lib.get_vocab_size())])
-        self.marks = {c: self._ids(c) for c in ("", ".", ",")}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _learn_letters(self, new: list[str]) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        """Every known word's place, and where the ids of each place begin in ``flat``."""
+        self.place, self.flat, self.starts = {"": 0}, np.zeros(1 << 20, np.uint32), np.zeros(1 << 17, np.int64)
+
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, at = len(self.place), int(self.starts[len(self.place)])
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(words) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[at : at + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(words)] = at + ends
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _learn_whole(self, words: list[str]) -> None:
+        found = [e.ids for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+        self._add(words, np.array([i for e in found for i in e], np.uint32), np.cumsum([len(e) for e in found], dtype=np.int64))
+
+    def _learn_letters(self, words: list[str]) -> None:
         """Many words at a time: each ends with the first id that ends a word, which the number of words confirms."""
-        groups = [new[i : i + 64] for i in range(0, len(new), 64)]
-        for part, found in zip(groups, self.lib.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) == len(part) and ends[-1:] == [len(ids)]:
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(part, ends, strict=True):
-                    self.letters[w] = raw[4 * at : 4 * (at := end)]
+        for a in range(0, len(words), 1 << 14):
+            part = words[a : a + (1 << 14)]
+            found = self.spaced.encode_batch_fast([" ".join(part[i : i + 64]) for i in range(0, len(part), 64)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._add(part, ids, ends)
             else:
-                self.letters.update((w, self._ids(w)) for w in part)
-
-    def _learn(self, new: list[str]) -> None:
-        match = self.plain.fullmatch
-        split = {w: (m[1].lower(), m[2]) for w in new if (m := match(w))}
-        if unseen := list({p[0] for p in split.values()}.difference(self.letters)):
-            if len(self.letters) + len(unseen) > LETTERS:
-                self.letters.clear()
-                unseen = list({p[0] for p in split.values()})
-            self._learn_letters(unseen)
-        letters, marks = self.letters, self.marks
-        self.words.update({w: letters[p] + marks[m] for w, (p, m) in split.items()})
-        if rest := [w for w in new if w not in split]:
-            for w, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def encode_all(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers, the end id last; new words of all are learned at once."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if new := set().union(*split).difference(self.words):
-            if len(self.words) + len(new) > WORDS:
-                self.words = {"": b""}
-                new = set().union(*split).difference(self.words)
-            self._learn(list(new))
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, words)) + end for words in split]
-
-    def encode(self, text: str, end: bytes) -> bytes:
-        return self.encode_all([text], end)[0]
+                self._learn_whole(part)
+
+    def _places(self, words: pa.Array, learn: Callable[[list[str]], None]) -> np.ndarray:
+        """The place of each word, once all are known; null words are empty ones."""
+        coded = words.fill_null("").dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        places = np.array([self.place.get(w, -1) for w in names], np.int64)
+        if len(new := np.flatnonzero(places < 0)):
+            places[new] = len(self.place) + np.arange(len(new))
+            learn([names[i] for i in new])
+        return places[coded.indices.to_numpy()]
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id last, and the number of each text's."""
+        if len(self.place) > KNOWN:
+            self._forget()
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words, until = coded.dictionary, split.offsets.to_numpy()
+        parts = pc.extract_regex(words, self.plain)
+        letters = self._places(pc.utf8_lower(pc.struct_field(parts, "letters")), self._learn_letters)
+        marks = self._places(pc.struct_field(parts, "marks"), self._learn_whole)
+        whole = self._places(pc.if_else(parts.is_valid(), "", words), self._learn_whole)
+        places = np.stack([letters, marks, whole], axis=1)  # of the three, what a word doesn't have is empty
+        sizes = self.starts[places + 1] - self.starts[places]
+        ids, sizes = gathered(self.flat, self.starts[places].ravel(), sizes.ravel()), sizes.sum(axis=1)
+        ids, sizes = np.append(ids, np.uint32(end_id)), np.append(sizes, 1)
+        order = np.insert(coded.indices.to_numpy(), until[1:] - until[0], len(words))
+        upto = np.concatenate([[0], np.cumsum(sizes[order])])
+        ends = upto[until[1:] - until[0] + np.arange(1, len(texts) + 1)]
+        return gathered(ids, (np.cumsum(sizes) - sizes)[order], sizes[order]), np.diff(ends, prepend=0)
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of one text, without an end id."""
+        return self.encode_all(pa.array([text]), 0)[0][:-1].tolist()
 
 
 _LOADED: dict[str, Words] = {}
@@ -175,53 +210,64 @@ def loaded(model: str) -> Words:
 
 # --- the jobs ---------------------------------------------------------------------------------------------------------
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts in pieces of about ``TOGETHER`` bytes, or of one text that is longer."""
+    keys, texts, held = [], [], 0
+    for b in batches:
+        size = pc.coalesce(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff((held + np.cumsum(size)) // TOGETHER, prepend=held // TOGETHER)) + 1
+        for a, z in zip([0, *cuts], [*cuts, len(b)], strict=True):
+            keys += b.column(0)[a:z].to_pylist()
+            texts.append(b.column(1)[a:z])
+            if z in cuts:
+                yield keys, pa.concat_arrays(texts)
+                keys, texts = [], []
+        held = (held + int(size.sum())) % TOGETHER
+    if keys:
+        yield keys, pa.concat_arrays(texts)
+
+
 SEGMENTS = "part int, number int, first_start bigint, doc_ids array<bigint>, lengths array<bigint>, ids binary"
 
 
 def write_tokens(docs: DataFrame, path: str, model: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write every whole text's ids and ``end_id`` in ascending doc_id order as segments under ``path``.
 
-    Texts are dealt by range of doc_id (only the ids are compared for it), so each task encodes and writes one stretch
-    of the order as it reads it. A segment ends with the document in which it passes its size, so a document is in one
-    segment. The rows are Spark's own files, which tasks of lost executors leave no halves of. Rows with equal ids stay
-    in one stretch, in the order of their texts; a null id comes first; a null text has the end id alone.
+    Texts are dealt by range of doc_id, as many stretches as their bytes ask for, so each task encodes and writes one
+    stretch of the order as it reads it. A segment ends with the document in which it passes its size, so a document is
+    in one segment. The rows are Spark's own files, which tasks of lost executors leave no halves of. Rows with equal ids
+    lie together in the order of a hash of their texts, over several stretches if they are many; a null id comes first; a
+    null text has the end id alone.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    end = np.array([end_id], np.uint32).tobytes()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // STRETCH))
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange(n, F.col("doc_id"), tie, F.rand(1)).sortWithinPartitions(F.col("doc_id"), tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = loaded(model), TaskContext.get().partitionId()
-        number, start, size, ids, keys, lengths = 0, 0, 0, [], [], []
+        number, start, keys, sizes, ids = 0, 0, [], [], []
 
         def segment() -> pa.RecordBatch:
-            data = pack(np.frombuffer(b"".join(ids), "<u4"))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([data], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(np.concatenate(ids))], pa.binary())],
                 ["part", "number", "first_start", "doc_ids", "lengths", "ids"],
             )
 
-        def documents() -> Iterator[tuple[int | None, bytes]]:
-            waiting, texts, held = [], [], 0
-            for b in batches:
-                for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    waiting.append(key)
-                    texts.append(text.as_py() or "")
-                    held += len(texts[-1])
-                    if held >= TOGETHER:
-                        yield from zip(waiting, words.encode_all(texts, end), strict=True)
-                        waiting, texts, held = [], [], 0
-            yield from zip(waiting, words.encode_all(texts, end), strict=True)
-
-        for key, got in documents():
-            ids.append(got)
-            keys.append(key)
-            lengths.append(len(got) // 4)
-            size += len(got) // 4
-            if size >= SEGMENT:
-                yield segment()
-                number, start, size, ids, keys, lengths = number + 1, start + size, 0, [], [], []
+        held = 0
+        for some, texts in _together(batches):
+            got, counts = words.encode_all(texts, end_id)
+            at = begun = 0
+            for key, n in zip(some, counts.tolist(), strict=True):
+                keys.append(key)
+                sizes.append(n)
+                held, at = held + n, at + n
+                if held >= SEGMENT:
+                    ids.append(got[begun:at])
+                    yield segment()
+                    number, start, begun, held, keys, sizes, ids = number + 1, start + held, at, 0, [], [], []
+            ids.append(got[begun:])
         if keys:
             yield segment()
 
