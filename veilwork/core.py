@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -69,11 +70,25 @@ def with_groups(df: DataFrame, keys: list[str], values: dict[str, Column]) -> Da
     return df.join(groups, same).drop(*[f"_g{i}" for i in range(len(keys))])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of ``spark.checkpoint.dir``, which all executors share and a lost one doesn't take along."""
-    context = df.sparkSession.sparkContext
+def shared_base(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Where it isn't set, local runs get a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise InputError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the cluster shares."""
+    return f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the folder that all executors share and a lost one doesn't take along."""
+    shared_base(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.core import with_position
+from veilwork.core import new_folder, with_position
 from veilwork.operators import group, noise, recode, risk, utility
 from veilwork.plans import encode, models, ranking, search, sensitivity
 from veilwork.sources import tables
@@ -438,7 +438,7 @@ def stream_windowed_classes(spark: SparkSession, d: str) -> DataFrame:
     """Class sizes per hour over the events as a stream, written as windows close, read back."""
     schema = _t(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    folder = tables.new_folder(spark, "windows")
+    folder = new_folder(spark, "windows")
     out = reports.windowed_classes(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"])
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     closed = spark.read.schema(out.schema).parquet(f"{folder}/out")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +21,6 @@ def load_data(spark: SparkSession, path: str, kind: str | None = None, schema: s
     return reader.csv(path, header=True, inferSchema=schema is None) if kind == "csv" else getattr(reader, kind)(path)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, which the cluster shares; a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def geometric_sequence(start: float = 0.5, n: int = 6, rate: float = 2) -> list[float]:
     return [start * rate**i for i in range(n)]
 
