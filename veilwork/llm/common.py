@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.core import new_folder
+
 #: White space that separates words in every contract: space and U+0009 to U+000D.
 SPACES = "\t\n\x0b\x0c\r"
 
@@ -22,17 +21,8 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster shares (``spark.checkpoint.dir``).
-
-    Only where that setting is absent (local tests) a temporary folder takes its place.
-    """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder that the cluster shares (``spark.checkpoint.dir``)."""
+    return new_folder(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
