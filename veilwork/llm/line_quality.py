@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import SPACES, words
+from veilwork.llm.common import SPACES, words, written
 
 SYMBOLS = "#*$%&|<>"
-#: Parts that a line of very many documents is dealt to; only lines above the limit are repeated so often.
-SALTS = 8
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -61,26 +59,27 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def frequent_lines(
     docs: DataFrame, host_col: str, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(lines, frequent)``: one row per document and distinct normalised line, and the lines above the limit.
+    """``(lines, frequent)``: one row per line of a document, and the hosts' lines above the limit.
 
     A line is normalised (lower case, white space squeezed, digits to 0) and hashed. A host's frequency of a line is the
-    number of distinct document contents that hold it: exact copies of one text count once, so a copied article is
-    left to deduplication. Lines of every length count, passages too: only their hashes are shuffled. Partial counts are
-    made before the shuffle, so a host or a line that holds a third of all rows moves as one row per task.
+    number of distinct documents that hold it; a document is an id and a text, so repeated rows and a line's repeats in
+    one document count once. Lines of every length count, passages too: only their hashes are written and shuffled.
+    Partial counts are made before the shuffle, so a host or a line that holds a third of all rows moves as one row per
+    document and then one per task. Null texts and lines of white space have none.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.col(host_col).alias("_host"),
-        F.xxhash64(text).alias("_copy"),
-        F.posexplode(F.split(text, "\n")).alias("_at", "_line"),
+        F.col(host_col).alias("host"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy"),
+        F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("at", "line"),
     )
-    line = F.trim(F.regexp_replace(F.regexp_replace(F.lower("_line"), "[ \\t-\\r]+", " "), "[0-9]", "0"))
-    lines = lines.withColumn("_line", line).filter("_line != ''")
-    lines = lines.select("doc_id", "_host", "_copy", "_at", F.xxhash64("_line").alias("_key"), F.size(F.split("_line", " ")).alias("_n"))
-    once = lines.groupBy("_host", "_key", "_copy").agg(F.lit(1).alias("_one"))
-    frequent = once.groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > max_docs)
-    return lines, frequent
+    line = F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), "[ \\t-\\r]+", " "), "[0-9]", "0"))
+    lines = lines.withColumn("line", line).filter("line != ''")
+    lines = lines.select("doc_id", "host", "copy", "at", F.xxhash64("line").alias("key"), F.size(F.split("line", " ")).alias("n"))
+    lines = written(lines, "lines")
+    once = lines.groupBy("host", "key", "doc_id", "copy").agg(F.lit(1).alias("one"))
+    frequent = once.groupBy("host", "key").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs)
+    return lines, written(frequent, "frequent")
 
 
 def line_quality(
@@ -91,27 +90,28 @@ def line_quality(
 
     A document is rejected when its counts fail (``base_failed``) or when the lines left hold less than
     ``min_kept_share`` of its words. Null hosts form one host of their own; null and empty texts fail the counts;
-    repeated rows (same id and text) count once. Extra columns are ignored.
+    repeated rows (same id and text) count once and share a verdict; a null id is an id. An empty table gives an empty
+    result. Extra columns are ignored.
     """
-    stats = text_statistics(docs, id_col, text_col).withColumn("_copy", F.xxhash64("_t")).drop("_t")
+    stats = text_statistics(docs, id_col, text_col).withColumn("copy", F.xxhash64("_t")).drop("_t")
     lines, frequent = frequent_lines(docs, host_col, id_col, text_col, max_docs)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    lines = lines.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    frequent = frequent.withColumn("_salt", salts)
-    on = F.expr("l._host <=> f._host and l._key = f._key and l._salt = f._salt")
-    removed = lines.alias("l").join(frequent.alias("f"), on).select("l.doc_id", "l._copy", "l._at", "l._n").distinct()
-    removed = removed.groupBy("doc_id", "_copy").agg(F.sum("_n").alias("removed_words"))
-    out = stats.alias("s").join(removed.alias("r"), F.expr("s.doc_id <=> r.doc_id and s._copy = r._copy"), "left")
-    out = out.select("s.*", F.coalesce(F.col("r.removed_words"), F.lit(0)).alias("removed_words")).withColumnRenamed("_copy", "copy")
+    removed = lines.alias("l").join(frequent.alias("f"), F.expr("l.host <=> f.host and l.key = f.key"))
+    # the repeats of a row have the same lines at the same places
+    removed = removed.groupBy("l.doc_id", "l.copy", "l.at").agg(F.max("l.n").alias("n"))
+    removed = removed.groupBy("doc_id", "copy").agg(F.sum("n").alias("removed_words"))
+    out = stats.alias("s").join(removed.alias("r"), F.expr("s.doc_id <=> r.doc_id and s.copy = r.copy"), "left")
+    out = out.select("s.*", F.coalesce(F.col("r.removed_words"), F.lit(0)).alias("removed_words"))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= min_kept_share * F.col("n_words"))
     return out.withColumn("kept", kept)
 
 
 def kept_documents(docs: DataFrame, host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns; rows of one id and one text share a verdict.
+    """The rows of ``docs`` that the rules keep, with their own columns whatever their names; texts stay as they are.
 
-    Counts are made once, in ``line_quality``; ids and text hashes of what it rejects are then taken from the rows.
+    Counts are made once, in ``line_quality``; ids and text hashes of what it rejects are then taken from the rows, so
+    rows of one id and one text share a verdict, and rows of one id with other texts, or without id, have their own. Null
+    and empty texts go, as they fail the counts. An empty table stays empty.
     """
-    gone = line_quality(docs, host_col).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_copy"))
-    return docs.join(gone, same, "left_anti")
+    gone = line_quality(docs, host_col).filter("not kept").select("doc_id", "copy").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("g.copy"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti")
