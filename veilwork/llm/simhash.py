@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -31,50 +31,83 @@ def _fingerprint(hashes: pd.Series) -> pd.Series:
     return pd.Series([majority(np.asarray(h)) for h in hashes], dtype="int64")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` of every whole text; a null or empty text has fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, keep: dict[str, Column] | None = None) -> DataFrame:
+    """``(doc_id, fp)`` of every whole text, and what ``keep`` names; a null or empty text has fingerprint zero."""
     # words of a text are made once and carried to the hashing expression
-    w = docs.select(F.col(id_col).alias("doc_id"), words(lower_ascii(F.col(text_col))).alias("_w"))
+    kept = [c.alias(n) for n, c in (keep or {}).items()]
+    w = docs.select(F.col(id_col).alias("doc_id"), words(lower_ascii(F.col(text_col))).alias("_w"), *kept)
     runs = F.expr(
         f"case when size(_w) = 0 then cast(array() as array<bigint>) "
         f"when size(_w) < {size} then array(xxhash64(array_join(_w, ' '))) "
         f"else transform(sequence(0, size(_w) - {size}), i -> xxhash64(concat_ws(' ', {', '.join(f'_w[i + {k}]' for k in range(size))}))) end"
     )
-    return w.select("doc_id", _fingerprint(runs).alias("fp"))
+    return w.select("doc_id", _fingerprint(runs).alias("fp"), *(keep or {}))
 
 
-def block_masks(distance: int, blocks: int) -> list[int]:
-    """Masks of every choice of ``blocks - distance`` blocks: two fingerprints that differ in ``distance`` bits or fewer agree on one."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    masks = [sum(c) for c in combinations(parts, blocks - distance)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def block_masks(free: list[int], distance: int, blocks: int) -> list[tuple[int, list[int]]]:
+    """For every choice of ``blocks - distance`` blocks of the bits ``free``: its mask, and the bits that it leaves.
+
+    Two fingerprints that differ in ``distance`` of these bits or fewer agree on one of the choices at least.
+    """
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    parts = [free[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    out = []
+    for chosen in combinations(range(blocks), blocks - distance):
+        mask = sum(1 << bit for i in chosen for bit in parts[i])
+        out.append((mask, [bit for i in range(blocks) if i not in chosen for bit in parts[i]]))
+    return out
 
 
 def close_pairs(nodes: DataFrame, distance: int = 2, blocks: int = 5, most: int = 64) -> DataFrame:
-    """Links ``(a, b)`` among ``nodes(id, fp)`` with distinct fingerprints that join all within ``distance`` bits.
+    """Every link ``(a, b)``, a < b and once, among distinct fingerprints ``nodes(fp)`` that differ in ``distance`` bits or fewer.
 
-    Every fingerprint is dealt to its blocks, and the members of a block are compared. A block of more than ``most``
-    members (many near copies of one text) would cost the square of its size; its members are linked through their
-    one-bit variants instead, which two fingerprints share exactly if they differ in at most two bits, and a variant
-    has 65 neighbours at most. So no pair is lost, and the work is linear in the fingerprints. That path serves a
-    distance of 2; for another one, all blocks are compared.
+    Each fingerprint is dealt to its blocks: the bits that a choice of ``blocks - distance`` of the blocks holds. Members
+    of a block are compared bit by bit, and a pair counts in the first choice on which it agrees. A block of more than
+    ``most`` members (many near copies of one text) is dealt again in the same way by the bits that its choice leaves
+    open, 64, 25 or 26, 10 or 11, until so few are open that no block can hold more; so every pair is found by its
+    blocks, whatever their size, and no task compares more than ``most`` members or the 2 to the open bits that are left.
     """
-    masks = F.array(*[F.struct(F.lit(i).alias("b"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(block_masks(distance, blocks))])
-    dealt = nodes.select("id", "fp", F.explode(masks).alias("_m")).select("id", "fp", "_m.b", "_m.k")
-    sizes = dealt.groupBy("b", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(dealt.join(sizes, ["b", "k"]), "blocks")
-    few = members.filter(F.col("n") <= most) if distance == 2 else members
-    grouped = few.groupBy("b", "k").agg(F.collect_list(F.struct("fp", "id")).alias("s"))
-    near = f"bit_count(x.fp ^ y.fp) <= {distance}"
-    pairs = grouped.select(F.explode(F.expr(f"flatten(transform(s, x -> transform(filter(s, y -> y.id > x.id and {near}), y -> struct(x.id as a, y.id as b))))")).alias("p"))
-    links = pairs.select("p.a", "p.b")
-    if distance == 2:
-        many = members.filter(F.col("n") > most).select("id", "fp").distinct()
-        flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) if i < 63 else -(1 << 63))) for i in range(64)])
-        variants = many.select("id", F.explode(flips).alias("v")).groupBy("v").agg(F.min("id").alias("a"), F.collect_list("id").alias("s")).filter("size(s) > 1")
-        links = links.union(variants.select("a", F.explode("s").alias("b")).filter("a != b"))
-    return links.distinct()
+    # a row carries the number of its choices so far, which says what bits are open, and what the chosen bits were
+    open_bits, levels, links = [list(range(64))], [], None
+    members = nodes.select("fp", F.lit(0).alias("way"), F.expr("cast(array() as array<bigint>)").alias("key"))
+    while members is not None:
+        ways = [block_masks(free, distance, blocks) for free in open_bits]
+        n = len(ways[0])
+        levels.append(f"array({', '.join('array(' + ', '.join(f'{_signed(m)}L' for m, _ in choices) + ')' for choices in ways)})")
+        dealt = members.withColumn("masks", F.expr(f"get({levels[-1]}, way)")).select("fp", "way", "key", F.posexplode("masks").alias("choice", "mask"))
+        dealt = dealt.select("fp", (F.col("way") * n + F.col("choice")).alias("way"), F.concat("key", F.array(F.col("fp").bitwiseAND(F.col("mask")))).alias("key"))
+        sizes = dealt.groupBy("way", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        members = written(dealt.join(written(sizes, "sizes"), ["way", "key"]), "blocks")
+        left = [free for choices in ways for _, free in choices]
+        last = max(map(len, left)) <= max(distance, most.bit_length() - 1) or min(map(len, left)) < blocks
+        grouped = (members if last else members.filter(F.col("n") <= most)).groupBy("way", "key").agg(F.collect_list("fp").alias("s"))
+        # the choices before the block's own, of this dealing and of those before it
+        before = [f"filter(get({masks}, cast(way div {n ** (i + 1)} as int)), (m, j) -> j < way div {n**i} % {n})" for i, masks in enumerate(reversed(levels))]
+        near = f"y > x and bit_count(x ^ y) <= {distance} and not exists(before, m -> ((x ^ y) & m) = 0)"
+        pairs = grouped.withColumn("before", F.expr(f"concat({', '.join(before)})"))
+        pairs = pairs.select(F.explode(F.expr(f"flatten(transform(s, x -> transform(filter(s, y -> {near}), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
+        links = pairs if links is None else links.unionByName(pairs)
+        open_bits, members = left, members.filter(F.col("n") > most).select("fp", "way", "key")
+        if last or members.isEmpty():
+            members = None
+    return links
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, distance: int, blocks: int, most: int, keep: dict[str, Column]) -> DataFrame:
+    """Per row: doc_id, fp, ``part`` (the smallest fingerprint that its own is linked with), component_id and what ``keep`` names."""
+    prints = written(fingerprints(docs, id_col, text_col, size, keep), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    found = connected_components(close_pairs(nodes.select("fp"), distance, blocks, most))
+    parts = nodes.alias("n").join(found.alias("f"), F.expr("n.fp = f.id"), "left")
+    parts = written(parts.select("n.fp", "n.id", F.coalesce("f.component", "n.fp").alias("part")), "parts")
+    first = parts.groupBy("part").agg(F.min("id").alias("component_id"))
+    # both sides of the last join are tables, so that a fingerprint of very many rows can be split
+    groups = written(parts.join(first, "part").select("fp", "part", "component_id"), "groups")
+    return prints.join(groups, "fp")
 
 
 def simhash_components(
@@ -85,21 +118,27 @@ def simhash_components(
     Documents link when their fingerprints differ in ``distance`` bits or fewer; component_id is the smallest doc_id
     reachable by links. Equal fingerprints are grouped first, so exact copies cost one node. Null and empty texts have
     fingerprint zero and link like any other. A row without id gets its group's component (null if none in it has an
-    id). Repeated rows stay rows. Other columns are ignored, and an empty table gives an empty result.
+    id). Repeated rows stay rows; rows of one id with unlike texts are in groups of their own. Other columns are
+    ignored, and an empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    links = close_pairs(nodes.filter("id is not null"), distance, blocks, most)
-    found = connected_components(links)
-    groups = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _groups(docs, id_col, text_col, size, distance, blocks, most, {})
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that stand for their group: the smallest doc_id, once.
+    """Of each group of near-duplicates one row of ``docs``, with its own columns whatever their names.
 
-    Rows without id can't be named in a group and stay. Only ids are compared with the groups; each text moves once.
+    It is the row with the smallest doc_id (rows without one come last), among rows of that id the first by a hash of
+    the text and then of all columns, and of rows that are equal in everything one. Rows of one id with unlike texts
+    lie in groups of their own, so each has a row that stays. Only hashes are compared; each text moves once. Null and
+    empty texts are one group; an empty table stays empty.
     """
-    stay = simhash_components(docs, distance=distance).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    text, row = F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(*plain)
+    found = _groups(docs, "doc_id", "text", 3, distance, 5, 64, {"text_hash": text, "row_hash": row})
+    stay = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row_hash")).alias("k"))
+    stay = stay.select("k.doc_id", "k.text_hash", "k.row_hash")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), text.alias("text_hash"), row.alias("row_hash"))
+    same = F.expr("d.doc_id <=> s.doc_id and d.text_hash = s.text_hash and d.row_hash = s.row_hash")
+    rows = rows.alias("d").join(stay.alias("s"), same, "left_semi").dropDuplicates(["doc_id", "text_hash", "row_hash"])
+    return rows.select("row.*")
