@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
 
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: Column | None = None,
 ) -> Mix:
     """Mix all documents: sources (by code point, null last) weigh ``weights``, repeating.
 
@@ -64,9 +64,10 @@ def mix_sources(
     Prefix sums and ranks run over parts of a source (by hash, by slot number) with the parts' totals added, so a
     source of a third of all rows is spread. Null or empty texts have size 0 and are taken 0 times; a null source is a
     source; rows with equal ids are documents of their own, next to each other; an empty table gives empty results.
+    ``row`` names rows, where ids may repeat; it is carried to ``documents``.
     """
     text, n_words = F.coalesce(F.col(text_col), F.lit("")), F.lit("[^ \\t-\\r]+")
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, n_words).cast("long").alias("size"))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, n_words).cast("long").alias("size"), (F.lit(0).cast("long") if row is None else row).alias("row"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
     sizes = written(sizes.withColumn("key", key), "sizes")
     n_docs, n_all = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
@@ -87,16 +88,16 @@ def mix_sources(
     before = F.sum("_n").over(W.partitionBy("source").orderBy("part")) - F.col("_n")
     parts = parts.withColumn("_from", before).alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source"))
     parts = parts.select("p.source", "p.part", "p._from", "t.source_size", "t.target")
-    inside = F.sum("size").over(W.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    inside = F.sum("size").over(W.partitionBy("source", "part").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0))
     laid = sizes.withColumn("_to", inside).alias("d").join(parts.alias("p"), F.expr("d.source <=> p.source and d.part = p.part"))
-    laid = laid.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", (F.col("p._from") + F.col("d._to") - F.col("d.size")).alias("start"))
+    laid = laid.select("d.doc_id", "d.row", "d.source", "d.size", "p.source_size", "p.target", (F.col("p._from") + F.col("d._to") - F.col("d.size")).alias("start"))
     schedule = _schedule(targets, step)
     pieces = laid.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {step}, (start + size - 1) div {step})")))
     low, high = F.greatest(F.col("d.start"), F.col("d.block") * step), F.least(F.col("d.start") + F.col("d.size"), F.col("d.block") * step + F.col("s.words"))
     taken = pieces.alias("d").join(schedule.alias("s"), F.expr("d.source <=> s.source and d.block = s.block"), "left")
     taken = taken.withColumn("taken", F.when(F.col("s.words").isNull(), F.lit(0)).otherwise(F.greatest(high - low, F.lit(0))))
-    taken = taken.groupBy("d.doc_id", "d.source", "d.start", "d.size", "d.source_size", "d.target").agg(F.sum("taken").alias("taken"))
-    names = ["doc_id", "source", "size", "source_size", "target"]
+    taken = taken.groupBy("d.doc_id", "d.row", "d.source", "d.start", "d.size", "d.source_size", "d.target").agg(F.sum("taken").alias("taken"))
+    names = ["doc_id", "row", "source", "size", "source_size", "target"]
     empty = laid.filter("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
     return Mix(taken.select(*names, F.col("taken").cast("long").alias("taken")).unionByName(empty), schedule)
 
@@ -132,23 +133,23 @@ def _schedule(targets: DataFrame, step: int) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs``, with their own columns, as often as the mix takes them.
+    """The rows of ``docs``, with their own columns whatever their names, as often as the mix takes them.
 
     A document is repeated for each whole time that it is taken; where a source's last round ends inside a document,
     its last copy has the words up to there (with what stands before each) and ``n_chars`` says so. Rows that the mix
-    takes no word of go. Rows of one id are shared out by size, so repeated rows get the same number each.
+    takes no word of go, null and empty texts among them. Rows are written with a number each, so repeated rows and rows
+    of one id are taken one by one and no word is lost. An empty table stays empty.
     """
     columns = docs.columns
-    mix = mix_sources(docs, **options).documents.filter("taken > 0")
-    mix = mix.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("_rows"))
-    mix = mix.select("doc_id", "source", "size", F.floor(F.col("taken") / F.col("_rows")).alias("taken"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")
-    rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_row"), "doc_id", "source", size.alias("size"))
-    taken = rows.alias("r").join(mix.alias("m"), F.expr("r.doc_id <=> m.doc_id and r.source <=> m.source and r.size = m.size"))
+    numbered = written(docs.select(F.struct(*columns).alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+    facts = numbered.select("row.doc_id", "row.source", "row.text", "number")
+    mix = mix_sources(facts, row=F.col("number"), **options).documents.filter("taken > 0").select("row", "size", "taken")
+    taken = numbered.alias("r").join(mix.alias("m"), F.expr("r.number = m.row"))
     part = F.explode(F.expr("transform(sequence(0, cast((m.taken - 1) div m.size as int)), i -> least(m.size, m.taken - i * m.size))"))
-    taken = taken.select("_row", F.col("m.size").alias("size"), part.alias("_n"))
-    cut = F.array_join(F.slice(F.split("_row.text", "(?<=[^ \\t-\\r])(?=[ \\t-\\r])"), F.lit(1), F.col("_n").cast("int")), "")
-    text = F.when(F.col("_n") < F.col("size"), cut).otherwise(F.col("_row.text"))
-    out = taken.withColumn("_text", text)
-    fixed = {"text": F.col("_text"), "n_chars": F.when(F.col("_n") < F.col("size"), F.length("_text").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None}
-    return out.select(*[fixed[c].alias(c) if fixed.get(c) is not None else F.col(f"_row.{c}").alias(c) for c in columns])
+    taken = taken.select("r.row", F.col("m.size").alias("size"), part.alias("n"))
+    cut = F.array_join(F.slice(F.split("row.text", "(?<=[^ \\t-\\r])(?=[ \\t-\\r])"), F.lit(1), F.col("n").cast("int")), "")
+    taken = taken.withColumn("text", F.when(F.col("n") < F.col("size"), cut).otherwise(F.col("row.text")))
+    made = {"text": F.col("text")}
+    if "n_chars" in columns:
+        made["n_chars"] = F.when(F.col("n") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return taken.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in columns])
