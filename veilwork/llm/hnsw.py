@@ -7,22 +7,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.common import written
 from veilwork.llm.components import connected_components
 
-#: Queries walked at a time, and beam entries that each opens in one step, at least and as a part of the beam.
-TOGETHER, OPENED, PART = 256, 4, 8
+#: Queries walked at a time with a beam of up to ``WIDE`` entries, and with a wider one; entries that each opens in one
+#: step, at least and as a part of the beam; nodes that are inserted together; pairs verified at a time.
+TOGETHER, WIDE, FEWER, OPENED, PART, INSERTED, VERIFIED = 256, 512, 48, 4, 8, 256, 1 << 16
 
 
 @dataclass
 class Graph:
-    """One shard: unit vectors in insertion order, and per level the neighbours of the nodes on it (-1: none)."""
+    """One shard: unit vectors, and for each level from the top the links of its nodes (-1: none), which are the first ones."""
 
     vectors: np.ndarray
-    levels: list[tuple[np.ndarray, np.ndarray]]  # from the top: node numbers, neighbours by position on the level
+    levels: list[np.ndarray]
 
 
 def _diverse(near: np.ndarray, sims: np.ndarray, vectors: np.ndarray, m: int) -> np.ndarray:
@@ -41,161 +42,216 @@ def _diverse(near: np.ndarray, sims: np.ndarray, vectors: np.ndarray, m: int) ->
     return np.take_along_axis(near, order, axis=1)
 
 
-def _level(vectors: np.ndarray, m: int) -> np.ndarray:
-    """Neighbours on one level: each node, in order, links with diverse near nodes before it, and they link back.
+def _widest(rows: list[list[int]], vectors: np.ndarray, of: list[int], width: int) -> None:
+    """Cut the links of the nodes ``of`` to ``width`` diverse ones, in place."""
+    long = max(len(rows[i]) for i in of)
+    near = np.array([rows[i] + [-1] * (long - len(rows[i])) for i in of])
+    sims = np.where(near >= 0, np.einsum("nd,nkd->nk", vectors[of], vectors[np.maximum(near, 0)]), -2)
+    order = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * width]
+    for i, row in zip(of, _diverse(np.take_along_axis(near, order, axis=1), np.take_along_axis(sims, order, axis=1), vectors, width).tolist(), strict=True):
+        rows[i] = [j for j in row if j >= 0]
 
-    A node keeps 2 m diverse links, and a node that can't be reached from the first one gets a link from its nearest
-    node that can.
+
+def _level(vectors: np.ndarray, above: list[np.ndarray], m: int, ef: int) -> np.ndarray:
+    """Links on one level. Nodes are inserted in order, some at a time: a search of the graph so far, and of those that are
+
+    inserted together, gives each its candidates; it links with ``m`` diverse ones of them, and they link back. A node
+    keeps 2 m to 3 m links, and a node that can't be reached from the first one gets a link from its nearest node that can.
     """
-    n, width = len(vectors), 2 * m
-    out = [[] for _ in range(n)]
-    for a in range(0, n, 512):
-        b = min(n, a + 512)
-        sims = vectors[a:b] @ vectors[:b].T
-        sims[np.arange(b)[None, :] >= np.arange(a, b)[:, None]] = -2
-        k = min(width, b)
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        s = np.take_along_axis(sims, near, axis=1)
-        order = np.argsort(-s, axis=1, kind="stable")
-        near, s = np.take_along_axis(near, order, axis=1), np.take_along_axis(s, order, axis=1)
-        near[s < -1.5] = -1
-        for i, row in enumerate(_diverse(near, s, vectors, m), a):
-            for j in row[row >= 0].tolist():
-                out[i].append(j)
-                out[j].append(i)
-    long = [i for i in range(n) if len(out[i]) > width]
-    for i in long:
-        c = np.array(out[i])
-        s = vectors[c] @ vectors[i]
-        order = np.argsort(-s, kind="stable")[: 2 * width]
-        out[i] = [j for j in _diverse(c[order][None], s[order][None], vectors, width)[0].tolist() if j >= 0]
+    n, width = len(vectors), 3 * m
+    rows: list[list[int]] = [[] for _ in range(n)]
+    table, a = np.full((n, width), -1, np.int32), 0
+    while a < n:
+        b = min(n, a + min(INSERTED, max(32, a)))
+        sims = vectors[a:b] @ vectors[a:b].T
+        sims[np.triu_indices(b - a)] = -2
+        near = np.broadcast_to(np.arange(a, b), sims.shape)
+        if a:
+            start = _descend(vectors, above, vectors[a:b])
+            found, s = _walk(vectors[:a], table[:a], vectors[a:b], np.where(start < a, start, 0), min(ef, a))
+            near, sims = np.concatenate([near, found], axis=1), np.concatenate([sims, np.where(found >= 0, s, -2)], axis=1)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * m]
+        near, sims = np.take_along_axis(near, order, axis=1), np.take_along_axis(sims, order, axis=1)
+        changed = set(range(a, b))
+        for i, row in enumerate(_diverse(np.where(sims > -1.5, near, -1), sims, vectors, m).tolist(), a):
+            rows[i] += [j for j in row if j >= 0]
+            for j in rows[i]:
+                rows[j].append(i)
+            changed.update(rows[i])
+        if long := [i for i in changed if len(rows[i]) > width]:
+            _widest(rows, vectors, long, 2 * m)
+        for i in changed:
+            table[i] = -1
+            table[i, : len(rows[i])] = rows[i]
+        a = b
     seen = np.zeros(n, bool)
     todo = [0] if n else []
     while True:
         seen[todo] = True
         while todo:
-            new = [j for j in out[todo.pop()] if not seen[j]]
+            new = [j for j in rows[todo.pop()] if not seen[j]]
             seen[new] = True
             todo += set(new)
         left = np.flatnonzero(~seen)
         if not len(left):
             break
         reached = np.flatnonzero(seen)
-        out[int(reached[np.argmax(vectors[reached] @ vectors[left[0]])])].append(int(left[0]))
+        rows[int(reached[np.argmax(vectors[reached] @ vectors[left[0]])])].append(int(left[0]))
         todo = [int(left[0])]
-    table = np.full((n, max(map(len, out), default=0)), -1, np.int32)
-    for i, row in enumerate(out):
+    table = np.full((n, max(map(len, rows), default=0)), -1, np.int32)
+    for i, row in enumerate(rows):
         table[i, : len(row)] = row
     return table
 
 
-def build(vectors: np.ndarray, m: int = 12) -> Graph:
-    """Graph over unit vectors; a node is on each next level with a chance of 1 in ``m`` (by its place, so reruns agree)."""
-    n = len(vectors)
-    vectors = np.ascontiguousarray(vectors, np.float32)
-    u = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(float) / 2**53
+def build(vectors: np.ndarray, m: int = 12, ef: int = 48) -> tuple[Graph, np.ndarray]:
+    """Graph over unit vectors, and the place that each of its nodes had among them.
+
+    A node is on each next level with a chance of 1 in ``m`` (by its place, so reruns agree); nodes of upper levels come
+    first on the levels below, so what a level finds are entries of the next one.
+    """
+    u = (np.arange(len(vectors), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(float) / 2**53
     height = np.minimum(np.floor(-np.log(np.maximum(u, 1e-18)) / np.log(m)).astype(int), 6)
-    levels = []
+    order = np.argsort(-height, kind="stable")
+    vectors, levels = np.ascontiguousarray(vectors[order], np.float32), []
     for h in range(int(height.max(initial=0)), -1, -1):
-        nodes = np.flatnonzero(height >= h)
-        levels.append((nodes.astype(np.int32), _level(vectors[nodes], m)))
-    return Graph(vectors, levels)
+        levels.append(_level(vectors[: int((height >= h).sum())], levels, m, ef))
+    return Graph(vectors, levels), order
 
 
 def _walk(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beams of ``ef`` nodes (best first, -1: none) and their cosines, walked for all queries in step."""
+    """Beams of ``ef`` nodes (best first, -1: none) and their cosines, walked along the links for all queries in step."""
     q, n = len(queries), len(vectors)
-    rows = np.arange(q)[:, None]
-    seen = np.zeros((q, n + 1), bool)
-    seen[rows, start] = True
-    seen[:, n] = True
-    ids = np.full((q, ef), -1, np.int64)
-    sims = np.full((q, ef), -np.inf, np.float32)
-    first = np.einsum("qd,qkd->qk", queries, vectors[start])
-    first[start < 0] = -np.inf
-    best = np.argsort(-first, axis=1)[:, :ef]
-    ids[:, : best.shape[1]] = np.take_along_axis(start, best, axis=1)
-    sims[:, : best.shape[1]] = np.take_along_axis(first, best, axis=1)
-    opened = np.zeros((q, ef), bool)
-    active, step = np.arange(q), min(ef, max(OPENED, ef // PART))
+    seen, ids, sims = np.zeros((q, n), bool), np.full((q, ef), -1, np.int64), np.full((q, ef), -np.inf, np.float32)
+    opened, active, step = np.zeros((q, ef), bool), np.arange(q), min(ef, max(OPENED, ef // PART))
+    new = np.zeros((q, n), bool)
+    new[np.arange(q)[:, None], start] = True
     while len(active):
-        open_ = np.where(opened[active] | (ids[active] < 0), -np.inf, sims[active])
-        top = np.argsort(-open_, axis=1, kind="stable")[:, :step]
-        fine = np.take_along_axis(open_, top, axis=1) > -np.inf
+        row, node = np.nonzero(new)
+        seen[active[row], node] = True
+        count = np.bincount(row, minlength=len(active))
+        width = int(count.max(initial=0))
+        if width:
+            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            near, s = np.full((len(active), width), -1, np.int64), np.full((len(active), width), -np.inf, np.float32)
+            near[row, at] = node
+            for a in range(0, len(row), VERIFIED):
+                r, x = row[a : a + VERIFIED], node[a : a + VERIFIED]
+                s[r, at[a : a + VERIFIED]] = np.einsum("nd,nd->n", queries[active[r]], vectors[x])
+            all_ids, all_sims = np.concatenate([ids[active], near], axis=1), np.concatenate([sims[active], s], axis=1)
+            all_open = np.concatenate([opened[active], np.zeros(near.shape, bool)], axis=1)
+            keep = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
+            ids[active] = np.take_along_axis(all_ids, keep, axis=1)
+            sims[active] = np.take_along_axis(all_sims, keep, axis=1)
+            opened[active] = np.take_along_axis(all_open, keep, axis=1)
+        closed = np.where(opened[active] | (ids[active] < 0), -np.inf, sims[active])
+        top = np.argsort(-closed, axis=1, kind="stable")[:, :step]
+        fine = np.take_along_axis(closed, top, axis=1) > -np.inf
         go = fine.any(axis=1)
         active, top, fine = active[go], top[go], fine[go]
-        if not len(active):
-            break
         at = active[:, None]
         opened[at, top] |= fine
-        nodes = np.where(fine, ids[at, top], -1)
-        near = np.where((nodes >= 0)[:, :, None], links[np.maximum(nodes, 0)], -1).reshape(len(active), -1)
-        near = np.where(near < 0, n, near)
-        near = np.sort(near, axis=1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = n
-        near[seen[at, near]] = n
-        seen[at, near] = True
-        width = int((near < n).sum(axis=1).max(initial=0))
-        if not width:
-            continue
-        near = np.sort(near, axis=1)[:, :width]
-        s = np.einsum("qd,qkd->qk", queries[active], vectors[np.minimum(near, n - 1)])
-        s[near == n] = -np.inf
-        all_ids, all_sims = np.concatenate([ids[active], near], axis=1), np.concatenate([sims[active], s], axis=1)
-        all_open = np.concatenate([opened[active], np.zeros(near.shape, bool)], axis=1)
-        keep = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
-        ids[active] = np.take_along_axis(all_ids, keep, axis=1)
-        sims[active] = np.take_along_axis(all_sims, keep, axis=1)
-        opened[active] = np.take_along_axis(all_open, keep, axis=1)
-        ids[active] = np.where(np.isinf(sims[active]), -1, ids[active])
+        row, col = np.nonzero(fine)
+        reach = links[ids[active[row], top[row, col]]]
+        new = np.zeros((len(active), n + 1), bool)
+        new[row[:, None], reach] = True  # no link (-1) falls into the last place
+        new = new[:, :n] & ~seen[active]
     order = np.argsort(-sims, axis=1, kind="stable")
     return np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
 
 
+def _descend(vectors: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, narrow: int = 8) -> np.ndarray:
+    """Up to ``narrow`` nodes near each query, found from the top level down."""
+    start = np.zeros((len(queries), 1), np.int64)
+    for links in levels:
+        found, _ = _walk(vectors[: len(links)], links, queries, start, min(narrow, len(links)))
+        start = np.where(found >= 0, found, found[:, :1])
+    return start
+
+
 def beams(graph: Graph, queries: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``ef`` nearest nodes found for each query: down the upper levels with narrow beams, then the ground level."""
-    nodes, _ = graph.levels[0]
-    start = np.broadcast_to(np.arange(min(len(nodes), 8)), (len(queries), min(len(nodes), 8))).astype(np.int64)
-    for i, (nodes, links) in enumerate(graph.levels):
-        last = i == len(graph.levels) - 1
-        wide = min(len(nodes), ef if last else 8)
-        found, sims = _walk(graph.vectors[nodes], links, queries, start, wide)
-        if last:
-            return found, sims
-        below = graph.levels[i + 1][0]
-        start = np.where(found >= 0, np.searchsorted(below, nodes[np.maximum(found, 0)]), np.searchsorted(below, nodes[found[:, :1]]))
-    raise AssertionError
-
-
-def linked(graph: Graph, queries: np.ndarray, least: float, audit: int = 24, recall: float = 0.98, ef: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(query, node)`` numbers of pairs with a cosine of about ``least`` or more (a little below too).
+    """The ``ef`` nearest nodes found for each query (-1: none): down the upper levels with narrow beams, then the ground level."""
+    start = _descend(graph.vectors, graph.levels[:-1], queries)
+    return _walk(graph.vectors, graph.levels[-1], queries, start, min(ef, len(graph.vectors)))
 
-    Beams widen twofold until, for ``audit`` evenly spaced queries, ``recall`` of their 10 nearest nodes by brute force
-    are found, and then fourfold for each query until its worst entry lies below ``least``. A beam of half the shard
-    or more takes in all of it.
-    """
-    n, low = len(graph.vectors), np.float32(least - 1e-4)
-    queries = np.ascontiguousarray(queries, np.float32)
-    sample = queries[np.unique(np.linspace(0, len(queries) - 1, audit).astype(int))]
+
+def audited_width(graph: Graph, audit: int = 24, recall: float = 0.98, ef: int = 32) -> int:
+    """The beam that finds ``recall`` of the 10 nearest nodes of ``audit`` evenly spaced nodes, widened twofold until it does."""
+    n = len(graph.vectors)
+    sample = graph.vectors[np.unique(np.linspace(0, n - 1, audit).astype(int))]
     true = np.argsort(-(sample @ graph.vectors.T), axis=1, kind="stable")[:, : min(10, n)]
-    ef = min(ef, n)
     while ef < n:
         found = beams(graph, sample, ef)[0]
         if np.mean([len(np.intersect1d(a, b)) / len(b) for a, b in zip(found, true, strict=True)]) >= recall:
             break
-        ef = min(n, 2 * ef)
-    for a in range(0, len(queries), TOGETHER):
-        left, wide = np.arange(a, min(a + TOGETHER, len(queries))), ef
-        while len(left):
-            if 2 * wide >= n:  # a beam of every node
-                row, col = np.nonzero(queries[left] @ graph.vectors.T >= low)
-                yield left[row], col
-                break
-            ids, sims = beams(graph, queries[left], wide)
-            full = sims[:, -1] >= low
+        ef *= 2
+    return min(ef, n)
+
+
+def linked(graph: Graph, queries: np.ndarray, least: float, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(query, node)`` numbers of pairs with a cosine of about ``least`` or more (a little below too).
+
+    A query's beam widens fourfold until its worst entry lies below ``least`` or it holds the shard.
+    """
+    n, low = len(graph.vectors), np.float32(least - 1e-4)
+    queries = np.ascontiguousarray(queries, np.float32)
+    left, wide = np.arange(len(queries)), min(ef, n)
+    while len(left):
+        again, some = [], TOGETHER if wide <= WIDE else FEWER
+        for a in range(0, len(left), some):
+            part = left[a : a + some]
+            ids, sims = beams(graph, queries[part], wide)
+            full = (sims[:, -1] >= low) & (wide < n)
             row, col = np.nonzero((sims >= low) & (ids >= 0) & ~full[:, None])
-            yield left[row], ids[row, col]
-            left, wide = left[full], min(n, 4 * wide)
+            yield part[row], ids[row, col]
+            again.append(part[full])
+        left, wide = np.concatenate(again), min(n, 4 * wide)
+
+
+def unit_vectors(raw: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision, also of very large and very small numbers."""
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
+class Shard:
+    """A shard's graph, and what the queries that it is asked have found."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, least: float, m: int, recall: float):
+        unit = unit_vectors(raw)
+        self.graph, order = build(unit, m)
+        self.ids, self.counts, self.unit, self.least = ids[order], counts[order], unit[order], least
+        self.ef, self.total, self.up = audited_width(self.graph, recall=recall), np.zeros(len(ids), np.int64), {}
+
+    def _sure(self, unit: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Which pairs have the cosine in double precision."""
+        parts = [np.einsum("nd,nd->n", unit[q[a : a + VERIFIED]], self.unit[x[a : a + VERIFIED]]) >= self.least for a in range(0, len(q), VERIFIED)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+    def own(self) -> list[tuple[int, int]]:
+        """Links among the shard's nodes; one that is found from either end holds for both."""
+        n, joins = len(self.ids), []
+        found = np.zeros((n, n), bool)
+        for q, x in linked(self.graph, self.unit, self.least, self.ef):
+            found[q, x] = self._sure(self.unit, q, x)
+        found |= found.T
+        np.fill_diagonal(found, False)
+        for a in range(0, n, TOGETHER):
+            self.total[a : a + TOGETHER] += found[a : a + TOGETHER] @ self.counts
+            q, x = np.nonzero(np.triu(found[a : a + TOGETHER], a + 1))
+            joins += _forest(self.ids[a + q], self.ids[x], self.up)
+        return joins
+
+    def asked(self, ids: np.ndarray, counts: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Of each of another shard's nodes, the number of links; and links that join. Both ends of a link count it."""
+        unit, total, joins = unit_vectors(raw), np.zeros(len(ids), np.int64), []
+        for q, x in linked(self.graph, unit, self.least, self.ef):
+            sure = self._sure(unit, q, x)
+            q, x = q[sure], x[sure]
+            np.add.at(total, q, self.counts[x])
+            np.add.at(self.total, x, counts[q])
+            joins += _forest(ids[q], self.ids[x], self.up)
+        return total, joins
 
 
 def _forest(a: np.ndarray, b: np.ndarray, up: dict[int, int]) -> list[tuple[int, int]]:
@@ -215,6 +271,79 @@ def _forest(a: np.ndarray, b: np.ndarray, up: dict[int, int]) -> list[tuple[int,
     return out
 
 
+#: Other shards' nodes that one task asks a shard, in shards.
+ASKED = 32
+
+
+def _asks(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """A row for each node in its own shard (``kind`` 0, once per part) and in each shard that it is asked of (1).
+
+    Of two shards of a label one is asked: the one with the smaller number if their sum is even, else the other. So each
+    asks and is asked by about half of the others, and every pair of nodes meets once. What a shard is asked is dealt
+    to parts of about ``ASKED`` shards.
+    """
+    other = F.explode(F.expr("sequence(0, blocks - 1)"))
+    dealt = nodes.alias("x").join(groups.alias("g"), ["label", "size"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("parts", F.expr(f"1 + blocks div {2 * ASKED}").cast("int"))
+    held = dealt.withColumn("block", F.col("own")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("kind", F.lit(0))
+    asked = dealt.withColumn("block", other).filter("block != own and (block < own) = ((block + own) % 2 = 0)")
+    asked = asked.withColumn("part", F.pmod("own", "parts")).withColumn("kind", F.lit(1))
+    names = ["label", "size", "block", "part", "kind", "node", "n", "v"]
+    return held.select(*names).unionByName(asked.select(*names))
+
+
+def _found(asks: DataFrame, spread: int, least: float, m: int, recall: float) -> DataFrame:
+    """``(node, n, other)``: numbers of links (``other`` null), and links that join. A shard's nodes come first, then what it is asked."""
+    keys = ["label", "size", "block", "part"]
+    rows = asks.repartition(spread, *keys).sortWithinPartitions(*keys, "kind", "node")
+
+    def counted(ids: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+        hit = np.flatnonzero(total)
+        return pd.DataFrame({"node": ids[hit], "n": total[hit], "other": pd.array([None] * len(hit), "Int64")})
+
+    def joined(joins: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"node": np.array([j[0] for j in joins], np.int64), "n": np.zeros(len(joins), np.int64), "other": pd.array([j[1] for j in joins], "Int64")})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, waiting, shard = None, [], None
+
+        def built() -> Shard:
+            rows = pd.concat(waiting)
+            waiting.clear()
+            return Shard(rows["node"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()).astype(float), least, m, recall)
+
+        def ended() -> Iterator[pd.DataFrame]:
+            nonlocal shard
+            if at is not None:
+                shard = shard or built()
+                if at[3] == 0:
+                    yield joined(shard.own())
+                yield counted(shard.ids, shard.total)
+
+        for batch in batches:
+            for key, rows in batch.groupby([*keys, "kind"], sort=False):
+                if key[:4] != at:
+                    yield from ended()
+                    at, shard = key[:4], None
+                if key[4] == 0:
+                    waiting.append(rows)
+                    continue
+                shard = shard or built()
+                ids = rows["node"].to_numpy(np.int64)
+                total, joins = shard.asked(ids, rows["n"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()).astype(float))
+                yield counted(ids, total)
+                yield joined(joins)
+        yield from ended()
+
+    return rows.mapInPandas(search, "node bigint, n bigint, other bigint")
+
+
+def _usable(v: Column) -> Column:
+    """A vector of finite numbers that aren't all zero."""
+    finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def embedding_components(
     vectors: DataFrame, least: float = 0.98, shard: int = 4096, m: int = 12, recall: float = 0.98,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -222,69 +351,36 @@ def embedding_components(
     """One row per vector: vec_id, n_links, component_id and kept (it is its component's smallest id).
 
     Vectors of one label link at a cosine of ``least`` or more in double precision. Equal vectors are one node with a
-    count, so copies cost nothing. Each label's nodes are dealt by hash to shards of about ``shard`` nodes; each shard
-    has a graph; every block of nodes queries every shard of its label, each such pair of blocks being a task's work of
-    its own, so a label of a third of all rows is spread. A pair gives each query's number of links and the links that
-    join them (a forest), never all pairs. Vectors that are null, empty, zero or hold a null or a number that isn't
-    finite, and those without label or id, link with nothing; vectors of unequal lengths don't link. A vector without
-    id has a null component. Repeated rows are vectors of their own with one id. Other columns are ignored.
+    count, so copies cost nothing. Each label's nodes are dealt by hash to shards of about ``shard`` nodes. A task builds
+    a shard's graph by searches of the graph so far, widens its beam until the audit of recall passes, and walks it for
+    its own nodes and for those of other shards, which stream past; every pair of shards is searched once, and a link
+    counts for both ends. A task gives numbers of links and the links that join (a forest), never all pairs. Vectors are
+    moved once per shard that they are asked of. Vectors that are null, empty, zero or hold a null or a number that
+    isn't finite, and those without label or id, link with nothing; vectors of unequal lengths don't link. A vector
+    without id has a null component. Repeated rows are vectors of their own with one id. Other columns are ignored, an
+    empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
-    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
-    fine = finite & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
+    rows = rows.withColumn("fine", _usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = rows.withColumn("key", F.when(F.col("fine"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("v").cast("array<string>")), 256)))
     facts = written(rows.select("vec_id", "fine", "key"), "vectors")
     nodes = rows.filter("fine").groupBy("label", "key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
-    nodes = nodes.withColumn("size", F.size("v"))
-    nodes = written(nodes.select("id", "n", "v", "label", "size", "key"), "nodes")
+    nodes = nodes.withColumn("size", F.size("v")).withColumn("node", F.monotonically_increasing_id())
+    nodes = written(nodes.select("node", "id", "n", "v", "label", "size", "key"), "nodes")
 
-    # a block is a shard's nodes; hashes are uniform, so blocks are of even size
+    # hashes are uniform, so shards are of even size
     groups = nodes.groupBy("label", "size").count().withColumn("blocks", F.ceil(F.col("count") / shard).cast("int")).drop("count")
-    dealt = nodes.alias("x").join(groups.alias("g"), ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-    def pack(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("id")
-        raw = np.stack(block["v"].to_numpy()).astype(np.float64)
-        unit = raw / np.linalg.norm(raw / np.abs(raw).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(raw).max(axis=1, keepdims=True)
-        graph = build(unit, m)
-        nodes_, links = zip(*graph.levels, strict=True)
-        return pd.DataFrame({
-            "label": [key[0]], "size": [key[1]], "block": [key[2]], "ids": [block["id"].to_numpy(np.int64).tobytes()], "counts": [block["n"].to_numpy(np.int64).tobytes()],
-            "unit": [unit.tobytes()], "nodes": [[x.tobytes() for x in nodes_]], "links": [[x.tobytes() for x in links]],
-        })
-
-    label = dict(nodes.dtypes)["label"]
-    kind = f"label {label}, size int, block int, ids binary, counts binary, unit binary, nodes array<binary>, links array<binary>"
-    index = written(dealt.groupBy("label", "size", "block").applyInPandas(pack, kind), "index")
-    pairs = groups.select("label", "size", F.explode(F.expr("sequence(0, blocks - 1)")).alias("qb"), "blocks")
-    pairs = pairs.select("label", "size", "qb", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-    asked = index.select("label", "size", F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit"))
-    work = pairs.join(asked, ["label", "size", "qb"]).join(index, ["label", "size", "block"])
-    spread = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    work = work.repartition(spread, "label", "size", "qb", "block")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                ids, q_ids, counts = (np.frombuffer(x, np.int64) for x in (r.ids, r.q_ids, r.counts))
-                unit, q_unit = (np.frombuffer(x, np.float64).reshape(-1, r.size) for x in (r.unit, r.q_unit))
-                levels = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32).reshape(len(a) // 4, -1)) for a, b in zip(r.nodes, r.links, strict=True)]
-                total, joins, up = np.zeros(len(q_ids), np.int64), [], {}
-                for q, x in linked(Graph(unit.astype(np.float32), levels), q_unit, least, recall=recall):
-                    sure = (np.einsum("nd,nd->n", q_unit[q], unit[x]) >= least) & (q_ids[q] != ids[x])
-                    q, x = q[sure], x[sure]
-                    np.add.at(total, q, counts[x])
-                    joins += _forest(q_ids[q], ids[x], up)
-                hit = np.flatnonzero(total)
-                yield pd.DataFrame({"id": q_ids[hit], "n": total[hit], "other": pd.array([None] * len(hit), "Int64")})
-                yield pd.DataFrame({"id": np.array([j[0] for j in joins], np.int64), "n": np.zeros(len(joins), np.int64), "other": pd.array([j[1] for j in joins], "Int64")})
-
-    found = written(work.select("size", "ids", "counts", "unit", "nodes", "links", "q_ids", "q_unit").mapInPandas(search, "id bigint, n bigint, other bigint"), "links")
-    components = connected_components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    totals = found.filter("other is null").groupBy("id").agg(F.sum("n").alias("others"))
-    known = nodes.select("id", "n", "key").join(totals, "id", "left").join(components, "id", "left")
-    known = known.select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    groups = written(groups, "groups")
+    tasks = groups.agg(F.sum("blocks")).first()[0] or 1
+    spread = max(min(tasks, 100_000), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = written(_found(_asks(nodes, groups), spread, least, m, recall), "links")
+
+    components = connected_components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    totals = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("others"))
+    known = nodes.select("node", "id", "n", "key").join(totals, "node", "left").join(components.withColumnRenamed("id", "node"), "node", "left")
+    known = written(known.select("id", "key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("part")), "known")
+    first = known.groupBy("part").agg(F.min("id").alias("component_id"))
+    known = written(known.join(first, "part").select("key", "n_links", "component_id"), "classes")
     out = facts.filter("fine").join(known, "key").select("vec_id", "n_links", "component_id")
     out = out.unionByName(facts.filter("not fine").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
