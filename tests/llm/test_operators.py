@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from base64 import b32encode
 
@@ -24,7 +25,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 PIECES = model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
 WORDS = model_bytes(public_tokenizers.path("word_bpe_49k.json")).decode()
 #: Extra columns with the names that operators use inside.
-CLASH = "n_words int, copy int, component int, fp int, id int, size int, part int, start int, key int, terms string, votes int, label int, block int, digest string"
+CLASH = "n_words int, copy int, component int, fp int, id int, size int, part int, start int, key int, terms string, votes int, label int, block int, digest string, _id int, _copy int, row int, _row int, text_hash int, at int, host int, number int, n int"
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +33,7 @@ def odd(spark):
     long = "word " * 30_000 + "end"
     texts = [(1, None), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "same text here\n" * 20), (6, "same text here\n" * 20), (6, "same text here\n" * 20), (7, long), (None, "no id at all"), (8, "Ünï cödé 日本 😀 ▁ <s> it's"), (9, "idiot loser trash, you are a moron"), (9, "other text of one id")]
     rows = [(i, t, "en", None if i == 4 else f"s{i % 2 if i else 0}", len(t or ""), *[0] * 9, "x", 0, 0, 0, "x") for i, t in texts]
-    rows = [(*r[:5], 1, 1, 1, 1, 1, 1, 1, 1, 1, "t", 1, 1, 1, "d") for r in rows]
+    rows = [(*r[:5], 1, 1, 1, 1, 1, 1, 1, 1, 1, "t", 1, 1, 1, "d", *[1] * 9) for r in rows]
     return spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {CLASH}")
 
 
@@ -107,10 +108,13 @@ def test_frequent_lines_reject_depleted_documents(spark):
     menu = "\n".join(" ".join(f"{'abcdefghijkl'[k]}{x}" for x in "mnopqrs") for k in range(12))
     rows = [(i, menu + "\n" + " ".join(f"d{i}y{k}" for k in range(5)), "h") for i in range(30)]
     rows += [(100 + i, menu + "\n" + body(i), "h") for i in range(5)] + [(200, menu + "\nfew words", "other")]
-    rows += [(300 + i, body(0) + "\n" + "\n".join(f"line {k} of a copied article with words" for k in range(9)), "h") for i in range(40)]
+    page = body(0).replace("w", "p") + "\n" + "\n".join(f"line {k} of a page with words" for k in range(9))
+    rows += [(300 + i, page, "h") for i in range(40)]  # a boilerplate page of 40 documents
+    rows += [(400, page, "elsewhere")] * 40  # one document, repeated
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    kept = {r.doc_id for r in line_quality.kept_documents(docs).collect()}
-    assert kept == {100 + i for i in range(5)} | {200} | {300 + i for i in range(40)}
+    kept = line_quality.kept_documents(docs)
+    assert {r.doc_id for r in kept.collect()} == {100 + i for i in range(5)} | {200, 400}
+    assert kept.filter("doc_id = 400").count() == 40
 
 
 def test_frequent_passages_of_any_length_are_removed(spark):
@@ -160,10 +164,16 @@ def test_simhash_equals_brute_force(spark, sf, odd):
     assert simhash.simhash_components(odd.limit(0)).count() == 0
     once = simhash.first_of_each(odd).collect()
     assert once[0].asDict().keys() == set(odd.columns) and sorted(r.doc_id for r in once if r.doc_id is not None and r.doc_id < 7) == [1, 4, 5]
+    # rows of one id with unlike texts lie in groups of their own, so does the row without id
+    assert sorted(r.text for r in once if r.doc_id == 9) == sorted(r.text for r in odd.collect() if r.doc_id == 9)
+    assert [r.text for r in once if r.doc_id is None] == ["no id at all"]
+    assert simhash.first_of_each(odd.limit(0)).count() == 0
+    near = spark.createDataFrame([(None, "the same words once more"), (7, "the same words once more"), (7, "the same words once more"), (None, "alone here now")], "doc_id bigint, text string")
+    assert sorted(map(str, simhash.first_of_each(near).collect())) == ["Row(doc_id=7, text='the same words once more')", "Row(doc_id=None, text='alone here now')"]
 
 
-@pytest.mark.parametrize("most", [2, 64])
-def test_close_pairs_lose_none(spark, most):
+@pytest.mark.parametrize(("distance", "blocks", "most"), [(2, 5, 4), (2, 5, 64), (3, 6, 8), (1, 3, 4)])
+def test_close_pairs_are_all_pairs(spark, distance, blocks, most):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 40)
     prints = {int(b) for b in base}
@@ -173,12 +183,13 @@ def test_close_pairs_lose_none(spark, most):
             for k in rng.integers(0, 63, rng.integers(1, 4)):
                 x ^= 1 << int(k)
             prints.add(x)
-    nodes = list(enumerate(sorted(prints)))
-    df = spark.createDataFrame(nodes, "id bigint, fp bigint")
-    links = [(r.a, r.b) for r in simhash.close_pairs(df, most=most).collect()]
-    arr = np.array([p for _, p in nodes], np.uint64)
-    true = [(i, int(j)) for i in range(len(arr)) for j in np.flatnonzero(np.bitwise_count(arr ^ arr[i]) <= 2)]
-    assert groups(range(len(nodes)), links) == groups(range(len(nodes)), true)
+    prints |= {int(base[9]) ^ (1 << i) for i in range(63)} | {int(base[9]) ^ (3 << i) for i in range(62)}
+    prints = [p - (1 << 64) if p >> 63 else p for p in sorted(prints)] + [-1, -(1 << 63), 0, 1]
+    df = spark.createDataFrame([(p,) for p in set(prints)], "fp bigint")
+    links = [(r.a, r.b) for r in simhash.close_pairs(df, distance, blocks, most).collect()]
+    arr = np.array(sorted(set(prints)), np.int64)
+    true = {(int(arr[i]), int(arr[j])) for i in range(len(arr)) for j in np.flatnonzero(np.bitwise_count((arr ^ arr[i]).view(np.uint64)) <= distance) if j > i}
+    assert len(links) == len(true) and set(links) == true
 
 
 def test_components(spark):
@@ -187,7 +198,10 @@ def test_components(spark):
     found = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     expected = groups({x for p in links for x in p}, links)
     assert all(found.get(i, i) == c for i, c in expected.items())
+    assert found == {i: c for i, c in expected.items() if any(i in p and p[0] != p[1] for p in links)}
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    odd = spark.createDataFrame([(1, None), (None, 2), (3, 3), (5, 4), (5, 4), (4, 5)], "a bigint, b bigint")
+    assert sorted(map(tuple, components.connected_components(odd).collect())) == [(4, 4), (5, 4)]
 
 
 # --- 4 ----------------------------------------------------------------------------------------------------------------
@@ -293,6 +307,11 @@ def test_mix(spark, odd):
     out = mixing.mixed_documents(odd)
     assert out.columns == odd.columns
     assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in rows)
+    assert mixing.mixed_documents(odd.limit(0)).count() == 0
+    # rows of one id and size, which a target ends within: no word is lost
+    same = spark.createDataFrame([(1, f"a{i} b c d e", "x") for i in range(7)] + [(2, "w " * 50, "y")], "doc_id bigint, text string, source string")
+    taken = mixing.mix_sources(same).documents.collect()
+    assert sum(len(WORD.findall(r.text)) for r in mixing.mixed_documents(same).collect()) == sum(r.taken for r in taken)
 
 
 def test_early_slots_are_mixed(spark, sf):
@@ -316,7 +335,7 @@ def test_embeddings_equal_brute_force(spark):
     rows = [(i, [float(np.float32(x)) for x in v], i % 2) for i, v in enumerate(vectors)]
     rows += [(9001, None, 1), (9002, [], 1), (9003, [0.0] * 24, 1), (9004, [float("nan")] * 24, 1), (9005, [None] * 24, 1), (9006, rows[0][1], None), (9007, [1.0] * 3, 0), (9008, [float("inf")] * 24, 0)]
     df = spark.createDataFrame([(*r, 1, 1) for r in rows], "vec_id bigint, embedding array<float>, label int, id int, n int")
-    found = {r.vec_id: r for r in hnsw.embedding_components(df, shard=200).collect()}
+    found = {r.vec_id: r for r in hnsw.embedding_components(df, shard=120).collect()}
     v = np.array([r[1] for r in rows[: len(vectors)]], float)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     lab = np.array([r[2] for r in rows[: len(vectors)]])
@@ -329,17 +348,55 @@ def test_embeddings_equal_brute_force(spark):
     assert sum(found[i].component_id != expected[i] for i in expected) <= len(vectors) * 0.005
     assert all((found[i].n_links, found[i].component_id, found[i].kept) == (0, i, True) for i in range(9001, 9009))
     assert hnsw.embedding_components(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (4, [1.0, 0.0], 1), (6, [0.0, 2.0], 1)], "vec_id bigint, embedding array<double>, label int")
+    rows = sorted((r.vec_id, r.n_links, r.component_id) for r in hnsw.embedding_components(twice).collect())
+    assert rows == [(4, 1, 4), (5, 1, 4), (5, 1, 5), (6, 1, 5)]
 
 
 def test_graph_recall():
     v = np.random.default_rng(3).normal(size=(1500, 32))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    g, q = hnsw.build(v), v[::10].astype(np.float32)
+    g, _ = hnsw.build(v)
+    q = g.vectors[::10]
     true = np.argsort(-(q @ g.vectors.T), axis=1)[:, :10]
     recall = [np.mean([len(np.intersect1d(a, b)) / 10 for a, b in zip(hnsw.beams(g, q, ef)[0], true, strict=True)]) for ef in (16, 64, 256)]
     assert recall == sorted(recall) and recall[-1] >= 0.95
 
 
+@pytest.mark.parametrize("n", [1, 2, 50, 700])
+def test_shards_of_every_size_go_through_the_graph(n, monkeypatch):
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 24)) + np.repeat(rng.normal(size=(-(-n // 10), 24)) * 6, 10, axis=0)[:n]
+    unit, walks, walk = hnsw.unit_vectors(v), [], hnsw._walk
+    monkeypatch.setattr(hnsw, "_walk", lambda *a: walks.append(len(a[2])) or walk(*a))
+    s = hnsw.Shard(np.arange(n), np.arange(1, n + 1), v, 0.98, 12, 0.98)
+    walks.clear()
+    joins = s.own()
+    links = (unit @ unit.T >= 0.98) & ~np.eye(n, dtype=bool)
+    by_id = np.argsort(s.ids)
+    assert sum(walks) >= n and (s.total[by_id] == links @ np.arange(1, n + 1)).all()
+    assert groups(range(n), joins) == groups(range(n), list(zip(*np.nonzero(links), strict=True)))
+    other = v[: n // 2 + 1] * 3 + rng.normal(size=(n // 2 + 1, 24)) * 0.01
+    before, expected = s.total.copy(), hnsw.unit_vectors(other) @ unit.T >= 0.98
+    total, _ = s.asked(np.arange(1000, 1000 + len(other)), np.full(len(other), 2), other)
+    assert (total == expected @ np.arange(1, n + 1)).all()  # both ends of a link count it
+    assert ((s.total - before)[by_id] == 2 * expected.sum(axis=0)).all()
+
+
+def test_every_pair_of_shards_meets_once(spark):
+    nodes = spark.createDataFrame([(i, 1, [1.0, float(i)], "a", 2) for i in range(300)], "node bigint, n bigint, v array<double>, label string, size int")
+    rows = hnsw._asks(nodes, spark.createDataFrame([("a", 2, 130)], "label string, size int, blocks int")).collect()
+    home = {r.node: r.block for r in rows if r.kind == 0}
+    met = {}
+    for r in rows:
+        if r.kind == 1:
+            met.setdefault(frozenset((r.block, home[r.node])), set()).add(r.block)
+    held = set(home.values())
+    assert all(len(x) == 1 for pair, x in met.items() if pair <= held)
+    assert all(frozenset((a, b)) in met for a in held for b in held if a != b)
+    assert {r.part for r in rows if r.kind == 0} == {0, 1, 2} and all(sum(r.kind == 0 and r.node == i for r in rows) == 3 for i in range(5))
+
+
 # --- 8 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -366,7 +423,7 @@ def test_words_equal_the_library():
 def test_texts_are_put_together():
     rows = [pa.RecordBatch.from_arrays([pa.array([1, 2, None]), pa.array(["x" * (5 << 20), None, ""])], ["a", "b"]), pa.RecordBatch.from_arrays([pa.array([3, 4]), pa.array(["y" * (9 << 20), "z"])], ["a", "b"])]
     found = [(k, [len(t or "") for t in texts.to_pylist()]) for k, texts in token_blocks._together(iter(rows))]
-    assert found == [([1, 2, None, 3], [5 << 20, 0, 0, 9 << 20]), ([4], [1])]
+    assert found == [([1], [5 << 20]), ([2, None, 3], [0, 0, 9 << 20]), ([4], [1])]
     assert list(token_blocks._together(iter([]))) == []
 
 
@@ -408,9 +465,60 @@ def test_toxicity_on_odd_rows(spark, odd):
     assert toxicity.score_toxicity(odd.limit(0), labels).count() == 0
     kept = toxicity.drop_toxic(odd, labels)
     assert kept.columns == odd.columns and kept.filter("text is null or not text like 'idiot%'").count() == odd.count() - 1
-
-
-def test_correlated_voters_weigh_less():
+    assert toxicity.drop_toxic(odd.limit(0), labels).count() == 0
+
+
+def plain_label_model(votes, labels, rounds=25):
+    """The posteriors by the model's definition, text by text: votes as tuples, labels 0, 1 or None."""
+    n_voters, n = len(votes[0]), len(votes)
+    known = [y for y in labels if y is not None]
+    prior = (sum(known) + 1) / (len(known) + 10)
+    same = {v: [labels[i] for i in range(n) if votes[i] == v and labels[i] is not None] for v in set(votes)}
+    start = {v: (sum(y) + prior) / (len(y) + 1) if y else 0.8 if 1 in v else 0.05 for v, y in same.items()}
+    post = [start[v] for v in votes]
+    for _ in range(rounds):
+        mass = [[float(y == c) if y is not None else p if c else 1 - p for y, p in zip(labels, post, strict=True)] for c in (0, 1)]
+        count = lambda c, **at: sum(m for m, v in zip(mass[c], votes, strict=True) if all(v[int(k[1:])] == x for k, x in at.items()))
+        own = [[[count(c, **{f"v{i}": a}) for a in range(3)] for i in range(n_voters)] for c in (0, 1)]
+        both = {(c, i, j, a, b): count(c, **{f"v{i}": a, f"v{j}": b}) for c in (0, 1) for i in range(n_voters) for j in range(n_voters) for a in range(3) for b in range(3)}
+        shared = lambda i, j: sum(m * np.log(m * sum(mass[c]) / own[c][i][a] / own[c][j][b]) for c in (0, 1) for a in range(3) for b in range(3) if (m := both[c, i, j, a, b]) > 0)  # noqa: E731, B023
+        parents, inside = {0: 0}, [0]
+        while len(inside) < n_voters:
+            _, j, i = max((round(shared(i, j), 9), -j, -k) for k, i in enumerate(inside) for j in range(n_voters) if j not in inside)
+            parents[-j] = inside[-i]
+            inside.append(-j)
+        chance = {}
+        for c in (0, 1):
+            for j in range(n_voters):
+                drawn = [own[c][j][a] + (2.4 if a == 0 else 0.45 if a == (2, 1)[c] else 0.15) for a in range(3)]
+                drawn = [x / sum(drawn) for x in drawn]
+                for b in range(3):
+                    given = [both[c, parents[j], j, b, a] + 4 * drawn[a] for a in range(3)]
+                    for a in range(3):
+                        chance[c, j, b, a] = drawn[a] if j == 0 else given[a] / sum(given)
+        odds = [np.log(prior / (1 - prior)) + sum(np.log(chance[1, j, v[parents[j]], v[j]] / chance[0, j, v[parents[j]], v[j]]) for j in range(n_voters)) for v in votes]
+        post = [1 / (1 + np.exp(-min(max(o, -30), 30))) for o in odds]
+    return odds
+
+
+def test_label_model_equals_its_definition():
+    rng = np.random.default_rng(4)
+    y = rng.random(160) < 0.3
+    vote = lambda hit, miss: np.where(rng.random(160) < np.where(y, hit, miss), 1, 0)
+    a = vote(0.7, 0.05)
+    columns = [a, np.where(rng.random(160) < 0.9, a, vote(0.5, 0.2)), vote(0.6, 0.1), np.where(rng.random(160) < np.where(y, 0.1, 0.7), 2, 0)]
+    votes = [tuple(int(x) for x in row) for row in zip(*columns, strict=True)]
+    labels = [int(y[i]) if i % 3 == 0 else None for i in range(160)]
+    codes = np.array([sum(x << 2 * k for k, x in enumerate(v)) for v in votes])
+    patterns, at = np.unique(codes, return_inverse=True)
+    labelled = np.bincount(at, [x is not None for x in labels])
+    toxic = np.bincount(at, [x or 0 for x in labels])
+    model = toxicity.fit_label_model(patterns, np.bincount(at), labelled, toxic, 4)
+    assert np.allclose(model.odds(toxicity.unpack_votes(codes, 4)), plain_label_model(votes, labels), atol=1e-6)
+    assert 0.05 <= model.scale < 20 and abs(model.shift) < 20
+
+
+def test_a_voter_that_repeats_another_says_little():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
     vote = lambda acc: np.where(rng.random(4000) < acc, y, ~y)
@@ -420,7 +528,21 @@ def test_correlated_voters_weigh_less():
     labelled = np.array([np.sum((codes == p)[:400]) for p in patterns])
     toxic = np.array([np.sum(((codes == p) & y)[:400]) for p in patterns])
     m = toxicity.fit_label_model(patterns, counts, labelled, toxic, 4)
-    assert m.weights[0] == m.weights[1] < m.weights[2] and m.weights[0] <= 0.5 and abs(m.correlations[0, 1] - 1) < 1e-6
+    assert m.parents[1] == 0
+    log = np.log(m.chances)
+    assert abs(log[1, 1, 1, 1] - log[1, 0, 1, 1]) < 0.05 < 1 < log[2, 1, 0, 1] - log[2, 0, 0, 1]
+    truth = np.array([y[codes == p].mean() for p in patterns])
+    assert np.abs(m.posterior(toxicity.unpack_votes(patterns, 4)) - truth)[counts > 100].max() < 0.2
+
+
+def test_terms_are_counted_over_all_labelled_rows(spark):
+    rows = [(f"filler words here zorgle{'x' * (i % 2)}", 1) for i in range(8)] + [(f"filler words here and clean{i}", 0) for i in range(80)]
+    docs = spark.createDataFrame(rows, "text string, toxic int")
+    terms = toxicity.mine(docs).terms
+    assert {"zorgle", "zorglex", "zorg*", "zorgl*"} <= set(terms) and not {"filler", "words", "here"} & set(terms)
+    assert max(terms.values()) < len(toxicity.mine(docs).voters) <= 31
+    with pytest.raises(ValueError, match="raise least"):
+        toxicity.mine(docs, most=2)
 
 
 # --- 10 ---------------------------------------------------------------------------------------------------------------
@@ -463,6 +585,101 @@ def test_main_text_outside_paragraphs():
         assert html_text.main_text(html) == text
 
 
+def test_marks_weigh_and_comments_go():
+    many = "".join(f"<p>long comment {i}, with, many, commas</p>" for i in range(30))
+    cases = {
+        '<div class="wrap has-sidebar"><article><p>One, two, three.</p></article></div>': "One, two, three.",
+        '<section class="social-policy"><p>Policy text, long.</p></section>': "Policy text, long.",
+        '<article><div class="entry-header"><h1>Title</h1></div><p>Body, text.</p></article>': "Title\nBody, text.",
+        "<article><p>Body, text, words.</p><section><h2>Comments</h2><p>by bob: nice</p></section></article>": "Body, text, words.",
+        "<article><p>Body, text, words.</p><div><header><h2>2 Comments</h2></header></div><p>by bob: nice</p>loose</article>": "Body, text, words.",
+        "<article><p>Body.</p><h3>Kommentare (2)</h3><p>by bob</p><h2>Next part</h2><p>More.</p></article>": "Body.\nNext part\nMore.",
+        "<article><h1>Comments</h1><p>An article, of that name.</p></article>": "Comments\nAn article, of that name.",
+        f'<article><p>Short one.</p></article><div class="comments">{many}</div>': "Short one.",
+        "<form><div><h1>T</h1><p>a page, in a form</p><p>as old, sites are</p></div></form>": "T\na page, in a form\nas old, sites are",
+        '<body style="display:none"><p>a, b</p></body>': "a, b",
+        f'<div class="sidebar"><h1>T</h1>{many}</div><div><p>c</p></div>': "T\n" + "\n".join(re.findall("<p>(.*?)</p>", many)),
+        "<article><header><h1>T</h1></header><section><p>a, b, c</p></section><section><p>g</p></section><aside>no</aside></article><footer>f</footer>": "T\na, b, c\ng",
+        '<div id=content><p>x, y, z</p><div class="share">share</div><div class="ad-banner">buy, this</div></div><div class=sidebar-left><p>q, w, e</p></div>': "x, y, z",
+    }
+    for html, text in cases.items():
+        assert html_text.main_text(html) == text, html
+
+
+def plain_scores(tree):
+    """Each element's score by its definition: every paragraph, wherever it is, and its distance."""
+    size = lambda n: sum(len(" ".join(k.split())) if isinstance(k, str) else 0 if k.drop else size(k) for k in n.kids)
+    commas = lambda n: sum(sum(k.count(c) for c in ",;") if isinstance(k, str) else 0 if k.drop else commas(k) for k in n.kids)
+    links = lambda n: size(n) if n.tag == "a" else sum(links(k) for k in n.kids if not isinstance(k, str) and not k.drop)
+    inside = lambda n, top: n is top or n.parent is not None and inside(n.parent, top)
+    out = {}
+    for top in tree.nodes:
+        total = 0.0
+        for p in tree.nodes:
+            if p.drop or not size(p) or not inside(p, top):
+                continue
+            gives = (1 + commas(p) + min(size(p) / 100, 3)) * (1 - links(p) / size(p))
+            if p.tag in html_text.PARAGRAPHS:
+                up, share = p.parent, 1.0 * (0.1 if p.mark else 1)
+            elif p.tag in ("div", "section", "article") and any(isinstance(k, str) and k.strip() for k in p.kids):
+                up, share = p, 1.0
+            elif p.tag == "aside" and (own := [" ".join(k.split()) for k in p.kids if isinstance(k, str) and k.strip()]):
+                up, share, n = p, 1.0, sum(map(len, own))
+                gives = 1 + sum(k.count(c) for k in own for c in ",;") + min(n / 100, 3)
+            else:
+                continue
+            while up is not None and inside(up, top):
+                if up is top:
+                    total += gives * share
+                up, share = up.parent, share / 2 * (0.1 if up.mark else 1)
+        below = any(m is not top and inside(top, m) for m in tree.nodes if m.mark)
+        out[top] = total * (1 - links(top) / size(top)) * (0.1 if top.mark else 1) * (0.1 if below else 1) if size(top) and not top.drop else 0.0
+    return out
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.integers(1, 4)):
+        words = " ".join(rng.choice(["word", "other, word", "and; so", "text"], rng.integers(1, 40)))
+        kind = rng.integers(0, 8)
+        if kind < 3 or depth > 3:
+            out.append(f"<p>{words}</p>" if kind else f"<ul><li><a href=1>{words}</a></li><li>{words}</li></ul>")
+        elif kind == 3:
+            out.append(f"<script>{words}</script>")
+        else:
+            tag = ["div", "section", "article", "aside", 'div class="sidebar"', "div id=content"][rng.integers(0, 6)]
+            out.append(f"<{tag}>{words if rng.integers(0, 3) == 0 else ''}{random_page(rng, depth + 1)}</{tag.split()[0]}>")
+    return "".join(out)
+
+
+def test_scores_equal_their_definition_and_decide(spark, sf, monkeypatch):
+    rng = np.random.default_rng(5)
+    pages = [random_page(rng) for _ in range(150)]
+    for html in pages:
+        tree = html_text.Tree(html)
+        html_text._measure(tree)
+        html_text._score(tree)
+        expected = plain_scores(tree)
+        assert all(abs(n.score - expected[n]) < 1e-9 for n in tree.nodes)
+    real = [r.html or "" for r in table(spark, sf, "pages").collect()]
+    texts = [html_text.main_text(h) for h in pages + real]
+
+    def drawn(tree):
+        for n in tree.nodes:
+            n.score = rng.random()
+
+    monkeypatch.setattr(html_text, "_score", drawn)
+    other = [html_text.main_text(h) for h in pages + real]
+    assert sum(a != b for a, b in zip(texts, other, strict=True)) > 0.3 * len(texts)
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.process_time()
+    for page in ("<div>a, b" * 100_000, "<ul><li>a, b<p>x" * 40_000, "<p><b>x</i></u>" * 40_000, "<section><h2>Comments</h2><p>q" * 20_000, "<table><tr><td>a" * 20_000):
+        assert html_text.main_text(page) is not None
+    assert time.process_time() - began < 60
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ from veilwork.llm.common import shared_folder
 #: Ids of a block; ids a segment is cut after (at a document's end); the file's mark.
 BLOCK, SEGMENT, MAGIC = 128, 1 << 15, b"PFOR"
 #: Words that a worker remembers, bytes of text that are encoded together, and bytes of text in a stretch of the order.
-KNOWN, TOGETHER, STRETCH = 1_000_000, 8 << 20, 64 << 20
+KNOWN, TOGETHER, STRETCH = 600_000, 4 << 20, 64 << 20
 
 
 # --- the format -------------------------------------------------------------------------------------------------------
