@@ -67,15 +67,16 @@ def frequent_lines(
     Partial counts are made before the shuffle, so a host or a line that holds a third of all rows moves as one row per
     document and then one per task. Null texts and lines of white space have none.
     """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the whole text is normalised before it is parted, all but its line ends
+    clean = F.regexp_replace(F.translate(F.lower(text), "123456789\t\x0b\f\r", "0" * 9 + " " * 4), "  +", " ")
     lines = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(host_col).alias("host"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy"),
-        F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("at", "line"),
-    )
-    line = F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), "[ \\t-\\r]+", " "), "[0-9]", "0"))
-    lines = lines.withColumn("line", line).filter("line != ''")
-    lines = lines.select("doc_id", "host", "copy", "at", F.xxhash64("line").alias("key"), F.size(F.split("line", " ")).alias("n"))
+        F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.xxhash64(text).alias("copy"),
+        F.posexplode(F.split(clean, "\n")).alias("at", "line"),
+    )
+    lines = lines.withColumn("line", F.trim("line")).filter("line != ''")
+    n = F.length("line") - F.length(F.translate("line", " ", "")) + 1
+    lines = lines.select("doc_id", "host", "copy", "at", F.xxhash64("line").alias("key"), n.alias("n"))
     lines = written(lines, "lines")
     once = lines.groupBy("host", "key", "doc_id", "copy").agg(F.lit(1).alias("one"))
     frequent = once.groupBy("host", "key").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs)

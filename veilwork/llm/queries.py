@@ -115,18 +115,18 @@ with d as (
   select doc_id, count(distinct i + k) as n_repeat_words
   from rep, (values (0), (1), (2)) o(k) where n > 1 group by doc_id
 ), ls as (
-  select doc_id, source, hash(t) as h, unnest(string_split(t, chr(10))) as line from d
+  select doc_id, source, unnest(string_split(t, chr(10))) as line from d
 ), dup as (
   select doc_id, count(*) - count(distinct line) as n_dup_lines
   from ls where regexp_matches(line, '[^ \t-\r]') group by doc_id
 ), norm as (
-  select doc_id, source, h, trim(regexp_replace(regexp_replace(lower(line), '[ \t-\r]+', ' ', 'g'), '[0-9]', '0', 'g')) as line from ls
-), short as (
-  select *, len(string_split(line, ' ')) as n from norm where line <> '' and len(string_split(line, ' ')) <= 32
+  select doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[ \t-\r]+', ' ', 'g'), '[0-9]', '0', 'g')) as line from ls
+), counted as (
+  select *, len(string_split(line, ' ')) as n from norm where line <> ''
 ), freq as (
-  select source, line from short group by all having count(distinct h) > 20
+  select source, line from counted group by all having count(distinct doc_id) > 20
 ), gone as (
-  select doc_id, sum(n) as removed_words from short s
+  select doc_id, sum(n) as removed_words from counted s
   where exists (select 1 from freq f where f.source is not distinct from s.source and f.line = s.line) group by doc_id
 ), s as (
   select w.doc_id, cast(len(ws) as bigint) as n_words,
