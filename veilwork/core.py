@@ -51,9 +51,10 @@ def number(col: str | Column) -> Column:
 
 
 def row_key(df: DataFrame, key: str | list[str] | None) -> Column:
-    """64-bit key of a row for keyed noise: of the columns named, else of all (equal rows then get equal noise)."""
-    cols = df.columns if key is None else [key] if isinstance(key, str) else key
-    return F.xxhash64(*[F.col(c) for c in cols])
+    """Key of a row for keyed noise: the columns named as text, else a hash of all (equal rows then get equal noise)."""
+    if key is None:
+        return F.xxhash64(*df.columns).cast("string")
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ([key] if isinstance(key, str) else key)])
 
 
 def with_groups(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
@@ -112,18 +113,36 @@ def with_position(df: DataFrame, order: list[Column], name: str = "_pos") -> Dat
     return laid.join(offsets, part == F.col("_part")).withColumn(name, place).drop(slots, "_part", "_from")
 
 
+def with_running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds, for each name, the sum of its column over the rows before in a global order, and over all rows (``name_all``).
+
+    Rows are dealt by range and sorted; a range's sum is one row, ranges' sums are added up on the driver, and the
+    window inside a range is no longer than the range. Rows that ``order`` can't tell apart come in any order.
+    """
+    laid = df.withColumns({f"_x_{n}": c for n, c in sums.items()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = checkpointed(laid.withColumn("_slot", F.monotonically_increasing_id()))
+    part = F.shiftright("_slot", 33).cast("int")
+    found = sorted(map(tuple, laid.groupBy(part.alias("p")).agg(*[F.sum(f"_x_{n}") for n in sums]).collect()))
+    kinds = dict(laid.select(*[F.sum(f"_x_{n}").alias(n) for n in sums]).dtypes)
+    starts, total = [], [0.0 if kinds[n] == "double" else 0 for n in sums]
+    for p, *values in found:
+        starts.append((p, *total))
+        total = [t + (v or 0) for t, v in zip(total, values, strict=True)]
+    kind = "_part int, " + ", ".join(f"_from_{n} {kinds[n]}" for n in sums)
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts or [(0, *total)], kind))  # a row per range
+    before = W.partitionBy("_part").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    laid = laid.withColumn("_part", part).withColumns({f"_in_{n}": F.coalesce(F.sum(f"_x_{n}").over(before), F.lit(0).cast(kinds[n])) for n in sums})
+    laid = laid.join(offsets, "_part").withColumns({n: F.col(f"_from_{n}") + F.col(f"_in_{n}") for n in sums})
+    laid = laid.withColumns({f"{n}_all": F.lit(t).cast(kinds[n]) for n, t in zip(sums, total, strict=True)})
+    return laid.drop("_part", "_slot", *[f"{p}{n}" for n in sums for p in ("_x_", "_in_", "_from_")])
+
+
 def with_ranks(df: DataFrame, col: str, prefix: str = "_r_") -> DataFrame:
     """Adds, for the non-null values of ``col``: ``n`` rows below, ``c`` rows equal, ``d`` distinct values below (prefixed).
 
     Distinct values are counted with partial sums and ordered globally; each value's row joins back by equality.
     """
-    counts = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).filter("_v is not null")
-    placed = with_position(counts, [F.col("_v")], "_d")
-    # rows below: totals of the values before, by ranges of values
-    size = 4096
-    blocks = placed.groupBy(F.floor(F.col("_d") / size).alias("_b")).agg(F.sum("_c").alias("_n"))
-    blocks = blocks.withColumn("_before", F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).drop("_n")
-    inside = F.sum("_c").over(W.partitionBy("_b").orderBy("_d")) - F.col("_c")
-    placed = placed.withColumn("_b", F.floor(F.col("_d") / size)).withColumn("_in", inside).join(blocks, "_b")
-    placed = placed.select("_v", (F.col("_before") + F.col("_in")).alias(f"{prefix}n"), F.col("_c").alias(f"{prefix}c"), F.col("_d").alias(f"{prefix}d"))
+    counts = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias(f"{prefix}c")).filter("_v is not null")
+    placed = with_running(counts, [F.col("_v")], {f"{prefix}n": F.col(f"{prefix}c"), f"{prefix}d": F.lit(1).cast("long")})
+    placed = checkpointed(placed.select("_v", f"{prefix}n", f"{prefix}c", f"{prefix}d"))  # a table, so that the join can split a value of many rows
     return df.join(placed, df[col] == placed["_v"], "left").drop("_v")

@@ -286,8 +286,11 @@ def local_suppression(
         raise NotInRangeError("the threshold lies between 0 and 1")
     chosen(df, [suppress_col, sensitive_col])
     others = [c for c in df.columns if c not in (sensitive_col, weights)]
-    counts = df.agg(*[F.count_distinct(c).alias(c) for c in others]).first()
-    quasi = [c for c in others if counts[c] < max_unique]
+    # only columns that can be below the limit by a sketch of all are counted exactly
+    rough = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in others]).first()
+    few = [c for c in others if rough[c] < 1.5 * max_unique + 10]
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in few]).first() if few else {}
+    quasi = [c for c in few if counts[c] < max_unique]
     risky = individual_risk(df, sensitive_col, quasi, method, weights, qual, name="_risk")
     out = risky.withColumn(suppress_col, F.when(F.col("_risk") > risk_threshold, F.lit(to_val)).otherwise(F.col(suppress_col)))
     return out.select(suppress_col) if output == "subset" else out.select(*df.columns)

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.core import Mask, checkpointed, chosen, is_numeric, number, row_key
+from veilwork.core import Mask, checkpointed, chosen, is_numeric, number, row_key, with_position
 from veilwork.errors import InputError, NotInRangeError
 from veilwork.functions.keyed import normal, uniform
 from veilwork.functions.stats import chi2_quantile
+from veilwork.plans.encode import encode_columns
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -59,16 +61,38 @@ def add_noise_additive(
 
 
 def add_noise_correlated(
-    df: DataFrame, magnitude: float = 5, seed: int = 1234, key: str | list[str] | None = None,
+    df: DataFrame, magnitude: float = 5, encode_non_numeric: bool = False, seed: int = 1234, key: str | list[str] | None = None,
     cols: Sequence[str] | str | None = None, output: str = "all",
 ) -> DataFrame:
-    """Noise with covariances in proportion to the data's (two columns or more)."""
-    names, row = chosen(df, cols, numeric=True, least=2), row_key(df, key)
+    """Noise with covariances in proportion to the data's (two columns or more).
+
+    With ``encode_non_numeric`` columns that aren't numbers become the codes of their sorted values first, and the share
+    is the square of the magnitude in percent.
+    """
+    names, share = chosen(df, cols, numeric=not encode_non_numeric, least=2), magnitude / 100
+    row = row_key(df, key)
+    if encode_non_numeric:
+        share = share * share
+        keyed = df.withColumn("_key", row)
+        df, row = encode_columns(keyed, names), F.col("_key")
     _, _, cov = moments(df, names)
-    values, vectors = np.linalg.eigh(np.nan_to_num(cov) * magnitude / 100)
-    root = vectors * np.sqrt(np.maximum(values, 0))  # also where columns depend on each other
+    root = lower_root(np.nan_to_num(cov) * share)
     z = [normal(row, f"z{k}", seed) for k in range(len(names))]
-    return Mask({c: number(c) + sum((z[k] * float(root[i, k]) for k in range(len(names))), F.lit(0.0)) for i, c in enumerate(names)}).apply(df, output)
+    made = Mask({c: number(c) + sum((z[k] * float(root[i, k]) for k in range(i + 1)), F.lit(0.0)) for i, c in enumerate(names)})
+    out = made.apply(df, output, not encode_non_numeric)
+    return out.drop("_key") if encode_non_numeric else out
+
+
+def lower_root(cov: np.ndarray) -> np.ndarray:
+    """Lower triangular root of a covariance matrix; a column that depends on those before it adds no draw of its own."""
+    p, root = len(cov), np.zeros_like(cov)
+    for j in range(p):
+        left = cov[j, j] - root[j, :j] @ root[j, :j]
+        if left <= 1e-12 * max(cov[j, j], 1e-300):
+            continue
+        root[j, j] = math.sqrt(left)
+        root[j + 1 :, j] = (cov[j + 1 :, j] - root[j + 1 :, :j] @ root[j, :j]) / root[j, j]
+    return root
 
 
 def add_noise_restricted(df: DataFrame, magnitude: float = 5, cols: Sequence[str] | str | None = None, output: str = "all") -> DataFrame:
@@ -202,16 +226,34 @@ def robust_centre(df: DataFrame, cols: Sequence[str], seed: int = 123) -> tuple[
     return mean, cov * max(far / chi2_quantile(0.5, p), 1e-12)
 
 
+#: Which of the two neighbours of a quantile is taken, by its place between them.
+INTERPOLATIONS: dict[str, Callable[[float], float]] = {
+    "linear": lambda x: x, "lower": math.floor, "higher": math.ceil, "midpoint": lambda x: (math.floor(x) + math.ceil(x)) / 2, "nearest": round,
+}
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], q: float, interpolation: str = "linear") -> list[float | None]:
+    """Each column's exact quantile over its own values."""
+    if interpolation not in INTERPOLATIONS:
+        raise InputError(f"known: {', '.join(INTERPOLATIONS)}")
+    sizes = df.agg(*[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    places = [INTERPOLATIONS[interpolation](round(q * (n - 1), 9)) / (n - 1) if n > 1 else 0.0 for n in sizes]
+    return list(df.agg(*[F.percentile(number(c), min(max(p, 0.0), 1.0)).alias(f"q{i}") for i, (c, p) in enumerate(zip(cols, places, strict=True))]).first())
+
+
 def add_noise_outliers(
-    df: DataFrame, magnitude: float = 5, q: float = 0.99, seed: int = 123, key: str | list[str] | None = None,
+    df: DataFrame, magnitude: float = 5, q: float = 0.99, interpolation: str = "linear", seed: int = 123, key: str | list[str] | None = None,
     cols: Sequence[str] | str | None = None, output: str = "all",
 ) -> DataFrame:
-    """Noise for outlying rows only: above a column's q-quantile, or far from the robust centre (97.5 % of chi-squared)."""
+    """Noise for outlying rows only: above a column's q-quantile, or far from the robust centre (97.5 % of chi-squared).
+
+    A quantile between two values is their ``interpolation``: linear, lower, higher, midpoint or nearest.
+    """
     names, row = chosen(df, cols, numeric=True, least=2), row_key(df, key)
     x = [number(c) for c in names]
-    asks = [F.count(F.lit(1)), *[F.percentile(c, q) for c in x], *[F.stddev_samp(c) for c in x]]
-    n, *rest = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(asks)]).first()
-    tops, sds = rest[: len(x)], rest[len(x) :]
+    asks = [F.count(F.lit(1)), *[F.stddev_samp(c) for c in x]]
+    n, *sds = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(asks)]).first()
+    tops = quantiles(df, names, q, interpolation)
     mean, cov = robust_centre(df, names, seed)
     inverse = np.linalg.pinv(cov)
     far = sum(((x[i] - float(mean[i])) * (x[j] - float(mean[j])) * float(inverse[i, j]) for i in range(len(x)) for j in range(len(x))), F.lit(0.0))
@@ -245,6 +287,10 @@ def transition_matrix(counts: dict[object, int], probs: float, alpha: float, see
     return names, t / t.sum(axis=1, keepdims=True)
 
 
+#: Categories that a column may have to be drawn anew: the matrix of chances has their square of numbers.
+MOST_CATEGORIES = 2000
+
+
 def pram(
     df: DataFrame, perturb_cols: Sequence[str] | str | None = None, sensitive_col: str | None = None, probs: float | dict[str, np.ndarray] = 0.8,
     alpha: float = 0.5, seed: int = 1234, key: str | list[str] | None = None, output: str = "all",
@@ -252,16 +298,19 @@ def pram(
     """Post-randomisation: each cell is drawn anew from its category's row of a transition matrix; nulls stay.
 
     ``probs`` is the least chance to stay, or a matrix per column (categories sorted). Columns of one value are left.
-    The matrix is one row per category on the driver; categories are what the caller declares small.
+    Each category's cumulative chances are a row of a small table that is joined; a column of more than
+    ``MOST_CATEGORIES`` categories is an error.
     """
     names = [c for c in chosen(df, perturb_cols) if c != sensitive_col]
     if sensitive_col is not None and (sensitive_col not in df.columns or perturb_cols is not None and sensitive_col in chosen(df, perturb_cols)):
         raise InputError("the sensitive column is unknown or to be perturbed")
     if not 0 <= alpha <= 1 or not isinstance(probs, dict) and not 0 <= probs <= 1:
         raise NotInRangeError("alpha and probs lie between 0 and 1")
-    row, made = row_key(df, key), {}
+    out, made = df.withColumn("_key", row_key(df, key)), {}
     for i, c in enumerate(names):
-        counts = {r[0]: r[1] for r in df.filter(F.col(c).isNotNull()).groupBy(c).count().collect()}
+        counts = {r[0]: r[1] for r in df.filter(F.col(c).isNotNull()).groupBy(c).count().limit(MOST_CATEGORIES + 1).collect()}
+        if len(counts) > MOST_CATEGORIES:
+            raise InputError(f"{c} has more than {MOST_CATEGORIES} categories")
         if len(counts) < 2:
             continue
         if isinstance(probs, dict):
@@ -270,26 +319,44 @@ def pram(
             order, t = sorted(counts), np.asarray(probs[c], float)
         else:
             order, t = transition_matrix(counts, probs, alpha, seed + i)
-        u, e = uniform(row, c, seed), F.lit(None).cast(df.schema[c].dataType)
-        steps = np.cumsum(t, axis=1)
-        for a, name in enumerate(order):
-            pick = F.lit(order[-1])
-            for b in reversed(range(len(order) - 1)):
-                pick = F.when(u < float(steps[a, b]), F.lit(order[b])).otherwise(pick)
-            e = F.when(F.col(c) == F.lit(name), pick).otherwise(e)
-        made[c] = e
+        kind = df.schema[c].dataType.simpleString()
+        # the chances up to each category but the last; the draw passes so many of them
+        table = df.sparkSession.createDataFrame([(name, steps.tolist()) for name, steps in zip(order, np.cumsum(t, axis=1)[:, :-1], strict=True)], f"_c{i} {kind}, _s{i} array<double>")
+        out = out.join(F.broadcast(table), F.col(c) == F.col(f"_c{i}"), "left")
+        passed = F.size(F.filter(f"_s{i}", lambda x, c=c: x <= uniform(F.col("_key"), c, seed)))
+        categories = df.sparkSession.createDataFrame([(order,)], f"_all{i} array<{kind}>")
+        out = out.crossJoin(F.broadcast(categories))  # one row
+        made[c] = F.when(F.col(c).isNotNull(), F.element_at(f"_all{i}", passed + 1))
     if not made:
         raise InputError("every column has one value at most")
-    return Mask(made).apply(df, output)
+    out = out.withColumns(made)
+    return out.select(*made) if output == "subset" else out.select(*df.columns)
+
+
+# The angles in degrees that the search leaves out.
+SKIPPED = (30, 45, 60, 90, 120, 135, 150, 180)
+
+
+def rotation(p: int, degrees: float) -> np.ndarray:
+    """The product of the rotations by one angle in the planes of every two axes, in order."""
+    turn, a = np.eye(p), math.radians(degrees)
+    for i, j in combinations(range(p), 2):
+        plane = np.eye(p)
+        plane[i, i] = plane[j, j] = math.cos(a)
+        plane[i, j], plane[j, i] = -math.sin(a), math.sin(a)
+        turn = turn @ plane
+    return turn
 
 
 def geometric(
     df: DataFrame, perturb_cols: Sequence[str] | str | None = None, sensitive_col: str | None = None, magnitude: float = 0.3,
-    seed: int = 1234, key: str | list[str] | None = None, output: str = "all",
+    shuffle: bool = False, seed: int = 1234, key: str | list[str] | None = None, output: str = "all",
 ) -> DataFrame:
     """Standardise, reflect, move, rotate by the angle and axis that hide each column best, expand, and scale back.
 
     The search is over p x p matrices of correlations on the driver; the mask is one linear combination per column.
+    ``shuffle`` moves the perturbed columns, and the sensitive one, together to other rows: each row takes those of the
+    row whose place by a keyed draw is its own place in the order of the keys (a unique ``key`` is needed for that).
     """
     names = [c for c in chosen(df, perturb_cols) if c != sensitive_col]
     if sensitive_col is not None and sensitive_col not in df.columns:
@@ -303,19 +370,11 @@ def geometric(
     names, mean, cov = [names[i] for i in keep], mean[keep], cov[np.ix_(keep, keep)]
     sd = np.sqrt(np.diag(cov))
     corr, p, best = cov / np.outer(sd, sd), len(names), None
-    for axis in range(p):
-        flip = np.eye(p)
-        flip[axis, axis] = -1
-        for degrees in range(1, 180):
-            if degrees in (30, 45, 60, 90, 120, 135, 150):
-                continue
-            turn, a = np.eye(p), math.radians(degrees)
-            for i in range(p - 1):
-                plane = np.eye(p)
-                plane[i, i] = plane[i + 1, i + 1] = math.cos(a)
-                plane[i, i + 1], plane[i + 1, i] = -math.sin(a), math.sin(a)
-                turn = turn @ plane
-            t = turn @ flip
+    for degrees in (d for d in range(1, 181) if d not in SKIPPED):
+        turn = rotation(p, degrees)
+        for axis in range(p):
+            t = turn.copy()
+            t[:, axis] *= -1
             gap = np.eye(p) - t
             privacy = np.diag(gap @ corr @ gap.T).min()  # variance of what a column differs from itself by
             if best is None or privacy > best[0]:
@@ -327,4 +386,12 @@ def geometric(
     for i, c in enumerate(names):
         y = sum((z[j] * float(t[i, j]) for j in range(p)), F.lit(float(t[i] @ move)))
         made[c] = (y + F.sign(y) * uniform(row, c, seed) * abs(magnitude)) * float(sd[i]) + float(mean[i])
-    return Mask(made).apply(df, output, False)
+    if not shuffle:
+        return Mask(made).apply(df, output, False)
+    if key is None:
+        raise InputError("rows are shuffled by their key")
+    moved = [*names, *([sensitive_col] if sensitive_col is not None else [])]
+    masked = Mask(made).apply(df, "all", False).withColumn("_key", row)
+    taken = with_position(masked.select("_key", *[F.col(c).alias(f"_m_{c}") for c in moved]), [uniform(F.col("_key"), "place", seed), F.col("_key")]).drop("_key")
+    out = with_position(masked, [F.col("_key")]).join(taken, "_pos").withColumns({c: F.col(f"_m_{c}") for c in moved})
+    return out.select(*names) if output == "subset" else out.select(*df.columns)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.core import chosen, with_groups
+from veilwork.core import checkpointed, chosen, with_groups, with_running
 from veilwork.errors import InputError, NotInRangeError
 
 
@@ -77,12 +77,49 @@ def is_l_diverse(df: DataFrame, sensitive_col: str, L: float = 2, method: str =
     return least is not None and least >= (L if method == "distinct" else math.log(L)) - 1e-12
 
 
-def closeness_classes(df: DataFrame, sensitive_col: str, datatype: str = "numeric", quasi: Sequence[str] | str | None = None) -> DataFrame:
+def _ordered_distances(counts: DataFrame, marginal: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The classes' ordered distances for a domain of any size: prefix sums in global orders and joins by value.
+
+    Let Q(j) be the table's share up to the j-th value, S(x) the sum of Q below x, and f(p, x) the sum of ``|p - Q(j)|``
+    over j below x. A class whose share is p before and r after its value at x has ``f(p, x) - f(r, x)`` there; the sum
+    of these and f(1, m) is its distance. f needs the number of values with Q below p, and their S: running sums over
+    the values and the shares in one order.
+    """
+    laid = with_running(marginal, [F.col("_s")], {"_n": F.col("_g"), "_j": F.lit(1).cast("long")}).drop("_j_all")
+    laid = laid.withColumn("_q", (F.col("_n") + F.col("_g")) / F.col("_n_all"))
+    laid = checkpointed(with_running(laid, [F.col("_s")], {"_sum": F.col("_q")}).select("_s", "_j", "_q", "_sum", "_sum_all"))
+    m, s_all = laid.agg(F.count(F.lit(1)), F.max("_sum_all")).first()
+    # a class's rows lie together in one order, so its running counts are the order's less those at its first row
+    rows = checkpointed(with_running(counts, [F.col(k) for k in keys] + [F.col("_s")], {"_before": F.col("_c")}).drop("_before_all"))
+    first = rows.groupBy(*keys).agg(F.min("_before").alias("_first"))
+    rows = rows.join(first, list(keys)).join(sizes, list(keys)).withColumn("_before", F.col("_before") - F.col("_first"))
+    rows = checkpointed(rows.select(*keys, "_s", "rows", (F.col("_before") / F.col("rows")).alias("_p"), ((F.col("_before") + F.col("_c")) / F.col("rows")).alias("_r")))
+    shares = rows.select(F.col("_p").alias("_q")).union(rows.select("_r")).distinct()
+    both = laid.select("_q", F.lit(1).alias("_kind")).unionByName(shares.withColumn("_kind", F.lit(0)))
+    value = F.col("_kind") == 1
+    cuts = with_running(both, [F.col("_q"), F.col("_kind")], {"_cut": F.when(value, 1).otherwise(0).cast("long"), "_below": F.when(value, F.col("_q")).otherwise(0.0)})
+    cuts = checkpointed(cuts.filter("_kind = 0").select("_q", "_cut", "_below"))
+
+    def f(share: str, side: str) -> Column:
+        p, cut, below, x, s = F.col(share), F.col(f"{side}._cut"), F.col(f"{side}._below"), F.col("_j"), F.col("_sum")
+        return F.when(x <= cut, p * x - s).otherwise(p * cut - below + (s - below) - p * (x - cut))
+
+    at = rows.join(laid.select("_s", "_j", "_sum"), "_s")
+    at = at.join(cuts.alias("a"), F.col("_p") == F.col("a._q")).join(cuts.alias("b"), F.col("_r") == F.col("b._q"))
+    total = F.sum(f("_p", "a") - f("_r", "b")) + (m - 1 - (s_all or 0.0) + 1)
+    emd = F.greatest(total, F.lit(0.0)) / (m - 1) if m > 1 else F.lit(0.0)
+    return at.groupBy(*keys, "rows").agg(emd.alias("emd"))
+
+
+def closeness_classes(
+    df: DataFrame, sensitive_col: str, datatype: str = "numeric", quasi: Sequence[str] | str | None = None, most: int = 100_000,
+) -> DataFrame:
     """Per class: its key columns, ``rows`` and ``emd``, the distance of its values from those of the whole table.
 
     Categories: half the sum of differences, from the values present and the mass of the absent ones. Numbers: ordered
     distance over the m distinct values. Between two values of a class its cumulative share is constant and the table's
-    is monotone, so prefix sums give each stretch's part; a class costs its own values, never the whole domain.
+    is monotone, so prefix sums give each stretch's part; a class costs its own values, never the whole domain. Up to
+    ``most`` distinct values go to every task; beyond, the same sums are made by global orders and joins.
     """
     if datatype not in ("numeric", "categorical"):
         raise ValueError(f"unknown datatype {datatype}")
@@ -98,7 +135,12 @@ def closeness_classes(df: DataFrame, sensitive_col: str, datatype: str = "numeri
         both = counts.join(marginal, "_s").join(sizes, keys)
         p = F.col("_c") / F.col("rows")
         return both.groupBy(*keys, "rows").agg((0.5 * (F.sum(F.abs(p - F.col("_q"))) + 1 - F.sum("_q"))).alias("emd"))
-    domain = marginal.orderBy("_s").collect()  # the distinct values of a sensitive column: the metric's own table
+    if not keys:
+        raise InputError("classes need a column besides the sensitive one")
+    domain = marginal.limit(most + 1).collect()
+    if len(domain) > most:
+        return _ordered_distances(checkpointed(counts), marginal, sizes, keys)
+    domain.sort()
     m, g = len(domain), np.array([r[1] for r in domain], float)
     q = np.cumsum(g) / g.sum() if m else g
     ahead = np.concatenate([[0.0], np.cumsum(q)])
@@ -120,8 +162,6 @@ def closeness_classes(df: DataFrame, sensitive_col: str, datatype: str = "numeri
         emd = float((below + above).sum() / (len(values) - 1)) if len(values) > 1 else 0.0
         return pd.DataFrame({**{c: rows_[c].iloc[:1] for c in keys}, "rows": [n], "emd": [emd]})
 
-    if not keys:
-        raise InputError("classes need a column besides the sensitive one")
     return counts.groupBy(*keys).applyInPandas(distance, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", rows bigint, emd double")
 
 

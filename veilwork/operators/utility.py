@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilwork.core import number
+from veilwork.core import number, with_running
 from veilwork.errors import InputError
 from veilwork.plans import encode, models
 
@@ -100,9 +99,14 @@ def unused_name(cols: Sequence[str], prefix: str = "class") -> str:
 
 
 def roc_points(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """``(threshold, tpr, fpr)`` for a plot, from counts per distinct score."""
+    """``(threshold, tpr, fpr)`` for a plot, from counts per distinct score, added up from the highest in a global order."""
     counts = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count(F.lit(1)).cast("double").alias("_n"))
-    order, all_ = W.orderBy(F.desc("threshold")), W.partitionBy()
-    tp, n = F.sum("_p").over(order), F.sum("_n").over(order)
-    total_p, total_n = F.sum("_p").over(all_), F.sum("_n").over(all_)
-    return counts.select("threshold", (tp / total_p).alias("tpr"), ((n - tp) / (total_n - total_p)).alias("fpr"))
+    laid = with_running(counts, [F.desc("threshold")], {"_tp": F.col("_p"), "_all": F.col("_n")})
+    tp, n = F.col("_tp") + F.col("_p"), F.col("_all") + F.col("_n")
+    return laid.select("threshold", (tp / F.col("_tp_all")).alias("tpr"), ((n - tp) / (F.col("_all_all") - F.col("_tp_all"))).alias("fpr"))
+
+
+def risk_utility_pairs(log: DataFrame, risk: str, utility: str) -> DataFrame:
+    """``(step, risk, utility)`` of a search's log, for a plot: the values of two of its metrics at each step without an error."""
+    good = log.filter("error_log is null")
+    return good.select("step", F.col(risk)["value"].alias("risk"), F.col(utility)["value"].alias("utility"))

@@ -24,17 +24,21 @@ def label_encode_both(a: DataFrame, b: DataFrame, sensitive_col: str | None = No
     """Both tables with every column that isn't a number as codes of the values of both, columns in their order."""
     if set(a.columns) != set(b.columns):
         raise InputError("the tables have different columns")
-    out = [a, b.select(*a.columns)]
-    for c in a.columns:
-        if is_numeric(a, c) or c == sensitive_col and not encode_sensitive:
-            continue
-        codes = label_codes(a.select(c).union(b.select(c)), c)
-        out = [t.join(codes, F.coalesce(t[c].cast("string"), F.lit("None")) == codes["_v"]).withColumn(c, F.col("_code")).drop("_v", "_code") for t in out]
-    return out[0].select(*a.columns), out[1].select(*a.columns)
+    cols = [c for c in a.columns if not (c == sensitive_col and not encode_sensitive)]
+    return encode_columns(a, cols, a.unionByName(b)), encode_columns(b.select(*a.columns), cols, a.unionByName(b))
+
+
+def encode_columns(df: DataFrame, cols: Sequence[str], values: DataFrame | None = None) -> DataFrame:
+    """The table with those of ``cols`` that aren't numbers as codes of the values of ``values`` (its own if none)."""
+    out = df
+    for c in (c for c in cols if not is_numeric(df, c)):
+        codes = label_codes(df if values is None else values, c)
+        out = out.join(codes, F.coalesce(out[c].cast("string"), F.lit("None")) == codes["_v"]).withColumn(c, F.col("_code")).drop("_v", "_code")
+    return out.select(*df.columns)
 
 
 def label_encode(df: DataFrame) -> DataFrame:
-    return label_encode_both(df, df.limit(0))[0]
+    return encode_columns(df, df.columns)
 
 
 def column_kinds(df: DataFrame, share: float = 0.75, length: int = 200) -> dict[str, str]:
@@ -55,17 +59,19 @@ def column_kinds(df: DataFrame, share: float = 0.75, length: int = 200) -> dict[
     return out
 
 
-def category_vectors(df: DataFrame, col: str, sensitive_col: str, size: int = 6) -> dict[str, np.ndarray]:
+def category_vectors(df: DataFrame, col: str, sensitive_col: str, size: int = 6, most: int = 1_000_000) -> dict[str, np.ndarray]:
     """A vector per category: the leading singular directions of its standardised counts beside the sensitive values.
 
-    The table of counts (categories x sensitive values) is what the driver gets; it is as small as those are few.
+    The table of counts (categories x sensitive values) is what the driver gets; more than ``most`` cells are an error.
     Deterministic, and distinct categories get distinct vectors: the last component holds the category's share.
     """
-    counts = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("None")).alias("a"), F.col(sensitive_col).cast("string").alias("b")).count().collect()
-    names, classes = sorted({r.a for r in counts}), sorted({r.b or "" for r in counts})
+    counts = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("None")).alias("a"), F.col(sensitive_col).cast("string").alias("b")).count().limit(most + 1).collect()
+    names, classes = ({v: i for i, v in enumerate(sorted(found))} for found in ({r.a for r in counts}, {r.b or "" for r in counts}))
+    if len(names) * len(classes) > most:
+        raise InputError(f"{col} has too many categories to be embedded beside {sensitive_col}")
     t = np.zeros((len(names), len(classes)))
     for r in counts:
-        t[names.index(r.a), classes.index(r.b or "")] += r["count"]
+        t[names[r.a], classes[r.b or ""]] += r["count"]
     rows, cols = t.sum(axis=1, keepdims=True), t.sum(axis=0, keepdims=True)
     z = (t - rows @ cols / t.sum()) / np.sqrt(rows @ cols / t.sum() + 1e-12)
     u, s, _ = np.linalg.svd(z, full_matrices=False)

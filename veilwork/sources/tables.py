@@ -56,11 +56,13 @@ def t_close_table(spark: SparkSession, sensitive: Sequence[object], columns: int
     return spark.createDataFrame(made, ", ".join(f"col_{i} string" for i in range(columns)) + f", sensitive {kind}")
 
 
-def change_categories(df: DataFrame, col: str, p: float, key: str | None = None, seed: int = 1234) -> DataFrame:
-    """Exactly ``int(n p)`` cells, the first by a keyed order, get another of the column's categories."""
+def change_categories(df: DataFrame, col: str, p: float, key: str | None = None, seed: int = 1234, most: int = 10_000) -> DataFrame:
+    """Exactly ``int(n p)`` cells, the first by a keyed order, get another of the column's categories (``most`` at most)."""
     if not 0 <= p <= 1:
         raise NotInRangeError("p lies between 0 and 1")
-    names = [r[0] for r in df.select(col).distinct().orderBy(col).collect()]  # the column's categories, which are few
+    names = sorted((r[0] for r in df.select(col).distinct().limit(most + 1).collect()), key=lambda v: (v is not None, v))
+    if len(names) > most:
+        raise InputError(f"more than {most} categories")
     if len(names) < 2:
         raise InputError("one category can't change")
     row, n = row_key(df, key), int(df.count() * p)
