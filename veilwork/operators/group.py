@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilwork.core import chosen, is_numeric, number, with_groups, with_position, with_ranks
+from veilwork.core import checkpointed, chosen, is_numeric, number, with_groups, with_position, with_ranks, with_running
 from veilwork.errors import InputError, LessThanOrEqualToZeroError, NotInRangeError
 from veilwork.functions.keyed import normal
 from veilwork.operators.noise import moments
@@ -223,13 +223,14 @@ def normal_quantile(p: Column) -> Column:
 
 def shuffle(
     df: DataFrame, shuffle_cols: Sequence[str] | str, cor_cols: Sequence[str] | str | None = None, cor_method: str = "spearman",
-    seed: int = 1234, key: str | None = None, output: str = "all",
+    seed: int = 1234, key: str | None = None, output: str = "all", scores: bool = False,
 ) -> DataFrame:
     """Re-assign each column's own values in the rank order of scores drawn given the other columns.
 
     Normal scores of the predictors, the correlations (``2 sin(pi r / 6)``) and keyed noise give scores for the shuffled
     columns; the k-th smallest value goes to the row with the k-th smallest score. Every column keeps its values, each
-    as often as before. Two range-partitioned orders and one join on the place per column.
+    as often as before. Two range-partitioned orders and one join on the place per column. ``scores`` keeps the drawn
+    scores as ``score_<column>``. Correlations are spearman, pearson or kendall.
     """
     targets = chosen(df, shuffle_cols)
     predictors = [c for c in df.columns if c not in targets and is_numeric(df, c)] if cor_cols is None else chosen(df, cor_cols)
@@ -237,8 +238,8 @@ def shuffle(
         raise InputError("a column is shuffled and a predictor at once")
     if odd := [c for c in targets + predictors if not is_numeric(df, c)]:
         raise InputError(f"not numeric: {', '.join(odd)}")
-    if cor_method not in ("spearman", "pearson"):
-        raise InputError("known correlations: spearman, pearson")
+    if cor_method not in ("spearman", "pearson", "kendall"):
+        raise InputError("known correlations: spearman, pearson, kendall")
     out = with_id(df, key)
     scored = out.select("_rid", *[number(c).alias(c) for c in targets + predictors])
     n = scored.count()
@@ -246,9 +247,11 @@ def shuffle(
         ranked = with_ranks(scored, c)
         middle = F.col("_r_n") + (F.col("_r_c") + 1) / 2
         scored = ranked.withColumn(f"_k_{c}", middle).withColumn(f"_s_{c}", normal_quantile((middle - 0.5) / n)).drop("_r_n", "_r_c", "_r_d")
-    basis = [f"_k_{c}" if cor_method == "spearman" else c for c in targets + predictors]
+    basis = [c if cor_method == "pearson" else f"_k_{c}" for c in targets + predictors]
     _, _, cov = moments(scored, basis)
     sd, t = np.sqrt(np.diag(cov)), len(targets)
+    if cor_method == "kendall":
+        cov = kendall_matrix(scored, targets + predictors) * np.outer(sd, sd)
     keep = [i for i in range(t, len(basis)) if sd[i] > 0]
     if not keep or not np.all(sd[:t] > 0):
         raise InputError("the columns have one value only")
@@ -262,12 +265,54 @@ def shuffle(
     for i, c in enumerate(targets):
         y = sum((F.col(f"_s_{names[j]}") * float(b[i, k]) for k, j in enumerate(keep)), F.lit(0.0))
         y = y + sum((z[k] * float(root[i, k]) for k in range(t)), F.lit(0.0))
-        places = with_position(scored.select("_rid", y.alias("_y")), [F.col("_y"), F.col("_rid")])
+        places = with_position(scored.select("_rid", y.alias("_y")), [F.col("_y"), F.col("_rid")]).withColumnRenamed("_y", f"score_{c}")
         sorted_values = with_position(out.select(F.col(c).alias("_v"), F.col("_rid").alias("_o")), [F.col("_v"), F.col("_o")])
-        new = places.join(sorted_values, "_pos").select("_rid", F.col("_v").alias(f"_new_{c}"))
+        new = places.join(sorted_values, "_pos").select("_rid", F.col("_v").alias(f"_new_{c}"), *[f"score_{c}"] * scores)
         out = out.join(new, "_rid")
     out = out.withColumns({c: F.col(f"_new_{c}") for c in targets})
-    return _output(out, targets, df.columns, output)
+    more = [f"score_{c}" for c in targets] if scores else []
+    return _output(out, targets + more, df.columns + more, output)
+
+
+def kendall_matrix(df: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Kendall's tau-b of every two columns, over rows where both are there."""
+    out = np.eye(len(names))
+    for i in range(len(names)):
+        for j in range(i):
+            out[i, j] = out[j, i] = kendall(df, names[i], names[j])
+    return out
+
+
+def kendall(df: DataFrame, a: str, b: str) -> float:
+    """Kendall's tau-b of two columns: concordant less discordant pairs, over the pairs that aren't tied.
+
+    Rows are laid by ``a`` and get their rank by ``b``. Bit by bit of that rank, from the top, the rows that agree on
+    the higher bits are split in two, and a pair is discordant at the bit where it parts, if the one with the bit unset
+    comes later. So each bit takes a running count over the rows, never a pair of rows.
+    """
+    rows = df.select(number(a).alias("x"), number(b).alias("y")).dropna()
+    pairs = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    ranked = checkpointed(with_ranks(with_ranks(pairs, "x", "_a_"), "y", "_b_").select("n", F.col("_a_d").alias("x"), F.col("_b_d").alias("y")))
+    n, bits = ranked.agg(F.sum("n"), F.max("y")).first()
+    half = lambda k: F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias(k)
+    if not n or n < 2:
+        return 0.0
+    tied_a = ranked.groupBy("x").agg(F.sum("n").alias("n")).agg(half("t")).first()[0]
+    tied_b = ranked.groupBy("y").agg(F.sum("n").alias("n")).agg(half("t")).first()[0]
+    both = ranked.agg(half("t")).first()[0]
+    discordant = 0.0
+    for bit in range(int(bits).bit_length()):
+        # rows of equal x don't make a pair: with y descending inside an x, a set bit never comes before an unset one
+        order = [F.shiftright("y", bit + 1), F.col("x"), F.col("y").bitwiseAND(F.lit(1 << bit))]
+        one = F.when(F.col("y").bitwiseAND(F.lit(1 << bit)) != 0, F.col("n")).otherwise(0)
+        laid = with_running(ranked, order, {"_ones": one}).withColumn("_head", F.shiftright("y", bit + 1))
+        first = laid.groupBy("_head").agg(F.min("_ones").alias("_start"))
+        late = laid.join(first, "_head").filter(F.col("y").bitwiseAND(F.lit(1 << bit)) == 0)
+        discordant += late.agg(F.sum(F.col("n").cast("double") * (F.col("_ones") - F.col("_start")))).first()[0] or 0.0
+    total = n * (n - 1) / 2
+    concordant = total - tied_a - tied_b + both - discordant
+    scale = np.sqrt((total - tied_a) * (total - tied_b))
+    return float((concordant - discordant) / scale) if scale else 0.0
 
 
 def shuffle_by_model(*_: object, **__: object) -> DataFrame:

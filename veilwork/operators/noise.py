@@ -323,7 +323,8 @@ def pram(
         # the chances up to each category but the last; the draw passes so many of them
         table = df.sparkSession.createDataFrame([(name, steps.tolist()) for name, steps in zip(order, np.cumsum(t, axis=1)[:, :-1], strict=True)], f"_c{i} {kind}, _s{i} array<double>")
         out = out.join(F.broadcast(table), F.col(c) == F.col(f"_c{i}"), "left")
-        passed = F.size(F.filter(f"_s{i}", lambda x, c=c: x <= uniform(F.col("_key"), c, seed)))
+        out = out.withColumn(f"_u{i}", uniform(F.col("_key"), c, seed))
+        passed = F.size(F.expr(f"filter(_s{i}, x -> x <= _u{i})"))
         categories = df.sparkSession.createDataFrame([(order,)], f"_all{i} array<{kind}>")
         out = out.crossJoin(F.broadcast(categories))  # one row
         made[c] = F.when(F.col(c).isNotNull(), F.element_at(f"_all{i}", passed + 1))

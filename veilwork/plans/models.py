@@ -9,13 +9,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.core import is_numeric
 from veilwork.errors import InputError
+from veilwork.plans.cache import kept
 
 CLASSIFIERS = ("logreg", "rfclass", "tpotclass")
 REGRESSORS = ("larscv", "encv", "rfreg", "tpotreg")
@@ -44,8 +45,11 @@ def _estimator(method: str, label: str, seed: int, folds: int):  # noqa: ANN202
     if method == "tpotclass":  # the best of several kinds, by a held-out part
         stages = [RandomForestClassifier(**args, numTrees=40, maxDepth=12, seed=seed, maxBins=64), LogisticRegression(**args), GBTClassifier(**args, maxIter=20, seed=seed, maxBins=64)]
         return stages, TrainValidationSplit(evaluator=_f1(label), trainRatio=0.8, seed=seed)
-    if method == "rfreg" or method == "tpotreg":
+    if method == "rfreg":
         return RandomForestRegressor(**args, numTrees=50, maxDepth=10, seed=seed, maxBins=64)
+    if method == "tpotreg":
+        stages = [RandomForestRegressor(**args, numTrees=40, maxDepth=12, seed=seed, maxBins=64), LinearRegression(**args, regParam=1e-3), GBTRegressor(**args, maxIter=20, seed=seed, maxBins=64)]
+        return stages, TrainValidationSplit(evaluator=RegressionEvaluator(labelCol=label), trainRatio=0.8, seed=seed)
     model = LinearRegression(**args, elasticNetParam=1.0 if method == "larscv" else 0.5)
     grid = ParamGridBuilder().addGrid(model.regParam, [1e-4, 1e-2, 0.1]).build()
     return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=seed)
@@ -55,16 +59,34 @@ def _f1(label: str) -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
 
 
-def train(df: DataFrame, features: Sequence[str], label: str, method: str = "logreg", seed: int = 1234, folds: int = 3) -> PipelineModel:
-    """A pipeline from columns to predictions; the label is indexed by its sorted values for classifiers."""
+def _best(models: Sequence, split: TrainValidationSplit, data: DataFrame):  # noqa: ANN202
+    """Of several kinds of models, the best on a held-out part, fitted on all rows."""
+    tried = [split.copy().setEstimator(m).setEstimatorParamMaps([{}]).fit(data) for m in models]
+    sign = 1 if split.getEvaluator().isLargerBetter() else -1
+    return max(tried, key=lambda m: sign * m.validationMetrics[0]).bestModel
+
+
+def train(
+    df: DataFrame, features: Sequence[str], label: str, method: str = "logreg", seed: int = 1234, folds: int = 3,
+    cache: str | None = None, retrain: bool = False,
+) -> PipelineModel:
+    """A pipeline from columns to predictions; the label is indexed by its sorted values for classifiers.
+
+    With a folder ``cache`` the model is saved there, and loaded when the same rows, columns and options come again.
+    """
     check(method)
+    if cache is not None:
+        make = lambda: train(df, features, label, method, seed, folds)
+        return kept(cache, method, df.select(*features, label), make, retrain=retrain, facts=(label, seed, folds))
     target = "_y"
     index = StringIndexer(inputCol="_label_text", outputCol=target, stringOrderType="alphabetAsc", handleInvalid="keep")
     rows = df.withColumn("_label_text", F.lpad(F.col(label).cast("double").cast("decimal(38,6)").cast("string"), 40, "0"))
     join = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     if method in REGRESSORS:
-        rows = rows.withColumn(target, F.col(label).cast("double"))
-        return Pipeline(stages=[join, _estimator(method, target, seed, folds)]).fit(rows)
+        data = join.transform(rows.withColumn(target, F.col(label).cast("double")))
+        made = _estimator(method, target, seed, folds)
+        best = _best(*made, data) if isinstance(made, tuple) else made.fit(data)
+        return PipelineModel(stages=[join, best.bestModel if hasattr(best, "bestModel") else best])
     prepared = Pipeline(stages=[index, join]).fit(rows)
     data = prepared.transform(rows)
     made = _estimator(method, target, seed, folds)
@@ -72,8 +94,7 @@ def train(df: DataFrame, features: Sequence[str], label: str, method: str = "log
         stages, split = made
         if data.select(target).distinct().count() > 2:
             stages = stages[:2]
-        tried = [split.copy().setEstimator(m).setEstimatorParamMaps([{}]).fit(data) for m in stages]
-        best = max(tried, key=lambda m: m.validationMetrics[0]).bestModel
+        best = _best(stages, split, data)
     else:
         best = made.fit(data)
         best = best.bestModel if hasattr(best, "bestModel") else best

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections.abc import Callable, Sequence
 
@@ -9,10 +11,10 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.core import is_numeric, row_key
+from veilwork.core import is_numeric, row_key, with_position
 from veilwork.functions.keyed import uniform
 from veilwork.functions.stats import binomial_tail, t_p_value
 from veilwork.operators.noise import moments
@@ -39,27 +41,44 @@ def _forest(rows: DataFrame, features: Sequence[str], classes: bool, trees: int,
 
 def _quality(model, rows: DataFrame, features: Sequence[str], classes: bool) -> float:  # noqa: ANN001
     out = model.transform(VectorAssembler(inputCols=list(features), outputCol="_f").transform(rows))
-    right = F.avg((F.col("prediction") == F.col("_y")).cast("double")) if classes else -F.avg(F.pow(F.col("prediction") - F.col("_y"), 2))
-    return out.agg(right).first()[0] or 0.0
+    return out.agg(_right(classes)).first()[0] or 0.0
 
 
-def forest_scores(rows: DataFrame, features: Sequence[str], classes: bool, trees: int = 60, repeats: int = 3, seed: int = 1234) -> dict[str, tuple[float, str]]:
-    """Impurity importance, and yes where mixing the column's values makes held-out predictions worse on average."""
+def _right(classes: bool) -> Column:
+    """Share of right classes, or the negative mean squared error."""
+    return F.avg((F.col("prediction") == F.col("_y")).cast("double")) if classes else -F.avg(F.pow(F.col("prediction") - F.col("_y"), 2))
+
+
+def permuted(placed: DataFrame, features: Sequence[str], n: int, seed: int) -> DataFrame:
+    """Rows with a ``_pos`` from 0 to n - 1, each beside the features of another row (prefixed with ``_other_``).
+
+    Row i meets row ``(a i + b) mod n`` with a and n without a common divisor: a permutation, found by one join.
+    """
+    rng = random.Random(seed)
+    a, b = next(x for x in iter(lambda: rng.randrange(max(1, n // 3), n + 1), None) if math.gcd(x, n) == 1), rng.randrange(n)
+    others = placed.select(F.pmod(F.col("_pos") * a + b, F.lit(n)).alias("_pos"), *[F.col(c).alias(f"_other_{c}") for c in features])
+    return placed.join(others, "_pos")
+
+
+def forest_scores(rows: DataFrame, features: Sequence[str], classes: bool, trees: int = 60, repeats: int = 10, seed: int = 1234) -> dict[str, tuple[float, str]]:
+    """Impurity importance, and yes where permuting the column makes held-out predictions worse on average.
+
+    Each repeat is one permutation of the held-out rows; every column in turn takes its values from the other row, all
+    of them in one pass.
+    """
     held = F.pmod(F.xxhash64(F.lit(seed), *features, "_y"), F.lit(4)) == 0
-    train, test = rows.filter(~held), rows.filter(held).cache()
-    model = _forest(train, features, classes, trees, seed)
-    base, out = _quality(model, test, features, classes), {}
-    stats = test.agg(*[F.percentile_approx(c, [i / 20 for i in range(21)], 1000).alias(c) for c in features]).first()
-    for c, weight in zip(features, model.featureImportances.toArray(), strict=True):
-        drops = []
-        for r in range(repeats):
-            # a keyed draw from the column's own quantiles: the column without its tie to the row
-            u = uniform(row_key(test, None), c, seed + r)
-            pick = F.element_at(F.array(*map(F.lit, stats[c] or [0.0])), F.floor(u * len(stats[c] or [0.0])).cast("int") + 1)
-            drops.append(base - _quality(model, test.withColumn(c, pick), features, classes))
-        out[c] = float(weight), "yes" if np.mean(drops) > 0 else "no"
-    test.unpersist()
-    return out
+    test = with_position(rows.filter(held), [F.xxhash64(F.lit(seed), *features, "_y")])
+    model = _forest(rows.filter(~held), features, classes, trees, seed)
+    n, base = test.count(), _quality(model, test, features, classes)
+    drops: dict[str, list[float]] = {c: [0.0] for c in features}
+    for r in range(repeats if n > 1 else 0):
+        mixed = permuted(test, features, n, seed + r)
+        ways = F.explode(F.array(*[F.struct(F.lit(c).alias("way"), *[F.col(f"_other_{f}" if f == c else f).alias(f) for f in features]) for c in features]))
+        made = mixed.select("_y", ways.alias("_w")).select("_y", "_w.*")
+        out = model.transform(VectorAssembler(inputCols=list(features), outputCol="_f").transform(made))
+        for c, quality in out.groupBy("way").agg(_right(classes)).collect():
+            drops[c].append(base - quality)
+    return {c: (float(w), "yes" if np.mean(drops[c]) > 0 else "no") for c, w in zip(features, model.featureImportances.toArray(), strict=True)}
 
 
 def boruta_scores(rows: DataFrame, features: Sequence[str], classes: bool, trees: int = 60, rounds: int = 8, seed: int = 1234) -> dict[str, tuple[float, str]]:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import copy
 import inspect
+import json
 import math
 import random
 from collections.abc import Callable, Sequence
 from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilwork.core import checkpointed
+from veilwork.plans.cache import content
 from veilwork.errors import (
+    InputError,
     LessThanOrEqualToZeroError,
     LessThanZeroError,
     NoMutationAvailableError,
@@ -42,11 +44,6 @@ def _shares(items: Sequence[dict], name: str, digits: int | None) -> list[float]
     return list(map(float, given))
 
 
-def content(df: DataFrame) -> tuple:
-    """Order-insensitive content: row count and sum of row hashes."""
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
-
-
 class Logbook:
     """Rows of a search: fitness, mask, metric values with weights, headers; a DataFrame at the end."""
 
@@ -58,8 +55,8 @@ class Logbook:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         names = list(dict.fromkeys(n for r in self.rows for n, v in r.items() if isinstance(v, tuple)))
-        rows = [(float(r["fitness"]), r["mut_log"], *[r.get(n) for n in names], *[None if r[h] is None else float(r[h]) for h in self.headers], r["error_log"]) for r in self.rows]
-        kind = "fitness double, mut_log string" + "".join(f", `{n}` struct<value: double, weight: double>" for n in names) + "".join(f", {h} double" for h in self.headers) + ", error_log string"
+        rows = [(i, float(r["fitness"]), r["mut_log"], *[r.get(n) for n in names], *[None if r[h] is None else float(r[h]) for h in self.headers], r["error_log"]) for i, r in enumerate(self.rows)]
+        kind = "step int, fitness double, mut_log string" + "".join(f", `{n}` struct<value: double, weight: double>" for n in names) + "".join(f", {h} double" for h in self.headers) + ", error_log string"
         return spark.createDataFrame(rows, kind)
 
 
@@ -265,6 +262,7 @@ class ExhaustiveSearch(Search):
                 head = order[: k + 1]
                 if head not in known:
                     made, mutation, error = self.mutate(current, self.mutations[order[k]])
+                    made = checkpointed(made) if len(order) - len(head) > 1 else made  # two orders or more go on from it
                     known[head] = (made, mutation, error, *self.evaluate(made))
                 current, mutation, error, fitness, found, failed = known[head]
                 last, steps = current, steps + 1
@@ -275,6 +273,25 @@ class ExhaustiveSearch(Search):
         return best if self.return_best else last
 
 
+KINDS = {"iterative": IterativeSearch, "incremental": IncrementalSearch, "stochastic": StochasticSearch, "exhaustive": ExhaustiveSearch}
+
+
+def from_config(target: DataFrame, config: dict | str, *more: dict | str, functions: dict[str, Callable] | None = None) -> list[Search]:
+    """Searches of a configuration: a dict, or a path to JSON that Spark can read; later ones replace sections of earlier ones.
+
+    ``mitigations`` and ``metrics`` are lists as of a search, by names in ``functions``; ``optimizations`` maps kinds
+    (iterative, incremental, stochastic, exhaustive) to their options.
+    """
+    sections: dict = {}
+    for part in (config, *more):
+        sections |= part if isinstance(part, dict) else json.loads("\n".join(r.value for r in target.sparkSession.read.text(part, wholetext=True).collect()))
+    if missing := {"mitigations", "metrics", "optimizations"} - set(sections):
+        raise InputError(f"the configuration lacks {', '.join(sorted(missing))}")
+    if odd := set(sections["optimizations"]) - set(KINDS):
+        raise InputError(f"unknown searches: {', '.join(sorted(odd))}")
+    return [KINDS[k](target, sections["mitigations"], sections["metrics"], functions=functions, **(options or {})) for k, options in sections["optimizations"].items()]
+
+
 def apply_and_evaluate(
     target: DataFrame, mutations: Sequence[dict], metrics: Sequence[dict], functions: dict[str, Callable] | None = None,
 ) -> tuple[DataFrame, float, DataFrame]:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.core import new_folder, with_position
+from veilwork.core import new_folder, with_position, with_ranks
 from veilwork.operators import group, noise, recode, risk, utility
-from veilwork.plans import encode, models, ranking, search, sensitivity
+from veilwork.plans import cache, encode, models, ranking, search, sensitivity
 from veilwork.sources import tables
 from veilwork.streaming import reports
 
@@ -31,6 +31,15 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.load_data(spark, f"{sf_dir}/{name}.parquet", "parquet")
 
 
+def _draw(key: str, name: str, seed: int, at: int = 0) -> str:
+    """SQL of a keyed draw."""
+    return f"((('0x' || substr(md5({key} || '|{name}|{seed}'), {1 + 13 * at}, 13))::bigint + 0.5::double) / 4503599627370496)"
+
+
+def _normal(key: str, name: str, seed: int) -> str:
+    return f"(sqrt(-2 * ln({_draw(key, name, seed)})) * cos(2 * pi() * {_draw(key, name, seed, 1)}))"
+
+
 def _one(spark: SparkSession, **values: object) -> DataFrame:
     return spark.createDataFrame([tuple(values.values())], list(values))
 
@@ -114,14 +123,38 @@ def mask_noise_restricted(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"))
 
 
-@query()
+@query(f"""with f as (select stddev_samp(c_acctbal) as s from customer)
+select c_custkey, round(c_acctbal + {_normal("c_custkey", "c_acctbal", 1234)} * 0.05::double * s, 6) as c_acctbal from customer, f""")
 def mask_noise_additive(spark: SparkSession, d: str) -> DataFrame:
-    return noise.add_noise(_t(spark, d, "customer"), "additive", key="c_custkey", cols="c_acctbal")
+    out = noise.add_noise(_t(spark, d, "customer"), "additive", key="c_custkey", cols="c_acctbal")
+    return out.select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"))
 
 
-@query()
+@query(f"""with f as (select stddev_samp(c_acctbal) as s, avg(c_acctbal) as m, sqrt(1 - 0.05::double ** 2) as d from customer)
+select c_custkey, round(c_acctbal * d + (1 - d) * m + {_normal("c_custkey", "c_acctbal", 1234)} * 0.05::double * s, 6) as c_acctbal from customer, f""")
+def mask_noise_centered(spark: SparkSession, d: str) -> DataFrame:
+    out = noise.add_noise(_t(spark, d, "customer"), "additive", centered=True, key="c_custkey", cols="c_acctbal")
+    return out.select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"))
+
+
+CORRELATED = """with f as (select var_samp({a}) * {w} as va, covar_samp({a}, {b}) * {w} as ab, var_samp({b}) * {w} as vb from {t}),
+r as (select sqrt(va) as r11, ab / sqrt(va) as r21, sqrt(vb - ab * ab / va) as r22 from f),
+z as (select {key} as k, {a} as a, {b} as b, {z0} as z0, {z1} as z1 from {t})
+"""
+
+
+@query(CORRELATED.format(a="p_size", b="p_retailprice", w="0.05::double", t="part", key="p_partkey", z0=_normal("p_partkey", "z0", 1234), z1=_normal("p_partkey", "z1", 1234))
+       + "select k as p_partkey, cast(trunc(a + z0 * r11) as int) as p_size, round(b + z0 * r21 + z1 * r22, 6) as p_retailprice from z, r")
 def mask_noise_correlated(spark: SparkSession, d: str) -> DataFrame:
-    return noise.add_noise(_t(spark, d, "part"), "correlated", key="p_partkey", cols=["p_size", "p_retailprice"])
+    out = noise.add_noise(_t(spark, d, "part"), "correlated", key="p_partkey", cols=["p_size", "p_retailprice"])
+    return out.select("p_partkey", "p_size", F.round("p_retailprice", 6).alias("p_retailprice"))
+
+
+@query(CORRELATED.format(a="s", b="x", w="0.0025::double", t="(select c_custkey, dense_rank() over (order by c_mktsegment) - 1 as s, c_acctbal as x from customer)", key="c_custkey", z0=_normal("c_custkey", "z0", 1234), z1=_normal("c_custkey", "z1", 1234))
+       + "select k as c_custkey, round(a + z0 * r11, 6) as c_mktsegment, round(b + z0 * r21 + z1 * r22, 6) as c_acctbal from z, r")
+def mask_noise_correlated_encoded(spark: SparkSession, d: str) -> DataFrame:
+    out = noise.add_noise(_t(spark, d, "customer"), "correlated", encode_non_numeric=True, key="c_custkey", cols=["c_mktsegment", "c_acctbal"])
+    return out.select("c_custkey", F.round("c_mktsegment", 6).alias("c_mktsegment"), F.round("c_acctbal", 6).alias("c_acctbal"))
 
 
 @query()
@@ -129,9 +162,25 @@ def mask_noise_outliers(spark: SparkSession, d: str) -> DataFrame:
     return noise.add_noise(_t(spark, d, "part"), "outliers", key="p_partkey", cols=["p_size", "p_retailprice"])
 
 
-@query()
+@query(f"""with c as (select list(distinct o_orderpriority order by o_orderpriority) as c from orders),
+u as (select o_orderkey, list_position(c, o_orderpriority) as place, c, {_draw("o_orderkey", "o_orderpriority", 1234)} as u from orders, c)
+select o_orderkey, c[1 + len(list_filter([1, 2, 3, 4], lambda j: (if(place <= j, j * 0.05::double + 0.75, j * 0.05::double) <= u)))] as o_orderpriority from u""")
+def mask_pram_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix that keeps a category with a chance of 0.8."""
+    chances = [[0.8 if i == j else 0.05 for j in range(5)] for i in range(5)]
+    out = noise.pram(_t(spark, d, "orders"), "o_orderpriority", "o_orderstatus", {"o_orderpriority": chances}, key="o_orderkey")
+    return out.select("o_orderkey", "o_orderpriority")
+
+
+@query("select o_orderpriority is not null as there, count(*) as rows, count(distinct o_orderpriority) as categories, true as near from orders group by 1")
 def mask_pram(spark: SparkSession, d: str) -> DataFrame:
-    return noise.pram(_t(spark, d, "orders"), "o_orderpriority", "o_orderstatus", key="o_orderkey")
+    """A drawn matrix keeps each category's expected frequency: within five deviations of a binomial number."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    out = noise.pram(o, "o_orderpriority", key="o_orderkey")
+    a, b = (t.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias(n)) for t, n in ((o, "a"), (out, "b")))
+    both = a.join(b, "o_orderpriority")
+    near = F.bool_and(F.abs(F.col("a") - F.col("b")) <= 5 * F.sqrt(F.col("a") + 1.0))
+    return both.groupBy(F.col("o_orderpriority").isNotNull().alias("there")).agg(F.sum("b").alias("rows"), F.count(F.lit(1)).alias("categories"), near.alias("near"))
 
 
 @query()
@@ -139,6 +188,17 @@ def mask_geometric(spark: SparkSession, d: str) -> DataFrame:
     return noise.geometric(_t(spark, d, "part"), ["p_size", "p_retailprice"], key="p_partkey")
 
 
+@query("select count(*) as rows, count(distinct p_partkey) as keys, true as moved, true as other_columns_stay from part")
+def mask_geometric_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    """With rows shuffled, the masked values are those of the mask, on other rows."""
+    p = _t(spark, d, "part")
+    a, b = (noise.geometric(p, ["p_size", "p_retailprice"], key="p_partkey", shuffle=s).select("p_partkey", "p_name", F.round("p_retailprice", 6).alias("v")) for s in (False, True))
+    same = a.groupBy("v").count().join(b.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "v", "full").filter("not (count <=> c)").count() == 0
+    both = b.alias("b").join(a.alias("a"), "p_partkey")
+    share = F.avg((F.col("a.v") != F.col("b.v")).cast("double")) > 0.9
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("p_partkey").alias("keys"), (share & F.lit(same)).alias("moved"), F.bool_and(F.col("a.p_name") == F.col("b.p_name")).alias("other_columns_stay"))
+
+
 # --- ranks and groups -------------------------------------------------------------------------------------------------
 
 
@@ -167,6 +227,22 @@ def mask_magg_ranking(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.round("p_size", 6).alias("p_size"))
 
 
+def _ranking(method: str, rank: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        part = _t(spark, d, "part").withColumn("p_size", F.col("p_size").cast("double"))
+        out = group.microaggregation(part, "ranking", aggr=5, rank_method=method, key="p_partkey", cols="p_size")
+        return out.select("p_partkey", F.round("p_size", 6).alias("p_size"))
+
+    run.__name__ = f"mask_magg_ranking_{method}"
+    query(f"""with r as (select p_partkey, cast(p_size as double) as x, row_number() over (order by p_size, p_partkey) - 1 as i, rank() over (order by p_size) - 1 as lo, count(*) over (partition by p_size) as c, dense_rank() over (order by p_size) - 1 as d from part),
+chunk as (select i // 5 as k, avg(x) as v from r group by 1)
+select p_partkey, round(v, 6) as p_size from r join chunk on cast({rank} as bigint) // 5 = k""")(run)
+
+
+for _method, _rank in (("first", "i"), ("max", "lo + c - 1"), ("average", "floor(lo + (c - 1) / 2)"), ("dense", "d")):
+    _ranking(_method, _rank)
+
+
 @query()
 def mask_magg_robust(spark: SparkSession, d: str) -> DataFrame:
     return group.microaggregation(_t(spark, d, "part"), "robust", aggr=3, key="p_partkey", cols=["p_size", "p_retailprice"])
@@ -177,11 +253,31 @@ def mask_magg_advanced(spark: SparkSession, d: str) -> DataFrame:
     return group.microaggregation(_t(spark, d, "part"), "advanced", aggr=3, clust="kmeans", reduct="pca", scale="standard", key="p_partkey", cols=["p_size", "p_retailprice"])
 
 
-@query("select row_number() over (order by o_totalprice) as place, o_totalprice from orders")
+def _assigned(spark: SparkSession, d: str, method: str) -> DataFrame:
+    """Per row, whether the value's place among the values is the score's place among the scores, and whether the values are as often as before."""
+    p = _t(spark, d, "part")
+    out = group.shuffle(p, "p_retailprice", "p_size", cor_method=method, key="p_partkey", scores=True)
+    before = with_ranks(p.select("p_retailprice"), "p_retailprice").groupBy(F.col("p_retailprice").alias("v")).agg(F.first("_r_n").alias("n"), F.first("_r_c").alias("c"))
+    laid = with_position(out.select("p_partkey", "p_retailprice", "score_p_retailprice"), [F.col("score_p_retailprice"), F.col("p_partkey")])
+    both = laid.join(before, F.col("p_retailprice") == F.col("v"))
+    return both.select("p_partkey", F.expr("_pos >= n and _pos < n + c").alias("in_place"))
+
+
+@query("select p_partkey, true as in_place from part")
 def mask_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    """The shuffled column's values in order: the same as before, each as often."""
-    out = group.shuffle(_t(spark, d, "orders"), "o_totalprice", "o_custkey", key="o_orderkey")
-    return with_position(out.select("o_totalprice"), [F.col("o_totalprice")], "place").select((F.col("place") + 1).alias("place"), "o_totalprice")
+    return _assigned(spark, d, "spearman")
+
+
+@query("select p_partkey, true as in_place from part")
+def mask_shuffle_kendall(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned(spark, d, "kendall")
+
+
+@query("""with r as (select p_size as x, p_retailprice as y, p_partkey as k from part where p_partkey % 4 = 1 or p_partkey % 4 <> 1),
+p as (select sign(a.x - b.x) * sign(a.y - b.y) as s, a.x = b.x as tx, a.y = b.y as ty from r a join r b on a.k < b.k)
+select round(sum(s) / sqrt(sum(case when tx then 0 else 1 end)::double * sum(case when ty then 0 else 1 end)), 9) as tau from p""")
+def stat_kendall(spark: SparkSession, d: str) -> DataFrame:
+    return _one(spark, tau=round(group.kendall(_t(spark, d, "part"), "p_size", "p_retailprice"), 9))
 
 
 @query("""with r as (select *, count(c_acctbal) over (partition by c_nationkey, c_mktsegment) as n from customer)
@@ -270,10 +366,12 @@ def risk_beta_likeness_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_nationkey", "c_mktsegment", "n", F.round("p", 8).alias("p"), F.round("q", 8).alias("q"), "violates")
 
 
-@query()
+@query("""with t as (select count(*) as t from customer), p as (select c_mktsegment, count(*) / any_value(t) as p from customer, t group by 1),
+c as (select c_nationkey, c_mktsegment, count(*) as n, cast(count(*) / sum(count(*)) over (partition by c_nationkey) as double) as q from customer group by 1, 2)
+select round(sum(case when q > p and (q - p) / p > least(0.2::double, -ln(p)) then n else 0 end) / sum(n), 9) as share, bool_and(not (q > p and (q - p) / p > least(0.2::double, -ln(p)))) as "like" from c join p using (c_mktsegment)""")
 def risk_beta_likeness(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "customer")
-    return _one(spark, share=risk.beta_likeness(c, "c_mktsegment", 0.2, ["c_nationkey"]), like=risk.is_beta_like(c, "c_mktsegment", 0.2, ["c_nationkey"]))
+    return _one(spark, share=round(risk.beta_likeness(c, "c_mktsegment", 0.2, ["c_nationkey"]), 9), like=risk.is_beta_like(c, "c_mktsegment", 0.2, ["c_nationkey"]))
 
 
 INDIVIDUAL = """with r as (select c_custkey, cast(count(c_acctbal) over w as double) as f, sum(20.0::double) over w as g from customer window w as (partition by c_nationkey, c_mktsegment)),
@@ -287,10 +385,12 @@ def risk_individual(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", F.round("risk", 8).alias("risk"))
 
 
-@query()
+@query("""with recursive r as (select cast(count(c_acctbal) as int) as f, c_nationkey, c_mktsegment from customer group by 2, 3),
+i(n, v) as (select 1, ln(20::double) / 0.95 union all select n + 1, (1 / n::double - 0.05::double * v) / 0.95::double from i where n <= (select max(f) from r))
+select c_custkey, case when f > 0 then round(0.05::double * v, 6) end as risk from customer join r using (c_nationkey, c_mktsegment) left join i on n = f""")
 def risk_individual_exact(spark: SparkSession, d: str) -> DataFrame:
     out = risk.individual_risk(_t(spark, d, "customer").withColumn("w", F.lit(20.0)), "c_acctbal", ["c_nationkey", "c_mktsegment"], "exact", "w")
-    return out.select("c_custkey", "risk")
+    return out.select("c_custkey", F.round("risk", 6).alias("risk"))
 
 
 @query("""select c_custkey, count(c_acctbal) over w as samp_fq, cast(sum(2) over w as double) as pop_fq from customer window w as (partition by c_nationkey)""")
@@ -329,6 +429,19 @@ def utility_jensen_shannon(spark: SparkSession, d: str) -> DataFrame:
     return utility.jensen_shannon_columns(c, recode.rounding(c, 3)).withColumn("distance", F.round("distance", 6))
 
 
+@query("""with v as (select distinct o_orderpriority as s from orders union select case when o_orderpriority = '2-HIGH' then '1-URGENT' else o_orderpriority end from orders),
+k as (select s, dense_rank() over (order by s) - 1 as x from v),
+b as (select x, 0 as t from orders join k on s = o_orderpriority union all select x, 1 from orders join k on s = case when o_orderpriority = '2-HIGH' then '1-URGENT' else o_orderpriority end),
+e as (select min(x) as lo, (max(x) - min(x)) / 99 as w from b),
+h as (select cast(least(greatest(ceil((x - lo) / w), 1), 99) as int) as bin, sum(1 - t) as p, sum(t) as q from b, e group by 1),
+s as (select p / sum(p) over () as p, q / sum(q) over () as q from h)
+select round(sqrt(sum((case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)), 6) as distance from s""")
+def utility_jensen_shannon_encoded(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").select("o_orderpriority")
+    changed = o.select(F.when(F.col("o_orderpriority") == "2-HIGH", "1-URGENT").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    return _one(spark, distance=round(utility.jensen_shannon(o, changed), 6))
+
+
 @query()
 def utility_propensity(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part").select("p_size", "p_retailprice", "p_brand")
@@ -372,56 +485,157 @@ def encode_column_kinds(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(kinds.items()), "col string, kind string")
 
 
-@query()
+@query("select unnest(['logreg', 'rfclass', 'tpotclass', 'larscv', 'encv', 'rfreg', 'tpotreg']) as model, true as tells")
 def model_scores(spark: SparkSession, d: str) -> DataFrame:
-    """AUC of each kind of classifier and regressor on a label with 10 % noise."""
-    rows = tables.binary_table(spark, 2000)
-    found = [(m, float(models.auc(models.train(rows, ["Perc_10", "Perc_40"], "Label", m), rows, "Label"))) for m in ("logreg", "rfclass", "encv")]
-    return spark.createDataFrame(found, "model string, auc double")
+    """Whether each kind of classifier and regressor tells, on rows that it hasn't seen, which parts cost more than most."""
+    rows = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), (F.col("p_retailprice") + F.col("p_size")).alias("sum"))
+    middle = rows.agg(F.percentile("sum", 0.5)).first()[0]
+    rows = rows.withColumn("label", (F.col("sum") > middle).cast("int")).withColumn("price", F.col("sum") - F.col("p_size"))
+    seen = F.pmod(F.xxhash64("p_partkey"), F.lit(4)) != 0
+    found = [(m, bool(models.auc(models.train(rows.filter(seen), ["p_size", "price"], "label", m), rows.filter(~seen), "label") > 0.8)) for m in (*models.CLASSIFIERS, *models.REGRESSORS)]
+    return spark.createDataFrame(found, "model string, tells boolean")
+
+
+@query("select * from region")
+def model_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A table kept under the content of the rows that it was made from: the second time it is read, not made."""
+    folder, r = new_folder(spark, "cache"), _t(spark, d, "region")
+    cache.kept(folder, "regions", r, lambda: r, DataFrame)
+    return cache.kept(folder, "regions", r.orderBy(F.desc("r_regionkey")), lambda: r.limit(0), DataFrame)
 
 
 @query()
 def ranking_key_variables(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "customer").withColumn("rich", (F.col("c_acctbal") > 4500).cast("int")).select("rich", "c_acctbal", "c_nationkey", "c_mktsegment")
-    return ranking.explore_key_variables(c, "rich", methods=("rf", "stepwise"))["ranking"]
+    return ranking.explore_key_variables(c, "rich")["ranking"]
 
 
 @query()
 def sensitivity_sobol(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part").select("p_size", "p_retailprice")
     params = sensitivity.parameters(p)
-    table = sensitivity.samples(params, 1024, spark=spark)
-    return sensitivity.analyze(lambda t: t.withColumn("prediction", F.col("p_size") * 10 + F.col("p_retailprice")), params, table, resamples=10)
+    table = sensitivity.samples(params, spark=spark)
+    return sensitivity.analyze(lambda t: t.withColumn("prediction", F.col("p_size") * 10 + F.col("p_retailprice")), params, table)
 
 
-FUNCTIONS = {"rounding": recode.rounding, "topbot": recode.topbot_recode, "k": lambda df: risk.k_anonymity(df, ["c_nationkey", "c_acctbal"])}
+FUNCTIONS = {"rounding": recode.rounding, "topbot": recode.topbot_recode, "k": lambda df: risk.k_anonymity(df, ["c_nationkey", "c_acctbal"]), "classes": lambda df: df.select("c_nationkey", "c_acctbal").distinct().count() / df.count()}
 MASKS = [{"rounding": {"magnitude": 4, "cols": "c_acctbal"}}, {"topbot": {"top_cutoff": 5000, "bottom_cutoff": 0, "cols": "c_acctbal"}}]
+# the table after no mask, the first, the second, and both in either order, with each one's score
+SCORES = """with x as (select c_nationkey as n, c_acctbal as v from customer),
+t as (select 'none' as t, n, v from x union all select 'r', n, round_even(v, -4) from x
+  union all select 'b', n, greatest(least(v, 5000), 0) from x
+  union all select 'rb', n, greatest(least(round_even(v, -4), 5000), 0) from x
+  union all select 'br', n, round_even(greatest(least(v, 5000), 0), -4) from x),
+c as (select t, count(*) as c from t group by t, n, v),
+f as (select t, count(*) / sum(c) as f from c group by t)
+"""
 
 
 def _log(spark: SparkSession, d: str, kind: type, **options: object) -> DataFrame:
-    run = kind(_t(spark, d, "customer"), MASKS, [{"k": {}}], functions=FUNCTIONS, **options)
+    run = kind(_t(spark, d, "customer"), MASKS, [{"classes": {}}], functions=FUNCTIONS, **options)
     run.optimize()
     return run.log.frame(spark)
 
 
-@query()
+@query(SCORES + "select step, round(f, 9) as fitness from f join (values (0, 'none'), (1, 'r'), (2, 'rb')) s(step, t) using (t)")
 def search_iterative(spark: SparkSession, d: str) -> DataFrame:
-    return _log(spark, d, search.IterativeSearch, iters=3)
+    """Masks in their order, until all are used."""
+    log = _log(spark, d, search.IterativeSearch, randomize_mutations=False)
+    return log.select("step", F.round("fitness", 9).alias("fitness"))
 
 
-@query()
+GREEDY = SCORES + """, s as (select max(case when t = 'none' then f end) as f0, max(case when t = 'r' then f end) as fr, max(case when t = 'b' then f end) as fb, max(case when t = 'rb' then f end) as frb from f),
+one as (select *, case when fr < f0 then fr else f0 end as f1 from s),
+two as (select *, case when fr < f0 then case when frb < fr then frb else fr end else case when fb < f0 then fb else f0 end end as f2 from one)
+"""
+
+
+@query(GREEDY + "select unnest([0, 1, 2]) as step, round(unnest([f0, f1, f2]), 9) as fitness, cast(3 - unnest([0, case when f1 < f0 then 0 else 1 end, case when f1 < f0 then 0 else 1 end + case when f2 < f1 then 0 else 1 end]) as double) as retry from two")
 def search_incremental(spark: SparkSession, d: str) -> DataFrame:
-    return _log(spark, d, search.IncrementalSearch, iters=3)
+    """Masks in their order; one that doesn't make the score better goes, and costs a retry."""
+    log = _log(spark, d, search.IncrementalSearch, randomize_mutations=False)
+    return log.select("step", F.round("fitness", 9).alias("fitness"), "retry")
 
 
-@query()
+@query(GREEDY + "select unnest([0, 1, 2]) as step, round(unnest([f0, f1, f2]), 9) as cur_fitness from two")
 def search_stochastic(spark: SparkSession, d: str) -> DataFrame:
-    return _log(spark, d, search.StochasticSearch, iters=3)
+    """Masks in their order at a temperature of zero: only better tables are kept."""
+    log = _log(spark, d, search.StochasticSearch, randomize_mutations=False, temperature=0.0)
+    return log.select("step", F.round(F.coalesce("cur_fitness", "fitness"), 9).alias("cur_fitness"))
 
 
-@query()
+@query(SCORES + "select step, cast(p as double) as perm_num, round(f, 9) as fitness from f join (values (0, 0, 'none'), (1, 1, 'r'), (2, 1, 'rb'), (3, 2, 'b'), (4, 2, 'br')) s(step, p, t) using (t)")
 def search_exhaustive(spark: SparkSession, d: str) -> DataFrame:
-    return _log(spark, d, search.ExhaustiveSearch)
+    return _log(spark, d, search.ExhaustiveSearch).select("step", "perm_num", F.round("fitness", 9).alias("fitness"))
+
+
+@query(SCORES + "select step, kind, round(f, 9) as fitness from f join (values (0, 'iterative', 'none'), (1, 'iterative', 'r'), (2, 'iterative', 'rb'), (0, 'exhaustive', 'none'), (1, 'exhaustive', 'r'), (2, 'exhaustive', 'rb')) s(step, kind, t) using (t)")
+def search_config(spark: SparkSession, d: str) -> DataFrame:
+    """Searches of a configuration."""
+    config = {"mitigations": MASKS, "metrics": [{"classes": {}}], "optimizations": {"iterative": {"randomize_mutations": False}}}
+    runs = search.from_config(_t(spark, d, "customer"), config, {"optimizations": {"iterative": {"randomize_mutations": False}, "exhaustive": {"num_perms": 1}}}, functions=FUNCTIONS)
+    logs = []
+    for run, kind in zip(runs, ("iterative", "exhaustive"), strict=True):
+        run.optimize()
+        logs.append(run.log.frame(spark).select("step", F.lit(kind).alias("kind"), F.round("fitness", 9).alias("fitness")))
+    return logs[0].union(logs[1])
+
+
+@query(SCORES + """, u as (select t, avg(case when a.v = b.v then 0 else 1 end) / 2 as u from (select c_custkey, 'r' as t, round_even(c_acctbal, -4) as v from customer union all select c_custkey, 'rb', greatest(least(round_even(c_acctbal, -4), 5000), 0) from customer union all select c_custkey, 'none', c_acctbal from customer) a join (select c_custkey, c_acctbal as v from customer) b using (c_custkey) group by t)
+select step, round(f, 9) as risk, round(u, 9) as utility from f join u using (t) join (values (0, 'none'), (1, 'r'), (2, 'rb')) s(step, t) using (t)""")
+def search_risk_utility_points(spark: SparkSession, d: str) -> DataFrame:
+    """Risk and lost utility at each step of a search, for a plot."""
+    cells = lambda orig_df, mod_df: utility.proportion_different(orig_df, mod_df, "c_custkey").first()[0]
+    target = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    cells.__name__, classes = "cells", lambda mod_df: FUNCTIONS["classes"](mod_df)
+    classes.__name__ = "classes"
+    run = search.IterativeSearch(target, MASKS, [{classes: {}}, {cells: {}}], functions=FUNCTIONS, randomize_mutations=False)
+    run.optimize()
+    points = utility.risk_utility_pairs(run.log.frame(spark), "classes", "cells")
+    return points.select("step", F.round("risk", 9).alias("risk"), F.round("utility", 9).alias("utility"))
+
+
+# --- sources ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""select cast(i >= 500 as int) as "Label", {", ".join(f"case when {_draw('i', f'flip{p}', 1234)} < {p / 100}::double then 1 - cast(i >= 500 as int) else cast(i >= 500 as int) end as Perc_{p}" for p in (0, 10, 20, 30, 40))}, 1 as One_Cat from range(1000) t(i)""")
+def source_binary_table(spark: SparkSession, d: str) -> DataFrame:
+    return tables.binary_table(spark)
+
+
+@query(f"""select cast(i >= 500 as int) as "Label", {", ".join(f"round(5.0::double * (1 + cast(i >= 500 as int)) + {_normal('i', f'sd{s}', 1234)} * {s}, 6) as STDEV_{str(s).replace('.', '_')}" for s in tables.geometric_sequence())} from range(1000) t(i)""")
+def source_numeric_table(spark: SparkSession, d: str) -> DataFrame:
+    out = tables.numeric_table(spark)
+    return out.select("Label", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query("select i || '_' || b as key, i as col, count(distinct least(r, l - 1)) as diversity, count(*) as rows from (values (0, 1), (1, 3), (2, 5)) t(b, l), range(5) q(r), range(2) c(i) group by 1, 2")
+def source_l_diverse_table(spark: SparkSession, d: str) -> DataFrame:
+    made = tables.l_diverse_table(spark, [1, 3, 5], columns=2)
+    parts = [made.groupBy(F.col(f"col_{i}").alias("key")).agg(F.count_distinct("sensitive").alias("diversity"), F.count(F.lit(1)).alias("rows")).withColumn("col", F.lit(i).cast("long")) for i in range(2)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("select '0_' || (i // 3) as col_0, '1_' || (i // 3) as col_1, [3, 4, 5, 6, 8, 11, 7, 9, 10][i + 1]::bigint as sensitive from range(9) t(i)")
+def source_t_close_table(spark: SparkSession, d: str) -> DataFrame:
+    return tables.t_close_table(spark, [3, 4, 5, 6, 8, 11, 7, 9, 10], columns=2)
+
+
+@query(f"""with c as (select list(distinct o_orderstatus order by o_orderstatus) as c, count(*) as n from orders),
+r as (select o_orderkey, o_orderstatus, c, n, row_number() over (order by {_draw("o_orderkey", "who", 1234)}) as place, {_draw("o_orderkey", "other", 1234)} as u from orders, c)
+select o_orderkey, case when place <= cast(floor(n * 0.3::double) as bigint) then c[(list_position(c, o_orderstatus) - 1 + 1 + cast(floor(u * (len(c) - 1)) as bigint)) % len(c) + 1] else o_orderstatus end as o_orderstatus from r""")
+def source_change_categories(spark: SparkSession, d: str) -> DataFrame:
+    return tables.change_categories(_t(spark, d, "orders"), "o_orderstatus", 0.3, key="o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("select kind, cast(r_regionkey as bigint) as r_regionkey, r_name from region, (values ('csv'), ('json'), ('orc')) k(kind)")
+def source_formats(spark: SparkSession, d: str) -> DataFrame:
+    """A table written and loaded in each other format."""
+    r, folder, parts = _t(spark, d, "region").select("r_regionkey", "r_name"), new_folder(spark, "formats"), []
+    for kind in ("csv", "json", "orc"):
+        r.write.format(kind).option("header", "true").save(f"{folder}/{kind}")
+        parts.append(tables.load_data(spark, f"{folder}/{kind}", kind).select(F.lit(kind).alias("kind"), F.col("r_regionkey").cast("long"), "r_name"))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("""with m as (select c_nationkey, case when case when v < 5000 then v else 5000 end > 0 then case when v < 5000 then v else 5000 end else 0 end as v from (select c_nationkey, round_even(c_acctbal, -4) as v from customer)),

@@ -28,7 +28,7 @@ def geometric_sequence(start: float = 0.5, n: int = 6, rate: float = 2) -> list[
 def binary_table(spark: SparkSession, n: int = 1000, seed: int = 1234) -> DataFrame:
     """A label of two halves, columns that agree with it but for 0 to 40 % of the rows, and a constant."""
     rows = spark.range(n).withColumn("Label", (F.col("id") >= n // 2).cast("int"))
-    key = F.xxhash64("id")
+    key = F.col("id")
     cols = [F.when(uniform(key, f"flip{p}", seed) < p / 100, 1 - F.col("Label")).otherwise(F.col("Label")).alias(f"Perc_{p}") for p in (0, 10, 20, 30, 40)]
     return rows.select("Label", *cols, F.lit(1).alias("One_Cat"))
 
@@ -36,7 +36,7 @@ def binary_table(spark: SparkSession, n: int = 1000, seed: int = 1234) -> DataFr
 def numeric_table(spark: SparkSession, n: int = 1000, seed: int = 1234) -> DataFrame:
     """A label of two halves and normal columns around 5 and 10 with deviations that double from one half to 16."""
     rows = spark.range(n).withColumn("Label", (F.col("id") >= n // 2).cast("int"))
-    key, middle = F.xxhash64("id"), 5.0 * (1 + F.col("Label"))
+    key, middle = F.col("id"), 5.0 * (1 + F.col("Label"))
     return rows.select("Label", *[(middle + normal(key, f"sd{s}", seed) * s).alias(f"STDEV_{s}".replace(".", "_")) for s in geometric_sequence()])
 
 
