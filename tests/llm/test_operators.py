@@ -226,6 +226,15 @@ def test_pieces_equal_the_library(spark, odd):
     assert pieces.encode_decode(odd.limit(0), PIECES).count() == 0
 
 
+def test_query_on_whole_documents_equals_the_library(spark, sf):
+    lib = sentencepiece.SentencePieceProcessor(model_proto=PIECES)
+    texts = {d.doc_id: d.text or "" for d in docs_of(spark, sf)}
+    for r in entry.queries()["op4_sentencepiece"](spark, sf).collect():
+        ids = lib.encode(texts[r.doc_id], add_eos=True)
+        hashes = [hashlib.sha256(t.encode()).hexdigest() for t in (" ".join(map(str, ids)), lib.decode(ids))]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), *hashes)
+
+
 def test_character_map_equals_the_library():
     lib = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=False)
     proto = pieces.sentencepiece_model_pb2.ModelProto()
@@ -258,7 +267,12 @@ def test_archive_round_trip(spark, tmp_path):
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
         assert len(rest) == size + 4 and rest.endswith(b"\r\n\r\n")
     warc.export_warc(records, str(tmp_path / "warc"))
-    assert spark.read.option("lineSep", "WARC/1.1").text(str(tmp_path / "warc")).filter("length(value) > 0").count() == len(rows)
+    back = warc.import_warc(spark, str(tmp_path / "warc")).collect()
+    ids = {r.record_id: r for r in back}
+    assert len(ids) == len(rows)  # repeated rows have ids of their own
+    full = [bytes((ids[r.refers_to] if r.refers_to else r).payload).decode() for r in back]
+    assert sorted((r.record_id.split(":")[2], r.record_type, t) for r, t in zip(back, full, strict=True)) == sorted((str(i), e[3], h or "") for (i, _, h), e in zip(rows, expected, strict=True))
+    assert all(sha(t) == r.declared_sha1 for r, t in zip(back, full, strict=True))
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 

@@ -36,8 +36,9 @@ def write_archive(
     Payloads of at least ``min_bytes`` bytes that are equal (SHA-256) are stored once; the record with the largest
     page_id is the response and the others revisit it. Copies are merged in each task before the shuffle, so a payload
     of a third of all rows moves once per task, and only digests and urls are joined. Two payloads of one digest that
-    differ stop the job. A null html is an empty payload, a null url leaves its header out (line breaks in urls are
-    percent-encoded), a record without id is never revisited, repeated rows are records of one kind.
+    differ stop the job. Every record has an id of its own, of its page and its row. A null html is an empty payload, a
+    null url leaves its header out (line breaks in urls are percent-encoded), a record without id is never revisited,
+    repeated rows are records of one kind, an empty table makes an empty archive.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
@@ -48,18 +49,19 @@ def write_archive(
     )
     same = F.when(F.expr("_a = _b"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads share a digest")).cast("binary"))
     stored.select("digest", same.alias("payload")).write.parquet(f"{path}/payloads")
-    narrow = rows.select("page_id", "url", "digest", F.octet_length("payload").alias("bytes"), base32_sha1(F.col("payload")).alias("sha1"))
+    narrow = rows.select("page_id", "url", "digest", F.octet_length("payload").alias("bytes"), base32_sha1(F.col("payload")).alias("sha1"), F.monotonically_increasing_id().alias("number"))
     narrow = written(narrow, "records")
-    first = narrow.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"))
-    facts = narrow.join(first, "digest", "left")
+    first = narrow.filter((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max(F.struct("page_id", "number")).alias("k"))
+    # both sides of the join are tables, so that a payload of very many pages can be split
+    facts = narrow.join(written(first.select("digest", F.col("k.page_id").alias("keeper"), F.col("k.number").alias("keeper_number")), "keepers"), "digest", "left")
     revisit = F.expr("keeper is not null and page_id is distinct from keeper")
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("number"), F.lit(">")),
         F.lit(f"WARC-Date: {date}"),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("keeper").cast("string"), F.lit(">"))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("keeper"), F.lit(":"), F.col("keeper_number"), F.lit(">"))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -77,7 +79,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     or a response without payload stops the job. ``record`` holds the record's exact bytes.
     """
     heads = spark.read.parquet(f"{path}/headers").withColumns(
-        {"record_type": _field("WARC-Type"), "refers_to": F.regexp_extract("head", "(?m)^WARC-Refers-To: <urn:page:(.*)>$", 1), "declared_sha1": F.substring(_field("WARC-Payload-Digest"), 6, 99)}
+        {"record_type": _field("WARC-Type"), "refers_to": F.regexp_extract("head", "(?m)^WARC-Refers-To: <urn:page:(.*):[0-9]+>$", 1), "declared_sha1": F.substring(_field("WARC-Payload-Digest"), 6, 99)}
     )
     store = spark.read.parquet(f"{path}/payloads")
     checked = F.when(F.expr("digest = unhex(sha2(payload, 256))"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload is missing or damaged")).cast("binary"))
@@ -94,13 +96,20 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def page_facts(records: DataFrame) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest (of the full payload, also for revisits), record_type, refers_to.
 
-    A revisit takes both from the payload of the response with its digest; its own header must declare the same.
+    Both are read from the bytes of the rebuilt record: what follows its head and the HTTP head, up to the two line ends.
+    The head's length and digest must say the same. A revisit takes both from the response with its payload, and its own
+    header must declare the same digest.
     """
-    found = records.filter("record_type = 'response'").select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to", "digest"
-    )
+    lead = F.octet_length("head") + len(HTTP_HEAD.encode())
+    parsed = records.filter("record_type = 'response'").withColumn("body", F.substr("record", lead + 1, F.octet_length("record") - lead - 4))
+    found = parsed.select(
+        "page_id", F.octet_length("body").cast("long").alias("payload_bytes"), base32_sha1(F.col("body")).alias("payload_digest"),
+        "record_type", "refers_to", "digest", "declared_sha1", _field("Content-Length").cast("long").alias("length"),
+    )
+    right = F.expr(f"length = payload_bytes + {len(HTTP_HEAD.encode())} and declared_sha1 = payload_digest")
+    found = found.withColumn("payload_digest", F.when(right, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's head doesn't fit its payload")).cast("string")))
     found = written(found, "responses")
-    once = found.groupBy("digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    once = written(found.groupBy("digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest")), "payload-facts")
     rest = records.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "digest", "declared_sha1").join(once, "digest", "left")
     agreed = F.when(F.expr("declared_sha1 = payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a revisit declares another digest")).cast("string"))
     rest = rest.withColumn("payload_digest", agreed)
@@ -116,6 +125,35 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 
 
 def export_warc(records: DataFrame, path: str) -> None:
-    """Write the records as .warc.gz files: each row is a record, and the writer's line end is the one between records."""
+    """Write the records as .warc.gz files: each row is a record, and the writer's line end is the one between records.
+
+    A file is one gzip stream, as Spark's writer makes it. ``import_warc`` reads them back.
+    """
     block = F.concat("head", F.lit(HTTP_HEAD), F.coalesce(F.col("payload").cast("string"), F.lit("")))
     records.select(block).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+
+def import_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of exported files: record_id, record_type, refers_to (a record_id), declared_sha1 and payload (null for revisits).
+
+    A record begins with the format's mark and its first field; it must be as long as its head declares, so a payload
+    that holds that mark itself, or a damaged file, stops the reading.
+    """
+    mark = "WARC/1.1\r\nWARC-Type: "
+    files = spark.read.text(path, wholetext=False, lineSep=mark).filter("value != ''").withColumn("file", F.col("_metadata.file_path"))
+    parts = files.withColumn("at", F.monotonically_increasing_id())
+    head, lead = F.concat(F.lit("\r\n"), F.substring_index("value", "\r\n\r\n", 1), F.lit("\r\n")), F.col("value")
+    length = F.regexp_extract(head, "\r\nContent-Length: ([0-9]+)\r\n", 1).cast("long")
+    body = F.substr(lead, F.length(F.substring_index("value", "\r\n\r\n", 1)) + 5)
+    found = parts.withColumn("length", length).withColumn("body", body)
+    whole = F.octet_length("body").cast("long") - 4 == F.col("length")
+    if found.filter(~F.coalesce(whole, F.lit(False))).limit(1).count():
+        raise ValueError("a record isn't as long as its head declares")
+    field = lambda name: F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    kind = F.substring_index("value", "\r\n", 1)
+    payload = F.substr(F.col("body").cast("binary"), F.lit(len(HTTP_HEAD.encode()) + 1), (F.col("length") - len(HTTP_HEAD.encode())).cast("int"))
+    refers = field("WARC-Refers-To")
+    return found.select(
+        field("WARC-Record-ID").alias("record_id"), kind.alias("record_type"), F.when(refers != "", refers).alias("refers_to"),
+        F.substring(field("WARC-Payload-Digest"), 6, 99).alias("declared_sha1"), F.when(kind == "response", payload).alias("payload"),
+    )
