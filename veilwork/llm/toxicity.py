@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -41,8 +43,8 @@ PATTERNS = {
 STEMS = (4, 5, 6)
 #: Parts that mined words are split into, a voter each, so that no one term decides a voter.
 PARTS = 4
-#: Bits of the map of candidate terms.
-MAP = 1 << 20
+#: Bits of the map of candidate terms; texts whose terms are counted together before they leave a task.
+MAP, SOME = 1 << 20, 2000
 #: Texts that are added to each class (of votes to abstain, as the class, against it), and to each vote of a parent.
 MEANT, DRAWN = (2.4, 0.45, 0.15), 4.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -64,6 +66,14 @@ class Lexicon:
     voters: tuple[str, ...]
     terms: dict[str, int]
 
+    @cached_property
+    def whole(self) -> frozenset[str]:
+        return frozenset(t for t in self.terms if not t.endswith("*"))
+
+    @cached_property
+    def stems(self) -> dict[int, frozenset[str]]:
+        return {k: frozenset(t[:-1] for t in self.terms if len(t) == k + 1 and t.endswith("*")) for k in STEMS}
+
     def hits(self, text: str) -> tuple[list[str], int]:
         """The lexicon's terms that a text has (mined words and stems, and the text's seeds), and its votes as a number.
 
@@ -71,10 +81,11 @@ class Lexicon:
         language, an insult shouted, two or more lexicon terms, and, for clean, several words without any.
         """
         words = set(WORD.findall(text.lower()))
-        found = [w for w in words if w in self.terms]
+        found = list(words & self.whole)
         seeds = any(self.terms[w] < len(SEEDS) for w in found)
-        for k in STEMS:
-            found.extend(s for s in {w[:k] + "*" for w in words if len(w) > k} if s in self.terms)
+        for k, stems in self.stems.items():
+            if stems:
+                found.extend(s + "*" for s in {w[:k] for w in words if len(w) > k} & stems)
         votes = 0
         for t in found:
             votes |= 1 << 2 * self.terms[t]
@@ -196,23 +207,26 @@ def mine(rows: DataFrame, least: float = 16.0, most: int = 1_000_000) -> Lexicon
     def terms(bits: np.ndarray | None):  # noqa: ANN202
         def run(batches):  # noqa: ANN001, ANN202
             for b in batches:
-                for text in b["text"]:
-                    found = terms_of(text or "")[0]
+                for a in range(0, len(b), SOME):
+                    seen: Counter[str] = Counter()
+                    for text in b["text"].iloc[a : a + SOME]:
+                        seen.update(terms_of(text or "")[0])
+                    found = list(seen)
                     if bits is not None:
                         codes = np.fromiter((zlib.crc32(t.encode()) % MAP for t in found), np.int64, len(found))
                         found = [found[i] for i in np.flatnonzero(bits[codes])]
-                    yield pd.DataFrame({"term": found}, dtype="str")
+                    yield pd.DataFrame({"term": pd.Series(found, dtype="str"), "n": np.fromiter(map(seen.__getitem__, found), np.int64, len(found))})
 
         return run
 
     n, p = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     found = []
     if p and n > p:
-        counted = rows.filter("toxic = 1").mapInPandas(terms(None), "term string").groupBy("term").agg(F.count(F.lit(1)).alias("a"))
+        counted = rows.filter("toxic = 1").mapInPandas(terms(None), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("a"))
         counted = written(counted.filter("a > 2"), "terms")
         bits = np.zeros(MAP, bool)
         bits[[r[0] for r in counted.select(F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(MAP))).distinct().collect()]] = True
-        clean = rows.filter("toxic = 0").mapInPandas(terms(bits), "term string").groupBy("term").agg(F.count(F.lit(1)).alias("b"))
+        clean = rows.filter("toxic = 0").mapInPandas(terms(bits), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("b"))
         share = F.lit(p / n)
         part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(F.lit(0.0))
         seen = counted.join(clean, "term", "left").withColumn("d", F.col("a") + F.coalesce("b", F.lit(0)))
@@ -276,7 +290,9 @@ def fit_toxicity(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(n) for n, c in (keep or {}).items()])
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & _learned(F.col("doc_id")))
     known = written(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labels")
-    lexicon = mine(written(rows.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"), "labelled"))
+    # texts move to their labels at every size: labels grow with the corpus
+    learned = rows.select("doc_id", "text").filter(_learned(F.col("doc_id")))
+    lexicon = mine(written(learned.join(known.hint("merge"), "doc_id").select("text", "toxic"), "labelled"))
     found = rows.withColumn("_h", hits(lexicon)("text")).select("doc_id", "_h.terms", "_h.votes", *(keep or {}))
     found = written(found, "votes")
 
