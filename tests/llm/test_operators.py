@@ -69,6 +69,8 @@ def test_url_rules(spark):
         fits = [(len(h + p), h + p, v) for h, p, v in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow")
     assert url_filter.filter_urls(pages.limit(0), URL_RULES).count() == 0
+    twice = url_filter.filter_urls(pages.union(pages).repartition(5), URL_RULES)
+    assert twice.count() == 2 * len(urls) and twice.distinct().count() == len(urls)
     assert url_filter.filter_urls(pages, []).filter("verdict = 'allow' and rule is null").count() == len(urls)
     with pytest.raises(ValueError):
         url_filter.filter_urls(pages, [("com", "/", "block"), ("com", "/", "allow")])
@@ -719,3 +721,19 @@ def test_pipeline(spark, sf):
     lib = sentencepiece.SentencePieceProcessor(model_proto=PIECES)
     sums = sorted(hashlib.sha256(" ".join(map(str, lib.encode(r.text or "", add_eos=True))).encode()).hexdigest() for r in seen[4][0])
     assert sums == sorted(r.ids_sha256 for r in seen[4][1])
+
+
+def test_pipeline_on_odd_rows(spark, sf, odd):
+    import corpus_pipeline
+
+    texts = sorted((r.doc_id is None, r.doc_id, r.text or "") for r in odd.collect())
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == odd.columns
+        found[name] = out.collect()
+        assert stage(spark, odd.limit(0), sf).count() == 0
+    assert {r.doc_id for r in found["quality rules"]} <= {5, 6, 7} and len(found["toxicity"]) == len(texts) - 1
+    assert len(found["simhash near-dedup"]) == len({plain_fingerprint(t) for *_, t in texts})
+    assert len(found["sentencepiece"]) == len(texts) and all(WORD.search(r.text) for r in found["mixing"])
