@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,6 +149,16 @@ def test_regressors_are_searched(spark):
     assert type(model.stages[-1]).__name__ == "LinearRegressionModel" and error(model) < error(rfreg)
 
 
+def test_independent_component(spark):
+    rows = spark.range(2000).select("id", uniform(F.col("id"), "a", 1).alias("a"), normal(F.col("id"), "b", 1).alias("b"))
+    rows = rows.select("id", "a", (F.col("a") * 3 + F.col("b")).alias("x"), (F.col("a") - F.col("b")).alias("y"))
+    made = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows)
+    assert abs(group.independent_component(made, 2, 0).stat.corr("a", "component")) > 0.97
+    for reduct in ("ipca", "fica"):
+        out = group.advanced_magg(rows, 4, reduct=reduct, key="id", cols=["x", "y"])
+        assert out.count() == 2000 and out.select("x").distinct().count() == 500
+
+
 def test_permuted_rows_meet_each_other_once(spark):
     rows = spark.range(101).select(F.col("id").alias("_pos"), (F.col("id") * 7).alias("x"))
     met = ranking.permuted(rows, ["x"], 101, 3).collect()

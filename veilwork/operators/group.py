@@ -155,17 +155,18 @@ def advanced_magg(
 ) -> DataFrame:
     """Chunks of ``aggr`` rows ordered by cluster, then by the first component, then by id.
 
-    ``clust``: kmeans, bisecting, gaussian or a function (features frame -> frame with ``prediction``); ``reduct``: pca or
-    a function (frame -> frame with ``component``); ``scale``: standard or robust. What needs all pairs of rows (dbscan,
-    optics, agglomerative, kernel components) is not offered.
+    ``clust``: kmeans, bisecting, gaussian or a function (features frame -> frame with ``prediction``); ``reduct``: pca,
+    ipca (the same component: it is summed up over all rows either way), fica or a function (frame -> frame with
+    ``component``); ``scale``: standard or robust. What needs all pairs of rows (dbscan, optics, agglomerative, kernel
+    components) is not offered.
     """
     _size(aggr)
     if clust is None and reduct is None:
         raise InputError("a clustering or a reduction is needed")
     models = {"kmeans": lambda: KMeans(k=clusters, seed=seed), "bisecting": lambda: BisectingKMeans(k=clusters, seed=seed), "gaussian": lambda: GaussianMixture(k=clusters, seed=seed)}
     scalers = {"standard": lambda: StandardScaler(withMean=True, inputCol="_raw", outputCol="features"), "robust": lambda: RobustScaler(withCentering=True, inputCol="_raw", outputCol="features")}
-    if isinstance(clust, str) and clust not in models or isinstance(reduct, str) and reduct != "pca" or scale is not None and scale not in scalers:
-        raise InputError(f"known: {', '.join([*models, 'pca', *scalers])}")
+    if isinstance(clust, str) and clust not in models or isinstance(reduct, str) and reduct not in ("pca", "ipca", "fica") or scale is not None and scale not in scalers:
+        raise InputError(f"known: {', '.join([*models, 'pca', 'ipca', 'fica', *scalers])}")
     of, names, out = _measure(measure), chosen(df, cols, numeric=True), with_id(df, key)
     x = out.dropna(subset=names).withColumns({f"_x_{c}": number(c) for c in names})
     x = VectorAssembler(inputCols=[f"_x_{c}" for c in names], outputCol="_raw" if scale else "features").transform(x)
@@ -173,7 +174,7 @@ def advanced_magg(
     if clust is not None:
         x = clust(x) if callable(clust) else models[clust]().fit(x).transform(x)
     if reduct is not None:
-        x = reduct(x) if callable(reduct) else PCA(k=1, inputCol="features", outputCol="_c").fit(x).transform(x).withColumn("component", vector_to_array("_c")[0])
+        x = reduct(x) if callable(reduct) else independent_component(x, len(names), seed) if reduct == "fica" else PCA(k=1, inputCol="features", outputCol="_c").fit(x).transform(x).withColumn("component", vector_to_array("_c")[0])
     order = [F.col(c) for c, used in (("prediction", clust), ("component", reduct)) if used is not None]
     laid = with_position(x, [*order, F.col("_rid")]).withColumn("_chunk", F.floor(F.col("_pos") / aggr))
     laid = laid.withColumns({f"_x_{c}": of(F.col(f"_x_{c}")).over(W.partitionBy("_chunk")) for c in names}).withColumns({c: F.col(f"_x_{c}") for c in names})
@@ -181,6 +182,32 @@ def advanced_magg(
     return _output(laid.select(*df.columns).unionByName(rest.select(*df.columns)), names, df.columns, output)
 
 
+def independent_component(x: DataFrame, p: int, seed: int, steps: int = 60) -> DataFrame:
+    """Adds ``component``: the first independent component of ``features``, by fixed-point steps on whitened columns.
+
+    Each step is one aggregate over all rows; the driver holds p numbers and a p x p matrix.
+    """
+    cols = [f"_f{i}" for i in range(p)]
+    x = x.withColumns({c: vector_to_array("features")[i] for i, c in enumerate(cols)})
+    _, mean, cov = moments(x, cols)
+    values, vectors = np.linalg.eigh(np.nan_to_num(cov))
+    keep = values > 1e-12 * max(values.max(), 1e-300)
+    white = vectors[:, keep] / np.sqrt(values[keep])
+    z = [sum(((F.col(c) - float(mean[i])) * float(white[i, k]) for i, c in enumerate(cols)), F.lit(0.0)) for k in range(white.shape[1])]
+    w = np.random.default_rng(seed).normal(size=len(z))
+    w /= np.linalg.norm(w)
+    for _ in range(steps):
+        g = F.tanh(sum((zk * float(wk) for zk, wk in zip(z, w, strict=True)), F.lit(0.0)))
+        got = x.agg(*[F.avg(zk * g).alias(f"a{k}") for k, zk in enumerate(z)], F.avg(1 - g * g).alias("d")).first()
+        new = np.array([v or 0.0 for v in got[: len(z)]]) - (got["d"] or 0.0) * w
+        new /= np.linalg.norm(new) or 1.0
+        done, w = abs(new @ w) > 1 - 1e-9, new
+        if done:
+            break
+    w = w * (1 if w[np.argmax(np.abs(w))] > 0 else -1)
+    return x.withColumn("component", sum((zk * float(wk) for zk, wk in zip(z, w, strict=True)), F.lit(0.0))).drop(*cols)
+
+
 def _complete(names: Sequence[str]) -> Column:
     out = F.lit(True)
     for c in names:

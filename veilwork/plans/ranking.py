@@ -14,8 +14,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.core import is_numeric, row_key, with_position
-from veilwork.functions.keyed import uniform
+from veilwork.core import is_numeric, with_position
 from veilwork.functions.stats import binomial_tail, t_p_value
 from veilwork.operators.noise import moments
 from veilwork.plans.encode import embed
@@ -82,15 +81,12 @@ def forest_scores(rows: DataFrame, features: Sequence[str], classes: bool, trees
 
 
 def boruta_scores(rows: DataFrame, features: Sequence[str], classes: bool, trees: int = 60, rounds: int = 8, seed: int = 1234) -> dict[str, tuple[float, str]]:
-    """Columns that beat the best of the shadows (columns of mixed values) in more rounds than chance explains."""
+    """Columns that beat the best of the shadows (the columns of another row, by a permutation) in more rounds than chance explains."""
     hits = dict.fromkeys(features, 0)
-    quantiles = rows.agg(*[F.percentile_approx(c, [i / 50 for i in range(51)], 1000).alias(c) for c in features]).first()
+    placed = with_position(rows, [F.xxhash64(F.lit(seed), *features, "_y")])
+    n = placed.count()
     for r in range(rounds):
-        shadows = {}
-        for c in features:
-            u = uniform(row_key(rows, None), "shadow " + c, seed + r)
-            shadows[f"_shadow_{c}"] = F.element_at(F.array(*map(F.lit, quantiles[c] or [0.0])), F.floor(u * len(quantiles[c] or [0.0])).cast("int") + 1)
-        weights = _forest(rows.withColumns(shadows), [*features, *shadows], classes, trees, seed + r).featureImportances.toArray()
+        weights = _forest(permuted(placed, features, n, seed + r), [*features, *[f"_other_{c}" for c in features]], classes, trees, seed + r).featureImportances.toArray()
         best = weights[len(features) :].max(initial=0)
         for c, w in zip(features, weights, strict=False):
             hits[c] += w > best
