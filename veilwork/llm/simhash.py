@@ -137,8 +137,8 @@ def first_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
     text, row = F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(*plain)
     found = _groups(docs, "doc_id", "text", 3, distance, 5, 64, {"text_hash": text, "row_hash": row})
     stay = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row_hash")).alias("k"))
-    stay = stay.select("k.doc_id", "k.text_hash", "k.row_hash")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), text.alias("text_hash"), row.alias("row_hash"))
-    same = F.expr("d.doc_id <=> s.doc_id and d.text_hash = s.text_hash and d.row_hash = s.row_hash")
-    rows = rows.alias("d").join(stay.alias("s"), same, "left_semi").dropDuplicates(["doc_id", "text_hash", "row_hash"])
-    return rows.select("row.*")
+    # one key without nulls, so that the join and the choice among equal rows share one move of the texts
+    known = lambda doc_id, *hashes: F.struct(doc_id.isNull(), F.coalesce(doc_id.cast("string"), F.lit("")), *hashes)
+    stay = stay.select(known(F.col("k.doc_id"), F.col("k.text_hash"), F.col("k.row_hash")).alias("key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), known(F.col("doc_id"), text, row).alias("key"))
+    return rows.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
