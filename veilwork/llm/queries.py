@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from veilwork.llm import hnsw, html_text, line_quality, mixing, pieces, simhash, token_blocks, toxicity, url_filter, warc
+from veilwork.llm import hard_negatives, hnsw, html_text, line_quality, mixing, packing, pieces, prefix_trie, simhash, token_blocks, toxicity, url_filter, warc
 from veilwork.llm.common import table
 
 URL_RULES = [
@@ -69,11 +69,29 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = model_bytes(public_tokenizers.path("word_bpe_49k.json")).decode()
+    return packing.pieces(packing.pack_documents(table(spark, sf_dir, "documents"), model))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_url_filters, op2_quality_rules, op3_simhash_near_dedup, op4_sentencepiece, op5_warc, op6_mixing, op7_embedding_near_dedup, op8_token_blocks, op9_toxicity, op10_html_extraction)
-    }
+        for f in (
+            op1_url_filters, op2_quality_rules, op3_simhash_near_dedup, op4_sentencepiece, op5_warc, op6_mixing, op7_embedding_near_dedup,
+            op8_token_blocks, op9_toxicity, op10_html_extraction, op11_hard_negatives, op12_packing, op13_prefix_trie,
+        )
+    }
 
 
 OP1_SQL = """
@@ -194,5 +212,69 @@ from laid
 """
 
 
+OP11_SQL = """
+with v as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)
+), p as (
+  select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5
+), n as (
+  select p.a as anchor_id, p.b as positive_id, s.b as negative_id, p.score as positive_score, s.score as negative_score,
+    cast(row_number() over (partition by p.a, p.b order by s.score desc, s.b) as int) as rank
+  from p join s on s.a = p.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+# crc32 bit by bit: 3988292384 is the reversed polynomial
+OP13_SQL = """
+with t as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as p,
+    coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null
+), s as (
+  select c, count(*) as own, c - c % 5 as base,
+    xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::bigint) % 9 as h
+  from t group by c
+), r as (
+  select s.c, s.own, s.h, s.base, least(s.h, coalesce(b.own, 0)) as taken from s left join s b on b.c = s.base
+), u as (
+  select r.c, t.p, role, text from r join t on t.c = r.base and t.p < r.h
+  union all
+  select r.c, r.taken + t.p - r.h, role, text from r join t on t.c = r.c and t.p >= r.h
+), k as (
+  select c, list({'role': role, 'text': text} order by p) as turns, count(*) as n from u group by c
+  union all
+  select c, [], 0 from r where c not in (select c from u)
+), x as (
+  select c, n, d, md5(turns[1:d]::varchar || '|' || d) as key, case when d > 0 then turns[d].text end as text
+  from (select c, n, turns, unnest(range(n + 1)) as d from k)
+), nodes as (
+  select d, key, min(c) as conv_id, count(*) as n_convs, octet_length(encode(coalesce(first(text), ''))) as bytes,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (n = d), '')) as ends_sha256
+  from x group by d, key
+), up as (
+  select v.d, v.key, w.conv_id as parent_conv_id, w.key as parent
+  from nodes v join x on x.c = v.conv_id and x.d = v.d - 1 join nodes w on w.d = x.d and w.key = x.key
+), kids as (
+  select parent, count(*) as n_children from up group by parent
+), under as (
+  select w.d, w.key, count(*) filter (l.n_children is null) as n_leaves, sum((v.n_convs - 1) * v.bytes) as saved_tokens
+  from nodes v join x on x.c = v.conv_id and x.d <= v.d join nodes w on w.d = x.d and w.key = x.key left join kids l on l.parent = v.key
+  group by w.d, w.key
+)
+select n.conv_id, cast(n.d as bigint) as depth, u.parent_conv_id, n.n_convs, coalesce(k.n_children, 0) as n_children,
+  cast(b.n_leaves as bigint) as n_leaves, cast(b.saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from nodes n left join up u on u.d = n.d and u.key = n.key left join kids k on k.parent = n.key join under b on b.d = n.d and b.key = n.key
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_url_filters": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_warc": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op11_hard_negatives": OP11_SQL, "op13_prefix_trie": OP13_SQL, "op1_url_filters": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_warc": OP5_SQL, "op6_mixing": OP6_SQL}
