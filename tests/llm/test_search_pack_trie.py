@@ -19,7 +19,11 @@ from veilwork.llm.queries import model_bytes
 
 WORDS = model_bytes(public_tokenizers.path("word_bpe_49k.json")).decode()
 #: Extra columns with the names that operators use inside.
-CLASH = {c: F.lit(7) for c in ("a", "w", "h", "rid", "dim", "q", "cell", "need", "score", "bits", "phase", "base", "part", "first", "size", "ids", "conv", "p", "key", "bytes", "name", "depth", "node", "at", "n", "square")}
+CLASH = ["a", "w", "h", "rid", "dim", "q", "cell", "need", "score", "bits", "phase", "base", "part", "first", "size", "ids", "conv", "p", "key", "bytes", "name", "depth", "node", "at", "n", "square"]
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(7) for c in CLASH})
 
 
 @pytest.mark.parametrize("name", ["op11_hard_negatives", "op13_prefix_trie"])
@@ -70,7 +74,7 @@ def test_hard_negatives_with_ties_copies_and_odd_rows(spark):
     rows += [(5000, 1, hot)] * 150 + [(4, 0, hot)] * 200  # ids that repeat more often than a digit's spare rows
     rows += [(None, 1, hot), (50, None, hot), (100, 1, None), (150, 1, [0.1, None] + [0.0] * 6), (200, 1, [float("nan")] + [0.0] * 7), (250, 1, [float("inf")] + [0.0] * 7)]
     rows += [(300, 1, [0.5, 0.5]), (301, 1, [0.5, 0.5]), (302, 2, [0.4, 0.3]), (350, 1, []), (400, 2, [0.0] * 8)]
-    got = hard_negatives.hard_negatives(vectors(spark, rows).withColumns(CLASH))
+    got = hard_negatives.hard_negatives(clashing(vectors(spark, rows)))
     expected = mined(rows)
     assert len(expected) > 500 and sorted(map(tuple, got.collect())) == expected
     again = hard_negatives.hard_negatives(vectors(spark, rows).repartition(7))
@@ -181,7 +185,7 @@ def test_packing_covers_every_id_once(spark, sf):
 
 def test_packing_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "no id"), (3, "word " * 9000), (4, "It's 日本 & more"), (5, "one")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns(CLASH)
+    docs = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"))
     check_packing(spark, docs, rows)
     check_packing(spark, docs.repartition(4, "doc_id"), rows, 64)
     names = spark.createDataFrame([("x", "a b"), ("y", None)], "doc_id string, text string")
@@ -234,7 +238,7 @@ def test_trie_equals_brute_force(spark):
     rows += [(500 + i, t, "user", f"copy {t}") for i in range(90) for t in range(11)]  # a large group of copies
     rows += [(601, 0, "u", "x"), (602, None, "u", "x"), (602, 3, None, None), (None, 1, "u", "lost"), (603, None, None, None), (604, 2, "ab", "c"), (609, 2, "a", "bc")]
     rows += [(700, 1, "u", "again")] * 12  # rows that repeat: turns that repeat
-    got = prefix_trie.rebuilt_trie(conversations(spark, rows).withColumns(CLASH))
+    got = prefix_trie.rebuilt_trie(clashing(conversations(spark, rows)))
     expected = trie_of(rows)
     assert sorted(map(tuple, got.collect()), key=str) == expected
     again = prefix_trie.rebuilt_trie(conversations(spark, rows).repartition(6))

@@ -48,7 +48,7 @@ def quantised(rows: DataFrame, scale: int = 256, id_col: str = "vec_id", label_c
     there = rows.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & x.isNotNull()).filter(~odd)
     q = F.transform(x, lambda v: F.floor(v.cast("double") * float(scale)))
     square = F.aggregate(q, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    made = there.select(F.col(id_col).cast("bigint").alias("vec_id"), label.alias("label"), F.size(x).alias("dim"), q.cast("array<int>").alias("q"), square.alias("square"))
+    made = there.select(F.col(id_col).cast("bigint").alias("vec_id"), label.alias("label"), F.size(x).alias("dim"), F.when(square < EXACT, q.cast("array<int>")).alias("q"), square.alias("square"))
     made = written(made.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     n, low, high, last, bound = made.agg(F.count(F.lit(1)), F.min("vec_id"), F.max("vec_id"), F.max("rid"), F.max("square")).first()
     if (bound or 0.0) >= EXACT:
