@@ -63,11 +63,12 @@ def write_segments(docs: DataFrame, path: str, model: str, end_id: int = 2, id_c
 
 
 def _located(spark: SparkSession, path: str) -> DataFrame:
-    """Segments with ``start``: the ids of all segments before. Partitions' totals (one row each) are summed up in their order."""
+    """Segments with ``start``: the ids of all segments before. Partitions' totals are summed up in their order and sent to the
+    segments, which don't move: a row of two numbers per partition of the first pass, whatever it holds."""
     segments = spark.read.parquet(path)
     totals = segments.groupBy("part").agg(F.sum("size").alias("_n"))
     totals = totals.select("part", (F.sum("_n").over(W.orderBy("part")) - F.col("_n")).alias("_from"))
-    return segments.join(totals, "part").select((F.col("_from") + F.col("first")).alias("start"), "size", "doc_ids", "lengths", "ids")
+    return segments.join(F.broadcast(totals), "part").select((F.col("_from") + F.col("first")).alias("start"), "size", "doc_ids", "lengths", "ids")
 
 
 def _some(data: bytes, a: int, z: int) -> np.ndarray:
