@@ -1,5 +1,6 @@
 """Each training-data operator against a brute-force version, and on odd rows: nulls, empty and long texts, ties, no rows."""
 
+import gzip
 import hashlib
 import re
 import time
@@ -278,6 +279,31 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_only_cr_lf_ends_a_field_and_lengths_cut_records(spark, tmp_path):
+    odd = [f"http://a{c}WARC-Refers-To: <urn:page:5:1>{c}WARC-Type: revisit{c}Content-Length: 1{c}" for c in ("\u2028", "\u2029", "\x85", "\n", "\r\n", "\x0b")]
+    mark = "WARC/1.1\r\nWARC-Type: "
+    html = [mark, f"about {mark}response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n{mark}", mark * 2000, "\r\n\r\n", "", None, "plain", "plain"]
+    rows = [(i, odd[i % len(odd)], h) for i, h in enumerate(html)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    path = str(tmp_path / "archive")
+    warc.write_archive(pages, path)
+    found = {r.page_id: r for r in warc.page_facts(warc.read_archive(spark, path)).collect()}
+    sha = lambda t: b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    for i, _, h in rows:
+        keeper = max(j for j, _, x in rows if (x or "") == (h or ""))
+        assert (found[i].payload_bytes, found[i].payload_digest, found[i].refers_to) == (len((h or "").encode()), sha(h), keeper if keeper != i else None)
+        assert found[i].record_type == ("revisit" if keeper != i else "response")
+    warc.export_warc(warc.read_archive(spark, path), str(tmp_path / "warc"))
+    back = warc.import_warc(spark, str(tmp_path / "warc")).collect()
+    assert len(back) == len(rows) and all(r.payload is None or sha(bytes(r.payload).decode()) == r.declared_sha1 for r in back)
+    assert sorted(bytes(r.payload).decode() for r in back if r.payload is not None) == sorted({h or "" for h in html})
+    (tmp_path / "bad").mkdir()
+    for i, f in enumerate((tmp_path / "warc").glob("*.gz")):
+        (tmp_path / f"bad/{i}.txt").write_bytes(gzip.decompress(f.read_bytes()).replace(b"plain", b"plainer"))
+    with pytest.raises(Exception, match="as long as its head|inside a record"):
+        warc.import_warc(spark, str(tmp_path / "bad")).collect()
+
+
 def test_damaged_payloads_stop_the_reading(spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write_archive(spark.createDataFrame([(1, "u", "x")], "page_id bigint, url string, html string"), path)

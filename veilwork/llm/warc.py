@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from veilwork.llm.common import shared_folder, written
 #: Fixed values of the record format.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+MARK = b"WARC/1.1\r\nWARC-Type: "
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -23,8 +28,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.transform(F.array(F.sha1(payload)), letters)[0]  # so that the digest is computed once
 
 
-def _field(name: str) -> Column:
-    return F.regexp_extract("head", f"(?m)^{name}: (.*)$", 1)
+def _field(name: str, form: str = "([^\r\n]*)") -> Column:
+    """A field of a head. Lines end with CR LF alone: a url can hold any other character that some take for a line's end."""
+    return F.regexp_extract("head", f"\r\n{name}: {form}\r\n", 1)
 
 
 def write_archive(
@@ -79,7 +85,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     or a response without payload stops the job. ``record`` holds the record's exact bytes.
     """
     heads = spark.read.parquet(f"{path}/headers").withColumns(
-        {"record_type": _field("WARC-Type"), "refers_to": F.regexp_extract("head", "(?m)^WARC-Refers-To: <urn:page:(.*):[0-9]+>$", 1), "declared_sha1": F.substring(_field("WARC-Payload-Digest"), 6, 99)}
+        {"record_type": _field("WARC-Type"), "refers_to": _field("WARC-Refers-To", "<urn:page:([^:\r\n]*):[0-9]+>"), "declared_sha1": F.substring(_field("WARC-Payload-Digest"), 6, 99)}
     )
     store = spark.read.parquet(f"{path}/payloads")
     checked = F.when(F.expr("digest = unhex(sha2(payload, 256))"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload is missing or damaged")).cast("binary"))
@@ -127,33 +133,65 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 def export_warc(records: DataFrame, path: str) -> None:
     """Write the records as .warc.gz files: each row is a record, and the writer's line end is the one between records.
 
-    A file is one gzip stream, as Spark's writer makes it. ``import_warc`` reads them back.
+    A file is one gzip stream, as Spark's writer makes it. ``import_warc`` reads them back. Empty payloads are records
+    with the HTTP head alone, revisits have no payload, repeated rows are written as often; no records make no files.
     """
     block = F.concat("head", F.lit(HTTP_HEAD), F.coalesce(F.col("payload").cast("string"), F.lit("")))
     records.select(block).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+def _declared(head: bytes) -> int:
+    found = re.search(rb"\r\nContent-Length: ([0-9]+)\r\n", head)
+    if found is None:
+        raise ValueError("a record's head has no length")
+    return int(found[1])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heads and blocks of the records of whole files, from pieces of text that begin after the format's mark.
+
+    Where a piece is shorter than its head declares, the mark stood in the payload, and the next piece goes on with it.
+    A task holds one record and one batch.
+    """
+    at, held, lead, whole = None, None, 0, -1
+
+    for b in batches:
+        heads, blocks = [], []
+        for file, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if file != at:
+                if held is not None or piece:
+                    raise ValueError("a file begins or ends inside a record")
+                at = file
+                continue
+            if held is None:
+                held, whole = bytearray(piece.encode()), -1
+            else:
+                held += MARK + piece.encode()
+            if whole < 0 and (lead := held.find(b"\r\n\r\n")) >= 0:
+                whole = lead + 8 + _declared(b"\r\nWARC-Type: " + held[: lead + 2])
+            if 0 <= whole < len(held) or whole == len(held) and not held.endswith(b"\r\n\r\n"):
+                raise ValueError("a record isn't as long as its head declares")
+            if whole == len(held):
+                heads.append((b"\r\nWARC-Type: " + held[: lead + 2]).decode())
+                blocks.append(bytes(held[lead + 4 : -4]))
+                held = None
+        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.string()), pa.array(blocks, pa.binary())], ["head", "block"])
+    if held is not None:
+        raise ValueError("a file begins or ends inside a record")
+
+
 def import_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of exported files: record_id, record_type, refers_to (a record_id), declared_sha1 and payload (null for revisits).
 
-    A record begins with the format's mark and its first field; it must be as long as its head declares, so a payload
-    that holds that mark itself, or a damaged file, stops the reading.
+    Records are cut by the length that their heads declare, so a payload can hold the format's own mark. A gzip file is
+    read by one task, record by record. A damaged file stops the reading; empty payloads are empty, repeated records
+    come as often as they were written, and a folder of empty files gives no rows.
     """
-    mark = "WARC/1.1\r\nWARC-Type: "
-    files = spark.read.text(path, wholetext=False, lineSep=mark).filter("value != ''").withColumn("file", F.col("_metadata.file_path"))
-    parts = files.withColumn("at", F.monotonically_increasing_id())
-    head, lead = F.concat(F.lit("\r\n"), F.substring_index("value", "\r\n\r\n", 1), F.lit("\r\n")), F.col("value")
-    length = F.regexp_extract(head, "\r\nContent-Length: ([0-9]+)\r\n", 1).cast("long")
-    body = F.substr(lead, F.length(F.substring_index("value", "\r\n\r\n", 1)) + 5)
-    found = parts.withColumn("length", length).withColumn("body", body)
-    whole = F.octet_length("body").cast("long") - 4 == F.col("length")
-    if found.filter(~F.coalesce(whole, F.lit(False))).limit(1).count():
-        raise ValueError("a record isn't as long as its head declares")
-    field = lambda name: F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
-    kind = F.substring_index("value", "\r\n", 1)
-    payload = F.substr(F.col("body").cast("binary"), F.lit(len(HTTP_HEAD.encode()) + 1), (F.col("length") - len(HTTP_HEAD.encode())).cast("int"))
-    refers = field("WARC-Refers-To")
+    files = spark.read.text(path, lineSep=MARK.decode()).select(F.col("_metadata.file_path").alias("file"), "value")
+    found = files.mapInArrow(_cut, "head string, block binary")
+    kind, refers, lead = _field("WARC-Type"), _field("WARC-Refers-To"), len(HTTP_HEAD.encode())
+    payload = F.substr("block", F.lit(lead + 1), F.octet_length("block") - lead)
     return found.select(
-        field("WARC-Record-ID").alias("record_id"), kind.alias("record_type"), F.when(refers != "", refers).alias("refers_to"),
-        F.substring(field("WARC-Payload-Digest"), 6, 99).alias("declared_sha1"), F.when(kind == "response", payload).alias("payload"),
+        _field("WARC-Record-ID").alias("record_id"), kind.alias("record_type"), F.when(refers != "", refers).alias("refers_to"),
+        F.substring(_field("WARC-Payload-Digest"), 6, 99).alias("declared_sha1"), F.when(kind == "response", payload).alias("payload"),
     )
