@@ -161,7 +161,7 @@ def test_independent_component(spark):
 
 def test_permuted_rows_meet_each_other_once(spark):
     rows = spark.range(101).select(F.col("id").alias("_pos"), (F.col("id") * 7).alias("x"))
-    met = ranking.permuted(rows, ["x"], 101, 3).collect()
+    met = ranking.permuted(rows, ["x"], 101, [3]).collect()
     assert sorted(r._other_x for r in met) == [7 * i for i in range(101)] and sum(r.x == r._other_x for r in met) < 10
 
 
@@ -187,3 +187,25 @@ def test_searches_of_a_configuration(spark, tmp_path):
 
 def test_a_folder_is_needed_on_a_cluster(spark):
     assert core.new_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("n", [300, 5000])
+def test_ranking_by_all_methods(spark, n):
+    """A column that tells, one that tells a little and noise: all four methods, for a class and for a number."""
+    rows = spark.range(n).select(
+        F.rand(1).alias("tells"), F.rand(2).alias("little"), F.rand(3).alias("noise"), F.rand(4).alias("_e")
+    ).select("tells", "little", "noise", (F.col("tells") + 0.3 * F.col("little") + 0.2 * F.col("_e") > 0.75).cast("int").alias("y"), (3 * F.col("tells") + F.col("_e")).alias("z"))
+    for target in ("y", "z") if n == 300 else ("y",):
+        table = rows.drop("z" if target == "y" else "y").withColumnRenamed(target, "target")
+        table = table.withColumn("target", F.col("target").cast("int" if target == "y" else "double"))
+        found = ranking.explore_key_variables(table, "target", preprocessed=True)
+        ranked = found["ranking"].collect()
+        assert [c for c in found["ranking"].columns[2:]] == list(ranking.METHODS)
+        best = ranked[0]
+        assert best.variable == "tells" and best.include == "yes" and all(isinstance(best[m], float) for m in ranking.METHODS)
+        noise = next(r for r in ranked if r.variable == "noise")
+        assert noise.include != "yes" and noise.boruta < best.boruta and noise.stepwise <= best.stepwise
+    if n == 300:
+        scores = ranking.boruta_scores(ranking._prepared(rows, ["tells", "noise"], "y", True), ["tells", "noise"], True, trees=10, rounds=3)
+        assert scores["tells"][0] == 1.0 and isinstance(scores["noise"][0], float)
+        assert ranking.elimination_scores(ranking._prepared(rows, ["tells", "noise"], "z", False), ["tells", "noise"], False)["tells"][1] == "yes"

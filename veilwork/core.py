@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from pyspark.sql.types import NumericType
 
 from veilwork.errors import DataTypeError, InputError
 
+T, U = TypeVar("T"), TypeVar("U")
+
 
 @dataclass(frozen=True)
 class Mask:
@@ -93,6 +98,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def at_once(work: Callable[[T], U], items: Iterable[T], threads: int = 4) -> list[U]:
+    """``work`` of every item, in order; a few of these Spark jobs run side by side, each from a thread of the driver."""
+    items = list(items)
+    session = SparkSession.getActiveSession()
+    target = inheritable_thread_target(session)(work) if session is not None else work
+    with ThreadPoolExecutor(max(1, min(threads, len(items)))) as pool:
+        return list(pool.map(target, items))
+
+
 def with_position(df: DataFrame, order: list[Column], name: str = "_pos") -> DataFrame:
     """Adds each row's place (from 0) in a global order without moving all rows into one task.
 

@@ -14,7 +14,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.core import is_numeric, with_position
+from veilwork.core import at_once, checkpointed, is_numeric, with_position
 from veilwork.functions.stats import binomial_tail, t_p_value
 from veilwork.operators.noise import moments
 from veilwork.plans.encode import embed
@@ -48,55 +48,68 @@ def _right(classes: bool) -> Column:
     return F.avg((F.col("prediction") == F.col("_y")).cast("double")) if classes else -F.avg(F.pow(F.col("prediction") - F.col("_y"), 2))
 
 
-def permuted(placed: DataFrame, features: Sequence[str], n: int, seed: int) -> DataFrame:
-    """Rows with a ``_pos`` from 0 to n - 1, each beside the features of another row (prefixed with ``_other_``).
+def _step(n: int, seed: int) -> tuple[int, int]:
+    """``(a, b)`` such that row i meets row ``(a i + b) mod n``: a and n have no common divisor, so it is a permutation."""
+    rng = random.Random(seed)
+    return next(x for x in iter(lambda: rng.randrange(max(1, n // 3), n + 1), None) if math.gcd(x, n) == 1), rng.randrange(n)
+
+
+def permuted(placed: DataFrame, features: Sequence[str], n: int, seeds: Sequence[int]) -> DataFrame:
+    """For each seed, rows with a ``_pos`` from 0 to n - 1 beside the features of another row (prefixed with ``_other_``).
 
-    Row i meets row ``(a i + b) mod n`` with a and n without a common divisor: a permutation, found by one join.
+    Each seed is one permutation of the rows (``_turn`` is its number); all of them are found by one join.
     """
-    rng = random.Random(seed)
-    a, b = next(x for x in iter(lambda: rng.randrange(max(1, n // 3), n + 1), None) if math.gcd(x, n) == 1), rng.randrange(n)
-    others = placed.select(F.pmod(F.col("_pos") * a + b, F.lit(n)).alias("_pos"), *[F.col(c).alias(f"_other_{c}") for c in features])
-    return placed.join(others, "_pos")
+    meets = F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.pmod(F.col("_pos") * a + b, F.lit(n)).alias("at")) for i, (a, b) in enumerate(_step(n, s) for s in seeds)]))
+    others = placed.select(F.col("_pos").alias("_at"), *[F.col(c).alias(f"_other_{c}") for c in features])
+    turns = placed.select("*", meets.alias("_m")).select(*placed.columns, F.col("_m.turn").alias("_turn"), F.col("_m.at").alias("_at"))
+    return turns.join(others, "_at").drop("_at")
 
 
 def forest_scores(rows: DataFrame, features: Sequence[str], classes: bool, trees: int = 60, repeats: int = 10, seed: int = 1234) -> dict[str, tuple[float, str]]:
     """Impurity importance, and yes where permuting the column makes held-out predictions worse on average.
 
-    Each repeat is one permutation of the held-out rows; every column in turn takes its values from the other row, all
-    of them in one pass.
+    Each repeat is one permutation of the held-out rows; every column in turn takes its values from the other row. All
+    columns of all repeats are scored in one job.
     """
     held = F.pmod(F.xxhash64(F.lit(seed), *features, "_y"), F.lit(4)) == 0
-    test = with_position(rows.filter(held), [F.xxhash64(F.lit(seed), *features, "_y")])
+    test = checkpointed(with_position(rows.filter(held), [F.xxhash64(F.lit(seed), *features, "_y")]))
     model = _forest(rows.filter(~held), features, classes, trees, seed)
     n, base = test.count(), _quality(model, test, features, classes)
     drops: dict[str, list[float]] = {c: [0.0] for c in features}
-    for r in range(repeats if n > 1 else 0):
-        mixed = permuted(test, features, n, seed + r)
+    if n > 1:
+        mixed = permuted(test, features, n, [seed + r for r in range(repeats)])
         ways = F.explode(F.array(*[F.struct(F.lit(c).alias("way"), *[F.col(f"_other_{f}" if f == c else f).alias(f) for f in features]) for c in features]))
-        made = mixed.select("_y", ways.alias("_w")).select("_y", "_w.*")
+        made = mixed.select("_y", "_turn", ways.alias("_w")).select("_y", "_turn", "_w.*")
         out = model.transform(VectorAssembler(inputCols=list(features), outputCol="_f").transform(made))
-        for c, quality in out.groupBy("way").agg(_right(classes)).collect():
+        for c, _, quality in out.groupBy("way", "_turn").agg(_right(classes)).collect():
             drops[c].append(base - quality)
     return {c: (float(w), "yes" if np.mean(drops[c]) > 0 else "no") for c, w in zip(features, model.featureImportances.toArray(), strict=True)}
 
 
 def boruta_scores(rows: DataFrame, features: Sequence[str], classes: bool, trees: int = 60, rounds: int = 8, seed: int = 1234) -> dict[str, tuple[float, str]]:
-    """Columns that beat the best of the shadows (the columns of another row, by a permutation) in more rounds than chance explains."""
-    hits = dict.fromkeys(features, 0)
-    placed = with_position(rows, [F.xxhash64(F.lit(seed), *features, "_y")])
-    n = placed.count()
-    for r in range(rounds):
-        weights = _forest(permuted(placed, features, n, seed + r), [*features, *[f"_other_{c}" for c in features]], classes, trees, seed + r).featureImportances.toArray()
+    """Columns that beat the best of the shadows (the columns of another row, by a permutation) in more rounds than chance explains.
+
+    Rounds don't depend on each other: a few forests are grown at a time.
+    """
+    placed = checkpointed(with_position(rows, [F.xxhash64(F.lit(seed), *features, "_y")]))
+    n, both = placed.count(), [*features, *[f"_other_{c}" for c in features]]
+
+    def grown(r: int) -> list[bool]:
+        weights = _forest(permuted(placed, features, n, [seed + r]), both, classes, trees, seed + r).featureImportances.toArray()
         best = weights[len(features) :].max(initial=0)
-        for c, w in zip(features, weights, strict=False):
-            hits[c] += w > best
-    return {c: (h / rounds, "yes" if binomial_tail(h, rounds) < 0.05 else "maybe" if binomial_tail(rounds - h, rounds) >= 0.05 else "no") for c, h in hits.items()}
+        return [bool(w > best) for w in weights[: len(features)]]
+
+    hits = {c: sum(x) for c, x in zip(features, zip(*at_once(grown, range(rounds)), strict=True), strict=True)}
+    return {c: (float(h) / rounds, "yes" if binomial_tail(h, rounds) < 0.05 else "maybe" if binomial_tail(rounds - h, rounds) >= 0.05 else "no") for c, h in hits.items()}
+
 
+def elimination_scores(rows: DataFrame, features: Sequence[str], classes: bool, step: int = 1, folds: int = 5, seed: int = 1234) -> dict[str, tuple[float, str]]:
+    """Again and again the column of the smallest standardised coefficient goes; the best set by cross-validation stays.
 
-def elimination_scores(rows: DataFrame, features: Sequence[str], classes: bool, step: int = 1, folds: int = 3, seed: int = 1234) -> dict[str, tuple[float, str]]:
-    """Again and again the column of the smallest standardised coefficient goes; the best set by cross-validation stays."""
+    The folds and the model of all rows are fitted side by side.
+    """
     fold = F.pmod(F.xxhash64(F.lit(seed), *features, "_y"), F.lit(folds))
-    rows = rows.withColumn("_fold", fold).cache()
+    rows = checkpointed(rows.withColumn("_fold", fold))
     n_classes = rows.agg(F.count_distinct("_y")).first()[0]
     sds = rows.agg(*[F.stddev_samp(c).alias(c) for c in features]).first()
 
@@ -106,13 +119,18 @@ def elimination_scores(rows: DataFrame, features: Sequence[str], classes: bool,
 
     left, gone, scores = list(features), [], {}
     while left:
-        scores[tuple(left)] = float(np.mean([_quality(fit(rows.filter(F.col("_fold") != k), left), rows.filter(F.col("_fold") == k), left, classes) for k in range(folds)]))
-        model = fit(rows, left)
+        cols = list(left)
+
+        def one(k: int):  # noqa: ANN202
+            """A fold's quality; the model of all rows comes last."""
+            return fit(rows, cols) if k == folds else _quality(fit(rows.filter(F.col("_fold") != k), cols), rows.filter(F.col("_fold") == k), cols, classes)  # noqa: B023
+
+        *parts, model = at_once(one, range(folds + 1))
+        scores[tuple(left)] = float(np.mean(parts))
         weights = np.abs(model.coefficientMatrix.toArray()).sum(axis=0) if classes and n_classes >= 2 else np.abs(model.coefficients.toArray())
         order = sorted(range(len(left)), key=lambda i: weights[i] * (sds[left[i]] or 0.0))
         out = {left[i] for i in order[:step]}
         gone, left = [c for c in left if c in out] + gone, [c for c in left if c not in out]
-    rows.unpersist()
     best = max(scores, key=lambda k: (round(scores[k], 9), -len(k)))
     return {c: (1.0 if c in best else 1.0 / (2 + gone[::-1].index(c)), "yes" if c in best else "no") for c in features}
 
@@ -160,7 +178,7 @@ def stepwise_selection(
 
 
 def importance_scores(
-    df: DataFrame, features: Sequence[str], target: str, methods: Sequence[str] = METHODS, callback: Callable[[str], None] | None = None, seed: int = 1234,
+    df: DataFrame, features: Sequence[str], target: str, methods: Sequence[str] = METHODS, callback: Callable[[str], None] | None = None, seed: int = 1234, rounds: int = 8,
 ) -> dict[str, dict[str, tuple[float, str]]]:
     """Per method and column: a score and yes, maybe or no. Boruta needs 250 rows."""
     classes = task(df, target) in ("binary", "multi_class")
@@ -172,7 +190,7 @@ def importance_scores(
         if m == "rf":
             out[m] = forest_scores(rows, features, classes, seed=seed)
         elif m == "boruta":
-            out[m] = boruta_scores(rows, features, classes, seed=seed)
+            out[m] = boruta_scores(rows, features, classes, rounds=rounds, seed=seed)
         elif m == "rfe":
             out[m] = elimination_scores(rows, features, classes, seed=seed)
         elif m == "stepwise":
@@ -185,7 +203,7 @@ def importance_scores(
 
 def explore_key_variables(
     df: DataFrame, sensitive_col: str, preprocessed: bool = False, methods: Sequence[str] = METHODS, components: int = 6,
-    callback: Callable[[str], None] | None = None, seed: int = 1234,
+    callback: Callable[[str], None] | None = None, seed: int = 1234, rounds: int = 8,
 ) -> dict[str, DataFrame]:
     """``evidence`` (a row per component) and ``ranking`` (a row per variable, the best of its components).
 
@@ -196,7 +214,7 @@ def explore_key_variables(
         return {}
     table = df if preprocessed else embed(df, sensitive_col, size=components)
     features = [c for c in table.columns if c != sensitive_col and is_numeric(table, c)]
-    scores = importance_scores(table, features, sensitive_col, methods, callback, seed)
+    scores = importance_scores(table, features, sensitive_col, methods, callback, seed, rounds)
     rows = []
     for c in features:
         votes = [s[c][1] for s in scores.values()]
