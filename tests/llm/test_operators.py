@@ -587,6 +587,11 @@ def test_terms_are_counted_over_all_labelled_rows(spark):
         toxicity.mine(docs, most=2)
 
 
+def test_too_many_vote_patterns_are_an_error(spark, sf):
+    with pytest.raises(ValueError, match="patterns of votes"):
+        toxicity.fit_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"), most_patterns=3)
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -597,7 +602,7 @@ def test_main_text(spark):
         "<script>var t='</p>';</script><style>p{}</style>": "",
         "": "",
         "<p>Only a paragraph</p>": "Only a paragraph",
-        "<article><p>text, here</p><ul><li><a href=1>link one</a><li><a href=2>link two</a></ul><form><p>mail</p></form><ul><li>point one</li></ul></article>": "text, here\npoint one",
+        "<article><p>text, here</p><ul><li><a href=1>link one</a><li><a href=2>link two</a></ul><form><p>mail</p></form><ul><li>point one</li></ul></article>": "text, here\nlink one\nlink two\npoint one",
         "<article><p><b>open <i>never closed<p>next": None,
         "<!-- c --><article><p>a&nbsp;&lt;b&gt;</p></article>": "a <b>",
     }
@@ -648,12 +653,59 @@ def test_marks_weigh_and_comments_go():
         assert html_text.main_text(html) == text, html
 
 
+BODY = "<p>The article's own text, which is long enough, with commas, to be one.</p><p>And a second paragraph, as long as the first one, or longer.</p>"
+KEPT = "The article's own text, which is long enough, with commas, to be one.\nAnd a second paragraph, as long as the first one, or longer."
+
+
+@pytest.mark.parametrize("mark", [f'class="{c}"' for c in (
+    "user-comments reader-comments comment-body comment-content comment-thread commentsBlock CommentList google-ads sponsored-content related-articles related-posts "
+    "share-buttons social-icons cookie-message newsletter-form dropdown-menu mobile-menu ad-slot-3 topAds main-nav post-comments promo_box cookieConsent"
+).split()] + ["id=disqus_thread", "id=comments", "role=navigation", "hidden"])
+def test_marked_parts_of_an_article_go(mark):
+    part = f"<div {mark}><p>Something else, of some length, that isn't the article, but has commas.</p></div>"
+    assert html_text.main_text(f"<article><h1>T</h1>{BODY}{part}</article>") == f"T\n{KEPT}"
+    assert html_text.main_text(f"<div id=x><h1>T</h1>{part}{BODY}</div>") == f"T\n{KEPT}"
+
+
+def test_what_an_article_keeps():
+    cases = {f'<article><div class="{c}"><h1>Title</h1></div>{BODY}</article>': f"Title\n{KEPT}" for c in ("header", "page-header", "post-header", "main-header", "article-header")}
+    cases |= {
+        f'<article><h1>Title</h1><div class="header"><h2>Title</h2></div>{BODY}</article>': f"Title\n{KEPT}",
+        f'<div class="header"><h1>Site</h1></div><article>{BODY}</article>': KEPT,
+        f"<article>{BODY}<ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul></article>": f"{KEPT}\none\ntwo",
+        f"<div>{BODY}<ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul></div>": f"{KEPT}\none\ntwo",
+        f"<div><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul>{BODY}</div>": KEPT,
+        f"<article>{BODY}<h2>Responses</h2><p>The ministry gave three, of which, it said, none was final.</p></article>": f"{KEPT}\nResponses\nThe ministry gave three, of which, it said, none was final.",
+        f"<article>{BODY}<p>Press <button>Start</button>, then <label>name</label> it.</p><button>Share</button></article>": f"{KEPT}\nPress Start, then name it.",
+        f'<div class="layout sidebar-right"><main><h1>T</h1>{BODY}</main></div><div>(c) 2024, Some, Company, Inc.</div>': f"T\n{KEPT}",
+        f'<div class="comments-open post"><h1>T</h1>{BODY}</div>': f"T\n{KEPT}",
+        f"<article>{BODY}<section><h3>10:15</h3><p>News, of the hour.</p></section><section><h3>10:40</h3><p>More news.</p></section></article>": f"{KEPT}\n10:15\nNews, of the hour.\n10:40\nMore news.",
+    }
+    for html, text in cases.items():
+        assert html_text.main_text(html) == text, html
+
+
+def test_comments_by_structure():
+    one = lambda who, day, text: f"<div class=x><b>{who} says</b> <span>{day}</span><p>{text}</p></div>"
+    two = one("Ann", "May 3, 2021", "I like it, a lot, and so on.") + one("Bob", "2021-05-04", "So do I, as it happens, and more.")
+    item = lambda who, text: f"<li><em>{who}</em><time>yesterday</time><p>{text}</p><a href=r>Reply</a></li>"
+    cases = {
+        f"<article>{BODY}{two}</article>": KEPT,
+        f"<article>{BODY}<ol>{item('Ann', 'First, of all.')}{item('Bob', 'Second, to that.')}</ol></article>": KEPT,
+        f"<article>{BODY}<h2>Responses</h2>{one('Ann', '3 days ago', 'Only one, but a comment.')}</article>": KEPT,
+        f"<article>{BODY}<h2>3 Responses</h2><p>by bob</p></article>": KEPT,
+    }
+    for html, text in cases.items():
+        assert html_text.main_text(html) == text, html
+
+
 def plain_scores(tree):
     """Each element's score by its definition: every paragraph, wherever it is, and its distance."""
     size = lambda n: sum(len(" ".join(k.split())) if isinstance(k, str) else 0 if k.drop else size(k) for k in n.kids)
     commas = lambda n: sum(sum(k.count(c) for c in ",;") if isinstance(k, str) else 0 if k.drop else commas(k) for k in n.kids)
     links = lambda n: size(n) if n.tag == "a" else sum(links(k) for k in n.kids if not isinstance(k, str) and not k.drop)
     inside = lambda n, top: n is top or n.parent is not None and inside(n.parent, top)
+    weight = lambda n: 0.1 if n.tag == "aside" else 0.01 if "sidebar" in n.like else 1
     out = {}
     for top in tree.nodes:
         total = 0.0
@@ -662,7 +714,7 @@ def plain_scores(tree):
                 continue
             gives = (1 + commas(p) + min(size(p) / 100, 3)) * (1 - links(p) / size(p))
             if p.tag in html_text.PARAGRAPHS:
-                up, share = p.parent, 1.0 * (0.1 if p.mark else 1)
+                up, share = p.parent, weight(p)
             elif p.tag in ("div", "section", "article") and any(isinstance(k, str) and k.strip() for k in p.kids):
                 up, share = p, 1.0
             elif p.tag == "aside" and (own := [" ".join(k.split()) for k in p.kids if isinstance(k, str) and k.strip()]):
@@ -673,9 +725,9 @@ def plain_scores(tree):
             while up is not None and inside(up, top):
                 if up is top:
                     total += gives * share
-                up, share = up.parent, share / 2 * (0.1 if up.mark else 1)
-        below = any(m is not top and inside(top, m) for m in tree.nodes if m.mark)
-        out[top] = total * (1 - links(top) / size(top)) * (0.1 if top.mark else 1) * (0.1 if below else 1) if size(top) and not top.drop else 0.0
+                up, share = up.parent, share / 2 * weight(up)
+        around = min([weight(m) for m in tree.nodes if m is not top and inside(top, m)], default=1)
+        out[top] = total * (1 - links(top) / size(top)) * weight(top) * around if size(top) and not top.drop else 0.0
     return out
 
 
