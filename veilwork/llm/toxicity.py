@@ -279,11 +279,13 @@ def _learned(doc_id: Column) -> Column:
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None,
+    most_patterns: int = 300_000,
 ) -> tuple[ToxicityModel, DataFrame]:
     """The model, and ``(doc_id, terms, votes)`` of every document, with what ``keep`` names, written on the way.
 
     Labels are learned from rows whose crc32(doc_id as text) mod 5 is not 0. Terms are mined from all of them. The label
-    model counts the vote patterns of all documents: one row per pattern, whatever the corpus. The classifier learns
+    model counts the vote patterns of all documents: one row per pattern of the voters, which the driver takes; more than
+    ``most_patterns`` of them (a few hundred MB there) stop the job, as nothing is left out. The classifier learns
     from posterior labels alone, of all documents that aren't held out: texts of the same terms and votes are one row
     per class, weighed by their number and the posterior.
     """
@@ -299,7 +301,9 @@ def fit_toxicity(
     patterns = found.select("doc_id", "votes").join(known, "doc_id", "left").groupBy("votes").agg(
         F.count(F.lit(1)).alias("n"), F.count("toxic").alias("l"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")
     )
-    table = np.array(patterns.collect(), np.int64).reshape(-1, 4)
+    table = np.array(patterns.limit(most_patterns + 1).collect(), np.int64).reshape(-1, 4)
+    if len(table) > most_patterns:
+        raise ValueError(f"more than {most_patterns} patterns of votes: take fewer voters")
     model = fit_label_model(table[:, 0], table[:, 1], table[:, 2], table[:, 3], len(lexicon.voters))
 
     @F.pandas_udf("double")
