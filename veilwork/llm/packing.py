@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,20 @@ from pyspark.sql import functions as F
 from veilwork.llm.common import shared_folder, written
 from veilwork.llm.token_blocks import BLOCK, _together, loaded, pack, unpack, unpack_block
 
-#: Ids a segment is cut after, at a document's end.
-SEGMENT = 1 << 18
+#: Ids a segment is cut after, at a document's end; words that a worker remembers (it stays, with them, for what follows).
+SEGMENT, REMEMBERED = 1 << 18, 150_000
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Inside, tasks get rows in Arrow batches of at most about ``size``: for an action that ends inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def write_segments(docs: DataFrame, path: str, model: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -45,6 +58,8 @@ def write_segments(docs: DataFrame, path: str, model: str, end_id: int = 2, id_c
                 yield b
 
         for some, texts in _together(typed()):
+            if len(words.place) > REMEMBERED:
+                words._forget()
             got, counts = words.encode_all(texts, end_id)
             at = begun = 0
             for key, n in zip(some, counts.tolist(), strict=True):
@@ -59,7 +74,8 @@ def write_segments(docs: DataFrame, path: str, model: str, end_id: int = 2, id_c
         if keys:
             yield segment()
 
-    rows.mapInArrow(run, f"part int, first bigint, size bigint, doc_ids array<{kind}>, lengths array<bigint>, ids binary").write.parquet(path)
+    with batches_of(docs.sparkSession, "4m"):
+        rows.mapInArrow(run, f"part int, first bigint, size bigint, doc_ids array<{kind}>, lengths array<bigint>, ids binary").write.parquet(path)
 
 
 def _located(spark: SparkSession, path: str) -> DataFrame:
