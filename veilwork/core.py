@@ -98,6 +98,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table in the shared folder and read it back. For rounds: a checkpoint keeps the constraints of its plan, which
+    grow from round to round until planning takes longer than the work."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def at_once(work: Callable[[T], U], items: Iterable[T], threads: int = 4) -> list[U]:
     """``work`` of every item, in order; a few of these Spark jobs run side by side, each from a thread of the driver."""
     items = list(items)

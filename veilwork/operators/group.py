@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veilwork.core import checkpointed, chosen, is_numeric, number, with_groups, with_position, with_ranks, with_running
 from veilwork.errors import InputError, LessThanOrEqualToZeroError, NotInRangeError
 from veilwork.functions.keyed import normal
+from veilwork.operators import cluster
 from veilwork.operators.noise import moments
 from veilwork.operators.risk import individual_risk
 
@@ -152,21 +153,26 @@ def robust_magg(
 def advanced_magg(
     df: DataFrame, aggr: int = 2, clust: str | Callable | None = None, reduct: str | Callable | None = None, scale: str | None = None,
     clusters: int = 8, seed: int = 1234, measure: Measure = "mean", key: str | None = None, cols: Sequence[str] | str | None = None, output: str = "all",
+    radius: float = 0.5, least: int = 5, landmarks: int = 256,
 ) -> DataFrame:
     """Chunks of ``aggr`` rows ordered by cluster, then by the first component, then by id.
 
-    ``clust``: kmeans, bisecting, gaussian or a function (features frame -> frame with ``prediction``); ``reduct``: pca,
-    ipca (the same component: it is summed up over all rows either way), fica or a function (frame -> frame with
-    ``component``); ``scale``: standard or robust. What needs all pairs of rows (dbscan, optics, agglomerative, kernel
-    components) is not offered.
+    ``clust``: kmeans, bisecting, gaussian, dbscan (of ``radius`` and ``least`` rows), agglomerative (single linkage) or a
+    function (features frame -> frame with ``prediction``); ``reduct``: pca, ipca (the same component: it is summed up over
+    all rows either way), fica, kpca (by ``landmarks``) or a function (frame -> frame with ``component``); ``scale``:
+    standard or robust. Orders of reachability (optics) aren't offered.
     """
     _size(aggr)
     if clust is None and reduct is None:
         raise InputError("a clustering or a reduction is needed")
     models = {"kmeans": lambda: KMeans(k=clusters, seed=seed), "bisecting": lambda: BisectingKMeans(k=clusters, seed=seed), "gaussian": lambda: GaussianMixture(k=clusters, seed=seed)}
+    near = {"dbscan": lambda x: cluster.dbscan(x, radius, least), "agglomerative": lambda x: cluster.single_linkage(x, clusters)}
+    clust = near.get(clust, clust) if isinstance(clust, str) else clust
+    if reduct == "kpca":
+        reduct = lambda x: cluster.kernel_component(x, landmarks=landmarks, seed=seed)
     scalers = {"standard": lambda: StandardScaler(withMean=True, inputCol="_raw", outputCol="features"), "robust": lambda: RobustScaler(withCentering=True, inputCol="_raw", outputCol="features")}
     if isinstance(clust, str) and clust not in models or isinstance(reduct, str) and reduct not in ("pca", "ipca", "fica") or scale is not None and scale not in scalers:
-        raise InputError(f"known: {', '.join([*models, 'pca', 'ipca', 'fica', *scalers])}")
+        raise InputError(f"known: {', '.join([*models, *near, 'pca', 'ipca', 'fica', 'kpca', *scalers])}")
     of, names, out = _measure(measure), chosen(df, cols, numeric=True), with_id(df, key)
     x = out.dropna(subset=names).withColumns({f"_x_{c}": number(c) for c in names})
     x = VectorAssembler(inputCols=[f"_x_{c}" for c in names], outputCol="_raw" if scale else "features").transform(x)
@@ -188,7 +194,7 @@ def independent_component(x: DataFrame, p: int, seed: int, steps: int = 60) -> D
     Each step is one aggregate over all rows; the driver holds p numbers and a p x p matrix.
     """
     cols = [f"_f{i}" for i in range(p)]
-    x = x.withColumns({c: vector_to_array("features")[i] for i, c in enumerate(cols)})
+    x = checkpointed(x.withColumns({c: vector_to_array("features")[i] for i, c in enumerate(cols)}))
     _, mean, cov = moments(x, cols)
     values, vectors = np.linalg.eigh(np.nan_to_num(cov))
     keep = values > 1e-12 * max(values.max(), 1e-300)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.core import new_folder, with_position, with_ranks
-from veilwork.operators import group, noise, recode, risk, utility
+from veilwork.operators import cluster, group, noise, recode, risk, utility
 from veilwork.plans import cache, encode, models, ranking, search, sensitivity
 from veilwork.sources import tables
 from veilwork.streaming import reports
@@ -466,6 +466,49 @@ def utility_roc_points(spark: SparkSession, d: str) -> DataFrame:
     return utility.roc_points(scored, "y", "c_acctbal").select("threshold", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
 
 
+# --- clusterings by distance ------------------------------------------------------------------------------------------
+
+#: Customers by balance and nation, and the classes of those within a distance of each other, by a closure over the pairs.
+NEAR_SQL = """with recursive x as (select c_custkey as k, c_acctbal / 100 as a, c_nationkey * 3.0 as b from customer),
+near as (select p.k as u, q.k as v from x p join x q on (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) <= {limit}),
+core as (select u as k from near group by u having count(*) >= {least}),
+links as (select u, v from near where u in (select k from core) and v in (select k from core)),
+walk as (select k as root, k from core union select w.root, l.v from walk w join links l on l.u = w.k),
+label as (select k, min(root) as first from walk group by k)"""
+
+
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    return cluster.features_of(c, {"a": F.col("c_acctbal") / 100, "b": F.col("c_nationkey") * 3.0})
+
+
+def _by_first(found: DataFrame) -> DataFrame:
+    """Clusters named by their smallest customer instead of by the order of their points."""
+    return found.join(found.groupBy("prediction").agg(F.min("c_custkey").alias("first")), "prediction")
+
+
+@query(NEAR_SQL.format(limit=1.44, least=4) + """
+select x.k as c_custkey, x.k in (select k from core) as core, l.first from x left join label l on l.k = x.k where x.k in (select k from core)""")
+def cluster_density_cores(spark: SparkSession, d: str) -> DataFrame:
+    """Cores of the density clusters, each cluster named by its smallest core."""
+    cores = cluster.dbscan(_customers(spark, d), 1.2, 4).filter("core").select("c_custkey", "prediction", "core")
+    return _by_first(cores).select("c_custkey", "core", "first")
+
+
+@query(NEAR_SQL.format(limit=1.44, least=4) + """
+select x.k as c_custkey, x.k in (select u from near where v in (select k from core)) as clustered from x""")
+def cluster_density_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows are of a cluster: cores, and those within the radius of one."""
+    return cluster.dbscan(_customers(spark, d), 1.2, 4).select("c_custkey", (F.col("prediction") >= 0).alias("clustered"))
+
+
+@query(NEAR_SQL.format(limit=1, least=1) + "\nselect k as c_custkey, first from label")
+def cluster_single_linkage(spark: SparkSession, d: str) -> DataFrame:
+    """Agglomerative clusters cut where they lie more than 1 apart."""
+    found = cluster.single_linkage(_customers(spark, d), distance=1.0).select("c_custkey", "prediction")
+    return _by_first(found).select("c_custkey", "first")
+
+
 # --- encoders, models, ranking, sensitivity, searches -----------------------------------------------------------------
 
 
