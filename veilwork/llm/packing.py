@@ -96,7 +96,7 @@ def _windows(segments: DataFrame, length: int, inner: bool) -> DataFrame:
     """Second pass: what each segment has of each window: whole windows (``inner``), or the parts of windows cut at its ends.
 
     A row: sequence_id, ``offset`` of its first id in the window, ids, and arrays for the pieces in it: doc_ids,
-    starts (of the piece in its document), lengths, doc_tokens.
+    starts (of the piece in its document), lengths, doc_tokens, offsets (in the window) and sums (CRC-32 of its ids).
     """
     kind = dict(segments.dtypes)["doc_ids"]
 
@@ -117,7 +117,9 @@ def _windows(segments: DataFrame, length: int, inner: bool) -> DataFrame:
                     lo, hi = np.maximum(begins[n:m], a), np.minimum(ends[n:m], z)
                     ids.append(whole[a:z] if inner else _some(data, a, z))
                     kept.append(np.arange(n, m))
-                    spans.append((lo - begins[n:m], hi - lo, lengths[n:m]))
+                    raw = memoryview(ids[-1].astype("<u4").tobytes())
+                    sums = np.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip((lo - a).tolist(), (hi - a).tolist(), strict=True)], np.int64)
+                    spans.append((lo - begins[n:m], hi - lo, lengths[n:m], lo - a + (start + a) % length, sums))
                 at = np.array([start + a for a, _ in pairs])
                 bounds, cut = ([0, *np.cumsum([len(x) for x in some])] for some in (kept, ids))
                 columns = [
@@ -125,9 +127,9 @@ def _windows(segments: DataFrame, length: int, inner: bool) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), docs.take(pa.array(np.concatenate(kept)))),
                     *[pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(x).astype(np.int64))) for x in zip(*spans, strict=True)],
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["sequence_id", "offset", "ids", "doc_ids", "starts", "lengths", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays(columns, ["sequence_id", "offset", "ids", "doc_ids", "starts", "lengths", "doc_tokens", "offsets", "sums"])
 
-    return segments.mapInArrow(run, f"sequence_id bigint, offset int, ids array<int>, doc_ids {kind}, starts array<bigint>, lengths array<bigint>, doc_tokens array<bigint>")
+    return segments.mapInArrow(run, f"sequence_id bigint, offset int, ids array<int>, doc_ids {kind}, starts array<bigint>, lengths array<bigint>, doc_tokens array<bigint>, offsets array<bigint>, sums array<bigint>")
 
 
 def read_sequences(spark: SparkSession, path: str, length: int = 4096, pad_id: int = 0) -> DataFrame:
@@ -139,8 +141,8 @@ def read_sequences(spark: SparkSession, path: str, length: int = 4096, pad_id: i
     """
     segments = _located(spark, path)
     whole = _windows(segments, length, True)
-    parts = _windows(segments, length, False).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_ids", "starts", "lengths", "doc_tokens"))).alias("p"))
-    names = ["ids", "doc_ids", "starts", "lengths", "doc_tokens"]
+    parts = _windows(segments, length, False).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_ids", "starts", "lengths", "doc_tokens", "offsets", "sums"))).alias("p"))
+    names = ["ids", "doc_ids", "starts", "lengths", "doc_tokens", "offsets", "sums"]
     parts = parts.select("sequence_id", *[F.flatten(f"p.{c}").alias(c) for c in names])
     out = whole.select("sequence_id", *names).unionByName(parts).withColumn("n_tokens", F.size("ids"))
     padded = F.concat("ids", F.array_repeat(F.lit(pad_id), F.lit(length) - F.col("n_tokens")))
@@ -163,26 +165,13 @@ def pack_documents(docs: DataFrame, model: str, length: int = 4096, end_id: int
 def pieces(sequences: DataFrame) -> DataFrame:
     """A row per piece: doc_id, ``start`` in its document, length, ids_crc32, doc_tokens, sequence_id, ``offset`` in it.
 
-    Sums are taken from the sequences' own ids. Pieces of a sequence lie without gaps from offset 0.
+    Pieces of a sequence lie without gaps from offset 0.
     """
-    kind = dict(sequences.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, lengths = np.diff(b.column(2).offsets.to_numpy()), b.column(4).flatten().to_numpy()
-            first = np.concatenate([[0], np.cumsum(counts)])
-            ends = np.cumsum(lengths)
-            inside = ends - lengths - np.repeat(np.concatenate([[0], ends])[first[:-1]], counts)
-            ids = b.column(1)
-            sums = []
-            for i, (a, z) in enumerate(zip(first, first[1:], strict=False)):
-                raw = memoryview(ids[i].values.to_numpy().astype("<u4").tobytes())
-                sums += [zlib.crc32(raw[4 * o : 4 * (o + n)]) for o, n in zip(inside[a:z].tolist(), lengths[a:z].tolist(), strict=True)]
-            columns = [b.column(2).flatten(), b.column(3).flatten(), pa.array(lengths), pa.array(sums, pa.int64()), b.column(5).flatten(), pa.array(np.repeat(b.column(0).to_numpy(), counts)), pa.array(inside)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    rows = sequences.select("sequence_id", "ids", "doc_ids", "starts", "lengths", "doc_tokens")
-    return rows.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    each = sequences.select("sequence_id", F.explode(F.arrays_zip("doc_ids", "starts", "lengths", "sums", "doc_tokens", "offsets")).alias("p"))
+    return each.select(
+        F.col("p.doc_ids").alias("doc_id"), F.col("p.starts").alias("start"), F.col("p.lengths").alias("length"), F.col("p.sums").alias("ids_crc32"),
+        F.col("p.doc_tokens").alias("doc_tokens"), "sequence_id", F.col("p.offsets").alias("offset"),
+    )
 
 
 def boundary_records(sequences: DataFrame) -> DataFrame:
