@@ -190,6 +190,7 @@ def test_packing_of_odd_rows(spark):
     check_packing(spark, docs.repartition(4, "doc_id"), rows, 64)
     names = spark.createDataFrame([("x", "a b"), ("y", None)], "doc_id string, text string")
     assert {r.doc_id for r in packing.pieces(packing.pack_documents(names, WORDS)).collect()} == {"x", "y"}
+    assert packing.packed_pieces(names, WORDS).count() == 2
     for empty in (docs.limit(0), docs.filter("doc_id = -1")):
         assert packing.pieces(packing.pack_documents(empty, WORDS)).count() == 0
 

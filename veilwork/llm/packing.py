@@ -174,6 +174,13 @@ def pieces(sequences: DataFrame) -> DataFrame:
     )
 
 
+def packed_pieces(docs: DataFrame, model: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces of all documents packed (see ``pack_documents``), written in the shared folder while tasks get small batches."""
+    sequences = pack_documents(docs, model, length, end_id, id_col=id_col, text_col=text_col)
+    with batches_of(docs.sparkSession, "4m"):
+        return written(pieces(sequences), "pieces")
+
+
 def boundary_records(sequences: DataFrame) -> DataFrame:
     """The documents that a cut runs through: sequence_id that begins inside one, doc_id, and ids of it that lie before."""
     first = sequences.select("sequence_id", F.element_at("doc_ids", 1).alias("doc_id"), F.element_at("starts", 1).alias("start"))

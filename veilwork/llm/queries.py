@@ -77,7 +77,7 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = model_bytes(public_tokenizers.path("word_bpe_49k.json")).decode()
-    return packing.pieces(packing.pack_documents(table(spark, sf_dir, "documents"), model))
+    return packing.packed_pieces(table(spark, sf_dir, "documents"), model)
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
