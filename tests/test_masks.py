@@ -236,6 +236,11 @@ def test_columns_are_checked(spark):
 def test_generated_tables(spark):
     b = tables.binary_table(spark, 400)
     assert b.filter("Label <> Perc_0").count() == 0 and 100 < b.filter("Label <> Perc_40").count() < 220
+    n = tables.numeric_table(spark)
+    assert n.count() == 1000 and len(n.columns) == 7 and all(abs(r[1] - 5 * (1 + r.Label)) < 1 for r in n.groupBy("Label").avg("STDEV_0_5").collect())
+    made = tables.l_diverse_table(spark, [1, 3, 5], columns=2)
+    assert sorted(r.d for r in made.groupBy("col_0").agg(F.count_distinct("sensitive").alias("d")).collect()) == [1, 3, 5]
+    assert tables.t_close_table(spark, [3, 4, 5, 6, 8, 11, 7, 9, 10], columns=2).groupBy("col_0").count().filter("count = 3").count() == 3
     changed = tables.change_categories(b.withColumn("id", F.monotonically_increasing_id()), "Perc_0", 0.25, "id")
     assert changed.filter("Perc_0 <> Label").count() == 100
     with pytest.raises(NotInRangeError):

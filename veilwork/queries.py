@@ -641,29 +641,6 @@ def search_risk_utility_points(spark: SparkSession, d: str) -> DataFrame:
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""select cast(i >= 500 as int) as "Label", {", ".join(f"case when {_draw('i', f'flip{p}', 1234)} < {p / 100}::double then 1 - cast(i >= 500 as int) else cast(i >= 500 as int) end as Perc_{p}" for p in (0, 10, 20, 30, 40))}, 1 as One_Cat from range(1000) t(i)""")
-def source_binary_table(spark: SparkSession, d: str) -> DataFrame:
-    return tables.binary_table(spark)
-
-
-@query(f"""select cast(i >= 500 as int) as "Label", {", ".join(f"round(5.0::double * (1 + cast(i >= 500 as int)) + {_normal('i', f'sd{s}', 1234)} * {s}, 6) as STDEV_{str(s).replace('.', '_')}" for s in tables.geometric_sequence())} from range(1000) t(i)""")
-def source_numeric_table(spark: SparkSession, d: str) -> DataFrame:
-    out = tables.numeric_table(spark)
-    return out.select("Label", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
-
-
-@query("select i || '_' || b as key, i as col, count(distinct least(r, l - 1)) as diversity, count(*) as rows from (values (0, 1), (1, 3), (2, 5)) t(b, l), range(5) q(r), range(2) c(i) group by 1, 2")
-def source_l_diverse_table(spark: SparkSession, d: str) -> DataFrame:
-    made = tables.l_diverse_table(spark, [1, 3, 5], columns=2)
-    parts = [made.groupBy(F.col(f"col_{i}").alias("key")).agg(F.count_distinct("sensitive").alias("diversity"), F.count(F.lit(1)).alias("rows")).withColumn("col", F.lit(i).cast("long")) for i in range(2)]
-    return parts[0].unionByName(parts[1])
-
-
-@query("select '0_' || (i // 3) as col_0, '1_' || (i // 3) as col_1, [3, 4, 5, 6, 8, 11, 7, 9, 10][i + 1]::bigint as sensitive from range(9) t(i)")
-def source_t_close_table(spark: SparkSession, d: str) -> DataFrame:
-    return tables.t_close_table(spark, [3, 4, 5, 6, 8, 11, 7, 9, 10], columns=2)
-
-
 @query(f"""with c as (select list(distinct o_orderstatus order by o_orderstatus) as c, count(*) as n from orders),
 r as (select o_orderkey, o_orderstatus, c, n, row_number() over (order by {_draw("o_orderkey", "who", 1234)}) as place, {_draw("o_orderkey", "other", 1234)} as u from orders, c)
 select o_orderkey, case when place <= cast(floor(n * 0.3::double) as bigint) then c[(list_position(c, o_orderstatus) - 1 + 1 + cast(floor(u * (len(c) - 1)) as bigint)) % len(c) + 1] else o_orderstatus end as o_orderstatus from r""")
