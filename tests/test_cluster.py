@@ -117,3 +117,63 @@ def test_groups_by_density_linkage_and_kernel(spark):
     for options in ({"clust": "dbscan", "radius": 0.4}, {"clust": "agglomerative", "clusters": 3}, {"reduct": "kpca", "landmarks": 60}):
         out = group.advanced_magg(df, 5, key="id", cols=["x0", "x1"], **options)
         assert out.count() == 150 and out.groupBy("x0", "x1").count().filter("count < 5").count() == 0
+
+
+def plain_ward(sizes, means, k):
+    parts = [([i], float(n), np.array(m, float)) for i, (n, m) in enumerate(zip(sizes, means, strict=True))]
+    while len(parts) > k:
+        cost = {(i, j): a[1] * b[1] / (a[1] + b[1]) * ((a[2] - b[2]) ** 2).sum() for i, a in enumerate(parts) for j, b in enumerate(parts) if i < j}
+        i, j = min(cost, key=cost.get)
+        (x, n, a), (y, m, b) = parts[i], parts[j]
+        parts = [p for t, p in enumerate(parts) if t not in (i, j)] + [(x + y, n + m, (n * a + m * b) / (n + m))]
+    label = np.empty(len(sizes), int)
+    for t, p in enumerate(parts):
+        label[p[0]] = t
+    return label
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 20])
+def test_ward_equals_a_plain_version(k):
+    rng = np.random.default_rng(k)
+    means, sizes = rng.normal(size=(60, 3)) * (1, 2, 5), rng.integers(1, 40, 60)
+    assert same_classes(cluster.ward_labels(sizes, means, k).tolist(), plain_ward(sizes, means, k).tolist())
+
+
+def test_features_sum_up_to_the_table_at_every_level(spark):
+    p = np.round(spread(np.random.default_rng(3)) * 64)  # whole numbers: sums are exact
+    found = {}
+    for parts in (1, 7):
+        df = frame(spark, p).repartition(parts, "id")
+        for most in (10_000, 60, 7, 1):
+            features = sorted(map(tuple, cluster.feature_tree(df, 40.0, most)[0].collect()))
+            assert len(features) <= most and sum(f[1] for f in features) == len(p)
+            assert np.array_equal(np.sum([f[2] for f in features], axis=0), p.sum(axis=0))
+            assert np.array_equal(np.sum([f[3] for f in features], axis=0), (p**2).sum(axis=0))
+            assert found.setdefault(most, features) == features  # whatever the partitions
+    radius = [np.sqrt(max(0, sum(f[3]) / f[1] - sum((v / f[1]) ** 2 for v in f[2]))) for f in found[10_000]]
+    assert max(radius) <= 40.0 and len(found[60]) > 30
+
+
+def test_birch_equals_ward_on_its_features(spark):
+    p = spread(np.random.default_rng(5))
+    df = frame(spark, p)
+    got = [r.prediction for r in cluster.birch(df, 4, 1e-6, 1000).orderBy("id").collect()]  # a feature a point
+    points, at, n = np.unique(p, axis=0, return_inverse=True, return_counts=True)
+    assert same_classes(got, plain_ward(n, points, 4)[at.ravel()].tolist())
+    coarse = [r.prediction for r in cluster.birch(df, 3, 0.5, 50).orderBy("id").collect()]
+    assert len(set(coarse)) == 3 and len({coarse[i] for i in range(60)}) == 1  # a dense group stays whole
+    assert len({r.prediction for r in cluster.birch(df, None, 3.0).collect()}) > 3
+
+
+def test_birch_on_odd_tables(spark):
+    df = frame(spark, np.array([[1.0, 2.0], [1.0, 2.0], [float("nan"), 1.0], [5.0, float("inf")]]))
+    assert [r.prediction for r in cluster.birch(df).orderBy("id").collect()] == [0, 0, -1, -1]
+    assert cluster.birch(df.limit(0)).count() == 0 and cluster.birch(df.filter("id = 2")).first().prediction == -1
+    wide = frame(spark, np.random.default_rng(1).normal(size=(300, 12)))
+    assert 4 < cluster.feature_tree(wide, 0.1, 40)[0].count() <= 40
+    for bad in ({"threshold": 0.0}, {"most": 0}, {"clusters": 0}, {"threshold": 1e-300}):
+        with pytest.raises(InputError):
+            cluster.birch(frame(spark, np.array([[1.0], [2.0]])), **bad)
+    rows = frame(spark, spread(np.random.default_rng(2)))
+    out = group.advanced_magg(rows.drop("features"), 3, clust="birch", key="id", cols=["x0", "x1"])
+    assert out.count() == rows.count() and abs(out.agg(F.sum("x0")).first()[0] - rows.agg(F.sum("x0")).first()[0]) < 1e-6

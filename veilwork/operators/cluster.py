@@ -1,4 +1,4 @@
-"""Clusterings by distance on Spark: neighbours in cells, spanning forests in rounds, kernel components by landmarks."""
+"""Clusterings by distance on Spark: neighbours in cells, spanning forests in rounds, clustering features, kernel components."""
 
 from __future__ import annotations
 
@@ -271,6 +271,100 @@ def single_linkage(x: DataFrame, clusters: int = 2, distance: float | None = Non
     return with_points(x, of.join(_numbered(of, "label"), "label"), ["prediction"])
 
 
+# --- clustering features ----------------------------------------------------------------------------------------------
+
+
+def _cells(width: int, low: list[float], side: float, shifts: list[int]) -> Column:
+    """The cell of ``features``; null where one of them isn't finite."""
+    p = vector_to_array("features")
+    at = F.array(*[F.shiftright(F.floor((p[i] - low[i]) / side), shifts[i]) for i in range(width)])
+    return F.when(F.forall(p, lambda v: F.abs(v) < float("inf")), at)
+
+
+def feature_tree(x: DataFrame, threshold: float, most: int = 1000) -> tuple[DataFrame, Callable[[], Column]]:
+    """Clustering features ``(cell, n, sums, squares)`` of ``features``, ``most`` at most, and the cell of a row as a column.
+
+    Leaves are cells whose diagonal is ``threshold``, laid from the least value of each column. While there are more than
+    ``most``, cells are doubled along one column after the other: a level is made by adding up the features of the one
+    below, never from rows, and cells are nested, so the features of every level sum up to the moments of the table and
+    don't hang on its partitions or order. A doubling at most halves their number, so those that are sure to be needed are
+    made at once. Rows with values that aren't finite are in no feature; an empty table has none.
+    """
+    if not threshold > 0 or most < 1:
+        raise InputError("a threshold above 0 and one feature or more are needed")
+    rows = x.select("features", vector_to_array("features").alias("p")).filter(F.forall("p", lambda v: F.abs(v) < float("inf")))
+    first = rows.select(F.size("p")).first()
+    width = first[0] if first else 0
+    if not width:
+        return x.sparkSession.createDataFrame([], "cell array<bigint>, n bigint, sums array<double>, squares array<double>"), lambda: F.lit(None).cast("array<bigint>")
+    ends = rows.agg(*[F.min(F.col("p")[i]) for i in range(width)], *[F.max(F.col("p")[i]) for i in range(width)]).first()
+    low, side, shifts = list(ends[:width]), threshold / width**0.5, [0] * width
+    if any((ends[width + i] - low[i]) / side >= 2.0**52 for i in range(width)):
+        raise InputError("the threshold is too small for the columns' spread")
+    sums = [F.array(*[F.sum(F.pow(F.col("p")[i], F.lit(k))) for i in range(width)]).alias(name) for name, k in (("sums", 1), ("squares", 2))]
+    features = stored(rows.groupBy(_cells(width, low, side, shifts).alias("cell")).agg(F.count(F.lit(1)).alias("n"), *sums), "features")
+    step = 0
+    while (found := features.count()) > most:
+        for _ in range(max(1, int(np.ceil(np.log2(found / most))))):
+            shifts[step % width] += 1
+            step += 1
+            at = (step - 1) % width
+            features = features.withColumn("cell", F.array(*[F.shiftright(F.col("cell")[i], int(i == at)) for i in range(width)]))
+        added = [F.array(*[F.sum(F.col(c)[i]) for i in range(width)]).alias(c) for c in ("sums", "squares")]
+        features = stored(features.groupBy("cell").agg(F.sum("n").alias("n"), *added), "features")
+    return features, lambda: _cells(width, low, side, shifts)
+
+
+def ward_labels(sizes: np.ndarray, means: np.ndarray, clusters: int) -> np.ndarray:
+    """Clusters of weighted points that grow their inner sum of squares least, two at a time, by chains of nearest neighbours."""
+    m, size, mean, alive = len(sizes), sizes.astype(float), means.astype(float), np.ones(len(sizes), bool)
+    merges, height, chain = [], np.zeros(len(sizes)), []
+    while len(merges) < m - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        i = chain[-1]
+        cost = size * size[i] / (size + size[i]) * ((mean - mean[i]) ** 2).sum(axis=1)
+        cost[~alive] = cost[i] = np.inf
+        j = int(np.argmin(cost))
+        if len(chain) > 1 and cost[chain[-2]] <= cost[j]:  # each is the other's nearest
+            j = chain[-2]
+            a, b = min(i, j), max(i, j)
+            height[a] = max(cost[j], height[a], height[b])
+            merges.append((height[a], a, b))
+            mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+            size[a], alive[b] = size[a] + size[b], False
+            del chain[-2:]
+        else:
+            chain.append(j)
+    label = np.arange(m)
+    for _, a, b in sorted(merges, key=lambda t: t[0])[: max(0, m - clusters)]:
+        one, two = label[a], label[b]
+        label[label == max(one, two)] = min(one, two)
+    return np.unique(label, return_inverse=True)[1]
+
+
+def birch(x: DataFrame, clusters: int | None = 8, threshold: float = 0.5, most: int = 1000) -> DataFrame:
+    """Adds ``prediction``: the cluster of the row's clustering feature.
+
+    Of ``feature_tree`` the driver gets ``most`` features at most, whatever the table holds, and joins them to ``clusters``
+    by Ward's rule, each weighing as many rows as it has (none: every feature is a cluster). Clusters are numbered by
+    their first cell. Equal rows share a cluster; fewer features than clusters are clusters of their own; a row with a
+    value that isn't finite gets -1; an empty table gives no rows.
+    """
+    if clusters is not None and clusters < 1:
+        raise InputError("one cluster or more is needed")
+    features, cell = feature_tree(x, threshold, most)
+    found = sorted(features.collect(), key=lambda r: r.cell)  # ``most`` rows at most
+    n = np.array([r.n for r in found])
+    if clusters is None or len(found) <= clusters:
+        labels = range(len(found))
+    else:
+        labels = ward_labels(n, np.array([r.sums for r in found]) / n[:, None], clusters).tolist()
+    table = x.sparkSession.createDataFrame([(r.cell, v) for r, v in zip(found, labels, strict=True)], "_cell array<bigint>, prediction int")
+    out = x.withColumn("_cell", cell()).join(F.broadcast(table), "_cell", "left")
+    return out.withColumn("prediction", F.coalesce("prediction", F.lit(-1))).drop("_cell")
+
+
 # --- kernel components ------------------------------------------------------------------------------------------------
 
 

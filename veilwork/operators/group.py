@@ -157,8 +157,8 @@ def advanced_magg(
 ) -> DataFrame:
     """Chunks of ``aggr`` rows ordered by cluster, then by the first component, then by id.
 
-    ``clust``: kmeans, bisecting, gaussian, dbscan (of ``radius`` and ``least`` rows), agglomerative (single linkage) or a
-    function (features frame -> frame with ``prediction``); ``reduct``: pca, ipca (the same component: it is summed up over
+    ``clust``: kmeans, bisecting, gaussian, dbscan (of ``radius`` and ``least`` rows), agglomerative (single linkage), birch
+    (features of the threshold ``radius``) or a function (features frame -> frame with ``prediction``); ``reduct``: pca, ipca (the same component: it is summed up over
     all rows either way), fica, kpca (by ``landmarks``) or a function (frame -> frame with ``component``); ``scale``:
     standard or robust. Orders of reachability (optics) aren't offered.
     """
@@ -166,7 +166,7 @@ def advanced_magg(
     if clust is None and reduct is None:
         raise InputError("a clustering or a reduction is needed")
     models = {"kmeans": lambda: KMeans(k=clusters, seed=seed), "bisecting": lambda: BisectingKMeans(k=clusters, seed=seed), "gaussian": lambda: GaussianMixture(k=clusters, seed=seed)}
-    near = {"dbscan": lambda x: cluster.dbscan(x, radius, least), "agglomerative": lambda x: cluster.single_linkage(x, clusters)}
+    near = {"dbscan": lambda x: cluster.dbscan(x, radius, least), "agglomerative": lambda x: cluster.single_linkage(x, clusters), "birch": lambda x: cluster.birch(x, clusters, radius)}
     clust = near.get(clust, clust) if isinstance(clust, str) else clust
     if reduct == "kpca":
         reduct = lambda x: cluster.kernel_component(x, landmarks=landmarks, seed=seed)

@@ -509,6 +509,29 @@ def cluster_single_linkage(spark: SparkSession, d: str) -> DataFrame:
     return _by_first(found).select("c_custkey", "first")
 
 
+FEATURES_SQL = """with x as (select c_acctbal / 100 as a, (c_nationkey * 3)::double as b from customer), low as (select min(a) as la, min(b) as lb from x),
+c as (select l, cast(floor((a - la) / {side}::double) as bigint) >> (l + 1) // 2 as i, cast(floor((b - lb) / {side}::double) as bigint) >> l // 2 as j,
+  count(*) as n, sum(a) as a1, sum(b) as b1, sum(a * a) as a2, sum(b * b) as b2 from x, low, (select unnest(range(60)) as l) group by all),
+pick as (select min(l) as l from (select l from c group by l having count(*) <= {most}))
+"""
+
+
+@query(FEATURES_SQL.format(side=0.5 / 2**0.5, most=200) + "select i, j, n, round(a1, 6) as a1, round(b1, 6) as b1, round(a2, 5) as a2, round(b2, 5) as b2 from c join pick using (l)")
+def cluster_features(spark: SparkSession, d: str) -> DataFrame:
+    """The level of the tree of clustering features that holds 200 of them at most."""
+    found, at = cluster.feature_tree(_customers(spark, d), 0.5, 200)[0], F.col("cell")
+    sums = [F.round(F.col(c)[i], 7 - k).alias(f"{n}{k}") for k, c in ((1, "sums"), (2, "squares")) for i, n in enumerate("ab")]
+    return found.select(at[0].alias("i"), at[1].alias("j"), "n", *sums)
+
+
+@query("select count(*) as n, round(sum(c_acctbal), 4) as balance, 8 as clusters from customer")
+def cluster_birch(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in eight clusters of clustering features: all of them, whole."""
+    found = cluster.birch(_customers(spark, d), 8, 0.5, 200).filter("prediction >= 0")
+    each = found.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("balance"))
+    return each.agg(F.sum("n").alias("n"), F.round(F.sum("balance"), 4).alias("balance"), F.count(F.lit(1)).cast("int").alias("clusters"))
+
+
 # --- encoders, models, ranking, sensitivity, searches -----------------------------------------------------------------
 
 
