@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.feature import PCA, HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.core import is_numeric, with_position
 from veilwork.errors import InputError
+from veilwork.plans import text_vectors
 
 
 def label_codes(values: DataFrame, col: str) -> DataFrame:
@@ -84,11 +83,12 @@ def category_vectors(df: DataFrame, col: str, sensitive_col: str, size: int = 6,
 
 def embed(
     df: DataFrame, sensitive_col: str, ignore: Sequence[str] = (), size: int = 6, normalize: bool = False, fit_on: DataFrame | None = None,
+    reduct: str = "pca", width: int = 1 << 18,
 ) -> DataFrame:
     """Sensitive, ignored, numeric, binary, embedded and text columns, without nulls.
 
     Numbers are imputed by their mean (0 / 1 columns by their mode), categories by None, texts by "None"; a category
-    becomes ``size`` columns of its vector, a text as many principal components of its hashed words.
+    becomes ``size`` columns of its vector, a text as many components (``reduct``, see ``text_vectors.fit``) of its words in ``width`` hashed columns.
     """
     base = df if fit_on is None else fit_on
     if base.filter(F.col(sensitive_col).isNull()).limit(1).count():
@@ -114,14 +114,10 @@ def embed(
         out = out.join(table, F.coalesce(F.col(c).cast("string"), F.lit("None")) == table["_v"], "left").drop("_v")
         parts += [F.coalesce(f"{c}_{i}", F.lit(0.0)).alias(f"{c}_{i}") for i in range(size)]
     for c in (c for c in used if kinds[c] == "textual"):
-        steps = [RegexTokenizer(inputCol=f"_t_{c}", outputCol=f"_w_{c}", pattern="\\W+", minTokenLength=0), HashingTF(inputCol=f"_w_{c}", outputCol=f"_h_{c}", numFeatures=256)]
         text = F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c).cast("string")), F.lit("None"))
-        fitted = base.withColumn(f"_t_{c}", text)
-        out = out.withColumn(f"_t_{c}", text)
-        for s in steps:
-            fitted, out = s.transform(fitted), s.transform(out)
-        out = PCA(k=size, inputCol=f"_h_{c}", outputCol=f"_p_{c}").fit(fitted).transform(out)
-        parts += [vector_to_array(f"_p_{c}")[i].alias(f"{c}_{i}") for i in range(size)]
+        fitted = text_vectors.fit(base.select(text.alias("text")), "text", size, reduct, width)
+        out = out.withColumn(f"_p_{c}", fitted.column(text))
+        parts += [F.col(f"_p_{c}")[i].alias(f"{c}_{i}") for i in range(size)]
     return out.select(*parts)
 
 
