@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,32 @@ def test_masks_and_reports_on_streams(spark, sf):
     q = reports.masked_stream(stream, mask).writeStream.format("memory").queryName("masked").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("masked").count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_points_are_those_of_sobols_sequence(spark):
+    numbers = sensitivity.direction_numbers(10)
+    rows = spark.range(1024).select("id", *[sensitivity.sobol_point(F.col("id"), v, 10).alias(f"x{j}") for j, v in enumerate(numbers)]).orderBy("id").collect()
+    got = np.array([r[1:] for r in rows])
+    # published: the first points of the first five dimensions
+    known = [[0] * 5, [0.5] * 5, [0.75, 0.25, 0.25, 0.25, 0.75], [0.25, 0.75, 0.75, 0.75, 0.25], [0.375, 0.375, 0.625, 0.875, 0.375]]
+    assert got[:5, :5].tolist() == known
+    plain = np.zeros((1024, 10), np.int64)  # one point from the one before, by the digit that changes
+    for i in range(1, 1024):
+        low = ((i - 1) ^ i).bit_length() - 1
+        plain[i] = plain[i - 1] ^ np.array([v[low] for v in numbers])
+    assert np.array_equal(got, plain / 2.0**sensitivity.BITS)
+    for j in range(10):  # each dimension meets every interval of 1/1024 once
+        assert sorted((got[:, j] * 1024).astype(int)) == list(range(1024))
+
+
+def test_directions_beyond_the_published_ones(spark):
+    numbers = sensitivity.direction_numbers(60)
+    assert len({tuple(v) for v in numbers}) == 60 and numbers[:10] == sensitivity.direction_numbers(10)
+    assert [len(sensitivity._primitive(s)) for s in range(1, 9)] == [1, 1, 2, 2, 6, 6, 18, 16]
+    assert all(a in sensitivity._primitive(s) for s, a, _ in sensitivity.DIRECTIONS)
+    for v in numbers:
+        top = [x >> (sensitivity.BITS - 8) for x in v[:8]]
+        points = {0}
+        for x in top:
+            points |= {p ^ x for p in points}
+        assert len(points) == 256

@@ -1,4 +1,4 @@
-"""Variance-based sensitivity: Saltelli samples of a quasi-random sequence, and Sobol indices with bootstrap intervals."""
+"""Variance-based sensitivity: Saltelli samples of Sobol's sequence, and Sobol indices with bootstrap intervals."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,40 +30,95 @@ def parameters(df: DataFrame) -> Parameters:
     return Parameters(tuple(names), tuple((got[f"a{i}"], got[f"b{i}"]) for i in range(len(names))))
 
 
-def _primes(n: int) -> list[int]:
-    out, k = [], 2
-    while len(out) < n:
-        if all(k % p for p in out):
-            out.append(k)
-        k += 1
-    return out
-
-
-def radical_inverse(i: Column, base: int, digits: int) -> Column:
-    """The number's digits in ``base`` mirrored at the point."""
-    out = F.lit(0.0)
+# Published initial direction numbers (Joe and Kuo, 2008) of dimensions 2 to 21, each with the degree and the
+# inner coefficients of its primitive polynomial.
+DIRECTIONS = (
+    (1, 0, (1,)), (2, 1, (1, 3)), (3, 1, (1, 3, 1)), (3, 2, (1, 1, 1)), (4, 1, (1, 1, 3, 3)), (4, 4, (1, 3, 5, 13)),
+    (5, 2, (1, 1, 5, 5, 17)), (5, 4, (1, 1, 5, 5, 5)), (5, 7, (1, 1, 7, 11, 19)), (5, 11, (1, 1, 5, 1, 1)),
+    (5, 13, (1, 1, 1, 3, 11)), (5, 14, (1, 3, 5, 5, 31)), (6, 1, (1, 3, 3, 9, 7, 49)), (6, 13, (1, 1, 1, 15, 21, 21)),
+    (6, 16, (1, 3, 1, 13, 27, 49)), (6, 19, (1, 1, 1, 15, 7, 5)), (6, 22, (1, 3, 1, 15, 13, 25)),
+    (6, 25, (1, 1, 5, 5, 19, 61)), (7, 1, (1, 3, 7, 11, 23, 15, 103)), (7, 4, (1, 3, 7, 13, 13, 15, 69)),
+)
+#: Binary digits of a point.
+BITS = 40
+
+
+def _primitive(degree: int) -> list[int]:
+    """Inner coefficients of the primitive polynomials of a degree: those whose powers of x pass through every remainder."""
+    whole, found = (1 << degree) - 1, []
+    tests = [whole // p for p in range(2, whole + 1) if whole % p == 0 and all(p % q for q in range(2, int(p**0.5) + 1))] if degree > 1 else []
+
+    def times(a: int, b: int, poly: int) -> int:
+        out = 0
+        while b:
+            out ^= a if b & 1 else 0
+            a, b = a << 1, b >> 1
+            a ^= poly if a >> degree & 1 else 0
+        return out
+
+    def power(of: int, poly: int) -> int:
+        out, base = 1, 2
+        while of:
+            out = times(out, base, poly) if of & 1 else out
+            base, of = times(base, base, poly), of >> 1
+        return out
+
+    for inner in range(1 << (degree - 1)):
+        poly = (1 << degree) | (inner << 1) | 1
+        if power(whole, poly) == 1 and all(power(t, poly) != 1 for t in tests):
+            found.append(inner)
+    return found
+
+
+def direction_numbers(dimensions: int) -> list[list[int]]:
+    """``BITS`` direction numbers of each dimension, as whole numbers of that many digits.
+
+    Beyond the published ones polynomials go on in their order; their first numbers are drawn odd, from the dimension.
+    """
+    table = list(DIRECTIONS)
+    degree, known = max(s for s, _, _ in table), {(s, a) for s, a, _ in table}
+    while len(table) < dimensions - 1:
+        for inner in _primitive(degree):
+            if (degree, inner) not in known:
+                draw = np.random.default_rng((degree, inner))
+                table.append((degree, inner, tuple(2 * int(draw.integers(1 << k)) + 1 for k in range(degree))))
+        degree += 1
+    out = [[1 << (BITS - 1 - k) for k in range(BITS)]]
+    for s, inner, first in table[: dimensions - 1]:
+        v = [m << (BITS - 1 - k) for k, m in enumerate(first)]
+        for k in range(s, BITS):
+            x = v[k - s] ^ (v[k - s] >> s)
+            for j in range(1, s):
+                x ^= v[k - j] if inner >> (s - 1 - j) & 1 else 0
+            v.append(x)
+        out.append(v[:BITS])
+    return out[:dimensions]
+
+
+def sobol_point(i: Column, numbers: list[int], digits: int) -> Column:
+    """Coordinate of point ``i`` (from 0, below ``2 ** digits``) of a digital net, in the order of Gray codes."""
+    gray, out = i.bitwiseXOR(F.shiftright(i, 1)), F.lit(0).cast("bigint")
     for k in range(digits):
-        out = out + F.pmod(F.floor(i / (base**k)), F.lit(base)) / float(base ** (k + 1))
-    return out
+        out = out.bitwiseXOR(F.shiftright(gray, k).bitwiseAND(F.lit(1)) * F.lit(numbers[k]).cast("bigint"))
+    return out.cast("double") / float(1 << BITS)
 
 
-def samples(params: Parameters, n: int = 10_000, second_order: bool = True, method: str | None = None, spark=None, seed: int = 1234) -> DataFrame:  # noqa: ANN001
+def samples(params: Parameters, n: int = 10_000, second_order: bool = True, method: str | None = None, spark=None, skip: int | None = None) -> DataFrame:  # noqa: ANN001
     """``(base, matrix, columns..)``: Saltelli's ``n (2 D + 2)`` rows (``n (D + 2)`` without second order).
 
-    Matrices: a, b, ``ab<i>`` (a with column i of b) and ``ba<i>``. Points are radical inverses in prime bases with a
-    keyed shift per dimension, made on the executors from the row number.
+    Matrices: a, b, ``ab<i>`` (a with column i of b) and ``ba<i>``. Points are those of Sobol's sequence in 2 D dimensions
+    from ``skip`` on (the least power of two that isn't below ``n``, if not given), each made on the executors from its row
+    number by exclusive ors of direction numbers: no point needs the one before.
     """
     if method not in (None, "saltelli"):
         raise InputError(f"unknown method {method}")
     d = len(params.names)
+    skip = 1 << max(0, (n - 1).bit_length()) if skip is None else skip
+    digits = (skip + n).bit_length()
+    if n < 0 or skip < 0 or digits > BITS:
+        raise InputError(f"points lie between 0 and 2 ** {BITS}")
     base = spark.range(n).withColumnRenamed("id", "base")
-    primes, points = _primes(2 * d), []
-    for j, p in enumerate(primes):
-        digits, top = 0, 1
-        while top < 2 * n + 16:
-            digits, top = digits + 1, top * p
-        shift = uniform(F.lit(j), "shift", seed)
-        points.append(F.pmod(radical_inverse(F.col("base") + 16, p, digits) + shift, F.lit(1.0)))
+    points = [sobol_point(F.col("base") + skip, v, digits) for v in direction_numbers(2 * d)]
     scaled = [lo + x * (hi - lo) for x, (lo, hi) in zip(points, params.bounds * 2, strict=True)]
     base = base.select("base", *[x.alias(f"_p{j}") for j, x in enumerate(scaled)])
 

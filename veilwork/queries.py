@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilwork.core import new_folder, with_position, with_ranks
 from veilwork.operators import cluster, group, noise, recode, risk, utility
-from veilwork.plans import cache, encode, models, ranking, search, sensitivity
+from veilwork.plans import cache, encode, models, ranking, search, sensitivity, text_vectors
 from veilwork.sources import tables
 from veilwork.streaming import reports
 
@@ -532,6 +532,19 @@ def cluster_birch(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.sum("n").alias("n"), F.round(F.sum("balance"), 4).alias("balance"), F.count(F.lit(1)).cast("int").alias("clusters"))
 
 
+@query(r"""with w as (select p_partkey, unnest(regexp_split_to_array(lower(p_brand || ' ' || p_type || ', ' || p_type), '[^a-z0-9]+')) as w from part), c as (select p_partkey, w, count(*) as c from w where w <> '' group by all),
+m as (select w, sum(c) / (select count(*) from part) as m from c group by w), s as (select sum(m * m) as s from m)
+select p.p_partkey, round(coalesce(sum(c.c * c.c), 0), 6) as of_counts, round(coalesce(sum(c.c * c.c - 2 * c.c * m.m), 0) + any_value(s.s), 6) as of_centred
+from part p cross join s left join c using (p_partkey) left join m using (w) group by p.p_partkey""")
+def encode_text_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as long as the texts have directions keep every text's length: as it is (truncated), and from the mean (pca)."""
+    part = _t(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit(" "), "p_type", F.lit(", "), "p_type").alias("said"))
+    for name, method in (("of_counts", "truncated"), ("of_centred", "pca")):
+        vector = text_vectors.fit(part, "said", 40, method, 1 << 14, near=1e-6).column(F.col("said"))
+        part = part.withColumn(name, F.round(F.aggregate(vector, F.lit(0.0), lambda a, v: a + v * v), 6))
+    return part.drop("said")
+
+
 # --- encoders, models, ranking, sensitivity, searches -----------------------------------------------------------------
 
 
@@ -584,6 +597,24 @@ def sensitivity_sobol(spark: SparkSession, d: str) -> DataFrame:
     return sensitivity.analyze(lambda t: t.withColumn("prediction", F.col("p_size") * 10 + F.col("p_retailprice")), params, table)
 
 
+# directions of four dimensions by their recurrences: 1; x + 1; x^2 + x + 1; x^3 + x + 1
+SOBOL_SQL = """with recursive k as (select 0 as k, 1::bigint as p, 1::bigint as q1, 1::bigint as r1, 3::bigint as r2, 1::bigint as s1, 3::bigint as s2, 1::bigint as s3
+  union all select k + 1, xor(2 * p, p), r1, r2, xor(xor(2 * r2, 4 * r1), r1), s2, s3, xor(xor(4 * s2, 8 * s1), s1) from k where k < 16),
+v as (select unnest([1, 2, 3, 4]) as d, k, (unnest([1, p, q1, s1]) << (39 - k))::bigint as v from (select k, p, r1 as q1, s1 from k)),
+x as (select i, d, bit_xor(case when (xor(i + 16384, (i + 16384) >> 1) >> k) & 1 = 1 then v else 0 end)::double / 1099511627776 as x from (select unnest(range(10000)) as i), v group by i, d),
+w as (select i, max(case when d = 1 then x end) as a, max(case when d = 2 then x end) as b, max(case when d = 3 then x end) as c, max(case when d = 4 then x end) as d from x group by i),
+m as (select i, unnest(['a', 'b', 'ab0', 'ab1', 'ba0', 'ba1']) as matrix, unnest([a, c, c, a, a, c]) as x, unnest([b, d, b, d, d, b]) as y from w),
+e as (select min(p_size) as s0, max(p_size) as s1, min(p_retailprice) as r0, max(p_retailprice) as r1 from part)
+select i as base, matrix, round(s0 + x * (s1 - s0), 6) as p_size, round(r0 + y * (r1 - r0), 6) as p_retailprice from m, e"""
+
+
+@query(SOBOL_SQL)
+def sensitivity_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples over the columns' ranges from Sobol's sequence."""
+    params = sensitivity.parameters(_t(spark, d, "part").select("p_size", "p_retailprice"))
+    return sensitivity.samples(params, spark=spark).select("base", "matrix", *[F.round(c, 6).alias(c) for c in params.names])
+
+
 FUNCTIONS = {"rounding": recode.rounding, "topbot": recode.topbot_recode, "k": lambda df: risk.k_anonymity(df, ["c_nationkey", "c_acctbal"]), "classes": lambda df: df.select("c_nationkey", "c_acctbal").distinct().count() / df.count()}
 MASKS = [{"rounding": {"magnitude": 4, "cols": "c_acctbal"}}, {"topbot": {"top_cutoff": 5000, "bottom_cutoff": 0, "cols": "c_acctbal"}}]
 # the table after no mask, the first, the second, and both in either order, with each one's score
