@@ -733,6 +733,19 @@ def stream_windowed_classes(spark: SparkSession, d: str) -> DataFrame:
     return closed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
+@query("""with l as (select max(ts) - interval 10 minute as at from events),
+c as (select event_id, event_type, time_bucket(interval 1 hour, ts) + interval 1 hour as close, count(*) over (partition by time_bucket(interval 1 hour, ts), event_type) as n from events)
+select event_id, case when n >= 3 then event_type end as event_type, n >= 3 as released from c, l where n >= 3 or close < l.at""")
+def stream_released_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Events that leave a stream once three of their type came within the hour, else without their type when it is over."""
+    schema, folder = _t(spark, d, "events").schema, new_folder(spark, "released")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    out = reports.released_rows(rows, "ts", ["event_type"], 3)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").drop("ts")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
