@@ -8,11 +8,11 @@ import json
 import math
 import random
 from collections.abc import Callable, Sequence
-from itertools import permutations
+from itertools import islice, permutations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.core import checkpointed
+from veilwork.core import at_once, checkpointed
 from veilwork.plans.cache import content
 from veilwork.errors import (
     InputError,
@@ -237,41 +237,72 @@ class StochasticSearch(Search):
 
 
 class ExhaustiveSearch(Search):
-    """Every order of ``size_perms`` masks, scored after each step; tables and scores of common beginnings are kept."""
+    """Every order of ``size_perms`` masks, scored after each step; tables and scores of common beginnings are kept.
+
+    ``branches`` orders are taken at a time, and their new beginnings of one length are made and scored side by side, each
+    from a thread of the driver and in a scheduler pool of its own (which a fair scheduler heeds). The log is that of one
+    order after the other; where ``theta`` ends the search, up to ``branches`` orders were tried in vain. An error counts
+    when its order comes.
+    """
 
     headers = ("perm_num",)
 
-    def __init__(self, *args: object, num_perms: int | None = None, size_perms: int | None = None, return_best: bool = True, **options: object):
+    def __init__(self, *args: object, num_perms: int | None = None, size_perms: int | None = None, return_best: bool = True, branches: int = 4, **options: object):
         options.setdefault("iters", 1 << 30)
         super().__init__(*args, **options | {"reuse_mutations": True})
         if num_perms is not None and num_perms <= 0 or size_perms is not None and size_perms <= 0:
             raise LessThanOrEqualToZeroError("num_perms and size_perms must be positive")
+        if branches <= 0:
+            raise LessThanOrEqualToZeroError("branches must be positive")
+        self.branches = branches
         self.num_perms, self.size_perms, self.return_best = num_perms, size_perms or len(self.mutations), return_best
 
     def optimize(self) -> DataFrame:
         fitness = self._begin(perm_num=0)
-        best, best_fitness, last, steps = self.target, fitness, self.target, 0
-        known: dict[tuple[int, ...], tuple] = {}
-        for number, order in enumerate(permutations(range(len(self.mutations)), self.size_perms), 1):
-            if self.num_perms is not None and number > self.num_perms:
-                break
-            current = self.target
-            for k in range(len(order)):
-                if steps >= self.iters or best_fitness <= self.theta:
-                    return best if self.return_best else last
-                head = order[: k + 1]
-                if head not in known:
-                    made, mutation, error = self.mutate(current, self.mutations[order[k]])
-                    made = checkpointed(made) if len(order) - len(head) > 1 else made  # two orders or more go on from it
-                    known[head] = (made, mutation, error, *self.evaluate(made))
-                current, mutation, error, fitness, found, failed = known[head]
-                last, steps = current, steps + 1
-                if fitness < best_fitness:
-                    best, best_fitness = current, fitness
-                self.log.add(fitness, mutation, found, error or failed, perm_num=number)
-                self._tell(steps, fitness)
+        best, best_fitness, last, steps, number = self.target, fitness, self.target, 0, 0
+        known: dict[tuple[int, ...], tuple | Exception] = {}
+        orders = islice(permutations(range(len(self.mutations)), self.size_perms), self.num_perms)
+        while wave := list(islice(orders, min(self.branches, max(1, -(-(self.iters - steps) // self.size_perms))))):
+            if steps < self.iters and best_fitness > self.theta:
+                self._grow(known, wave)
+            for order in wave:
+                number += 1
+                for k in range(len(order)):
+                    if steps >= self.iters or best_fitness <= self.theta:
+                        return best if self.return_best else last
+                    step = known[order[: k + 1]]
+                    if isinstance(step, Exception):
+                        raise step
+                    current, mutation, error, fitness, found, failed = step
+                    last, steps = current, steps + 1
+                    if fitness < best_fitness:
+                        best, best_fitness = current, fitness
+                    self.log.add(fitness, mutation, found, error or failed, perm_num=number)
+                    self._tell(steps, fitness)
         return best if self.return_best else last
 
+    def _grow(self, known: dict[tuple[int, ...], tuple | Exception], orders: list[tuple[int, ...]]) -> None:
+        """Adds all beginnings of ``orders`` that aren't known, the shorter first."""
+        context = self.target.sparkSession.sparkContext
+
+        def branch(head: tuple[int, ...]) -> tuple | Exception:
+            before = known[head[:-1]] if len(head) > 1 else (self.target,)
+            if isinstance(before, Exception):
+                return before
+            context.setLocalProperty("spark.scheduler.pool", f"branch-{'-'.join(map(str, head))}")
+            try:
+                made, mutation, error = self.mutate(before[0], self.mutations[head[-1]])
+                made = checkpointed(made) if self.size_perms - len(head) > 1 else made  # two orders or more go on from it
+                return (made, mutation, error, *self.evaluate(made))
+            except Exception as e:  # raised when its order comes
+                return e
+            finally:
+                context.setLocalProperty("spark.scheduler.pool", None)
+
+        for k in range(1, self.size_perms + 1):
+            new = [h for h in dict.fromkeys(order[:k] for order in orders) if h not in known]
+            known |= zip(new, at_once(branch, new, self.branches), strict=True)
+
 
 KINDS = {"iterative": IterativeSearch, "incremental": IncrementalSearch, "stochastic": StochasticSearch, "exhaustive": ExhaustiveSearch}
 
