@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from veilwork.core import is_numeric
 from veilwork.errors import InputError
+from veilwork.plans.angles import lasso_path
 from veilwork.plans.cache import kept
 
 CLASSIFIERS = ("logreg", "rfclass", "tpotclass")
@@ -50,7 +51,7 @@ def _estimator(method: str, label: str, seed: int, folds: int):  # noqa: ANN202
     if method == "tpotreg":
         stages = [RandomForestRegressor(**args, numTrees=40, maxDepth=12, seed=seed, maxBins=64), LinearRegression(**args, regParam=1e-3), GBTRegressor(**args, maxIter=20, seed=seed, maxBins=64)]
         return stages, TrainValidationSplit(evaluator=RegressionEvaluator(labelCol=label), trainRatio=0.8, seed=seed)
-    model = LinearRegression(**args, elasticNetParam=1.0 if method == "larscv" else 0.5)
+    model = LinearRegression(**args, elasticNetParam=0.5)
     grid = ParamGridBuilder().addGrid(model.regParam, [1e-4, 1e-2, 0.1]).build()
     return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=seed)
 
@@ -83,6 +84,9 @@ def train(
     rows = df.withColumn("_label_text", F.lpad(F.col(label).cast("double").cast("decimal(38,6)").cast("string"), 40, "0"))
     join = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     if method in REGRESSORS:
+        if method == "larscv":  # the path's prediction is one expression over the columns
+            found = lasso_path(df, features, label, folds, seed)
+            return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, {found.sql()} AS prediction FROM __THIS__")])
         data = join.transform(rows.withColumn(target, F.col(label).cast("double")))
         made = _estimator(method, target, seed, folds)
         best = _best(*made, data) if isinstance(made, tuple) else made.fit(data)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilwork.core import new_folder, with_position, with_ranks
 from veilwork.operators import cluster, group, noise, recode, risk, utility
-from veilwork.plans import cache, encode, models, ranking, search, sensitivity, text_vectors
+from veilwork.plans import angles, cache, encode, models, ranking, search, sensitivity, text_vectors
 from veilwork.sources import tables
 from veilwork.streaming import reports
 
@@ -575,6 +575,21 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(found, "model string, tells boolean")
 
 
+@query("""with x as (select cast(l_quantity as double) a, cast(l_linenumber as double) b, cast(l_extendedprice as double) y from lineitem),
+m as (select stddev_pop(a) sa, stddev_pop(b) sb, covar_pop(a, y) / stddev_pop(a) ra, covar_pop(b, y) / stddev_pop(b) rb, corr(a, b) r from x),
+f as (select *, abs(ra) >= abs(rb) as a_first, case when abs(ra) >= abs(rb) then ra else rb end as big, case when abs(ra) >= abs(rb) then rb else ra end as small from m),
+g as (select *, sign(big) as s, least((abs(big) - small) / (1 - r * sign(big)), (abs(big) + small) / (1 + r * sign(big))) as way from f),
+k as (select 0 as step, abs(big) as penalty, 0.0 as one, 0.0 as two, * from g
+union all select 1, abs(big) - way, s * way, 0.0, * from g
+union all select 2, 0.0, (big - r * small) / (1 - r * r), (small - r * big) / (1 - r * r), * from g)
+select step, round(penalty, 4) as penalty, round(case when a_first then one else two end / sa, 6) as l_quantity,
+round(case when a_first then two else one end / sb, 6) as l_linenumber from k""")
+def model_least_angle_path(spark: SparkSession, d: str) -> DataFrame:
+    """The knots of a lasso of two columns over all lines: where each joins, and the least squares."""
+    found = angles.knots_table(_t(spark, d, "lineitem"), ["l_quantity", "l_linenumber"], "l_extendedprice")
+    return found.select("step", F.round("penalty", 4).alias("penalty"), F.round("l_quantity", 6).alias("l_quantity"), F.round("l_linenumber", 6).alias("l_linenumber"))
+
+
 @query("select * from region")
 def model_cache(spark: SparkSession, d: str) -> DataFrame:
     """A table kept under the content of the rows that it was made from: the second time it is read, not made."""
