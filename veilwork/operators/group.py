@@ -12,13 +12,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from veilwork.core import checkpointed, chosen, is_numeric, number, with_groups, with_position, with_ranks, with_running
 from veilwork.errors import InputError, LessThanOrEqualToZeroError, NotInRangeError
 from veilwork.functions.keyed import normal
 from veilwork.operators import cluster
+from veilwork.operators.near_groups import near_groups
 from veilwork.operators.noise import moments
 from veilwork.operators.risk import individual_risk
+from veilwork.plans.encode import encode_columns
 
 Measure = str | Callable[[Column], Column]
 MEASURES = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "mode": F.mode, "sum": F.sum}
@@ -32,6 +35,15 @@ def _measure(measure: Measure) -> Callable[[Column], Column]:
     return MEASURES[measure]
 
 
+def pandas_measure(function: Callable, **options: object) -> Callable[[Column], Column]:
+    """A measure from a function of a pandas Series. A group's values come to one task, so groups must be small ones."""
+
+    def measured(values: pd.Series) -> float:
+        return float(function(values, **options))
+
+    return pandas_udf(measured, "double")
+
+
 def _size(aggr: int) -> int:
     if aggr <= 0:
         raise LessThanOrEqualToZeroError("groups hold one row or more")
@@ -47,12 +59,17 @@ def _output(df: DataFrame, names: Sequence[str], original: Sequence[str], output
     return df.select(*names) if output == "subset" else df.select(*original)
 
 
-def quantile_magg(df: DataFrame, aggr: int = 2, measure: Measure = "mean", cols: Sequence[str] | str | None = None, output: str = "all") -> DataFrame:
+def quantile_magg(
+    df: DataFrame, aggr: int = 2, measure: Measure = "mean", cols: Sequence[str] | str | None = None, output: str = "all",
+    drop_duplicates: bool = True, measure_kwargs: dict | None = None,
+) -> DataFrame:
     """Each value becomes the measure of its quantile bin (``n div aggr`` bins, right-closed, equal edges merged).
 
     A value with i values below it and c equal to the least lies in bin ``max(ceil(i q / (n - 1)), floor((c - 1) q / (n - 1)) + 1)``.
+    Without ``drop_duplicates`` equal edges are an error, and so is a column of one value in either case. With
+    ``measure_kwargs`` the measure is a function of a pandas Series that gets them.
     """
-    of, names, out = _measure(measure), chosen(df, cols, numeric=True), df
+    of, names, out = pandas_measure(measure, **measure_kwargs) if measure_kwargs else _measure(measure), chosen(df, cols, numeric=True), df
     for c in names:
         x = out.withColumn("_x", number(c))
         n = x.filter("_x is not null").count()
@@ -60,8 +77,16 @@ def quantile_magg(df: DataFrame, aggr: int = 2, measure: Measure = "mean", cols:
             raise NotInRangeError(f"aggr lies between 1 and {n}")
         q, ranked = n // aggr, with_ranks(x, "_x")
         if n > 1:
-            least = ranked.filter("_r_n = 0").agg(F.max("_r_c")).first()[0] or 1
-            bins = F.greatest(F.expr(f"(_r_n * {q}L + {n - 2}L) div {n - 1}L"), F.lit((least - 1) * q // (n - 1) + 1))
+            # edge k lies at the place k (n - 1) / q: two equal edges have all places between them on one value
+            first = f"(_r_n * {q}L + {n - 2}L) div {n - 1}L"
+            edge = F.expr(first)
+            merged = F.expr(f"{first} < {q}L and (({first} + 1) * {n - 1}L + {q - 1}L) div {q}L <= _r_n + _r_c - 1")
+            least, single, twice = ranked.filter("_x is not null").agg(F.max(F.when(F.col("_r_n") == 0, F.col("_r_c"))), F.max("_r_c") == n, F.bool_or(merged)).first()
+            if single:
+                raise ValueError(f"{c} has one value only")
+            if twice and not drop_duplicates:
+                raise ValueError(f"{c} has equal edges of bins")
+            bins = F.greatest(edge, F.lit((least - 1) * q // (n - 1) + 1))
         else:
             bins = F.lit(1)
         out = with_groups(ranked.withColumn("_bin", bins), ["_bin"], {"_new": of(F.col("_x"))})
@@ -108,43 +133,20 @@ def ranking_magg(
 
 
 def robust_magg(
-    df: DataFrame, aggr: int = 2, block: int = 2000, key: str | None = None, cols: Sequence[str] | str | None = None, output: str = "all",
+    df: DataFrame, aggr: int = 2, cell: int = 2000, key: str | None = None, cols: Sequence[str] | str | None = None, output: str = "all", exchanges: int = 2,
 ) -> DataFrame:
     """Groups of near rows over all columns: again and again the row farthest from the middle, and its nearest neighbours.
 
-    Rows are laid along their first principal score and grouped within blocks of ``block`` rows, so no distance matrix
-    is larger than a block; up to one block of rows the greedy grouping is over all of them. Rows with nulls stay.
+    Less than two cells of rows are grouped as a whole; beyond, cells lie along a curve through principal scores, and
+    ``exchanges`` group rows anew over their borders (see ``near_groups``). Rows with nulls stay.
     """
     _size(aggr)
     names = chosen(df, cols, numeric=True, least=2)
     _, mean, cov = moments(df, names)
     if not np.all(np.diag(cov) > 0):
         raise ValueError("a column has one value only")
-    sd = np.sqrt(np.diag(cov))
-    axis = np.linalg.eigh(cov / np.outer(sd, sd))[1][:, -1]
     out = with_id(df, key)
-    score = sum(((number(c) - float(m)) / float(s) * float(a) for c, m, s, a in zip(names, mean, sd, axis, strict=True)), F.lit(0.0))
-    laid = with_position(out.withColumn("_score", score).filter("_score is not null"), [F.col("_score"), F.col("_rid")])
-    laid = laid.withColumn("_block", F.floor(F.col("_pos") / block))
-    rid = dict(laid.dtypes)["_rid"]
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos")
-        raw = rows[names].to_numpy(float)
-        z, left, new = (raw - mean) / sd, np.arange(len(raw)), np.empty_like(raw)
-        while len(left):
-            if len(left) < 2 * aggr:
-                new[left], left = raw[left].mean(axis=0), left[:0]
-                break
-            centre = z[left].mean(axis=0)
-            start = left[np.argmax(((z[left] - centre) ** 2).sum(axis=1))]
-            near = left[np.argsort(((z[left] - z[start]) ** 2).sum(axis=1), kind="stable")[:aggr]]
-            new[near] = raw[near].mean(axis=0)
-            left = np.setdiff1d(left, near, assume_unique=True)
-        return pd.DataFrame({"_rid": rows["_rid"].to_numpy(), **{c: new[:, i] for i, c in enumerate(names)}})
-
-    made = laid.select("_rid", "_pos", "_block", *[number(c).alias(c) for c in names])
-    made = made.groupBy("_block").applyInPandas(greedy, f"_rid {rid}, " + ", ".join(f"`{c}` double" for c in names))
+    made = near_groups(out.select("_rid", *[number(c).alias(c) for c in names]).dropna(subset=names), names, mean, cov, aggr, cell, exchanges)
     joined = out.alias("o").join(made.alias("m"), "_rid", "left")
     exprs = [F.coalesce(F.col(f"m.{c}"), F.col(f"o.{c}").cast("double")).alias(c) if c in names else F.col(f"o.{c}") for c in df.columns]
     return _output(joined.select(*exprs), names, df.columns, output)
@@ -263,18 +265,20 @@ def shuffle(
     Normal scores of the predictors, the correlations (``2 sin(pi r / 6)``) and keyed noise give scores for the shuffled
     columns; the k-th smallest value goes to the row with the k-th smallest score. Every column keeps its values, each
     as often as before. Two range-partitioned orders and one join on the place per column. ``scores`` keeps the drawn
-    scores as ``score_<column>``. Correlations are spearman, pearson or kendall.
+    scores as ``score_<column>``. Correlations are spearman, pearson or kendall. Named predictors that aren't
+    numbers are codes of their sorted values; unnamed ones are the other numeric columns.
     """
     targets = chosen(df, shuffle_cols)
     predictors = [c for c in df.columns if c not in targets and is_numeric(df, c)] if cor_cols is None else chosen(df, cor_cols)
     if set(targets) & set(predictors):
         raise InputError("a column is shuffled and a predictor at once")
-    if odd := [c for c in targets + predictors if not is_numeric(df, c)]:
+    if odd := [c for c in targets if not is_numeric(df, c)]:
         raise InputError(f"not numeric: {', '.join(odd)}")
     if cor_method not in ("spearman", "pearson", "kendall"):
         raise InputError("known correlations: spearman, pearson, kendall")
     out = with_id(df, key)
-    scored = out.select("_rid", *[number(c).alias(c) for c in targets + predictors])
+    scored = encode_columns(out.select("_rid", *targets, *predictors), predictors)
+    scored = scored.select("_rid", *[number(c).alias(c) for c in targets + predictors])
     n = scored.count()
     for c in targets + predictors:
         ranked = with_ranks(scored, c)

@@ -248,6 +248,17 @@ def mask_magg_robust(spark: SparkSession, d: str) -> DataFrame:
     return group.microaggregation(_t(spark, d, "part"), "robust", aggr=3, key="p_partkey", cols=["p_size", "p_retailprice"])
 
 
+@query("select count(*) as rows, round(sum(p_size), 4) as p_size, round(sum(cast(p_retailprice as double)), 2) as p_retailprice, true as enough, true as moved from part")
+def mask_magg_robust_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Robust groups keep each column's sum, no class has fewer rows than asked for, and few values stay as they are."""
+    p = _t(spark, d, "part")
+    out = group.robust_magg(p, 3, key="p_partkey", cols=["p_size", "p_retailprice"])
+    classes = out.groupBy(F.round("p_size", 9).alias("a"), F.round("p_retailprice", 9).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("s"), F.sum("p_retailprice").alias("r"))
+    sums = classes.agg(F.sum("n").alias("rows"), F.round(F.sum("s"), 4).alias("p_size"), F.round(F.sum("r"), 2).alias("p_retailprice"), (F.min("n") >= 3).alias("enough"))
+    same = out.select("p_partkey", F.col("p_retailprice").alias("new")).join(p, "p_partkey").agg((F.avg((F.col("new") != F.col("p_retailprice")).cast("int")) > 0.5).alias("moved"))
+    return sums.crossJoin(same)  # one row each
+
+
 @query()
 def mask_magg_advanced(spark: SparkSession, d: str) -> DataFrame:
     return group.microaggregation(_t(spark, d, "part"), "advanced", aggr=3, clust="kmeans", reduct="pca", scale="standard", key="p_partkey", cols=["p_size", "p_retailprice"])
