@@ -59,29 +59,36 @@ def jensen_shannon(orig: DataFrame, mod: DataFrame, sensitive_col: str | None =
 
 def propensity_score(
     orig: DataFrame, mod: DataFrame, sensitive_col: str | None = None, test_size: float = 0.1, seed: int = 1234,
-    preprocessor: str | None = "label_encode", method: str = "logreg",
+    preprocessor: str | None = "label_encode", method: str = "logreg", cache: str | None = None, retrain: bool = False,
 ) -> float:
-    """How well a model tells the tables apart on rows held out by a keyed split: ``|AUC - 0.5| / 0.5``."""
+    """How well a model tells the tables apart on rows held out by a keyed split: ``|AUC - 0.5| / 0.5``.
+
+    With a folder ``cache`` the model is kept there, and read when the same rows come again (not if ``retrain``).
+    """
     models.check(method)
     a, b = encode.encoder(preprocessor)(orig, mod, sensitive_col)
     drop = [sensitive_col] if sensitive_col else []
     both = a.drop(*drop).withColumn("_label", F.lit(0.0)).unionByName(b.drop(*drop).withColumn("_label", F.lit(1.0)))
     features = [c for c in both.columns if c != "_label"]
     part = F.pmod(F.xxhash64(F.lit(seed), *features, "_label"), F.lit(1000)) < int(1000 * test_size)
-    return abs(models.auc(models.train(both.filter(~part), features, "_label", method, seed), both.filter(part), "_label") - 0.5) / 0.5
+    return abs(models.auc(models.train(both.filter(~part), features, "_label", method, seed, cache=cache, retrain=retrain), both.filter(part), "_label") - 0.5) / 0.5
 
 
 def auc_score(
     orig: DataFrame, mod: DataFrame, sensitive_col: str, method: str = "logreg", preprocessor: str | None = "label_encode",
-    absolute_risk: bool = False, seed: int = 1234,
+    absolute_risk: bool = False, seed: int = 1234, cache: str | None = None, retrain: bool = False,
 ) -> float:
-    """Attribute inference: train on the original, compare ``|0.5 - AUC|`` on both; ``min / original`` (or over 0.5)."""
+    """Attribute inference: train on the original, compare ``|0.5 - AUC|`` on both; ``min / original`` (or over 0.5).
+
+    With a folder ``cache`` the model of the original is kept there, so that further masks of one table don't train
+    again (unless ``retrain``).
+    """
     models.check(method)
     if models.task(orig, sensitive_col) == "regression":
         raise InputError("the sensitive column is a number of many values")
     a, b = encode.encoder(preprocessor)(orig, mod, sensitive_col, encode_sensitive=True)
     features = [c for c in a.columns if c != sensitive_col]
-    model = models.train(a, features, sensitive_col, method, seed)
+    model = models.train(a, features, sensitive_col, method, seed, cache=cache, retrain=retrain)
     x, y = (abs(0.5 - models.auc(model, t, sensitive_col)) for t in (a, b))
     return y / 0.5 if absolute_risk else min(x, y) / x if x else 0.0
 
