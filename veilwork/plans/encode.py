@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilwork.core import is_numeric, with_position
 from veilwork.errors import InputError
-from veilwork.plans import text_vectors
+from veilwork.plans import entity, text_vectors
 
 
 def label_codes(values: DataFrame, col: str) -> DataFrame:
@@ -83,12 +83,12 @@ def category_vectors(df: DataFrame, col: str, sensitive_col: str, size: int = 6,
 
 def embed(
     df: DataFrame, sensitive_col: str, ignore: Sequence[str] = (), size: int = 6, normalize: bool = False, fit_on: DataFrame | None = None,
-    reduct: str = "pca", width: int = 1 << 18,
+    reduct: str = "pca", width: int = 1 << 18, trained: bool = False,
 ) -> DataFrame:
     """Sensitive, ignored, numeric, binary, embedded and text columns, without nulls.
 
     Numbers are imputed by their mean (0 / 1 columns by their mode), categories by None, texts by "None"; a category
-    becomes ``size`` columns of its vector, a text as many components (``reduct``, see ``text_vectors.fit``) of its words in ``width`` hashed columns.
+    becomes ``size`` columns of its vector (of counts, or ``trained``, see ``entity.fit``), a text as many components (``reduct``, see ``text_vectors.fit``) of its words in ``width`` hashed columns.
     """
     base = df if fit_on is None else fit_on
     if base.filter(F.col(sensitive_col).isNull()).limit(1).count():
@@ -109,8 +109,11 @@ def embed(
         first = base.agg(F.min(F.col(c).cast("string"))).first()[0]
         parts.append(F.when(F.coalesce(F.col(c).cast("string"), F.lit(first)) == first, 0.0).otherwise(1.0).alias(c))
     for c in (c for c in used if kinds[c] == "categorical"):
-        vectors = category_vectors(base, c, sensitive_col, size)
-        table = df.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in vectors.items()], "_v string, " + ", ".join(f"`{c}_{i}` double" for i in range(size)))
+        if trained:
+            table = entity.fit(base, c, sensitive_col, size).vectors.select("_v", *[F.col("e")[i].alias(f"{c}_{i}") for i in range(size)])
+        else:
+            vectors = category_vectors(base, c, sensitive_col, size)
+            table = df.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in vectors.items()], "_v string, " + ", ".join(f"`{c}_{i}` double" for i in range(size)))
         out = out.join(table, F.coalesce(F.col(c).cast("string"), F.lit("None")) == table["_v"], "left").drop("_v")
         parts += [F.coalesce(f"{c}_{i}", F.lit(0.0)).alias(f"{c}_{i}") for i in range(size)]
     for c in (c for c in used if kinds[c] == "textual"):

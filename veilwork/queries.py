@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilwork.core import new_folder, with_position, with_ranks
 from veilwork.operators import cluster, group, noise, recode, risk, utility
-from veilwork.plans import angles, cache, encode, models, ranking, search, sensitivity, text_vectors
+from veilwork.plans import angles, cache, encode, entity, models, ranking, search, sensitivity, text_vectors
 from veilwork.sources import tables
 from veilwork.streaming import reports
 
@@ -569,6 +569,17 @@ def encode_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return encode.embed(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus"), "o_orderstatus")
 
 
+@query("select o_orderpriority, o_orderstatus, count(*) as n, true as near from orders group by all")
+def encode_trained_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that can hold every status' share: read from them, shares are those of the orders to one in a hundred."""
+    o = _t(spark, d, "orders")
+    each = o.groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    sums = each.groupBy(F.col("o_orderpriority").alias("_v")).agg(F.sum("n").alias("all"))
+    said = entity.fit(o, "o_orderpriority", "o_orderstatus", 4, rounds=6).shares().join(sums, "_v")
+    both = each.join(said, (F.col("_v") == F.col("o_orderpriority")) & (F.col("class") == F.col("o_orderstatus")), "left")
+    return both.select("o_orderpriority", "o_orderstatus", "n", (F.abs(F.col("share") - F.col("n") / F.col("all")) < 0.01).alias("near"))
+
+
 @query("select * from (values ('c_custkey', 'numerical'), ('c_name', 'textual'), ('c_mktsegment', 'categorical')) t(col, kind)")
 def encode_column_kinds(spark: SparkSession, d: str) -> DataFrame:
     kinds = encode.column_kinds(_t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
