@@ -52,3 +52,13 @@ def test_table_of_trained_vectors(spark):
     df = spark.createDataFrame(mixed(600, 5, 3)).withColumn("n", F.rand(1))
     out = encode.embed(df, "y", size=2, trained=True)
     assert out.columns == ["y", "n", "cat_0", "cat_1"] and out.count() == 600 and out.select("cat_0").distinct().count() == 5
+
+
+def test_kinds_of_columns_near_the_limits(spark):
+    df = spark.range(1000).select(
+        F.col("id").alias("number"), (F.col("id") % 2).alias("flag"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("two"), F.when(F.col("id") < 999, "a").alias("one"),
+        F.concat(F.lit("x"), F.least(F.col("id"), F.lit(749))).alias("just"), F.concat(F.lit("x"), F.least(F.col("id"), F.lit(750))).alias("over"),
+        F.when(F.col("id") == 5, F.repeat(F.lit("y"), 201)).otherwise("z").alias("long"),
+    )
+    want = {"number": "numerical", "flag": "binary", "two": "binary_categorical", "one": "categorical", "just": "categorical", "over": "textual", "long": "textual"}
+    assert encode.column_kinds(df) == want
