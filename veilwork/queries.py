@@ -248,7 +248,7 @@ def mask_magg_robust(spark: SparkSession, d: str) -> DataFrame:
     return group.microaggregation(_t(spark, d, "part"), "robust", aggr=3, key="p_partkey", cols=["p_size", "p_retailprice"])
 
 
-@query("select count(*) as rows, round(sum(p_size), 4) as p_size, round(sum(cast(p_retailprice as double)), 2) as p_retailprice, true as enough, true as moved from part")
+@query("select count(*) as rows, round(sum(cast(p_size as double)), 4) as p_size, round(sum(cast(p_retailprice as double)), 2) as p_retailprice, true as enough, true as moved from part")
 def mask_magg_robust_groups(spark: SparkSession, d: str) -> DataFrame:
     """Robust groups keep each column's sum, no class has fewer rows than asked for, and few values stay as they are."""
     p = _t(spark, d, "part")
