@@ -70,8 +70,8 @@ WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 class Node:
     __slots__ = (
-        "tag", "parent", "kids", "drop", "mark", "weight", "shade", "by_class", "like", "near", "inside", "para", "head", "kept", "titled", "text", "links", "n_links",
-        "commas", "score", "own", "own_links", "own_commas",
+        "tag", "parent", "kids", "before", "drop", "mark", "weight", "shade", "by_class", "like", "near", "inside", "para", "head", "kept", "titled", "text", "links",
+        "n_links", "commas", "score", "own", "own_links", "own_commas",
     )
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False):
@@ -81,6 +81,7 @@ class Node:
         self.near: dict[str, Node] = {}
         self.inside = self.para = self.kept = self.titled = False
         self.head: Node | None = None
+        self.before: Node | None = None
         self.text = self.links = self.n_links = self.commas = self.own = self.own_links = self.own_commas = 0
         self.score = 0.0
 
@@ -270,7 +271,7 @@ def _comments(tree: Tree) -> None:
     Where the heading can be one of the article's own, what follows must have a comment's short parts, who and when.
     """
     for n in tree.nodes:
-        if n.drop or n.mark or n.tag not in ("h2", "h3", "h4", "h5", "h6") or len(n.kids) > 8:
+        if n.drop or n.mark or n.tag not in ("h2", "h3", "h4", "h5", "h6"):
             continue
         title = SPACE.sub(" ", "".join(_texts(n))).strip()
         sure = COMMENT_HEADING.fullmatch(title)
@@ -323,14 +324,19 @@ def _texts(node: Node) -> Iterator[str]:
 
 
 def _measure(tree: Tree) -> None:
-    """Sums text, link text and commas of each element from the leaves up."""
+    """Sums text, link text and commas of each element from the leaves up, and notes the last sibling with text before it."""
     for n in reversed(tree.nodes):
         if n.drop:
             continue
+        before = None
         for k in n.kids:
             if isinstance(k, str):
                 n.text += _size(k)
                 n.commas += len(COMMA.findall(k))
+            else:
+                k.before = before
+                if k.text and not k.drop:
+                    before = k
         if n.tag == "a":
             n.links, n.n_links = n.text, n.n_links + 1
         if n.parent is not None:
@@ -393,12 +399,7 @@ def _link_list(n: Node) -> bool:
     """Whether an element is a list of links outside an article, and not one that a paragraph introduces."""
     if n.inside or n.tag not in LISTS or n.n_links < 2 or n.links <= 0.6 * n.text:
         return False
-    before = None
-    for k in n.parent.kids if n.parent is not None and len(n.parent.kids) < 64 else ():
-        if k is n:
-            break
-        if not isinstance(k, str) and k.text and not k.drop:
-            before = k
+    before = n.before
     return not (before is not None and before.tag in ("p", "blockquote") and before.links < 0.5 * before.text)
 
 
