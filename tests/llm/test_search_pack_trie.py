@@ -7,13 +7,14 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from veilwork.errors import InputError
-from veilwork.llm import hard_negatives, packing, prefix_trie
+from veilwork.llm import hard_negatives, packing, prefix_trie, token_blocks
 from veilwork.llm.common import table, written
 from veilwork.llm.queries import model_bytes
 
@@ -183,6 +184,32 @@ def test_packing_covers_every_id_once(spark, sf):
         packing.SEGMENT = kept
 
 
+def test_packing_learns_a_word_once():
+    """The library is asked once for 200,000 words that come back in every batch; ids are its own, also once words are forgotten."""
+    words = token_blocks.Words(WORDS)
+    names = ["".join(chr(97 + i // 26**j % 26) for j in range(4)) for i in range(200_000)]
+    texts = pa.array([" ".join(names[i : i + 1000]) for i in range(0, len(names), 1000)])
+    odd = pa.array(["It's 日本 & more, MORE, more... ½ ... It's", None, "", "Übel übel, !! x!! 12 a1"])
+    asked, lib, spaced = [], words.lib, words.spaced
+
+    class Counted:
+        def encode_batch_fast(self, some, **how):
+            asked.extend(x for t in some for x in t.split())
+            return spaced.encode_batch_fast(some, **how)
+
+    words.spaced = Counted()
+    expected = [[*e.ids, 2] for e in lib.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    for _ in range(3):
+        ids, counts = words.encode_all(texts, 2, packing.REMEMBERED)
+        assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+    assert len(asked) == len(names)
+    expected = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in odd.to_pylist()]
+    for most in (packing.REMEMBERED, 10, 10):
+        ids, counts = words.encode_all(odd, 2, most)
+        assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+    assert len(words.known) < 30
+
+
 def test_packing_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "no id"), (3, "word " * 9000), (4, "It's 日本 & more"), (5, "one")]
     docs = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"))

@@ -17,7 +17,7 @@ from veilwork.llm.common import shared_folder, written
 from veilwork.llm.token_blocks import BLOCK, _together, loaded, pack, unpack, unpack_block
 
 #: Ids a segment is cut after, at a document's end; words that a worker remembers (it stays, with them, for what follows).
-SEGMENT, REMEMBERED = 1 << 18, 150_000
+SEGMENT, REMEMBERED = 1 << 18, 300_000
 
 
 @contextmanager
@@ -58,9 +58,7 @@ def write_segments(docs: DataFrame, path: str, model: str, end_id: int = 2, id_c
                 yield b
 
         for some, texts in _together(typed()):
-            if len(words.place) > REMEMBERED:
-                words._forget()
-            got, counts = words.encode_all(texts, end_id)
+            got, counts = words.encode_all(texts, end_id, REMEMBERED)
             at = begun = 0
             for key, n in zip(some, counts.tolist(), strict=True):
                 keys.append(key)
