@@ -70,7 +70,7 @@ WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 class Node:
     __slots__ = (
-        "tag", "parent", "kids", "before", "drop", "mark", "weight", "shade", "by_class", "like", "near", "inside", "para", "head", "kept", "titled", "text", "links",
+        "tag", "parent", "kids", "before", "drop", "mark", "weight", "shade", "by_class", "like", "near", "inside", "para", "head", "title", "kept", "titled", "text", "links",
         "n_links", "commas", "score", "own", "own_links", "own_commas",
     )
 
@@ -82,6 +82,7 @@ class Node:
         self.inside = self.para = self.kept = self.titled = False
         self.head: Node | None = None
         self.before: Node | None = None
+        self.title = ""
         self.text = self.links = self.n_links = self.commas = self.own = self.own_links = self.own_commas = 0
         self.score = 0.0
 
@@ -194,7 +195,7 @@ def _size(text: str) -> int:
 
 
 def _weigh_titles(tree: Tree) -> None:
-    """Takes marks back where titles say so.
+    """Notes the headings' titles, and takes marks back where they say so.
 
     What a class marks isn't layout or comments if it holds the page's title or main element. A header in an article is
     kept if it holds a heading that no other heading of the page repeats.
@@ -208,10 +209,10 @@ def _weigh_titles(tree: Tree) -> None:
         if n.titled and n.parent is not None:
             n.parent.titled = True
         if re.fullmatch("h[1-6]", n.tag) and not n.drop and 0 < n.text:
-            title = SPACE.sub(" ", "".join(_texts(n))).strip()
-            everywhere[title] += 1
+            n.title = SPACE.sub(" ", "".join(_texts(n))).strip()
+            everywhere[n.title] += 1
             if n.head is not None:
-                own.setdefault(n.head, Counter())[title] += 1
+                own.setdefault(n.head, Counter())[n.title] += 1
     for n in reversed(tree.nodes):
         if n.mark != "header":
             continue
@@ -273,9 +274,8 @@ def _comments(tree: Tree) -> None:
     for n in tree.nodes:
         if n.drop or n.mark or n.tag not in ("h2", "h3", "h4", "h5", "h6"):
             continue
-        title = SPACE.sub(" ", "".join(_texts(n))).strip()
-        sure = COMMENT_HEADING.fullmatch(title)
-        if not sure and not MAYBE_HEADING.fullmatch(title):
+        sure = COMMENT_HEADING.fullmatch(n.title)
+        if not sure and not MAYBE_HEADING.fullmatch(n.title):
             continue
         top = n
         while (up := top.parent) is not None and up is not tree.root and up.tag not in CONTENT and not _before(up, top):
