@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veilwork.operators import group
 from veilwork.operators.near_groups import greedy_groups, group_loss
+from veilwork.queries import queries
 
 
 def plain_greedy(z, aggr):
@@ -78,3 +79,21 @@ def test_groups_are_large_enough_and_dont_hang_on_partitions(spark):
 def test_columns_of_one_value_are_an_error(spark):
     with pytest.raises(ValueError):
         group.robust_magg(spark.range(5).select("id", F.lit(1.0).alias("a"), F.col("id").alias("b")), cols=["a", "b"])
+
+
+def test_query_of_robust_groups_holds_on_repeated_rows(spark, tmp_path, monkeypatch):
+    def found(part, name):
+        part.write.parquet(f"{tmp_path}/{name}/part.parquet")
+        return queries()["mask_magg_robust_groups"](spark, f"{tmp_path}/{name}").first()
+
+    single = spark.range(60).selectExpr("id as p_partkey", "cast(id * 7 % 50 as int) as p_size", "900 + id * 13 % 60 / 10D as p_retailprice")
+    copies = single.crossJoin(spark.range(6).toDF("k")).selectExpr("p_partkey + 60 * k as p_partkey", "p_size", "p_retailprice")
+    one, six = found(single, "one"), found(copies, "six")
+    assert one.enough and one.moved and six.enough and six.moved
+    assert (six.rows, six.p_size) == (360, 6 * one.p_size) and abs(six.p_retailprice - 6 * one.p_retailprice) < 0.01
+    # rows left as they are still show: where all are single, and where only some of them are
+    monkeypatch.setattr(group, "robust_magg", lambda df, *_, **__: df)
+    still = found(single, "still")
+    assert not still.enough and not still.moved
+    some = found(copies.filter("p_partkey < 60 or p_partkey % 60 >= 20"), "some")
+    assert not some.enough and not some.moved

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.core import new_folder, with_position, with_ranks
+from veilwork.core import at_once, new_folder, with_groups, with_position, with_ranks
 from veilwork.operators import cluster, group, noise, recode, risk, utility
 from veilwork.plans import angles, cache, encode, entity, models, ranking, search, sensitivity, text_vectors
 from veilwork.sources import tables
@@ -250,12 +250,15 @@ def mask_magg_robust(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select count(*) as rows, round(sum(cast(p_size as double)), 4) as p_size, round(sum(cast(p_retailprice as double)), 2) as p_retailprice, true as enough, true as moved from part")
 def mask_magg_robust_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Robust groups keep each column's sum, no class has fewer rows than asked for, and few values stay as they are."""
+    """Robust groups keep each column's sum, no class has fewer rows than asked for, and few rows stay as they are but those
+    that are a class already: three equal rows are the nearest ones, and their mean is what they were."""
     p = _t(spark, d, "part")
     out = group.robust_magg(p, 3, key="p_partkey", cols=["p_size", "p_retailprice"])
     classes = out.groupBy(F.round("p_size", 9).alias("a"), F.round("p_retailprice", 9).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("s"), F.sum("p_retailprice").alias("r"))
     sums = classes.agg(F.sum("n").alias("rows"), F.round(F.sum("s"), 4).alias("p_size"), F.round(F.sum("r"), 2).alias("p_retailprice"), (F.min("n") >= 3).alias("enough"))
-    same = out.select("p_partkey", F.col("p_retailprice").alias("new")).join(p, "p_partkey").agg((F.avg((F.col("new") != F.col("p_retailprice")).cast("int")) > 0.5).alias("moved"))
+    rare = with_groups(p, ["p_size", "p_retailprice"], {"_held": F.count(F.lit(1))}).filter("_held < 3")
+    both = out.select("p_partkey", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")).join(rare, "p_partkey")
+    same = both.agg(F.coalesce(F.avg(F.expr("size != p_size or price != p_retailprice").cast("int")) > 0.5, F.lit(True)).alias("moved"))
     return sums.crossJoin(same)  # one row each
 
 
