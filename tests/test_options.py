@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.operators import group, utility
+from veilwork.plans import models
 
 
 
@@ -60,3 +61,38 @@ def test_scores_keep_their_models(spark, tmp_path):
     assert len(os.listdir(tmp_path / "rfclass")) == 1  # another mask of the same table, the same model
     a, b = (utility.propensity_score(df, mod, method="rfclass", cache=c) for c in (None, str(tmp_path)))
     assert a == b and len(os.listdir(tmp_path / "rfclass")) == 2
+
+
+def test_kinds_of_models_are_fitted_to_all_rows_only_if_they_won(spark, monkeypatch):
+    df = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 20 > 9).cast("int").alias("y"))
+    for method, kinds in (("tpotclass", (models.RandomForestClassifier, models.LogisticRegression, models.GBTClassifier)), ("tpotreg", (models.RandomForestRegressor, models.LinearRegression, models.GBTRegressor))):
+        fitted = []
+        for kind in kinds:
+            monkeypatch.setattr(kind, "_fit", lambda self, data, fit=kind._fit: fitted.append((type(self).__name__, data.count())) or fit(self, data))
+        won = models.train(df, ["a", "b"], "y", method).stages[-1]
+        whole = [name for name, n in fitted if n == 400]
+        assert len(fitted) == 4 and {name for name, n in fitted if n < 400} == {k.__name__ for k in kinds}
+        assert len(whole) == 1 and type(won).__name__.startswith(whole[0].removesuffix("Classifier").removesuffix("Regressor"))
+
+
+def test_a_small_file_of_many_rows_is_dealt_over_all_tasks(spark, monkeypatch):
+    seen, made = [], models._estimator
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, data):
+            sizes = data.groupBy(F.spark_partition_id()).count().collect()
+            seen.append(([r["count"] for r in sizes], data.columns))
+            return self.inner.fit(data)
+
+    monkeypatch.setattr(models, "_estimator", lambda *args: Watched(made(*args)))
+    df = spark.range(60_000, numPartitions=1).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 97 > 40).cast("int").alias("y"))
+    for method in ("rfclass", "encv"):
+        model = models.train(df, ["a"], "y", method)
+        assert models.auc(model, df, "y") > 0.95
+    models.train(df.limit(3000), ["a"], "y", "encv")
+    for sizes, columns in seen[:2]:
+        assert len(sizes) == 4 and sum(sizes) == 60_000 and max(sizes) < 20_000 and columns == ["_features", "_y"]
+    assert seen[2][0] == [3000]

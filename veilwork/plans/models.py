@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.core import is_numeric
+from veilwork.core import at_once, dealt, is_numeric
 from veilwork.errors import InputError
 from veilwork.plans.angles import lasso_path
 from veilwork.plans.cache import kept
@@ -40,31 +40,35 @@ def _estimator(method: str, label: str, seed: int, folds: int):  # noqa: ANN202
     if method == "logreg":
         model = LogisticRegression(**args, maxIter=50)
         grid = ParamGridBuilder().addGrid(model.regParam, [1e-4, 1e-2, 1.0]).build()
-        return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=_f1(label), numFolds=folds, seed=seed)
+        return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=_f1(label), numFolds=folds, seed=seed, parallelism=len(grid))
     if method == "rfclass":
         return RandomForestClassifier(**args, numTrees=50, maxDepth=10, seed=seed, maxBins=64)
     if method == "tpotclass":  # the best of several kinds, by a held-out part
         stages = [RandomForestClassifier(**args, numTrees=40, maxDepth=12, seed=seed, maxBins=64), LogisticRegression(**args), GBTClassifier(**args, maxIter=20, seed=seed, maxBins=64)]
-        return stages, TrainValidationSplit(evaluator=_f1(label), trainRatio=0.8, seed=seed)
+        return stages, _f1(label)
     if method == "rfreg":
         return RandomForestRegressor(**args, numTrees=50, maxDepth=10, seed=seed, maxBins=64)
     if method == "tpotreg":
         stages = [RandomForestRegressor(**args, numTrees=40, maxDepth=12, seed=seed, maxBins=64), LinearRegression(**args, regParam=1e-3), GBTRegressor(**args, maxIter=20, seed=seed, maxBins=64)]
-        return stages, TrainValidationSplit(evaluator=RegressionEvaluator(labelCol=label), trainRatio=0.8, seed=seed)
+        return stages, RegressionEvaluator(labelCol=label)
     model = LinearRegression(**args, elasticNetParam=0.5)
     grid = ParamGridBuilder().addGrid(model.regParam, [1e-4, 1e-2, 0.1]).build()
-    return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=seed)
+    return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=seed, parallelism=len(grid))
 
 
 def _f1(label: str) -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
 
 
-def _best(models: Sequence, split: TrainValidationSplit, data: DataFrame):  # noqa: ANN202
-    """Of several kinds of models, the best on a held-out part, fitted on all rows."""
-    tried = [split.copy().setEstimator(m).setEstimatorParamMaps([{}]).fit(data) for m in models]
-    sign = 1 if split.getEvaluator().isLargerBetter() else -1
-    return max(tried, key=lambda m: sign * m.validationMetrics[0]).bestModel
+def _best(models: Sequence, evaluator: Evaluator, data: DataFrame, seed: int):  # noqa: ANN202
+    """Of several kinds of models, the best on a held-out fifth, fitted on all rows. The kinds are tried side by side."""
+    drawn = data.withColumn("_drawn", F.rand(seed))
+    rest, held = drawn.filter("_drawn < 0.8").persist(), drawn.filter("_drawn >= 0.8").persist()
+    scores = at_once(lambda m: evaluator.evaluate(m.fit(rest).transform(held)), models)
+    for part in (rest, held):
+        part.unpersist()
+    sign = 1 if evaluator.isLargerBetter() else -1
+    return max(zip(models, scores, strict=True), key=lambda m: sign * m[1])[0].fit(data)
 
 
 def train(
@@ -87,18 +91,18 @@ def train(
         if method == "larscv":  # the path's prediction is one expression over the columns
             found = lasso_path(df, features, label, folds, seed)
             return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, {found.sql()} AS prediction FROM __THIS__")])
-        data = join.transform(rows.withColumn(target, F.col(label).cast("double")))
+        data = dealt(join.transform(rows.withColumn(target, F.col(label).cast("double"))).select("_features", target), "training")
         made = _estimator(method, target, seed, folds)
-        best = _best(*made, data) if isinstance(made, tuple) else made.fit(data)
+        best = _best(*made, data, seed) if isinstance(made, tuple) else made.fit(data)
         return PipelineModel(stages=[join, best.bestModel if hasattr(best, "bestModel") else best])
     prepared = Pipeline(stages=[index, join]).fit(rows)
-    data = prepared.transform(rows)
+    data = dealt(prepared.transform(rows).select("_features", target), "training")
     made = _estimator(method, target, seed, folds)
     if isinstance(made, tuple):
-        stages, split = made
+        stages, evaluator = made
         if data.select(target).distinct().count() > 2:
             stages = stages[:2]
-        best = _best(stages, split, data)
+        best = _best(stages, evaluator, data, seed)
     else:
         best = made.fit(data)
         best = best.bestModel if hasattr(best, "bestModel") else best

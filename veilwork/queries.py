@@ -596,8 +596,11 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
     middle = rows.agg(F.percentile("sum", 0.5)).first()[0]
     rows = rows.withColumn("label", (F.col("sum") > middle).cast("int")).withColumn("price", F.col("sum") - F.col("p_size"))
     seen = F.pmod(F.xxhash64("p_partkey"), F.lit(4)) != 0
-    found = [(m, bool(models.auc(models.train(rows.filter(seen), ["p_size", "price"], "label", m), rows.filter(~seen), "label") > 0.8)) for m in (*models.CLASSIFIERS, *models.REGRESSORS)]
-    return spark.createDataFrame(found, "model string, tells boolean")
+
+    def tells(m: str) -> tuple[str, bool]:
+        return m, bool(models.auc(models.train(rows.filter(seen), ["p_size", "price"], "label", m), rows.filter(~seen), "label") > 0.8)
+
+    return spark.createDataFrame(at_once(tells, (*models.CLASSIFIERS, *models.REGRESSORS)), "model string, tells boolean")
 
 
 @query("""with x as (select cast(l_quantity as double) a, cast(l_linenumber as double) b, cast(l_extendedprice as double) y from lineitem),
