@@ -63,36 +63,61 @@ def test_scores_keep_their_models(spark, tmp_path):
     assert a == b and len(os.listdir(tmp_path / "rfclass")) == 2
 
 
-def test_kinds_of_models_are_fitted_to_all_rows_only_if_they_won(spark, monkeypatch):
-    df = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 20 > 9).cast("int").alias("y"))
-    for method, kinds in (("tpotclass", (models.RandomForestClassifier, models.LogisticRegression, models.GBTClassifier)), ("tpotreg", (models.RandomForestRegressor, models.LinearRegression, models.GBTRegressor))):
-        fitted = []
-        for kind in kinds:
-            monkeypatch.setattr(kind, "_fit", lambda self, data, fit=kind._fit: fitted.append((type(self).__name__, data.count())) or fit(self, data))
-        won = models.train(df, ["a", "b"], "y", method).stages[-1]
-        whole = [name for name, n in fitted if n == 400]
-        assert len(fitted) == 4 and {name for name, n in fitted if n < 400} == {k.__name__ for k in kinds}
-        assert len(whole) == 1 and type(won).__name__.startswith(whole[0].removesuffix("Classifier").removesuffix("Regressor"))
+def watched(monkeypatch, kinds):
+    """Each fit's kind, rows, weight of all of them, columns and rows of each task."""
+    seen = []
 
+    def fit(self, data, inner):
+        weight = F.sum("_n") if "_n" in data.columns else F.count(F.lit(1))
+        tasks = [r["count"] for r in data.groupBy(F.spark_partition_id()).count().collect()]
+        seen.append((type(self).__name__, sum(tasks), data.agg(weight).first()[0], data.columns, tasks))
+        return inner(self, data)
 
-def test_a_small_file_of_many_rows_is_dealt_over_all_tasks(spark, monkeypatch):
-    seen, made = [], models._estimator
+    for kind in kinds:
+        monkeypatch.setattr(kind, "_fit", lambda self, data, inner=kind._fit: fit(self, data, inner))
+    return seen
 
-    class Watched:
-        def __init__(self, inner):
-            self.inner = inner
 
-        def fit(self, data):
-            sizes = data.groupBy(F.spark_partition_id()).count().collect()
-            seen.append(([r["count"] for r in sizes], data.columns))
-            return self.inner.fit(data)
+@pytest.mark.parametrize("method, kinds", [("tpotclass", (models.RandomForestClassifier, models.LogisticRegression, models.GBTClassifier)), ("tpotreg", (models.RandomForestRegressor, models.LinearRegression, models.GBTRegressor))])
+def test_only_the_best_kind_of_model_is_fitted_to_all_rows(spark, monkeypatch, method, kinds):
+    df = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 20 > 9).cast("int").alias("y"))
+    seen = watched(monkeypatch, kinds)
+    won = models.train(df, ["a", "b"], "y", method).stages[-1]
+    assert len(seen) == 4 and {s[0] for s in seen[:3]} == {k.__name__ for k in kinds}
+    assert len({s[2] for s in seen[:3]}) == 1 and seen[0][2] < 400 and seen[3][2] == 400  # the same part for each, and all rows
+    assert type(won).__name__.startswith(seen[3][0].removesuffix("Classifier").removesuffix("Regressor"))
 
-    monkeypatch.setattr(models, "_estimator", lambda *args: Watched(made(*args)))
+
+def test_a_small_file_of_many_rows_is_dealt_over_all_tasks(spark, monkeypatch):
+    seen = watched(monkeypatch, [models.RandomForestClassifier, models.LinearRegression])
     df = spark.range(60_000, numPartitions=1).select("id", (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 97 > 40).cast("int").alias("y"))
     for method in ("rfclass", "encv"):
         model = models.train(df, ["a"], "y", method)
         assert models.auc(model, df, "y") > 0.95
+        _, rows, _, columns, tasks = seen[-1]
+        assert rows == 60_000 and len(tasks) == 4 and max(tasks) < 20_000 and not {"id", "a", "y"} & set(columns)
     models.train(df.limit(3000), ["a"], "y", "encv")
-    for sizes, columns in seen[:2]:
-        assert len(sizes) == 4 and sum(sizes) == 60_000 and max(sizes) < 20_000 and columns == ["_features", "_y"]
-    assert seen[2][0] == [3000]
+    assert seen[-1][4] == [3000]
+
+
+def test_equal_rows_weigh_as_many_as_they_are(spark, monkeypatch):
+    seen = watched(monkeypatch, [models.LogisticRegression])
+    df = spark.range(2000).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5 * 100).cast("double").alias("b"), F.lit(3.0).alias("c"))
+    df = df.withColumn("y", (F.col("a") * 100 + F.col("b") + F.pmod(F.hash("a", "b"), F.lit(7)) * 50 > 700).cast("int"))
+    model = models.train(df, ["a", "b", "c"], "y", "logreg")
+    fitted = list(seen)
+    assert len(fitted) == 10 and fitted[-1][2] == 2000 and all(rows <= 3 * 35 for _, rows, *_ in fitted)
+    assert sum(weight for _, _, weight, *_ in fitted[:9]) == 3 * 2 * 2000  # three penalties, each fold left out once
+    single = models.VectorAssembler(inputCols=["a", "b", "c"], outputCol="_features").transform(df).withColumn("_y", F.col("y").cast("double"))
+    kept = single.withColumn("_y", F.col("_y").alias("_y", metadata=model.transform(labelled(df)).schema["_y"].metadata))
+    for penalty in (1e-2, 1.0):
+        plain = models.LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=50, regParam=penalty).fit(kept)
+        mine = models.LogisticRegression(featuresCol="_scaled", labelCol="_y", maxIter=50, regParam=penalty, standardization=False, weightCol="_n")
+        counted = model.transform(labelled(df)).groupBy("_scaled", "_y").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+        assert mine.getStandardization() == model.stages[-1].getStandardization()
+        got, want = (m.transform(t).agg(F.sort_array(F.collect_set(F.round(models.vector_to_array("probability")[0], 4)))).first()[0] for m, t in ((mine.fit(counted), counted), (plain, kept)))
+        assert np.allclose(got, want, atol=2e-4)
+
+
+def labelled(df):
+    return df.withColumn("_label_text", F.lpad(F.col("y").cast("double").cast("decimal(38,6)").cast("string"), 40, "0"))

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,40 +34,48 @@ def task(df: DataFrame, col: str, categories: int = CATEGORIES) -> str | None:
     return "binary" if n == 2 else "multi_class" if n < categories else "regression" if is_numeric(df, col) else None
 
 
-def _estimator(method: str, label: str, seed: int, folds: int):  # noqa: ANN202
+def _estimator(method: str, label: str, seed: int):  # noqa: ANN202
+    """A forest, or several estimators of which the best is sought.
+
+    Those with weights get equal rows as one. Spark's deviations of weighted columns aren't those of the rows that the
+    weights stand for, so logistic regressions, whose penalty hangs on them, get columns divided by the rows' own.
+    """
     args = {"featuresCol": "_features", "labelCol": label}
+    scaled = args | {"featuresCol": "_scaled", "standardization": False, "weightCol": "_n"}
     if method == "logreg":
-        model = LogisticRegression(**args, maxIter=50)
-        grid = ParamGridBuilder().addGrid(model.regParam, [1e-4, 1e-2, 1.0]).build()
-        return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=_f1(label), numFolds=folds, seed=seed, parallelism=len(grid))
+        return [LogisticRegression(**scaled, maxIter=50, regParam=r) for r in (1e-4, 1e-2, 1.0)]
     if method == "rfclass":
         return RandomForestClassifier(**args, numTrees=50, maxDepth=10, seed=seed, maxBins=64)
-    if method == "tpotclass":  # the best of several kinds, by a held-out part
-        stages = [RandomForestClassifier(**args, numTrees=40, maxDepth=12, seed=seed, maxBins=64), LogisticRegression(**args), GBTClassifier(**args, maxIter=20, seed=seed, maxBins=64)]
-        return stages, _f1(label)
+    if method == "tpotclass":
+        return [RandomForestClassifier(**args, numTrees=40, maxDepth=12, seed=seed, maxBins=64), LogisticRegression(**scaled), GBTClassifier(**args, weightCol="_n", maxIter=20, seed=seed, maxBins=64)]
     if method == "rfreg":
         return RandomForestRegressor(**args, numTrees=50, maxDepth=10, seed=seed, maxBins=64)
     if method == "tpotreg":
-        stages = [RandomForestRegressor(**args, numTrees=40, maxDepth=12, seed=seed, maxBins=64), LinearRegression(**args, regParam=1e-3), GBTRegressor(**args, maxIter=20, seed=seed, maxBins=64)]
-        return stages, RegressionEvaluator(labelCol=label)
-    model = LinearRegression(**args, elasticNetParam=0.5)
-    grid = ParamGridBuilder().addGrid(model.regParam, [1e-4, 1e-2, 0.1]).build()
-    return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=seed, parallelism=len(grid))
+        return [RandomForestRegressor(**args, numTrees=40, maxDepth=12, seed=seed, maxBins=64), LinearRegression(**args, regParam=1e-3), GBTRegressor(**args, weightCol="_n", maxIter=20, seed=seed, maxBins=64)]
+    return [LinearRegression(**args, elasticNetParam=0.5, regParam=r) for r in (1e-4, 1e-2, 0.1)]
 
 
-def _f1(label: str) -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
+def _best(kinds: Sequence, evaluator: Evaluator, data: DataFrame, folds: int | None, seed: int):  # noqa: ANN202
+    """Of several estimators the best on each fold in turn, or on a held-out fifth (``folds`` none), fitted on all rows.
+
+    They are tried side by side. Equal rows of a part are one row that weighs their number, which comes to the same sums;
+    forests, which draw for every row how often a tree gets it, are fitted to single rows.
+    """
+    part = F.floor(F.rand(seed) * folds) if folds else F.floor(F.rand(seed) + 0.2)
+    drawn = data.withColumn("_part", part)
+    counted = dealt(drawn.groupBy(*drawn.columns).agg(F.count(F.lit(1)).cast("double").alias("_n")), "counted")
+    rows = lambda kind: counted if kind.hasParam("weightCol") and kind.isSet("weightCol") else drawn
 
+    def score(tried: tuple) -> float:
+        kind, held = tried
+        model = kind.fit(rows(kind).filter(F.col("_part") != held))
+        return evaluator.evaluate(model.transform(counted.filter(F.col("_part") == held)))
 
-def _best(models: Sequence, evaluator: Evaluator, data: DataFrame, seed: int):  # noqa: ANN202
-    """Of several kinds of models, the best on a held-out fifth, fitted on all rows. The kinds are tried side by side."""
-    drawn = data.withColumn("_drawn", F.rand(seed))
-    rest, held = drawn.filter("_drawn < 0.8").persist(), drawn.filter("_drawn >= 0.8").persist()
-    scores = at_once(lambda m: evaluator.evaluate(m.fit(rest).transform(held)), models)
-    for part in (rest, held):
-        part.unpersist()
-    sign = 1 if evaluator.isLargerBetter() else -1
-    return max(zip(models, scores, strict=True), key=lambda m: sign * m[1])[0].fit(data)
+    parts = range(folds) if folds else [1]
+    scores = iter(at_once(score, [(k, p) for k in kinds for p in parts]))
+    means = [sum(next(scores) for _ in parts) / len(parts) for _ in kinds]
+    best = kinds[means.index((max if evaluator.isLargerBetter() else min)(means))]
+    return best.fit(rows(best))
 
 
 def train(
@@ -92,20 +99,20 @@ def train(
             found = lasso_path(df, features, label, folds, seed)
             return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, {found.sql()} AS prediction FROM __THIS__")])
         data = dealt(join.transform(rows.withColumn(target, F.col(label).cast("double"))).select("_features", target), "training")
-        made = _estimator(method, target, seed, folds)
-        best = _best(*made, data, seed) if isinstance(made, tuple) else made.fit(data)
-        return PipelineModel(stages=[join, best.bestModel if hasattr(best, "bestModel") else best])
-    prepared = Pipeline(stages=[index, join]).fit(rows)
-    data = dealt(prepared.transform(rows).select("_features", target), "training")
-    made = _estimator(method, target, seed, folds)
-    if isinstance(made, tuple):
-        stages, evaluator = made
-        if data.select(target).distinct().count() > 2:
-            stages = stages[:2]
-        best = _best(stages, evaluator, data, seed)
+        made = _estimator(method, target, seed)
+        errors = RegressionEvaluator(labelCol=target, weightCol="_n")
+        return PipelineModel(stages=[join, _best(made, errors, data, folds if method == "encv" else None, seed) if isinstance(made, list) else made.fit(data)])
+    made = _estimator(method, target, seed)
+    scale = [StandardScaler(inputCol="_features", outputCol="_scaled")] if isinstance(made, list) else []
+    prepared = Pipeline(stages=[index, join, *scale]).fit(rows)
+    data = dealt(prepared.transform(rows).select("_features", *["_scaled"] * len(scale), target), "training")
+    if isinstance(made, list):
+        if method == "tpotclass" and data.select(target).distinct().count() > 2:
+            made = made[:2]
+        f1 = MulticlassClassificationEvaluator(labelCol=target, metricName="f1", weightCol="_n")
+        best = _best(made, f1, data, folds if method == "logreg" else None, seed)
     else:
         best = made.fit(data)
-        best = best.bestModel if hasattr(best, "bestModel") else best
     return PipelineModel(stages=[*prepared.stages, best])
 
 

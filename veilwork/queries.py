@@ -600,7 +600,8 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
     def tells(m: str) -> tuple[str, bool]:
         return m, bool(models.auc(models.train(rows.filter(seen), ["p_size", "price"], "label", m), rows.filter(~seen), "label") > 0.8)
 
-    return spark.createDataFrame(at_once(tells, (*models.CLASSIFIERS, *models.REGRESSORS)), "model string, tells boolean")
+    names = sorted((*models.CLASSIFIERS, *models.REGRESSORS), key=lambda m: m not in ("logreg", "tpotclass", "tpotreg"))  # the longest first
+    return spark.createDataFrame(at_once(tells, names), "model string, tells boolean")
 
 
 @query("""with x as (select cast(l_quantity as double) a, cast(l_linenumber as double) b, cast(l_extendedprice as double) y from lineitem),
