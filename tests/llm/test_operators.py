@@ -405,6 +405,33 @@ def test_graph_recall():
     assert recall == sorted(recall) and recall[-1] >= 0.95
 
 
+def plain_walk(vectors, links, query, start, ef):
+    """One query's beam, by its definition."""
+    step, new = min(ef, max(hnsw.OPENED, ef // hnsw.PART)), set(start)
+    seen, opened, beam = set(new), set(), []
+    while True:
+        beam = sorted(beam + [(-float(vectors[i] @ query), i) for i in new])[:ef]
+        some = [i for _, i in beam if i not in opened][:step]
+        if not some:
+            return [i for _, i in beam]
+        opened.update(some)
+        new = {int(j) for i in some for j in links[i] if j >= 0} - seen
+        seen |= new
+
+
+def test_beams_equal_their_definition_in_blocks_that_fit_a_cache(monkeypatch):
+    v = np.random.default_rng(7).normal(size=(600, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    g, _ = hnsw.build(v)
+    queries, start, compared, einsum = g.vectors[:256], np.arange(3 * 256).reshape(-1, 3) % 600, [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: compared.append(a.nbytes + b.nbytes) or einsum(how, a, b))
+    ids, sims = hnsw._walk(g.vectors, g.levels[-1], queries, start, 40)
+    assert ids.tolist() == [plain_walk(g.vectors, g.levels[-1], q, s, 40) for q, s in zip(queries, start.tolist(), strict=True)]
+    assert (np.diff(sims) <= 0).all() and max(compared) <= 1 << 20 < sum(compared)
+    few = hnsw._walk(g.vectors, g.levels[-1], queries[:5], start[:5], 600)[0]
+    assert few.tolist() == [plain_walk(g.vectors, g.levels[-1], q, s, 600) for q, s in zip(queries[:5], start[:5].tolist(), strict=True)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 50, 700])
 def test_shards_of_every_size_go_through_the_graph(n, monkeypatch):
     rng = np.random.default_rng(n)
