@@ -537,6 +537,29 @@ def test_toxicity_on_odd_rows(spark, odd):
     assert toxicity.drop_toxic(odd.limit(0), labels).count() == 0
 
 
+def test_only_texts_that_can_have_a_label_move(spark, monkeypatch):
+    plans, kept = {}, toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: plans.update({name: df}) or kept(df, name))
+    docs = spark.range(-20_000, 20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.col("id")).alias("text"))
+    docs = docs.unionByName(docs.filter("doc_id % 1000 = 1")).unionByName(spark.createDataFrame([(None, "no id"), (3, None)], "doc_id bigint, text string"))
+    labels = docs.filter("doc_id % 100 = 1").selectExpr("doc_id", "cast(doc_id % 300 = 1 as int) as toxic")
+    labels = labels.unionByName(spark.createDataFrame([(None, 1), (10**9, 1)], "doc_id bigint, toxic int"))
+    toxicity.fit_toxicity(docs, labels)
+    found = plans["labelled"].groupBy("text", "toxic").count().collect()
+    known = [i for i in range(-20_000, 20_000) if i - 100 * int(i / 100) == 1 and zlib.crc32(str(i).encode()) % 5]
+    assert {(r.text, r["count"]) for r in found} == {(f"text of {i}", 1 + (i - 1000 * int(i / 1000) == 1)) for i in known}
+    moved = toxicity._likely(docs, plans["labels"])
+    assert len(known) < moved.count() < 2 * len(known) and moved.columns == docs.columns
+    # in the plan: bits are looked up below the exchange of the texts
+    plan = plans["labelled"]._jdf.queryExecution().sparkPlan().toString()
+    assert "getbit" in plan[plan.index("SortMergeJoin") :]
+    for kind in ("string", "int", "double", "decimal(20,2)"):
+        same = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+        for ids in (labels, labels.withColumn("doc_id", F.col("doc_id").cast(kind))):
+            assert toxicity._likely(same, ids).join(ids, "doc_id").count() == same.join(ids, "doc_id").count()
+    assert toxicity._likely(docs, labels.limit(0)).count() == 0 and toxicity._likely(docs.limit(0), labels).count() == 0
+
+
 def plain_label_model(votes, labels, rounds=25):
     """The posteriors by the model's definition, text by text: votes as tuples, labels 0, 1 or None."""
     n_voters, n = len(votes[0]), len(votes)

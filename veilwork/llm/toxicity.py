@@ -45,6 +45,8 @@ STEMS = (4, 5, 6)
 PARTS = 4
 #: Bits of the map of candidate terms; texts whose terms are counted together before they leave a task.
 MAP, SOME = 1 << 20, 2000
+#: Bits of the map of labelled ids (8 MB, whatever the number of labels), and kinds of ids that are equal only if their hashes are.
+IDS, HASHED = 1 << 26, frozenset(["bigint", "int", "string"])
 #: Texts that are added to each class (of votes to abstain, as the class, against it), and to each vote of a parent.
 MEANT, DRAWN = (2.4, 0.45, 0.15), 4.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -277,6 +279,22 @@ def _learned(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(crc32_text(doc_id), F.lit(5)) != 0, F.lit(True))
 
 
+def _likely(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` can be one of ``known``: all that are, and those whose hash falls on the bit of another id.
+
+    The hashes of the known ids are marked in a map of fixed size, which goes to all tasks, so it stays small with any
+    number of labels; the more there are, the more rows pass. Ids of unlike types aren't looked up, and all rows pass.
+    """
+    if len(kinds := {d.schema["doc_id"].dataType.simpleString() for d in (rows, known)}) > 1 or not kinds <= HASHED:
+        return rows
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(IDS)) + 1
+    marks = known.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_marks"))
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_marks", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(marks), "_bucket")
+    return marked.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None,
     most_patterns: int = 300_000,
@@ -292,9 +310,9 @@ def fit_toxicity(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(n) for n, c in (keep or {}).items()])
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & _learned(F.col("doc_id")))
     known = written(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labels")
-    # texts move to their labels at every size: labels grow with the corpus
+    # texts move to their labels at every size, as labels grow with the corpus; those that can't have one stay where they are
     learned = rows.select("doc_id", "text").filter(_learned(F.col("doc_id")))
-    lexicon = mine(written(learned.join(known.hint("merge"), "doc_id").select("text", "toxic"), "labelled"))
+    lexicon = mine(written(_likely(learned, known).join(known.hint("merge"), "doc_id").select("text", "toxic"), "labelled"))
     found = rows.withColumn("_h", hits(lexicon)("text")).select("doc_id", "_h.terms", "_h.votes", *(keep or {}))
     found = written(found, "votes")
 
