@@ -765,6 +765,32 @@ def test_comments_by_structure():
         assert html_text.main_text(html) == text, html
 
 
+def test_each_text_is_measured_once(monkeypatch):
+    class Measured:
+        texts, pattern = [], html_text.COMMA
+
+        def findall(self, text):
+            self.texts.append(text)
+            return self.pattern.findall(text)
+
+    monkeypatch.setattr(html_text, "COMMA", Measured())
+    rows = "".join(f"<div>loose, {i}<p>para, {i} <b>bold, {i}</b></p><ul><li>item; {i}</li></ul></div>" for i in range(50))
+    assert html_text.main_text(f"<article>{rows}</article>").count("\n") == 149
+    assert len(Measured.texts) == len(set(Measured.texts)) == 200
+
+
+def test_spaces_and_loose_texts():
+    cases = {
+        "<p>a\x1cb\u3000, \x85c  d</p> ": "a b , c d",
+        "<main><h1>T</h1><p>Long text, with commas, and words that go on for a while.</p><h2>Comments</h2>loose, text <p>a comment</p> more, of it</main>": "T\nLong text, with commas, and words that go on for a while.",
+        "<div>Loose, <b>bold, text</b>\x1f here <a href=1>link, </a><ul><li>x, y</li></ul>\n</div>": "Loose, bold, text here link,\nx, y",
+        " \n\t ": "",
+        "<div>\x85</div>": "",
+    }
+    for html, text in cases.items():
+        assert html_text.main_text(html) == text, html
+
+
 def plain_scores(tree):
     """Each element's score by its definition: every paragraph, wherever it is, and its distance."""
     size = lambda n: sum(len(" ".join(k.split())) if isinstance(k, str) else 0 if k.drop else size(k) for k in n.kids)
